@@ -4,11 +4,13 @@ Documents longer than a sequence fill whole ones; what is left of each is a piec
 shorter than a sequence. The histogram of pieces is a cutting-stock instance:
 a linear program over patterns (how many pieces of each size a sequence takes)
 whose columns an unbounded-knapsack dynamic program prices. Rounded patterns are
-handed out to the pieces by their rank in their size class.
+handed out to the pieces by their rank in their size class; what the tight ones
+leave over is laid end to end and cut at the ends of sequences.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ from fathom.llm.tokens import encoder
 CAPACITY, GRAIN = 1024, 4
 #: Parts in which the pieces of one class are ranked.
 SALTS = 64
+#: Share of a sequence that a pattern fills at least.
+FILL = 0.99
 
 
 def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -50,26 +54,28 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
-def cut_patterns(demand: dict[int, int], capacity: int, tolerance: float = 1e-4, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
-    """Patterns {size: pieces} with how often each is used; together they hold
-    exactly the demand {size: pieces}. Column generation stops where the bound
-    sequences / best price is within the tolerance; fractions are rounded down
-    and the pieces that this leaves, at most one pattern for each size, are
-    placed by best fit."""
+def cut_patterns(demand: dict[int, int], capacity: int, fill: float = FILL, gap: float = 5e-3, rounds: int = 800) -> list[tuple[dict[int, int], int]]:
+    """Patterns {size: pieces} with how often each is used; together they hold at most
+    the demand {size: pieces}. Column generation stops where the bound
+    sequences / best price is within `gap` of the solution, or after `rounds`
+    columns; every basis on the way is a feasible packing. Fractions are rounded
+    down, and only patterns filled to the share `fill` are kept: the pieces
+    of the others are cut to measure by pack()."""
     sizes = np.array(sorted(s for s, d in demand.items() if d), int)
     if not len(sizes):
         return []
     need = np.array([demand[s] for s in sizes.tolist()], float)
     basis = np.diag((capacity // sizes).astype(float))  # columns are patterns
-    inverse = np.linalg.inv(basis)
-    amount = inverse @ need
-    for k in range(rounds):
+    inverse = np.diag(1 / np.diag(basis))
+    amount = np.diag(inverse) * need
+    for _ in range(rounds):
         price = inverse.sum(axis=0)  # duals of one sequence each
         value, pattern = best_pattern(sizes, price, capacity)
         total = float(amount.sum())
-        if value <= 1 + 1e-9 or total - total / value <= max(0.5, tolerance * total):
+        if value <= 1 + 1e-9 or total - total / value <= gap * total:
             break
-        step = inverse @ pattern
+        used = np.flatnonzero(pattern)
+        step = (inverse[:, used] * pattern[used]).sum(axis=1)
         up = step > 1e-9
         ratio = np.where(up, amount / np.where(up, step, 1), np.inf)
         out = int(np.argmin(ratio))
@@ -80,32 +86,21 @@ def cut_patterns(demand: dict[int, int], capacity: int, tolerance: float = 1e-4,
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
-        if k % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ need, 0)
-    used = np.floor(np.maximum(amount, 0) + 1e-7).astype(np.int64)
-    left = need.astype(np.int64) - basis.astype(np.int64) @ used
-    while (left < 0).any():  # a rounding error of the solution
-        used[int(np.flatnonzero((used > 0) & (basis[int(np.argmin(left))] > 0))[0])] -= 1
-        left = need.astype(np.int64) - basis.astype(np.int64) @ used
-    found = Counter()
-    for j in np.flatnonzero(used).tolist():
-        found[tuple((int(s), int(n)) for s, n in zip(sizes, basis[:, j], strict=True) if n)] += int(used[j])
-    rooms: dict[int, list[Counter]] = {}
-    for size, n in sorted(zip(sizes.tolist(), left.tolist(), strict=True), reverse=True):
-        for _ in range(n):
-            room = min((r for r in rooms if r >= size and rooms[r]), default=capacity)
-            bin_ = rooms[room].pop() if rooms.get(room) else Counter()
-            bin_[size] += 1
-            rooms.setdefault(room - size, []).append(bin_)
-    for bins in rooms.values():
-        for bin_ in bins:
-            found[tuple(sorted(bin_.items()))] += 1
-    return [(dict(p), n) for p, n in sorted(found.items())]
-
-
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
-    """The pieces of every document's ids: whole sequences, then the rest."""
+    tight = (sizes[:, None] * basis).sum(axis=0) >= fill * capacity
+    left, found = need.astype(np.int64), []
+    for j in np.flatnonzero(tight & (amount >= 1)).tolist():
+        pattern = basis[:, j].astype(np.int64)
+        held = pattern > 0
+        times = min(int(amount[j] + 1e-7), int((left[held] // pattern[held]).min()))
+        if times:
+            left -= times * pattern
+            found.append((dict(zip(sizes[held].tolist(), pattern[held].tolist(), strict=True)), times))
+    return found
+
+
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+    """The pieces of every document's ids: whole sequences, then the rest. piece is a
+    key of its own for each, so that documents that repeat stay apart."""
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,30 +109,50 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
             rows: list[list] = [[] for _ in range(6)]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.texts(batch.column("text"), end_id), strict=True):
                 for at in range(0, len(ids), capacity):
-                    part = ids[at : at + capacity]
-                    for to, x in zip(rows, (doc_id, at, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(ids), part if with_ids else None), strict=True):
+                    part = ids[at : at + capacity].astype("<u4")
+                    for to, x in zip(rows, (doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids), part.tobytes()), strict=True):
                         to.append(x)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows[: 5 + with_ids], kinds, strict=False)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
+            first = uuid.uuid4().int & (1 << 62) - 1
+            columns = [pa.array(x, pa.int64()) for x in rows[:5]] + [pa.array(rows[5], pa.binary()), pa.array(range(first, first + len(rows[0])), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "piece"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, piece long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, grain: int = GRAIN, salts: int = SALTS, with_ids: bool = False) -> DataFrame:
+def _cut_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes [from, to) of a piece's ids, in ids, with their checksum."""
+    for batch in batches:
+        part = [ids[4 * a : 4 * (a + n)] for ids, a, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "from", "length")), strict=True)]
+        crc = pa.array([zlib.crc32(x) for x in part], pa.int64())
+        names = [n for n in batch.schema.names if n not in ("ids", "from", "ids_crc32")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), crc, pa.array(part, pa.binary())], [*names, "ids_crc32", "ids"])
+
+
+def _before(table: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
+    """table with `before`, the sum of value in the rows ahead of each (a bounded table)."""
+    row = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return table.withColumn("before", F.coalesce(F.sum(value).over(row), F.lit(0).cast("long")))
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, grain: int = GRAIN, salts: int = SALTS) -> DataFrame:
     """Packs docs (doc_id, text; null text: empty) into sequences of `capacity` tokens.
 
     Returns for each piece doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset and, on request, ids. Every id of every document lies in
-    one piece; offsets in a sequence have no gaps. Documents that repeat, with
-    equal or null ids too, are packed as often as they come. The histogram has
-    capacity / grain classes at most, whatever the input.
+    sequence_id, offset and ids (little-endian unsigned 32-bit integers). Every
+    id of every document lies in one piece; offsets in a sequence have no gaps.
+    Pieces that no tight pattern takes are laid end to end and cut at every
+    `capacity` tokens, so that they are cut once in a sequence at most and only
+    the last one is not full. Documents that repeat, with equal or null ids too,
+    are packed as often as they come. The histogram has capacity / grain classes
+    in `salts` parts at most, whatever the input.
     """
-    cut = written(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
+    spark = docs.sparkSession
+    whole = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
     size = F.when(F.col("length") == capacity, capacity).otherwise(F.least(F.ceil(F.col("length") / grain) * grain, F.lit(capacity))).cast("int")
-    cut = cut.withColumn("size", size).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = written(cut.groupBy("size", "salt").agg(F.count("*").alias("n")), "histogram")  # capacity / grain * salts rows at most
-    demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    cut = whole.drop("ids").withColumn("size", size).withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
+    counts = written(cut.groupBy("size", "salt").agg(F.count("*").alias("n")), "histogram")
+    demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # capacity / grain rows at most
     full = demand.pop(capacity, 0)
     patterns = [({k * grain: n for k, n in p.items()}, times) for p, times in cut_patterns({s // grain: n for s, n in demand.items()}, capacity // grain)]
     plan, first = [(capacity, 0, full, 1, 0)] if full else [], full
@@ -147,13 +162,30 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
             plan.append((s, given[s], given[s] + n * times, n, first))
             given[s] += n * times
         first += times
-    spark = docs.sparkSession
-    slots = spark.createDataFrame(plan, "size int, low long, high long, each long, sequence long")  # twice the classes squared at most
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before.select("size", "salt", "before")), ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    put = ranked.join(F.broadcast(slots), (ranked["size"] == slots["size"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).drop(slots["size"])
-    put = put.withColumn("sequence_id", F.expr("sequence + (rank - low) div each"))
+    slots = spark.createDataFrame(plan, "size int, low long, high long, each long, sequence long")  # the classes squared at most
+    within = Window.partitionBy("size", "salt").orderBy("doc_id", "start", "ids_crc32", "piece")
+    ranked = cut.withColumn("rank", F.row_number().over(within) - 1)
+    before = _before(counts, "n", ["salt"], ["size"]).select("size", "salt", "before")
+    ranked = ranked.join(F.broadcast(before), ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before")
+    fits = (ranked["size"] == slots["size"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    ranked = written(ranked.join(F.broadcast(slots), fits, "left").drop(slots["size"]), "ranked")
+    put = ranked.where("sequence is not null").withColumn("sequence_id", F.expr("sequence + (rank - low) div each"))
     row = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     put = put.withColumn("offset", F.coalesce(F.sum("length").over(row), F.lit(0).cast("long")))
-    return put.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "piece"]
+    put = put.select(*columns, F.lit(0).cast("long").alias("from"))
+
+    rest = ranked.where("sequence is null")
+    laid = _before(rest.groupBy("size", "salt").agg(F.sum("length").alias("n")), "n", ["size", "salt"], [])  # classes * salts rows at most
+    own = Window.partitionBy("size", "salt").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    at = rest.withColumn("at", F.coalesce(F.sum("length").over(own), F.lit(0).cast("long"))).join(F.broadcast(laid.drop("n")), ["size", "salt"])
+    at = at.withColumn("at", F.col("at") + F.col("before")).withColumn("into", F.expr(f"{capacity} - at % {capacity}"))
+    two = F.expr("""explode(if(into < length, array(struct(0L as a, into as n), struct(into as a, length - into as n)), array(struct(0L as a, length as n))))""")
+    at = at.withColumn("part", two)
+    at = at.select(
+        "doc_id", (F.col("start") + F.col("part.a")).alias("start"), F.col("part.n").alias("length"), "ids_crc32", "doc_tokens",
+        F.expr(f"{first}L + (at + part.a) div {capacity}").alias("sequence_id"), F.expr(f"(at + part.a) % {capacity}").alias("offset"), "piece", F.col("part.a").alias("from"),
+    )
+    kind = ", ".join(f"{c} long" for c in columns if c not in ("ids_crc32", "piece"))
+    full_ids = put.unionByName(at).join(whole.select("piece", "ids"), "piece").drop("piece")
+    return full_ids.mapInArrow(_cut_ids, f"{kind}, ids_crc32 long, ids binary").select(*columns[:-1], "ids")
