@@ -64,5 +64,5 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         now = written(near, "edges")
         state = now.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s"), F.sum(F.xxhash64("u", "v") % 1000003).alias("x")).first()
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         before = state

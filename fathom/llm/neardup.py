@@ -84,7 +84,7 @@ def _children(node: np.ndarray, signs: np.ndarray) -> np.ndarray:
     coordinates that the node chooses."""
     out, row = [], np.arange(len(node))
     for k in range(BRANCHES):
-        chosen = blocks.mix(node + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+        chosen = blocks.mix(node + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         at = (chosen % np.uint64(COORDINATES // BRANCHES)).astype(np.int64) + k * (COORDINATES // BRANCHES)
         out.append(blocks.mix(chosen ^ (signs[row, at].astype(np.uint64) << np.uint64(13))))
     return np.stack(out, axis=1)

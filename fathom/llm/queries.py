@@ -10,6 +10,9 @@ from fathom.llm.decontaminate import decontaminate
 from fathom.llm.neardup import near_duplicates
 from fathom.llm.packing import pack
 from fathom.llm.records import tokenized
+from fathom.llm.secrets import PATTERNS, as_text, scan
+from fathom.llm.sharding import place
+from fathom.llm.topk import EVERY, sign_code, top_k
 
 
 def vocabulary() -> str:
@@ -18,6 +21,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
@@ -27,14 +34,27 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(kinds) - F.size(F.array_remove(kinds, kind)) for kind in PATTERNS]
+    counts = [n.cast("long").alias(f"n_{kind}") for n, kind in zip(counts, PATTERNS, strict=True)]
+    return found.select("doc_id", *counts, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=0)
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=0).drop("ids")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_records, op4_decontaminate, op8_pack, op9_near_duplicates)}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code"))
+    return top_k(rows, rows.where(F.col("id") % EVERY == 0)).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op3_token_records, op4_decontaminate, op7_secrets, op8_pack, op9_near_duplicates, op10_top_k)}
 
 ORACLES: dict[str, str] = {}
