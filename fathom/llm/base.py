@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handed to a Python worker at once.
@@ -22,6 +22,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def remainder(doc_id: str, of: int) -> Column:
+    """crc32 of the id as text, modulo `of`; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of, F.lit(-1)).cast("int")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
     temporary one where that is unset, as in local tests."""
