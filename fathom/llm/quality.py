@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from fathom.llm import blocks
 from fathom.llm.base import bounded_batches
 
-#: Words of a passage; labelled documents that train the model, and passes over them.
-PASSAGE, SAMPLE, EPOCHS = 64, 6000, 12
+#: Words of a passage; labelled documents that train the model, and steps of the training.
+PASSAGE, SAMPLE, STEPS = 64, 6000, 1500
 THRESHOLD = 0.3
 _HIDDEN, _GATE, _BATCH = 32, 16, 64
 #: Character classes: the printable ASCII ones, white space, control characters, the rest.
@@ -64,13 +64,13 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    shape = {"w": (FEATURES, _HIDDEN), "b": (_HIDDEN,), "v": (_HIDDEN, _GATE), "u": (_HIDDEN, _GATE), "a": (_GATE,), "c": (_HIDDEN,), "d": (1,)}
+    shape = {"mean": (FEATURES,), "scale": (FEATURES,), "w": (FEATURES, _HIDDEN), "b": (_HIDDEN,), "v": (_HIDDEN, _GATE), "u": (_HIDDEN, _GATE), "a": (_GATE,), "c": (_HIDDEN,), "d": (1,)}
     return {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 or k in "ac" else np.zeros(s) for k, s in shape.items()}
 
 
 def _forward(m: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> tuple:
     size = np.diff(np.append(first, len(x)))
-    h = np.tanh(x @ m["w"] + m["b"])
+    h = np.tanh((x - m["mean"]) * m["scale"] @ m["w"] + m["b"])
     t, s = np.tanh(h @ m["v"]), 1 / (1 + np.exp(-(h @ m["u"])))
     e = (t * s) @ m["a"]
     e = np.exp(e - np.repeat(np.maximum.reduceat(e, first), size))
@@ -89,26 +89,27 @@ def _gradients(m: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np
     dv, du = dg * s * (1 - t * t), dg * t * s * (1 - s)
     dh = a[:, None] * dz + dv @ m["v"].T + du @ m["u"].T
     dx = dh * (1 - h * h)
-    return {"w": x.T @ dx, "b": dx.sum(axis=0), "v": h.T @ dv, "u": h.T @ du, "a": (t * s).T @ de, "c": z.T @ do, "d": do.sum(keepdims=True)}
+    return {"w": ((x - m["mean"]) * m["scale"]).T @ dx, "b": dx.sum(axis=0), "v": h.T @ dv, "u": h.T @ du, "a": (t * s).T @ de, "c": z.T @ do, "d": do.sum(keepdims=True)}
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, rate: float = 0.005) -> dict[str, np.ndarray]:
     """Adam on the log-loss of the bags' labels, in an order that a fixed seed draws."""
     rng = np.random.default_rng(0)
     m = _start(rng)
+    every = np.concatenate(bags).astype(float)
+    m["mean"], m["scale"] = every.mean(axis=0), 1 / (every.std(axis=0) + 0.01)
     one, two = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(bags))
-        for at in range(0, len(order), _BATCH):
-            some = order[at : at + _BATCH]
-            size = np.array([len(bags[i]) for i in some])
-            g = _gradients(m, np.concatenate([bags[i] for i in some]).astype(float), np.cumsum(size) - size, labels[some])
-            step += 1
-            for k in m:
-                one[k] = 0.9 * one[k] + 0.1 * g[k]
-                two[k] = 0.999 * two[k] + 0.001 * g[k] ** 2
-                m[k] = m[k] - rate * (1 - epoch / (epochs + 1)) * (one[k] / (1 - 0.9**step) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8) + 1e-4 * m[k])
+    order = np.zeros(0, int)
+    for step in range(1, steps + 1):
+        if not len(order):
+            order = rng.permutation(len(bags))
+        some, order = order[:_BATCH], order[_BATCH:]
+        size = np.array([len(bags[i]) for i in some])
+        g = _gradients(m, np.concatenate([bags[i] for i in some]).astype(float), np.cumsum(size) - size, labels[some])
+        for k in g:
+            one[k] = 0.9 * one[k] + 0.1 * g[k]
+            two[k] = 0.999 * two[k] + 0.001 * g[k] ** 2
+            m[k] = m[k] - rate * (1 - step / (steps + 1)) * (one[k] / (1 - 0.9**step) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8) + 1e-3 * m[k])
     return m
 
 
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, n
     text = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text"))
     bags = text.join(F.broadcast(few), "k").select("h", "label", "text").mapInArrow(_encoded, "h long, label int, bag binary")  # `sample` rows of three numbers
     shape = {k: v.shape for k, v in _start(np.random.default_rng(0)).items()}
-    found = bags.coalesce(1).mapInArrow(_fitted, "name string, value binary").collect()  # seven arrays
+    found = bags.coalesce(1).mapInArrow(_fitted, "name string, value binary").collect()  # nine arrays
     return {r["name"]: np.frombuffer(r["value"], float).reshape(shape[r["name"]]) for r in found} or None
 
 
