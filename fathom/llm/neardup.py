@@ -289,6 +289,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, group: int =
     members = parts.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "set_id"), "node")
     members = members.select(F.col("component").alias("part"), F.when(F.col("n") > group, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / group))).otherwise(0).cast("long").alias("block"), F.col("node").alias("rep"), F.col("node").alias("label"), "set_id", F.ceil(F.col("n") / group).alias("blocks"))
     members = written(members, "members")
+    texts = written(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     shape = ["part", "block", "rep", "label", "set_id"]
     first = members.where("rep = part and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     links = written(_confirmed(members.select(shape).union(first.select(shape)).distinct(), texts, similarity), "links")
