@@ -4,8 +4,9 @@ Every document is a set of word shingles with a minwise signature. In each of
 several independent trees a node holds the documents that agree on the minwise
 tokens chosen along its path, and branches them by a few more coordinates, which
 the path itself chooses. Nodes that are small enough are compared exhaustively on
-signatures; nodes that stay large to the last level, as those of thousands of
-copies, pass on whole. Documents that this puts together, directly or in a chain,
+signatures; a large node whose documents are all like its first one, as one of
+thousands of copies, passes on whole, and so do nodes that stay large to the last
+level. Documents that this puts together, directly or in a chain,
 form a candidate group, and within groups links are confirmed on full sets.
 
 With BRANCHES = 2 and a similarity of 0.75 a pair stays together in a tree of any
@@ -164,6 +165,18 @@ def _compare(least: int):
     return compare
 
 
+def _alike(least: int):
+    """Whether each document of a node is like its first one."""
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_matrix(batch.column("signature")) == _matrix(batch.column("pivot"))).sum(axis=1) >= least
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rep", "first")), pa.array(same)], ["node", "rep", "first", "alike"])
+
+    return alike
+
+
 def candidates(reps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(a, b): pairs that connect the candidate groups of reps (rep, signature)."""
     p = similarity / 100
@@ -175,15 +188,17 @@ def candidates(reps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         last = level == LEVELS - 1
         members = nodes.join(sizes, "node")
         small = members.where(F.col("n") <= LEAF).join(reps, "rep").select("node", "rep", "signature").repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_compare(least), "a long, b long")
-        large = members.where(F.col("n") > LEAF)
-        found = small.union(large.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))) if last else small
+        large = written(members.where(F.col("n") > LEAF).select("node", "rep", "first"), "large")
+        if not last:
+            both = large.join(reps.select("rep", "signature"), "rep").join(reps.select(F.col("rep").alias("first"), F.col("signature").alias("pivot")), "first")
+            alike = written(both.select("node", "rep", "first", "signature", "pivot").mapInArrow(_alike(least), "node long, rep long, first long, alike boolean"), "alike")
+            mixed = alike.groupBy("node").agg(F.min("alike").alias("pure")).where("not pure").select("node")
+            onward, large = alike.join(mixed, "node", "left_semi"), alike.join(mixed, "node", "left_anti")
+        found = small.union(large.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
         pairs = found if pairs is None else pairs.union(found)
-        if last:
-            break
-        large = written(large.select("node", "rep"), "large")
-        if large.isEmpty():
+        if last or onward.isEmpty():
             break
-        nodes = large.join(reps, "rep").select("node", "rep", "signature").mapInArrow(_branch, "node long, rep long")
+        nodes = onward.join(reps, "rep").select("node", "rep", "signature").mapInArrow(_branch, "node long, rep long")
     return pairs
 
 
