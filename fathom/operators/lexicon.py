@@ -39,7 +39,8 @@ def scored(corpus: DataFrame, lexicon: DataFrame, id: str, text: str = "text", s
     grows with the vocabulary, so tokens are joined to it, summed map-side first."""
     found = corpus.select(F.col(id), F.explode_outer(tokens(F.col(text), stop)).alias("word"))
     hits = found.join(lexicon, "word", "left")
-    total = hits.groupBy(id).agg(F.sum(F.coalesce("polarity", F.lit(0.0))).alias("s"), F.count("word").alias("n"))
+    exact = F.sum(F.coalesce("polarity", F.lit(0.0)).cast("decimal(18,6)")).cast("double")  # the same in any order
+    total = hits.groupBy(id).agg(exact.alias("s"), F.count("word").alias("n"))
     return total.select(id, F.when(F.col("n") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s") / F.col("n")))).otherwise(0.0).alias("lm_sentiment"))
 
 
