@@ -99,8 +99,9 @@ def cut_patterns(demand: dict[int, int], capacity: int, fill: float = FILL, gap:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """The pieces of every document's ids: whole sequences, then the rest. piece is a
-    key of its own for each, so that documents that repeat stay apart."""
+    """The pieces of every document's ids, as narrow as the vocabulary allows: whole
+    sequences, then the rest. piece is a key of its own for each, so that documents
+    that repeat stay apart."""
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.texts(batch.column("text"), end_id), strict=True):
                 for at in range(0, len(ids), capacity):
                     part = ids[at : at + capacity].astype("<u4")
-                    for to, x in zip(rows, (doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids), part.tobytes()), strict=True):
+                    for to, x in zip(rows, (doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(enc.dtype).tobytes()), strict=True):
                         to.append(x)
             first = uuid.uuid4().int & (1 << 62) - 1
             columns = [pa.array(x, pa.int64()) for x in rows[:5]] + [pa.array(rows[5], pa.binary()), pa.array(range(first, first + len(rows[0])), pa.int64())]
@@ -120,13 +121,19 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, piece long")
 
 
-def _cut_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes [from, to) of a piece's ids, in ids, with their checksum."""
-    for batch in batches:
-        part = [ids[4 * a : 4 * (a + n)] for ids, a, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "from", "length")), strict=True)]
-        crc = pa.array([zlib.crc32(x) for x in part], pa.int64())
-        names = [n for n in batch.schema.names if n not in ("ids", "from", "ids_crc32")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), crc, pa.array(part, pa.binary())], [*names, "ids_crc32", "ids"])
+def _cut_ids(tokenizer: str):
+    """The `length` ids of a piece from its place `from` on, with their checksum."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = encoder(tokenizer).dtype
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("ids", "from", "length")), strict=True)
+            part = [np.frombuffer(ids, kind)[a : a + n].astype("<u4").tobytes() for ids, a, n in rows]
+            crc = pa.array([zlib.crc32(x) for x in part], pa.int64())
+            names = [n for n in batch.schema.names if n not in ("ids", "from", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), crc, pa.array(part, pa.binary())], [*names, "ids_crc32", "ids"])
+
+    return cut
 
 
 def _before(table: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
@@ -188,4 +195,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     )
     kind = ", ".join(f"{c} long" for c in columns if c not in ("ids_crc32", "piece"))
     full_ids = put.unionByName(at).join(whole.select("piece", "ids"), "piece").drop("piece")
-    return full_ids.mapInArrow(_cut_ids, f"{kind}, ids_crc32 long, ids binary").select(*columns[:-1], "ids")
+    return full_ids.mapInArrow(_cut_ids(tokenizer), f"{kind}, ids_crc32 long, ids binary").select(*columns[:-1], "ids")
