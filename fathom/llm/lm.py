@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm import blocks
-from fathom.llm.base import bounded_batches, written
+from fathom.llm.base import ARROW_BYTES, bounded_batches, written
 from fathom.llm.neardup import _groups
 
 ORDER, BACKOFF = 3, 0.4
@@ -35,6 +35,30 @@ def _unpack(x: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), dtype)
 
 
+def _planes(x: np.ndarray, count: int) -> list[bytes]:
+    """The low `count` bytes of integers, one plane for each; the top one compressed."""
+    raw = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+    planes = [np.ascontiguousarray(raw[:, k]).tobytes() for k in range(count)]
+    return [*planes[:-1], zlib.compress(planes[-1], 1)] if planes else []
+
+
+def _merged(planes: list[bytes], n: int) -> np.ndarray:
+    raw = np.zeros((n, 8), np.uint8)
+    for k, plane in enumerate(planes):
+        raw[:, k] = np.frombuffer(zlib.decompress(plane) if k == len(planes) - 1 else plane, np.uint8)
+    return raw.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def _sorted_to_planes(keys: np.ndarray) -> list[bytes]:
+    """Ascending keys as the first one and the gaps between them."""
+    gaps = np.diff(keys)
+    return [keys[:1].tobytes(), *_planes(gaps, -(-int(gaps.max()).bit_length() // 8) if len(gaps) else 0)]
+
+
+def _sorted_from_planes(planes: list[bytes], n: int) -> np.ndarray:
+    return np.cumsum(np.append(np.frombuffer(planes[0], np.uint64), _merged(planes[1:], n - 1)), dtype=np.uint64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each batch: its documents, their numbers of words, the hashes of its
     distinct words, and each word's place in these."""
@@ -47,19 +71,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, text = blocks.words(data, offsets, blocks.SOLID)
             hashes.append(blocks.span_hashes(data, start, end))
             sizes.append(np.bincount(text, minlength=len(offsets) - 1))
-        known, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        known, place, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # frequent words get small numbers, which compress well
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        known, place = known[order], rank[place]
         size = np.concatenate(sizes).astype(np.int64)
-        low, high = (place & 0xFFFF).astype(np.uint16), (place >> 16).astype(np.uint16)
+        planes = [_pack((place >> 8 * k & 0xFF).astype(np.uint8)) for k in range(4)]
         columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([size.tolist()], pa.list_(pa.int64())), pa.array([int(size.sum())], pa.int64())]
-        columns += [pa.array([x], pa.binary()) for x in (known.tobytes(), _pack(low), _pack(high))]
-        yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "words", "known", "low", "high"])
+        columns += [pa.array([x], pa.binary()) for x in (known.tobytes(), *planes)]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "words", "known", "p0", "p1", "p2", "p3"])
 
 
 def _ngrams(row: dict, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """(sizes, for each order the hash of the n-gram that ends at each word, and
     whether it lies in one document)."""
     size = np.array(row["sizes"], np.int64)
-    place = _unpack(row["low"], np.uint16).astype(np.int64) | _unpack(row["high"], np.uint16).astype(np.int64) << 16
+    place = sum(_unpack(row[f"p{k}"], np.uint8).astype(np.int64) << 8 * k for k in range(4))
     hashes = np.frombuffer(row["known"], np.uint64)[place] if len(place) else np.zeros(0, np.uint64)
     text = np.repeat(np.arange(len(size)), size)
     out = []
@@ -90,7 +118,7 @@ def _sent(order: int, parts: int):
                 some = np.flatnonzero(np.diff(at)).tolist()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()),
-                    pa.array([keys[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()), pa.array([_pack(counts[at[p] : at[p + 1]].astype(np.uint32)) for p in some], pa.binary()),
+                    pa.array([_sorted_to_planes(keys[at[p] : at[p + 1]]) for p in some], pa.list_(pa.binary())), pa.array([_pack(counts[at[p] : at[p + 1]].astype(np.uint32)) for p in some], pa.binary()),
                 ], ["part", "block", "keys", "counts"])
 
     return send
@@ -103,8 +131,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(part)).tolist(), strict=True):
             some = rows.slice(a, b - a)
-            keys = [np.frombuffer(x, np.uint64) for x in some.column("keys").to_pylist()]
-            counts = np.concatenate([_unpack(x, np.uint32) for x in some.column("counts").to_pylist()])
+            each = [_unpack(x, np.uint32) for x in some.column("counts").to_pylist()]
+            keys = [_sorted_from_planes(x, len(n)) for x, n in zip(some.column("keys").to_pylist(), each, strict=True)]
+            counts = np.concatenate(each)
             _, place = np.unique(np.concatenate(keys), return_inverse=True)
             sums = np.bincount(place, counts).astype(np.int64)[place]
             at = np.append(0, np.cumsum([len(k) for k in keys]))
@@ -145,13 +174,13 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     their own, so copies make each other likely; ids may be null.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 5000, 2 * ARROW_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "block long, doc_ids array<long>, sizes array<long>, words long, known binary, low binary, high binary"
+    shape = "block long, doc_ids array<long>, sizes array<long>, words long, known binary, p0 binary, p1 binary, p2 binary, p3 binary"
     cut = written(rows.mapInArrow(_blocks, shape), "blocks")
     total = cut.agg(F.sum("words")).first()[0] or 0
     parts = max(PARTS, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    sent = cut.mapInArrow(_sent(order, parts), "part int, block long, keys binary, counts binary")
+    sent = cut.mapInArrow(_sent(order, parts), "part int, block long, keys array<binary>, counts binary")
     sums = sent.repartition("part").sortWithinPartitions("part", "block").mapInArrow(_summed, "part int, block long, sums binary")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
