@@ -62,7 +62,7 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour goes to the smallest of the neighbourhood
-        wide = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        wide = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: smaller neighbours, and the node itself, go to the smallest one
         least = wide.groupBy("u").agg(F.min("v").alias("m"))
         near = wide.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()

@@ -59,25 +59,35 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """COORDINATES minwise hashes of a set, 32 bits each."""
+    """COORDINATES minwise hashes of a set, 64 bits each."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 256):
         np.minimum(least, (found[at : at + 256, None] * _FACTORS + _TERMS).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return least
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, ids, signs = [], [], []
+        n, ids, least = [], [], []
         for found in shingle_sets(batch.column("text")):
             n.append(len(found))
             ids.append(hashlib.md5(found.tobytes()).digest() if len(found) else None)
-            signs.append(signature(found).tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
+            least.append(signature(found))
+        signs = np.stack(least) if least else np.zeros((0, COORDINATES), np.uint64)
+        roots = np.concatenate([_children(np.full(len(signs), t + 1, np.uint64), signs) for t in range(TREES)], axis=1)
+        planes = (signs >> np.uint64(32)).astype("<u2")
+        empty = np.array(n, np.int64) == 0
+        nodes = pa.array(list(roots.view(np.int64)), pa.list_(pa.int64()), mask=empty)
+        low, high = (pa.array([x.tobytes() for x in plane], pa.binary(), mask=empty) for plane in (planes.astype(np.uint8), (planes >> 8).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), nodes, low, high], ["doc_id", "n_shingles", "set_id", "roots", "low", "high"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+def _plane(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def _coordinates(batch: pa.RecordBatch) -> np.ndarray:
+    return _plane(batch.column("low")) | _plane(batch.column("high")).astype(np.uint16) << 8
 
 
 def _children(node: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -87,23 +97,16 @@ def _children(node: np.ndarray, signs: np.ndarray) -> np.ndarray:
     for k in range(BRANCHES):
         chosen = blocks.mix(node + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         at = (chosen % np.uint64(COORDINATES // BRANCHES)).astype(np.int64) + k * (COORDINATES // BRANCHES)
-        out.append(blocks.mix(chosen ^ (signs[row, at].astype(np.uint64) << np.uint64(13))))
+        out.append(blocks.mix(chosen ^ blocks.mix(signs[row, at].astype(np.uint64))))
     return np.stack(out, axis=1)
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            signs = _matrix(batch.column("signature"))
-            nodes = np.concatenate([_children(np.full(len(signs), t + 1, np.uint64), signs) for t in range(TREES)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(np.repeat(np.array(batch.column("rep")), nodes.shape[1]))], ["node", "rep"])
-
-
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            nodes = _children(np.array(batch.column("node")).view(np.uint64), _matrix(batch.column("signature")))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(np.repeat(np.array(batch.column("rep")), nodes.shape[1]))], ["node", "rep"])
+            nodes = _children(np.array(batch.column("node")).view(np.uint64), _coordinates(batch))
+            rest = batch.select(["rep", "low", "high"]).take(np.repeat(np.arange(batch.num_rows), BRANCHES))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), *rest.columns], ["node", *rest.schema.names])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -146,7 +149,7 @@ def _compare(least: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ["node"]):
             node, rep = np.array(rows.column("node")), np.array(rows.column("rep"))
-            signs = _matrix(rows.column("signature").combine_chunks())
+            signs = _plane(rows.column("low"))
             a, b = [], []
             for lag in range(1, LEAF):
                 at = np.flatnonzero(node[:-lag] == node[lag:])
@@ -171,34 +174,38 @@ def _alike(least: int):
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_matrix(batch.column("signature")) == _matrix(batch.column("pivot"))).sum(axis=1) >= least
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rep", "first")), pa.array(same)], ["node", "rep", "first", "alike"])
+                same = (_plane(batch.column("low")) == _plane(batch.column("pivot"))).sum(axis=1) >= least
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rep", "low", "high", "first")), pa.array(same)], ["node", "rep", "low", "high", "first", "alike"])
 
     return alike
 
 
 def candidates(reps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(a, b): pairs that connect the candidate groups of reps (rep, signature)."""
+    """(a, b): pairs that connect the candidate groups of reps (rep, roots, low, high):
+    the nodes of level 0, which take whole hashes, so that unlike documents don't
+    meet by chance, and two bytes of each coordinate. Documents are compared on the low bytes alone, which
+    can only let more pairs through. Signatures join the nodes of more than one
+    document once, at the root, and stay with them from there."""
     p = similarity / 100
     least = int(np.floor(COORDINATES * p - 5 * np.sqrt(COORDINATES * p * (1 - p))))
-    nodes, pairs = reps.select("rep", "signature").mapInArrow(_roots, "node long, rep long"), None
+    nodes, pairs = written(reps.select(F.explode("roots").alias("node"), "rep"), "nodes"), None
     for level in range(LEVELS):
-        nodes = written(nodes.distinct() if level else nodes, "nodes")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
-        last = level == LEVELS - 1
-        members = nodes.join(sizes, "node")
-        small = members.where(F.col("n") <= LEAF).join(reps, "rep").select("node", "rep", "signature").repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_compare(least), "a long, b long")
-        large = written(members.where(F.col("n") > LEAF).select("node", "rep", "first"), "large")
+        members = nodes.join(sizes, "node").withColumn("first", F.when(F.col("n") > LEAF, F.col("first"))).drop("n")
+        members = written(members if level else members.join(reps.drop("roots"), "rep"), "members")
+        small = members.where("first is null").select("node", "rep", "low").repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_compare(least), "a long, b long")
+        large = members.where("first is not null")
+        last = level == LEVELS - 1 or large.isEmpty()
         if not last:
-            both = large.join(reps.select("rep", "signature"), "rep").join(reps.select(F.col("rep").alias("first"), F.col("signature").alias("pivot")), "first")
-            alike = written(both.select("node", "rep", "first", "signature", "pivot").mapInArrow(_alike(least), "node long, rep long, first long, alike boolean"), "alike")
-            mixed = alike.groupBy("node").agg(F.min("alike").alias("pure")).where("not pure").select("node")
+            pivots = large.where("rep = first").select("node", F.col("low").alias("pivot"))
+            alike = written(large.join(pivots, "node").select("node", "rep", "low", "high", "first", "pivot").mapInArrow(_alike(least), "node long, rep long, low binary, high binary, first long, alike boolean"), "alike")
+            mixed = alike.where("not alike").select("node").distinct()
             onward, large = alike.join(mixed, "node", "left_semi"), alike.join(mixed, "node", "left_anti")
         found = small.union(large.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
         pairs = found if pairs is None else pairs.union(found)
-        if last or onward.isEmpty():
+        if last or mixed.isEmpty():
             break
-        nodes = onward.join(reps, "rep").select("node", "rep", "signature").mapInArrow(_branch, "node long, rep long")
+        nodes = written(onward.mapInArrow(_branch, "node long, rep long, low binary, high binary").dropDuplicates(["node", "rep"]), "nodes")
     return pairs
 
 
@@ -296,9 +303,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, group: int =
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_signed, "doc_id long, n_shingles long, set_id binary, signature binary"), "signed")
-    reps = written(signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "reps")
-    pairs = written(candidates(reps, similarity), "pairs")
+    signed = written(texts.mapInArrow(_signed, "doc_id long, n_shingles long, set_id binary, roots array<long>, low binary, high binary"), "signed")
+    reps = written(signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("roots", "low", "high"))), "reps")
+    pairs = written(candidates(reps.drop("set_id"), similarity), "pairs")
     parts = written(connected(pairs, "a", "b"), "parts")
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
     members = parts.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "set_id"), "node")
