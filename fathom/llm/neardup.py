@@ -4,9 +4,9 @@ Every document is a set of word shingles with a minwise signature. In each of
 several independent trees a node holds the documents that agree on the minwise
 tokens chosen along its path, and branches them by a few more coordinates, which
 the path itself chooses. Nodes that are small enough are compared exhaustively on
-signatures; a large node whose documents are all like its first one, as one of
-thousands of copies, passes on whole, and so do nodes that stay large to the last
-level. Documents that this puts together, directly or in a chain,
+signatures; a large node most of whose documents are like its first one, as one
+of thousands of copies, passes on whole, and so do nodes that stay large to the
+last level. Documents that this puts together, directly or in a chain,
 form a candidate group, and within groups links are confirmed on full sets.
 
 With BRANCHES = 2 and a similarity of 0.75 a pair stays together in a tree of any
@@ -32,6 +32,9 @@ SHINGLE, SIMILARITY = 5, 75
 COORDINATES, TREES, BRANCHES, LEVELS = 128, 6, 2, 4
 #: Documents of a node that is compared exhaustively.
 LEAF = 64
+#: Share of a larger node's documents like its first one from which it is one group of
+#: copies: it passes on whole, with the others too, so that confirmation decides.
+PURE = 0.75
 #: Documents of a candidate group, or block of one, that a task confirms at once.
 GROUP = 1000
 _FACTORS = blocks.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -199,7 +202,7 @@ def candidates(reps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         if not last:
             pivots = large.where("rep = first").select("node", F.col("low").alias("pivot"))
             alike = written(large.join(pivots, "node").select("node", "rep", "low", "high", "first", "pivot").mapInArrow(_alike(least), "node long, rep long, low binary, high binary, first long, alike boolean"), "alike")
-            mixed = alike.where("not alike").select("node").distinct()
+            mixed = alike.groupBy("node").agg(F.avg(F.col("alike").cast("int")).alias("share")).where(F.col("share") < PURE).select("node")
             onward, large = alike.join(mixed, "node", "left_semi"), alike.join(mixed, "node", "left_anti")
         found = small.union(large.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
         pairs = found if pairs is None else pairs.union(found)
