@@ -28,19 +28,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in ids, and those without one."""
-    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a 64-bit hash of each row, nulls told apart: what decisions are
+    made by, since ids may be null or shared. Exact repeats of a row have one `_row`."""
+    return docs.select(*COLUMNS, F.xxhash64(*(F.col(c).isNull() for c in COLUMNS), *COLUMNS).alias("_row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return _keep(docs, near_duplicates(docs).where("kept"))
+    """The document with the smallest id of each group of near duplicates, one without
+    an id if none has one. Rows that share an id are documents of their own; of exact
+    repeats of a row one stays. Texts without words are like no others."""
+    rows = _rows(docs)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    kept = found.join(rows.select("doc_id", "_row").distinct(), "_row").groupBy("component_id").agg(first.alias("_row"))
+    return rows.dropDuplicates(["_row"]).join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with a benchmark item."""
-    return _keep(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    """Rows that share no window of words with a benchmark item, whatever their ids."""
+    rows = _rows(docs)
+    found = decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -266,3 +266,21 @@ def test_pipeline(spark):
     docs = {r["doc_id"] for r in rows}
     low = {r["doc_id"] for r in queries.op5_quality(spark, SMALL).where("predicted = 0").collect()}
     assert docs and not docs & low
+
+
+def test_pipeline_decides_by_row(spark):
+    """Null ids, ids of several texts and repeated rows, each beside an ordinary row."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first()["text"]
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    frame_of = lambda rows: spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda df: Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+    rows = [(None, text["a"], "s"), (None, text["a"], "s"), (None, text["a"], "t"), (4, text["b"], "s"), (4, text["b"], "s"), (None, text["b"] + " x", "s"), (5, text["c"], "s"), (5, text["d"], "s"), (6, text["c"], "s")]
+    rows += [(1, text["e"], "s"), (7, text["e"], "s"), (7, text["f"], "s"), (None, None, "s"), (None, None, "t"), (8, "", "s"), (9, "", "s")]
+    kept = told(corpus_pipeline.near_dedup(spark, frame_of(rows), SMALL))
+    either = [k for k in kept if k[1] == text["a"]]
+    assert len(either) == 1 and kept.pop(either[0]) == 1
+    assert kept == Counter([(4, text["b"], "s"), (5, text["c"], "s"), (5, text["d"], "s"), (1, text["e"], "s"), (7, text["f"], "s"), (None, None, "s"), (None, None, "t"), (8, "", "s"), (9, "", "s")])
+    bad = text["g"] + " " + item
+    clean = [(None, text["a"], "s"), (5, text["c"], "s"), (6, text["d"], "s"), (6, text["d"], "s"), (None, None, "s")]
+    left = told(corpus_pipeline.decontamination(spark, frame_of([*clean, (None, bad, "s"), (5, bad, "s"), (9, bad, "s"), (9, bad, "s")]), SMALL))
+    assert left == Counter(clean)
