@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,50 @@ def neighbours(vectors: DataFrame, seeds: DataFrame, top: int = 5, least: float
     return ranked.where(F.col("rank") <= top)
 
 
+def _nearest(top: int, least: float):
+    """The `top` rows of a part of the vectors nearest to each seed of a block. Sums run
+    in the order of the coordinates, so equal vectors have equal similarities."""
+
+    def nearest(seeds: pa.Table, vectors: pa.Table) -> pa.Table:
+        seed, word, similarity = [], [], []
+        if seeds.num_rows and vectors.num_rows:
+            names, words = np.array(seeds.column("seed").to_pylist()), np.array(vectors.column("word").to_pylist())
+            a, b = (np.array(t.column("vector").to_pylist(), np.float64) for t in (seeds, vectors))
+            dot = lambda x, y: sum(x[..., d] * y[..., d] for d in range(x.shape[-1]))
+            aa, bb = dot(a, a), dot(b, b)
+            for at in range(0, len(a), 32):
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    found = dot(a[at : at + 32, None], b[None]) / np.sqrt(aa[at : at + 32, None] * bb[None])
+                for name, row in zip(names[at : at + 32], found, strict=True):
+                    open_ = np.flatnonzero((row >= least) & (words != name))
+                    if len(open_) > top:
+                        open_ = open_[row[open_] >= np.partition(row[open_], -top)[-top]]
+                    best = open_[np.lexsort((words[open_], -row[open_]))[:top]]
+                    seed += [name.item()] * len(best)
+                    word += words[best].tolist()
+                    similarity += row[best].tolist()
+        kinds = seeds.schema.field("seed").type, vectors.schema.field("word").type, pa.float64()
+        return pa.table([pa.array(c, k) for c, k in zip((seed, word, similarity), kinds, strict=True)], ["seed", "word", "similarity"])
+
+    return nearest
+
+
+def all_neighbours(vectors: DataFrame, seeds: DataFrame, top: int = 5, least: float = -1.0, block: int = 1000, part: int = 10_000) -> DataFrame:
+    """neighbours() for seeds that grow with the table: about `block` seeds meet about
+    `part` vectors in a task, and only the `top` of each part go on. Vectors are of one
+    length; those that are null or hold a null have no similarity."""
+    whole = lambda df: df.where("vector is not null and not exists(vector, x -> x is null)")
+    n, m = math.ceil(seeds.count() / block) or 1, math.ceil(vectors.count() / part) or 1
+    dealt = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = whole(seeds).select("seed", "vector", dealt("seed", n).alias("block"), each(m).alias("part"))
+    right = whole(vectors).select("word", "vector", dealt("word", m).alias("part"), each(n).alias("block"))
+    kinds = f"seed {seeds.schema['seed'].dataType.simpleString()}, word {vectors.schema['word'].dataType.simpleString()}, similarity double"
+    scored = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_nearest(top, least), kinds)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("similarity"), "word")))
+    return ranked.where(F.col("rank") <= top)
+
+
 def best_seed(found: DataFrame) -> DataFrame:
     """For each word its most similar seed."""
     best = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("similarity"), "seed"))
@@ -49,6 +97,17 @@ def pair_pmi(index: DataFrame, candidates: list[str], seeds: list[str]) -> DataF
     return both.select("word", "seed", F.log2(F.col("n_ab") * total / (F.col("n_a") * F.col("n_b"))).alias("pmi"))
 
 
+def all_pmi(index: DataFrame, seeds: list[str]) -> DataFrame:
+    """pair_pmi() of every token of the index with the seeds."""
+    total = index.agg(F.countDistinct("doc_id").alias("n")).scalar()
+    df = index.groupBy("token").agg(F.count("*").alias("n"))
+    b = index.where(F.col("token").isin(seeds)).select("doc_id", F.col("token").alias("seed"))
+    both = index.withColumnRenamed("token", "word").join(b, "doc_id").where("word <> seed").groupBy("word", "seed").agg(F.count("*").alias("n_ab"))
+    some = df.where(F.col("token").isin(seeds)).select(F.col("token").alias("seed"), F.col("n").alias("n_b"))
+    both = both.join(df.select(F.col("token").alias("word"), F.col("n").alias("n_a")), "word").join(F.broadcast(some), "seed")
+    return both.select("word", "seed", F.log2(F.col("n_ab") * total / (F.col("n_a") * F.col("n_b"))).alias("pmi"))
+
+
 def rate_gap(counts: DataFrame, gap: float = 1.2e-4, least: int = 3, most: int = 500) -> DataFrame:
     """Words of counts (word, n_rise, n_fall) whose shares of the two classes differ by
     more than `gap`, the `most` widest of each side."""

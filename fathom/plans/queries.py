@@ -348,6 +348,18 @@ def K2_upsert(spark, d):
     return A.upserted(rows.where("id % 2 = 0"), rows.where("id % 5 = 0").withColumn("source", F.lit("new")))
 
 
+@query("articles", "SELECT id, date, CASE WHEN id % 2 = 0 THEN lang END AS title FROM articles")
+def U1_S11_union_of_all(spark, d):
+    rows = X.articles(spark, d)
+    return A.merged(rows.where("id % 2 = 0").select("id", "date", F.col("lang").alias("title")), rows.select("id", "date"))
+
+
+@query("articles", "SELECT id, date, CASE WHEN id % 2 = 0 THEN source ELSE 'new' END AS source FROM articles")
+def K2_upsert_of_all(spark, d):
+    rows = X.articles(spark, d).select("id", "date", "source")
+    return A.upserted(rows.where("id % 2 = 0"), rows.withColumn("source", F.lit("new")))
+
+
 @query(sql="SELECT page_id FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 3 = 0)")
 def J12_K3_not_done(spark, d):
     rows = X.table(spark, d, "pages").select("page_id")
@@ -432,6 +444,11 @@ def M13_J10_pmi(spark, d):
     return rounded(K.pair_pmi(K.token_index(X.table(spark, d, "documents")), _A, _B))
 
 
+@query("tokens", f"SELECT word, seed, round(log2(n_ab * n / (a.c * b.c)::DOUBLE), 6) + 0.0::DOUBLE AS pmi FROM (SELECT x.word, y.word AS seed, count(*) AS n_ab FROM (SELECT DISTINCT * FROM tokens) x JOIN (SELECT DISTINCT * FROM tokens WHERE word IN {tuple(_B)}) y USING (doc_id) WHERE x.word <> y.word GROUP BY 1, 2) JOIN (SELECT word, count(DISTINCT doc_id) AS c FROM tokens GROUP BY word) a USING (word) JOIN (SELECT word AS seed, count(DISTINCT doc_id) AS c FROM tokens GROUP BY word) b USING (seed) CROSS JOIN (SELECT count(DISTINCT doc_id) AS n FROM tokens)")
+def M13_J10_pmi_of_all(spark, d):
+    return rounded(K.all_pmi(K.token_index(X.table(spark, d, "documents")), _B))
+
+
 @query("tokens counts", "SELECT word, side, round(gap, 9) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(gap) DESC, word) AS n FROM (SELECT word, n_rise / r - n_fall / f AS gap, CASE WHEN n_rise / r - n_fall / f > 0 THEN 'rise' ELSE 'fall' END AS side FROM counts CROSS JOIN (SELECT sum(n_rise)::DOUBLE AS r, sum(n_fall)::DOUBLE AS f FROM counts) WHERE n_rise + n_fall >= 3) WHERE abs(gap) > 0.00012) WHERE n <= 500")
 def M14_A10_L4_rate_gap(spark, d):
     return rounded(K.rate_gap(L.class_counts(_labelled(spark, d), stop=())), 9)
@@ -455,6 +472,24 @@ def L3_M11_best_seed(spark, d):
     return rounded(K.best_seed(K.neighbours(*_vectors(spark, d))))
 
 
+def _all_neighbours(spark, d):
+    rows = X.table(spark, d, "embeddings")
+    return K.all_neighbours(rows.select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector")), rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("embedding").alias("vector")))
+
+
+_ALL_NEAR = "SELECT s.vec_id AS seed, e.vec_id AS word, list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS similarity FROM embeddings s JOIN embeddings e ON s.vec_id % 50 = 0 AND e.vec_id <> s.vec_id QUALIFY row_number() OVER (PARTITION BY s.vec_id ORDER BY similarity DESC, e.vec_id) <= 5"
+
+
+@query(sql=f"SELECT seed, word, round(similarity, 6) AS similarity, (row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, word))::INT AS rank FROM ({_ALL_NEAR})")
+def L2_neighbours_of_all(spark, d):
+    return rounded(_all_neighbours(spark, d))
+
+
+@query(sql=f"SELECT word, round(max(similarity), 6) AS similarity, arg_max(seed, (similarity, -seed)) AS similar_to FROM ({_ALL_NEAR}) GROUP BY word")
+def L3_M11_best_seed_of_all(spark, d):
+    return rounded(K.best_seed(_all_neighbours(spark, d)))
+
+
 @query("articles", "SELECT DISTINCT source AS word FROM articles WHERE lower(source) NOT IN ('src1', 'src2')")
 def J11_K8_novel(spark, d):
     existing = spark.createDataFrame([("SRC1",), ("src2",)], "term string")

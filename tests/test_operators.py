@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from fathom.functions import text as T
 from fathom.operators import articles as A
 from fathom.operators import indicators as I
+from fathom.operators import keywords as K
 from fathom.operators import regimes as R
 from fathom.operators import series as S
+from fathom.plans import queries as Q
 from fathom.sources import tables
 from fathom.streaming import ingest
 
@@ -113,3 +115,25 @@ def test_weekly_stream(spark, tmp_path):
     q = ingest.weekly_counts(spark.readStream.schema("ts timestamp, value double").parquet(source)).writeStream.format("memory").queryName("weekly").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["week"].day, r["n"]) for r in spark.table("weekly").collect()) == [(5, 1), (12, 1)]
+
+
+def test_all_seeds_and_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    ids = {r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
+    assert {r["seed"] for r in Q.QUERIES["L2_neighbours_of_all"](spark, folder).collect()} == ids
+    n = spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert Q.QUERIES["U1_S11_union_of_all"](spark, folder).count() == Q.QUERIES["K2_upsert_of_all"](spark, folder).count() == n
+
+
+def test_all_neighbours_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(60)] + [(60 + k, [1.0, 2.0, 3.0, 4.5]) for k in range(20)]
+    vectors = spark.createDataFrame([*rows, (90, None)], "word long, vector array<float>")
+    seeds = vectors.where("word % 7 = 0").withColumnRenamed("word", "seed")
+    told = lambda df: sorted(tuple(r) for r in df.select("seed", "rank", "word", "similarity").collect())
+    assert told(K.all_neighbours(vectors, seeds, 3, block=4, part=9)) == told(K.neighbours(vectors, seeds, 3))
+
+
+def test_all_pmi(spark):
+    index = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("a", 2), ("c", 2), ("d", 3)], "token string, doc_id long")
+    assert {(r["word"], r["seed"]): round(r["pmi"], 6) for r in K.all_pmi(index, ["a", "b"]).collect()} == {("b", "a"): round(math.log2(1.5), 6), ("a", "b"): round(math.log2(1.5), 6), ("c", "a"): round(math.log2(1.5), 6), ("c", "b"): round(math.log2(1.5), 6)}
