@@ -413,7 +413,7 @@ def F10_lexicon_score(spark, d):
 
 @query()
 def F11_M4_paragraphs(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("paragraph_idx", "paragraph_text"))
+    return X.table(spark, d, "documents").select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("paragraph_idx", "paragraph_text")).withColumn("weak_labels", T.topics(F.col("paragraph_text"), TOPICS))
 
 
 LEXICON = "SELECT word, polarity FROM base UNION ALL SELECT word, CASE WHEN n_rise > n_fall THEN 1 ELSE -1 END * round((q - 1) / (q + 1), 4) AS polarity FROM (SELECT *, greatest((n_rise + 0.5::DOUBLE) / (n_fall + 0.5::DOUBLE), (n_fall + 0.5::DOUBLE) / (n_rise + 0.5::DOUBLE)) AS q FROM counts) WHERE n_rise + n_fall >= 3 AND q >= 1.5 AND word NOT IN (SELECT word FROM base)"

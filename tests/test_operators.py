@@ -137,3 +137,9 @@ def test_all_neighbours_in_blocks(spark):
 def test_all_pmi(spark):
     index = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("a", 2), ("c", 2), ("d", 3)], "token string, doc_id long")
     assert {(r["word"], r["seed"]): round(r["pmi"], 6) for r in K.all_pmi(index, ["a", "b"]).collect()} == {("b", "a"): round(math.log2(1.5), 6), ("a", "b"): round(math.log2(1.5), 6), ("c", "a"): round(math.log2(1.5), 6), ("c", "b"): round(math.log2(1.5), 6)}
+
+
+def test_paragraphs_have_weak_labels(spark):
+    rows = Q.QUERIES["F11_M4_paragraphs"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r["weak_labels"] == [k for k, words in Q.TOPICS.items() if any(w in r["paragraph_text"].lower() for w in words)] for r in rows)
+    assert any(r["weak_labels"] for r in rows)
