@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handed to a Python worker at once.
 ARROW_BYTES = 8 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +44,18 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so a lost
-    executor costs no recomputation, and it is computed once however often read."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs no recomputation, and it is computed once however often read.
+    The shuffle files that went into it are removed once it is there."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before or "false")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,13 +6,15 @@ and shingles of a whole batch come from a few numpy passes over that buffer.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+_LONG = 64
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -22,18 +24,6 @@ SOLID[[32, 9, 10, 11, 12, 13]] = False
 #: Bytes of words: digits, letters and everything outside ASCII.
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            step = np.full(n, base, np.uint64)
-            step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,11 +67,25 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal spans have equal hashes."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+    """A 64-bit hash of each span of bytes; equal spans have equal hashes. Eight bytes
+    at a time go through a bijection that isn't linear, and long spans through
+    BLAKE2, so that no family of texts collides by its structure."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    rest = np.flatnonzero((size > 0) & (size <= _LONG))
+    for at in range(0, _LONG, 8):
+        if not len(rest):
+            break
+        left = size[rest] - at
+        some = eight[start[rest] + at] & _MASKS[np.minimum(left, 8)]
+        out[rest] = mix(out[rest] * np.uint64(0xD6E8FEB86659FD93) + mix(some + np.uint64(0x632BE59BD9B4E019)))
+        rest = rest[left > 8]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest()
+        out[k] = np.uint64(int.from_bytes(digest, "little"))
+    return out
 
 
 def runs(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

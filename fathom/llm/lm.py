@@ -1,67 +1,42 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
-Texts are cut into blocks. Each block sends its distinct n-grams of every order,
-as hashes with counts, to the partition of their hash; there the counts of all
-blocks are summed, and each block gets the sums of its own n-grams back. A block
-then scores its documents and sums the scores. An n-gram that every document has
-costs one entry for each block, so frequent words make no partition heavy.
+Documents are dealt into blocks. Each block explodes into rows (gram, block, place,
+own): the hash of each of its distinct n-grams of every order, the n-gram's place
+among them, and how often the block has it. Rows are partitioned by the gram, where
+a sum over all blocks is count table and join at once; n-grams that occur but once
+in the corpus end there. Each block gets the counts of its own n-grams back, and
+scores are summed for each document.
+
+An n-gram that every document has costs one row for each block, so frequent words
+make no partition heavy. The range of hashes is worked through in ROUNDS parts, and
+the blocks are scored in as many, so that only that share of the rows lies in shuffle
+files at once; each round's files go when it is written.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm import blocks
 from fathom.llm.base import ARROW_BYTES, bounded_batches, written
-from fathom.llm.neardup import _groups
 
 ORDER, BACKOFF = 3, 0.4
-#: Parts of the hash space; at least four for each shuffle partition.
-PARTS = 256
-
-
-def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
-
-
-def _unpack(x: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), dtype)
-
-
-def _planes(x: np.ndarray, count: int) -> list[bytes]:
-    """The low `count` bytes of integers, one plane for each; the top one compressed."""
-    raw = x.astype("<u8").view(np.uint8).reshape(-1, 8)
-    planes = [np.ascontiguousarray(raw[:, k]).tobytes() for k in range(count)]
-    return [*planes[:-1], zlib.compress(planes[-1], 1)] if planes else []
-
-
-def _merged(planes: list[bytes], n: int) -> np.ndarray:
-    raw = np.zeros((n, 8), np.uint8)
-    for k, plane in enumerate(planes):
-        raw[:, k] = np.frombuffer(zlib.decompress(plane) if k == len(planes) - 1 else plane, np.uint8)
-    return raw.reshape(-1).view("<u8").astype(np.uint64)
-
-
-def _sorted_to_planes(keys: np.ndarray) -> list[bytes]:
-    """Ascending keys as the first one and the gaps between them."""
-    gaps = np.diff(keys)
-    return [keys[:1].tobytes(), *_planes(gaps, -(-int(gaps.max()).bit_length() // 8) if len(gaps) else 0)]
-
-
-def _sorted_from_planes(planes: list[bytes], n: int) -> np.ndarray:
-    return np.cumsum(np.append(np.frombuffer(planes[0], np.uint64), _merged(planes[1:], n - 1)), dtype=np.uint64)
+#: Parts of the range of hashes, a power of two; rows of a partition of one of them.
+ROUNDS, PART_ROWS = 4, 1_500_000
+#: Rows of an Arrow batch.
+_SOME = 1 << 16
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each batch: its documents, their numbers of words, the hashes of its
-    distinct words, and each word's place in these."""
+    distinct words, frequent ones first, and each word's place in these."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -72,97 +47,90 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.append(blocks.span_hashes(data, start, end))
             sizes.append(np.bincount(text, minlength=len(offsets) - 1))
         known, place, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        order = np.argsort(-often, kind="stable")  # frequent words get small numbers, which compress well
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        known, place = known[order], rank[place]
-        size = np.concatenate(sizes).astype(np.int64)
-        planes = [_pack((place >> 8 * k & 0xFF).astype(np.uint8)) for k in range(4)]
-        columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([size.tolist()], pa.list_(pa.int64())), pa.array([int(size.sum())], pa.int64())]
-        columns += [pa.array([x], pa.binary()) for x in (known.tobytes(), *planes)]
-        yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "words", "known", "p0", "p1", "p2", "p3"])
-
-
-def _ngrams(row: dict, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(sizes, for each order the hash of the n-gram that ends at each word, and
-    whether it lies in one document)."""
-    size = np.array(row["sizes"], np.int64)
-    place = sum(_unpack(row[f"p{k}"], np.uint8).astype(np.int64) << 8 * k for k in range(4))
-    hashes = np.frombuffer(row["known"], np.uint64)[place] if len(place) else np.zeros(0, np.uint64)
-    text = np.repeat(np.arange(len(size)), size)
-    out = []
-    for n in range(1, order + 1):
-        grams, valid = blocks.runs(hashes, text, n)
-        whole, inside = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool)
-        whole[n - 1 :], inside[n - 1 :] = grams, valid
-        out.append((whole, inside))
-    return size, out
-
-
-def _distinct(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([g[inside] for g, inside in grams]), return_counts=True)
-
-
-def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part of the hash space begins in sorted keys."""
-    step = np.uint64((1 << 64) // parts)
-    return np.append(np.searchsorted(keys, np.arange(parts, dtype=np.uint64) * step), len(keys))
-
-
-def _sent(order: int, parts: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        size = np.concatenate(sizes).astype(np.int32)
+        columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([int(size.sum())], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))]
+        columns += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (size, known[order].view(np.int64), rank[place])]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "words", "doc_ids", "sizes", "known", "places"])
+
+
+_BLOCK = "block long, words long, doc_ids array<long>, sizes array<int>, known array<long>, places array<int>"
+
+
+def _ngrams(sizes: np.ndarray, known: np.ndarray, places: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the hash of the n-gram that begins at each word, and whether it lies in one document."""
+    hashes = known.view(np.uint64)[places]
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return [blocks.runs(hashes, text, n) for n in range(1, order + 1)]
+
+
+def _held(table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numpy arrays of a block's row."""
+    return tuple(np.asarray(table.column(c)[k].values) for c in ("sizes", "known", "places"))
+
+
+def _exploded(order: int, shift: int, part: int):
+    """The rows of each block's distinct n-grams whose hashes begin with `part`."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = _distinct(_ngrams(row, order)[1])
-                at = _bounds(keys, parts)
-                some = np.flatnonzero(np.diff(at)).tolist()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()),
-                    pa.array([_sorted_to_planes(keys[at[p] : at[p + 1]]) for p in some], pa.list_(pa.binary())), pa.array([_pack(counts[at[p] : at[p + 1]].astype(np.uint32)) for p in some], pa.binary()),
-                ], ["part", "block", "keys", "counts"])
-
-    return send
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums over all blocks, for the n-grams of each block in their order."""
-    for rows in _groups(batches, ["part"]):
-        part = np.array(rows.column("part"))
-        cut = np.flatnonzero(np.diff(part)) + 1
-        for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(part)).tolist(), strict=True):
-            some = rows.slice(a, b - a)
-            each = [_unpack(x, np.uint32) for x in some.column("counts").to_pylist()]
-            keys = [_sorted_from_planes(x, len(n)) for x, n in zip(some.column("keys").to_pylist(), each, strict=True)]
-            counts = np.concatenate(each)
-            _, place = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(place, counts).astype(np.int64)[place]
-            at = np.append(0, np.cumsum([len(k) for k in keys]))
-            out = pa.array([_pack(sums[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([some.column("part").combine_chunks(), some.column("block").combine_chunks(), out], ["part", "block", "sums"])
-
-
-def _scores(row: dict, sums: np.ndarray, order: int, backoff: float, total: int) -> np.ndarray:
-    """The sum of the log scores of each document's words. A document's own n-grams don't count."""
-    size, grams = _ngrams(row, order)
-    text = np.repeat(np.arange(len(size)), size)
-    keys, _ = _distinct(grams)
-    others = []
-    for hashes, inside in grams:
-        place = np.searchsorted(keys, hashes[inside])
-        _, back, own = np.unique(text[inside] * np.int64(len(keys)) + place, return_inverse=True, return_counts=True)
-        count = np.zeros(len(hashes))
-        count[inside] = sums[place] - own[back]
-        others.append(count)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)  # place in the document
-    score = np.log(np.maximum(others[0], 0.5) / np.maximum(total - size[text], 1)) + np.log(backoff) * np.minimum(at, order - 1)
+            for k in range(batch.num_rows):
+                found = [g[whole & (g >> np.uint64(shift) == part)] for g, whole in _ngrams(*_held(batch, k), order)]
+                grams, own = np.unique(np.concatenate(found), return_counts=True)
+                block = np.full(len(grams), batch.column("block")[k].as_py())
+                columns = [pa.array(x) for x in (grams.view(np.int64), block, np.arange(len(grams), dtype=np.int32), own.astype(np.int32))]
+                rows = pa.RecordBatch.from_arrays(columns, ["gram", "block", "place", "own"])
+                for at in range(0, len(grams), _SOME):
+                    yield rows.slice(at, _SOME)
+
+    return explode
+
+
+def _ranked(grams: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct n-grams, the place of each among them, how often its document has it).
+    Those of one document follow each other, so a stable sort keeps them together."""
+    order = np.argsort(grams, kind="stable")
+    sorted_, of = grams[order], text[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    place = np.empty(len(grams), np.int64)
+    place[order] = np.cumsum(new) - 1
+    keys = sorted_[new]
+    new[1:] |= of[1:] != of[:-1]
+    run = np.diff(np.append(np.flatnonzero(new), len(grams)))
+    own = np.empty(len(grams), np.int64)
+    own[order] = np.repeat(run, run)
+    return keys, place, own
+
+
+def _scores(held: tuple, counts: list[tuple[np.ndarray, np.ndarray]], order: int, shift: int, backoff: float, total: int) -> np.ndarray:
+    """The sum of the log scores of each document's words. counts: for each part of the
+    hashes, places and counts of the n-grams that occur more than once."""
+    sizes, _, places = held
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    each = [(g[whole], np.flatnonzero(whole) + n) for n, (g, whole) in enumerate(_ngrams(*held, order))]
+    last = np.concatenate([at for _, at in each])  # the word at which each n-gram ends
+    keys, place, own = _ranked(np.concatenate([g for g, _ in each]), text[last])
+    known = np.ones(len(keys), np.int64)
+    for part, (at, n) in enumerate(counts):
+        known[np.searchsorted(keys, np.uint64(part << shift)) + at] = n
+    rest = np.split((known[place] - own).astype(float), np.cumsum([len(at) for _, at in each])[:-1])
+    others = [np.zeros(len(places)) for _ in each]
+    for count, (_, at), x in zip(others, each, rest, strict=True):
+        count[at] = x
+    ahead = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    most = np.minimum(ahead, order - 1)
+    score = np.log(np.maximum(others[0], 0.5) / np.maximum(total - sizes[text], 1)) + np.log(backoff) * most
     for n in range(2, order + 1):
         seen = others[n - 1] > 0
         context = np.append(0, others[n - 2][:-1])[seen]
-        score[seen] = np.log(others[n - 1][seen] / context) + np.log(backoff) * (np.minimum(at[seen], order - 1) - (n - 1))
-    return np.bincount(text, score, len(size)) if len(text) else np.zeros(len(size))
+        score[seen] = np.log(others[n - 1][seen] / context) + np.log(backoff) * (most[seen] - (n - 1))
+    return np.bincount(text, score, len(sizes)) if len(text) else np.zeros(len(sizes))
 
 
-def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs over the words) and score, its
     mean, for each row of docs (doc_id, text).
 
@@ -175,21 +143,30 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     """
     spark = docs.sparkSession
     bounded_batches(spark, 5000, 2 * ARROW_BYTES)
+    shift = 64 - (rounds.bit_length() - 1)
+    if rounds < 2 or rounds & (rounds - 1):
+        raise ValueError("rounds must be a power of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "block long, doc_ids array<long>, sizes array<long>, words long, known binary, p0 binary, p1 binary, p2 binary, p3 binary"
-    cut = written(rows.mapInArrow(_blocks, shape), "blocks")
+    cut = written(rows.mapInArrow(_blocks, _BLOCK), "blocks", compression="zstd")
     total = cut.agg(F.sum("words")).first()[0] or 0
-    parts = max(PARTS, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    sent = cut.mapInArrow(_sent(order, parts), "part int, block long, keys array<binary>, counts binary")
-    sums = sent.repartition("part").sortWithinPartitions("part", "block").mapInArrow(_summed, "part int, block long, sums binary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * order // (rounds * PART_ROWS)))
+    counted = []
+    for part in range(rounds):
+        each = cut.mapInArrow(_exploded(order, shift, part), "gram long, block long, place int, own int").repartition(parts, "gram")
+        each = each.withColumn("n", F.sum("own").over(Window.partitionBy("gram"))).where("n > 1")
+        counted.append(written(each.select("block", F.lit(part).alias("part"), "place", "n"), "counts", compression="zstd"))
+    counts = reduce(DataFrame.unionAll, counted)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        right = right.sort_by("part")
-        sums = [_unpack(x, np.int64) for x in right.column("sums").to_pylist()]
-        found = _scores(row, np.concatenate(sums) if sums else np.zeros(0, np.int64), order, backoff, total)
-        size = np.array(row["sizes"], np.int64)
+        part, place, n = (np.asarray(right.column(c)) for c in ("part", "place", "n"))
+        held = _held(left, 0)
+        found = _scores(held, [(place[part == p], n[part == p]) for p in range(rounds)], order, shift, backoff, total)
+        size = held[0].astype(np.int64)
         mean = np.divide(found, size, out=np.zeros(len(size)), where=size > 0)
-        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": size, "log_score": found, "score": pa.array(mean, mask=size == 0)})
+        return pa.table({"doc_id": left.column("doc_ids")[0].values.cast(pa.int64()), "n_words": size, "log_score": found, "score": pa.array(mean, mask=size == 0)})
 
-    return cut.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(scored, "doc_id long, n_words long, log_score double, score double")
+    done = []
+    for k in range(rounds):
+        some = [x.where(F.pmod("block", F.lit(rounds)) == k).groupBy("block") for x in (cut, counts)]
+        done.append(written(some[0].cogroup(some[1]).applyInArrow(scored, "doc_id long, n_words long, log_score double, score double"), "scores"))
+    return reduce(DataFrame.unionAll, done)

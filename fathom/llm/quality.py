@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.llm import blocks
-from fathom.llm.base import bounded_batches
+from fathom.llm.base import bounded_batches, written
 
 #: Words of a passage; labelled documents that train the model, and steps of the training.
 PASSAGE, SAMPLE, STEPS = 64, 6000, 1500
@@ -131,14 +131,16 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
     """A model of labels (doc_id, label 0 or 1) from the texts of docs (doc_id, text):
-    `sample` labels at most, chosen by hash. None without labelled documents."""
+    `sample` labels at most, chosen by hash, and as many texts, in that order. None
+    without labelled documents."""
     bounded_batches(docs.sparkSession)
     few = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("label").cast("int").alias("label")).where("k is not null and label in (0, 1)")
     few = few.withColumn("h", F.xxhash64("k")).orderBy("h", "label").limit(sample)
     text = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text"))
     bags = text.join(F.broadcast(few), "k").select("h", "label", "text").mapInArrow(_encoded, "h long, label int, bag binary")  # `sample` rows of three numbers
     shape = {k: v.shape for k, v in _start(np.random.default_rng(0)).items()}
-    found = bags.coalesce(1).mapInArrow(_fitted, "name string, value binary").collect()  # nine arrays
+    bags = written(bags, "bags").orderBy("h", "label", "bag").limit(sample)  # a label's id may have many texts
+    found = bags.repartition(1).mapInArrow(_fitted, "name string, value binary").collect()  # nine arrays
     return {r["name"]: np.frombuffer(r["value"], float).reshape(shape[r["name"]]) for r in found} or None
 
 

@@ -29,14 +29,16 @@ _ODD = re.compile(rb"\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8
 
 
 class Encoder:
-    """encode() gives the ids of texts; special tokens in a text are ordinary text."""
+    """encode() gives the ids of texts; the vocabulary's added tokens are found in them
+    as the library does it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = re.compile(b"|".join(re.escape(x.content.encode()) for x in added)) if added else None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
@@ -81,7 +83,7 @@ class Encoder:
         """(ids of all texts in a row, offsets of the texts in them)."""
         n = len(offsets) - 1
         raw = data.tobytes()
-        if _ODD.search(raw):
+        if _ODD.search(raw) or self.added and self.added.search(raw):
             return self._plain(raw, offsets)
         start = self._spans(data, offsets)
         end = np.append(start[1:], len(data))
