@@ -59,74 +59,75 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BLOCK = "block long, words long, doc_ids array<long>, sizes array<int>, known array<long>, places array<int>"
 
 
-def _ngrams(sizes: np.ndarray, known: np.ndarray, places: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order the hash of the n-gram that begins at each word, and whether it lies in one document."""
-    hashes = known.view(np.uint64)[places]
-    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    return [blocks.runs(hashes, text, n) for n in range(1, order + 1)]
+def _held(table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of words of a block's documents, the document of each word, its hash)."""
+    sizes, known, places = (np.asarray(table.column(c)[k].values) for c in ("sizes", "known", "places"))
+    return sizes, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), known.view(np.uint64)[places]
 
 
-def _held(table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The numpy arrays of a block's row."""
-    return tuple(np.asarray(table.column(c)[k].values) for c in ("sizes", "known", "places"))
+def _ngrams(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each n-gram that lies in one document, the word at which it begins)."""
+    grams, whole = blocks.runs(hashes, text, n)
+    return grams[whole], np.flatnonzero(whole).astype(np.int32)
 
 
 def _exploded(order: int, shift: int, part: int):
-    """The rows of each block's distinct n-grams whose hashes begin with `part`."""
+    """The rows of each block's distinct n-grams whose hashes begin with `part`; places
+    of one order leave the same remainder when divided by `order`."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                found = [g[whole & (g >> np.uint64(shift) == part)] for g, whole in _ngrams(*_held(batch, k), order)]
-                grams, own = np.unique(np.concatenate(found), return_counts=True)
-                block = np.full(len(grams), batch.column("block")[k].as_py())
-                columns = [pa.array(x) for x in (grams.view(np.int64), block, np.arange(len(grams), dtype=np.int32), own.astype(np.int32))]
-                rows = pa.RecordBatch.from_arrays(columns, ["gram", "block", "place", "own"])
-                for at in range(0, len(grams), _SOME):
-                    yield rows.slice(at, _SOME)
+                _, text, hashes = _held(batch, k)
+                for n in range(1, order + 1):
+                    found, _ = _ngrams(text, hashes, n)
+                    grams, own = np.unique(found[found >> np.uint64(shift) == part], return_counts=True)
+                    places = np.arange(len(grams), dtype=np.int32) * np.int32(order) + np.int32(n - 1)
+                    columns = [pa.array(x) for x in (grams.view(np.int64), np.full(len(grams), batch.column("block")[k].as_py()), places, own.astype(np.int32))]
+                    rows = pa.RecordBatch.from_arrays(columns, ["gram", "block", "place", "own"])
+                    for at in range(0, len(grams), _SOME):
+                        yield rows.slice(at, _SOME)
 
     return explode
 
 
-def _ranked(grams: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct n-grams, the place of each among them, how often its document has it).
-    Those of one document follow each other, so a stable sort keeps them together."""
-    order = np.argsort(grams, kind="stable")
-    sorted_, of = grams[order], text[order]
+def _others(grams: np.ndarray, of: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], shift: int) -> np.ndarray:
+    """How often other documents than its own (`of`) have each n-gram. counts: for each
+    part of the hashes, places and counts of those that occur more than once. N-grams
+    of one document follow each other, so a stable sort keeps equal ones together."""
+    sort = np.argsort(grams, kind="stable")
+    grams, of = grams[sort], of[sort]
     new = np.ones(len(grams), bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
-    place = np.empty(len(grams), np.int64)
-    place[order] = np.cumsum(new) - 1
-    keys = sorted_[new]
+    new[1:] = grams[1:] != grams[:-1]
+    keys = grams[new]
+    known = np.ones(len(keys), np.int64)
+    for part, (place, n) in enumerate(counts):
+        known[np.searchsorted(keys, np.uint64(part << shift)) + place] = n
+    rest = known[np.cumsum(new) - 1]
     new[1:] |= of[1:] != of[:-1]
     run = np.diff(np.append(np.flatnonzero(new), len(grams)))
-    own = np.empty(len(grams), np.int64)
-    own[order] = np.repeat(run, run)
-    return keys, place, own
-
-
-def _scores(held: tuple, counts: list[tuple[np.ndarray, np.ndarray]], order: int, shift: int, backoff: float, total: int) -> np.ndarray:
-    """The sum of the log scores of each document's words. counts: for each part of the
-    hashes, places and counts of the n-grams that occur more than once."""
-    sizes, _, places = held
-    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    each = [(g[whole], np.flatnonzero(whole) + n) for n, (g, whole) in enumerate(_ngrams(*held, order))]
-    last = np.concatenate([at for _, at in each])  # the word at which each n-gram ends
-    keys, place, own = _ranked(np.concatenate([g for g, _ in each]), text[last])
-    known = np.ones(len(keys), np.int64)
-    for part, (at, n) in enumerate(counts):
-        known[np.searchsorted(keys, np.uint64(part << shift)) + at] = n
-    rest = np.split((known[place] - own).astype(float), np.cumsum([len(at) for _, at in each])[:-1])
-    others = [np.zeros(len(places)) for _ in each]
-    for count, (_, at), x in zip(others, each, rest, strict=True):
-        count[at] = x
+    rest -= np.repeat(run, run)
+    out = np.empty(len(grams))
+    out[sort] = rest
+    return out
+
+
+def _scores(held: tuple, counts: list[list[tuple[np.ndarray, np.ndarray]]], shift: int, backoff: float, total: int) -> np.ndarray:
+    """The sum of the log scores of each document's words, from the counts of each order."""
+    sizes, text, hashes = held
     ahead = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    most = np.minimum(ahead, order - 1)
-    score = np.log(np.maximum(others[0], 0.5) / np.maximum(total - sizes[text], 1)) + np.log(backoff) * most
-    for n in range(2, order + 1):
-        seen = others[n - 1] > 0
-        context = np.append(0, others[n - 2][:-1])[seen]
-        score[seen] = np.log(others[n - 1][seen] / context) + np.log(backoff) * (most[seen] - (n - 1))
+    most = np.minimum(ahead, len(counts) - 1)
+    score, last = np.zeros(len(text)), np.zeros(0)
+    for n, some in enumerate(counts, 1):
+        grams, begin = _ngrams(text, hashes, n)
+        found = np.zeros(len(text))
+        found[begin + n - 1] = _others(grams, text[begin], some, shift)
+        if n == 1:
+            score = np.log(np.maximum(found, 0.5) / np.maximum(total - sizes[text], 1)) + np.log(backoff) * most
+        else:
+            seen = np.flatnonzero(found > 0)
+            score[seen] = np.log(found[seen] / last[seen - 1]) + np.log(backoff) * (most[seen] - (n - 1))
+        last = found
     return np.bincount(text, score, len(sizes)) if len(text) else np.zeros(len(sizes))
 
 
@@ -159,8 +160,9 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, rounds:
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         part, place, n = (np.asarray(right.column(c)) for c in ("part", "place", "n"))
+        each = [[(place[some] // order, n[some]) for p in range(rounds) for some in [(part == p) & (place % order == k)]] for k in range(order)]
         held = _held(left, 0)
-        found = _scores(held, [(place[part == p], n[part == p]) for p in range(rounds)], order, shift, backoff, total)
+        found = _scores(held, each, shift, backoff, total)
         size = held[0].astype(np.int64)
         mean = np.divide(found, size, out=np.zeros(len(size)), where=size > 0)
         return pa.table({"doc_id": left.column("doc_ids")[0].values.cast(pa.int64()), "n_words": size, "log_score": found, "score": pa.array(mean, mask=size == 0)})
