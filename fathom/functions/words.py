@@ -175,6 +175,8 @@ SITE_TOPICS = {
     ],
 }
 
+DECISION_TERMS = ["production cut", "production increase", "quota", "agreement", "deal"]
+
 BLOCKED_TERMS = [
     "solar", "wind power", "hydroelectric", "tidal energy", "biofuels",
 ]

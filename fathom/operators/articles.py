@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions.text import article_time, hashed_id
+from fathom.functions.text import article_time, hashed_id, joined
 from fathom.operators.series import keep_first
 
 PAYLOAD = """id long, title string, teaser string, body string, author string, url string, created string, updated string,
@@ -45,6 +45,13 @@ def from_scraped(rows: DataFrame) -> DataFrame:
     ).where("date is not null")
 
 
+def corpus(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Articles (key, date, title, body) as (key, date, headline, text), one row for
+    each key: the title, and title and body as one text."""
+    whole = rows.select(key, "date", F.coalesce("title", F.lit("")).alias("headline"), joined(F.col("title"), F.col("body")).alias("text"))
+    return keep_first(whole, [key], ["date", "headline", "text"])
+
+
 def merged(first: DataFrame, *more: DataFrame, key: str = "id", order: str = "date") -> DataFrame:
     """Union by name, columns that are missing null; of one key the earliest table's row stays."""
     rows = first.withColumn("_t", F.lit(0))

@@ -63,15 +63,24 @@ def mixture(global_pred: Column, experts: dict[str, Column | None], probs: dict[
 
 
 def signal(rows: DataFrame, least: float = 1.0, skip: str = "macro", date: str = "date", by: tuple[str, ...] = ()) -> DataFrame:
-    """Growth of 1 of three rules: always long, long or short on forecasts of `least` or
-    more, the same but for one regime."""
+    """Positions and growth of 1 of four rules: buy and hold; long where the forecast is
+    above 0, else out; long or short on forecasts of `least` or more; the same but
+    out in one regime."""
     strong = F.when(F.abs("y_pred") >= least, F.signum("y_pred")).otherwise(0.0)
     w = over(date, by)
-    rules = {"naive": F.lit(1.0), "filtered": strong, "regime_filtered": F.when(F.col("regime") == skip, 0.0).otherwise(strong)}
-    rows = rows.withColumns({f"_{k}": position * F.col("y_true") for k, position in rules.items()})
+    rules = {"buyhold": F.lit(1.0), "naive": F.when(F.col("y_pred") > 0, 1.0).otherwise(0.0), "filtered": strong, "regime_filtered": F.when(F.col("regime") == skip, 0.0).otherwise(strong)}
+    rows = rows.withColumns({f"signal_{k}": position for k, position in rules.items()}).withColumns({f"_{k}": position * F.col("y_true") for k, position in rules.items()})
     return rows.select("*", *((growth(F.col(f"_{k}"), w) + 1).alias(f"growth_{k}") for k in rules)).drop(*(f"_{k}" for k in rules))
 
 
+def trades(signals: DataFrame, rule: str = "filtered") -> DataFrame:
+    """Of a rule of signal(): weeks, trades, long and short ones, and the share of trades
+    whose forecast has the sign of the return (null without trades)."""
+    position = F.col(f"signal_{rule}")
+    right = F.when(position != 0, (F.signum("y_pred") == F.signum("y_true")).cast("double"))
+    return signals.agg(F.count("*").alias("n"), *(F.count(F.when(c, 1)).alias(k) for k, c in (("n_trades", position != 0), ("n_long", position == 1), ("n_short", position == -1))), F.avg(right).alias("dir_acc"))
+
+
 def walk_forward(rows: DataFrame, target: str, features: list[str], start: int = 104, step: int = 13, least: int = 5, ridge: float = 1.0, date: str = "date") -> DataFrame:
     """(fold, date, y_true, y_pred): each fold's forecasts by a linear model of the rows
     ahead of it. Folds are independent tasks; each gets the rows it trains on."""

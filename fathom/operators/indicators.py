@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators.series import friday
+from fathom.operators.series import decayed, friday
 
 
 def weekly_indicators(articles: DataFrame, categories: list[str], horizon: int = 4) -> DataFrame:
     """(week, category, intensity, sentiment, variance, decay) from articles (date,
     sentiment, topics) for each observed week and category.
 
-    intensity: sum of 1 / topics of an article over the week's articles; sentiment:
-    mean; variance: intensity times the sample variance; decay: intensity of this and
-    all earlier observed weeks, weighted by exp(-weeks / horizon).
+    intensity: sum of 1 / topics of an article over the week's articles, as a share of
+    all of them; sentiment: mean; variance: intensity times the sample variance, 0 for
+    one article; decay: sentiment of this and all earlier observed weeks, weighted by
+    exp(-weeks / horizon). Six decimals; a category without scores has 0 in all but
+    the intensity.
     """
     rows = articles.where("date is not null").withColumn("week", friday(F.to_date("date")))
     totals = rows.groupBy("week").agg(F.count("*").alias("total"))
     each = rows.select("week", "sentiment", F.size("topics").alias("k"), F.explode("topics").alias("category"))
-    sums = each.groupBy("week", "category").agg(F.sum(1 / F.col("k")).alias("w"), F.avg("sentiment").alias("mean"), F.var_samp("sentiment").alias("var"))
+    sums = each.groupBy("week", "category").agg(F.sum(1 / F.col("k")).alias("w"), F.count("*").alias("n"), F.avg("sentiment").alias("mean"), F.var_samp("sentiment").alias("var"))
     grid = totals.select("week", "total", F.explode(F.array(*map(F.lit, categories))).alias("category"))
-    full = grid.join(sums, ["week", "category"], "left").withColumn("intensity", F.coalesce(F.round(F.col("w") / F.col("total"), 6), F.lit(0.0)))
-    run = Window.partitionBy("category").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
-    decay = F.aggregate(F.collect_list("intensity").over(run), F.lit(0.0), lambda a, x: a * math.exp(-1 / horizon) + x)
-    return full.select("week", "category", "intensity", F.coalesce("mean", F.lit(0.0)).alias("sentiment"), (F.col("intensity") * F.coalesce("var", F.lit(0.0))).alias("variance"), decay.alias("decay"))
+    full = grid.join(sums, ["week", "category"], "left").withColumns({"_intensity": F.coalesce(F.col("w") / F.col("total"), F.lit(0.0)), "mean": F.coalesce("mean", F.lit(0.0))})
+    full = decayed(full, {"decay": "mean"}, "week", ("category",), horizon)
+    variance = F.when((F.col("n") > 1) & F.col("mean").isNotNull(), F.col("_intensity") * F.col("var")).otherwise(0.0)
+    return full.select("week", "category", *(F.round(c, 6).alias(k) for k, c in (("intensity", F.col("_intensity")), ("sentiment", F.col("mean")), ("variance", F.coalesce(variance, F.lit(0.0))), ("decay", F.col("decay")))))
 
 
 def wide(indicators: DataFrame, categories: list[str]) -> DataFrame:

@@ -79,10 +79,18 @@ def seasonal_surprise(rows: DataFrame, column: str, date: str = "date", by: tupl
     return F.col(column) - F.when(F.count(column).over(frame) >= least, F.avg(column).over(frame))
 
 
-def decayed(column: str, w: WindowSpec, n: float = 4) -> Column:
-    """y[t] = x[t] + exp(-1/n) * y[t-1], nulls as 0."""
-    seen = F.collect_list(F.coalesce(F.col(column).cast("double"), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.aggregate(seen, F.lit(0.0), lambda a, x: a * math.exp(-1 / n) + x)
+def decayed(rows: DataFrame, columns: dict[str, str], date: str = "date", by: tuple[str, ...] = (), n: float = 4) -> DataFrame:
+    """rows with columns {new: x}: y[t] = x[t] + exp(-1/n) * y[t-1], nulls as 0. Running
+    sums of x[t] * exp(t/n) start afresh after 100 * n rows, so that they stay in range;
+    what the stretch before leaves is carried, and what is older is below any rounding."""
+    w, size = over(date, by), max(1, math.ceil(100 * n))
+    rows = rows.withColumn("_t", F.row_number().over(w) - 1).withColumn("_at", (F.col("_t") % size).cast("double")).withColumn("_part", F.floor(F.col("_t") / size))
+    part, ahead = over(date, (*by, "_part")).rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = {x: F.sum(F.coalesce(F.col(x).cast("double"), F.lit(0.0)) * F.exp(F.col("_at") / n)).over(part) * F.exp(-F.col("_at") / n) for x in columns.values()}
+    rows = rows.withColumns({f"_in_{x}": c for x, c in inside.items()})
+    left = {x: F.coalesce(F.last(F.when(F.col("_at") == size - 1, F.col(f"_in_{x}")), ignorenulls=True).over(ahead), F.lit(0.0)) for x in columns.values()}
+    rows = rows.withColumns({new: F.col(f"_in_{x}") + left[x] * F.exp(-(F.col("_at") + 1) / n) for new, x in columns.items()})
+    return rows.drop("_t", "_at", "_part", *(f"_in_{x}" for x in columns.values()))
 
 
 def growth(percent: Column, w: WindowSpec) -> Column:

@@ -24,6 +24,12 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("id"), F.to_date("ts").alias("date"), F.col("event_type").alias("tier"), F.col("event_type").alias("title"), s.alias("sentiment"), F.greatest(s, F.lit(0.0)).alias("positive"), F.greatest(-s, F.lit(0.0)).alias("negative"), (1 - F.abs(s)).alias("neutral"))
 
 
+def news(spark: SparkSession, d: str) -> DataFrame:
+    """Scored articles over the years that the prices cover, some with decisive titles."""
+    day = F.date_add(F.lit("1995-01-06").cast("date"), (F.col("id") % 2390).cast("int"))
+    return scored(spark, d).withColumns({"date": day, "title": F.when(F.col("id") % 3 == 0, "A Deal").otherwise(F.col("title"))})
+
+
 def price(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(friday(F.to_date("o_orderdate")).alias("date")).agg(F.round(F.avg("o_totalprice"), 4).alias("close"))
 
@@ -36,6 +42,7 @@ WEEK = "({0} + ((5 - dayofweek({0}) + 7) % 7)::INT)"
 SQL = {
     "articles": "SELECT doc_id AS id, split_part(text, chr(10), 1) AS headline, text AS body, lang, source, (DATE '2024-01-01' + (doc_id % 364)::INT)::DATE AS date FROM documents",
     "scored": "SELECT event_id AS id, ts::DATE AS date, event_type AS tier, event_type AS title, value / 250 - 1 AS sentiment, greatest(value / 250 - 1, 0) AS positive, greatest(1 - value / 250, 0) AS negative, 1 - abs(value / 250 - 1) AS neutral FROM events",
+    "news": "SELECT event_id AS id, DATE '1995-01-06' + (event_id % 2390)::INT AS date, event_type AS tier, CASE WHEN event_id % 3 = 0 THEN 'A Deal' ELSE event_type END AS title, value / 250 - 1 AS sentiment, greatest(value / 250 - 1, 0) AS positive, greatest(1 - value / 250, 0) AS negative, 1 - abs(value / 250 - 1) AS neutral FROM events",
     "price": f"SELECT {WEEK.format('o_orderdate::DATE')} AS date, round(avg(o_totalprice), 4) AS close FROM orders GROUP BY 1",
     "macro": f"SELECT {WEEK.format('l_shipdate::DATE')} AS date, sum(l_quantity) AS stocks, round(avg(l_discount), 6) AS rate FROM lineitem GROUP BY 1",
     "ret": "SELECT date, close, (close / lag(close) OVER (ORDER BY date) - 1) * 100 AS ret FROM price",

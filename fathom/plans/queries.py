@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
+from fathom.functions import words
 from fathom.operators import articles as A
 from fathom.operators import backtest as B
 from fathom.operators import daily as D
 from fathom.operators import indicators as I
 from fathom.operators import keywords as K
 from fathom.operators import lexicon as L
+from fathom.operators import matrix as M
 from fathom.operators import regimes as R
 from fathom.operators import series as S
 from fathom.plans import fixtures as X
@@ -66,6 +68,17 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "documents").select("doc_id", "text", side.alias("price_direction"))
 
 
+def _drivers(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly changes, the surprise of a change, the level that is kept, and momentum."""
+    w = S.over()
+    rows = X.macro(spark, d).select("date", (F.col("stocks") - F.lag("stocks").over(w)).alias("stocks_chg"), "rate", (F.col("rate") - F.lag("rate").over(w)).alias("rate_chg"), S.change(F.col("stocks"), w, 4).alias("stocks_mom"))
+    return rows.select("date", "stocks_chg", S.seasonal_surprise(rows, "stocks_chg").alias("surprise"), "rate", "rate_chg", "stocks_mom")
+
+
+X.SQL["drivers"] = """SELECT *, stocks_chg - CASE WHEN count(stocks_chg) OVER s >= 4 THEN avg(stocks_chg) OVER s END AS surprise FROM (SELECT date, stocks - lag(stocks) OVER w AS stocks_chg, rate, rate - lag(rate) OVER w AS rate_chg, (stocks / lag(stocks, 4) OVER w - 1) * 100 AS stocks_mom FROM macro WINDOW w AS (ORDER BY date))
+WINDOW s AS (PARTITION BY weekofyear(date) ORDER BY date ROWS UNBOUNDED PRECEDING)"""
+
+
 DAILY = "SELECT date, count(id) AS headline_count, avg(sentiment) AS sentiment_mean, stddev_samp(sentiment) AS sentiment_std, min(sentiment) AS sentiment_min, max(sentiment) AS sentiment_max, avg(positive) AS positive_mean, avg(negative) AS negative_mean, avg(neutral) AS neutral_mean, avg(CASE WHEN negative > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE) AS negative_ratio, avg(CASE WHEN positive > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE) AS positive_ratio, ln(1 + count(id)) AS log_headline_count FROM scored GROUP BY date"
 DAILY_DOUBLES = ("sentiment_mean", "sentiment_std", "sentiment_min", "sentiment_max", "positive_mean", "negative_mean", "neutral_mean", "negative_ratio", "positive_ratio", "log_headline_count")
 
@@ -75,14 +88,17 @@ def A1_daily_sentiment(spark, d):
     return rounded(D.daily_sentiment(X.scored(spark, d)))
 
 
-@query("scored", "SELECT date, count(id) AS buy_article_count, round(avg(sentiment), 6) + 0.0::DOUBLE AS buy_sentiment, round(stddev_samp(sentiment), 6) AS buy_sentiment_std, 1 AS buy_event_day, 1 AS buy_decision_day, 1 AS buy_event_window FROM scored WHERE tier = 'purchase' GROUP BY date")
+_FLAGS = "round(avg(sentiment), 6) + 0.0::DOUBLE AS {0}_sentiment, round(coalesce(stddev_samp(sentiment), 0), 6) AS {0}_sentiment_std, 1 AS {0}_event_day, 1 AS {0}_event_window"
+
+
+@query("news", f"SELECT date, count(id) AS opec_article_count, {_FLAGS.format('opec')}, max(contains(lower(title), 'deal')::INT) AS opec_decision_day FROM news WHERE tier = 'purchase' GROUP BY date")
 def A2_decision_flags(spark, d):
-    return rounded(D.event_flags(X.scored(spark, d).where("tier = 'purchase'"), "buy", ["chase"]))
+    return rounded(D.event_flags(X.news(spark, d).where("tier = 'purchase'"), "opec", words.DECISION_TERMS))
 
 
-@query("scored", "SELECT date, count(id) AS err_article_count, round(avg(sentiment), 6) + 0.0::DOUBLE AS err_sentiment, round(stddev_samp(sentiment), 6) AS err_sentiment_std, 1 AS err_event_day, 0 AS err_decision_day, 1 AS err_event_window FROM scored WHERE tier = 'error' GROUP BY date")
+@query("news", f"SELECT date, count(id) AS disruption_intensity, {_FLAGS.format('disruption')} FROM news WHERE tier = 'error' GROUP BY date")
 def A3_disruption_flags(spark, d):
-    return rounded(D.event_flags(X.scored(spark, d).where("tier = 'error'"), "err", before=1, after=3))
+    return rounded(D.event_flags(X.news(spark, d).where("tier = 'error'"), "disruption", before=1, after=3, count="intensity"))
 
 
 def _weekly(spark, d):
@@ -108,8 +124,9 @@ IND = f"""t AS (SELECT {WEEK.format('date')} AS week, (length(body) % 7) / 7.0::
 tot AS (SELECT week, count(*) AS total FROM t GROUP BY week),
 ex AS (SELECT week, sentiment, len(topics) AS k, unnest(topics) AS category FROM t),
 su AS (SELECT week, category, sum(1.0::DOUBLE / k) AS w, avg(sentiment) AS mean, var_samp(sentiment) AS var FROM ex GROUP BY week, category),
-full_ AS (SELECT week, category, coalesce(round(w / total, 6), 0) AS intensity, coalesce(mean, 0) AS sentiment, coalesce(var, 0) AS var, dense_rank() OVER (ORDER BY week) AS n FROM tot CROSS JOIN (SELECT unnest(['first', 'second', 'third']) AS category) LEFT JOIN su USING (week, category)),
-ind AS (SELECT week, category, intensity, sentiment, intensity * var AS variance, (SELECT sum(o.intensity * exp(-(f.n - o.n) / 4.0::DOUBLE)) FROM full_ o WHERE o.category = f.category AND o.n <= f.n) AS decay FROM full_ f)"""
+full_ AS (SELECT week, category, coalesce(w / total, 0) AS intensity, coalesce(mean, 0) AS sentiment, coalesce(var, 0) AS var, dense_rank() OVER (ORDER BY week) AS n FROM tot CROSS JOIN (SELECT unnest(CATEGORIES) AS category) LEFT JOIN su USING (week, category)),
+ind AS (SELECT week, category, intensity, sentiment, intensity * var AS variance, (SELECT sum(o.sentiment * exp(-(f.n - o.n) / 4.0::DOUBLE)) FROM full_ o WHERE o.category = f.category AND o.n <= f.n) AS decay FROM full_ f)"""
+IND, LM_IND = IND.replace("CATEGORIES", str(list(TOPICS))), IND.partition("tot AS")[1] + IND.partition("tot AS")[2].replace("CATEGORIES", str(list(words.TOPIC_KEYWORDS)))
 
 
 @query(sql=with_tables("articles", f", {IND} SELECT week, category, {r('intensity', 'sentiment', 'variance', 'decay')} FROM ind").replace(") , t AS", "), t AS"))
@@ -216,15 +233,14 @@ def W7_rolling_accuracy(spark, d):
     return rounded(B.outcomes(_bt(spark, d)).select("date", S.rolling(F.avg, "hit", S.over(), 26, 13).alias("acc")))
 
 
-@query("macro", "SELECT date, round(stocks - CASE WHEN count(stocks) OVER w >= 4 THEN avg(stocks) OVER w END, 6) + 0.0::DOUBLE AS surprise FROM macro WINDOW w AS (PARTITION BY weekofyear(date) ORDER BY date ROWS UNBOUNDED PRECEDING)")
+@query("macro drivers", f"SELECT date, {r('stocks_chg', 'surprise')} FROM drivers")
 def W8_E1_seasonal_surprise(spark, d):
-    rows = X.macro(spark, d)
-    return rounded(rows.select("date", S.seasonal_surprise(rows, "stocks").alias("surprise")))
+    return rounded(_drivers(spark, d).select("date", "stocks_chg", "surprise"))
 
 
 @query("price ret", "SELECT date, round(y, 6) + 0.0::DOUBLE AS decayed FROM (SELECT a.date, sum(coalesce(b.ret, 0) * exp(-(a.n - b.n) / 4.0::DOUBLE)) AS y FROM (SELECT *, row_number() OVER (ORDER BY date) AS n FROM ret) a JOIN (SELECT *, row_number() OVER (ORDER BY date) AS n FROM ret) b ON b.n <= a.n GROUP BY a.date)")
 def W9_decay(spark, d):
-    return rounded(_returns(spark, d).select("date", S.decayed("ret", S.over()).alias("decayed")))
+    return rounded(S.decayed(_returns(spark, d), {"decayed": "ret"}).select("date", "decayed"))
 
 
 REGIME = "SELECT *, CASE WHEN realized_vol <= q[1] THEN 0 WHEN realized_vol <= q[2] THEN 1 WHEN realized_vol IS NOT NULL THEN 2 END AS vol_regime FROM vol CROSS JOIN (SELECT quantile_cont(realized_vol, [0.33, 0.66]) AS q FROM vol)"
@@ -303,10 +319,9 @@ def J6_lag_join(spark, d):
     return rounded(I.lag_join(X.price(spark, d), X.macro(spark, d).withColumnRenamed("date", "week")))
 
 
-@query("macro", "SELECT date, round(stocks - lag(stocks) OVER w, 6) + 0.0::DOUBLE AS stocks_chg, round(rate - lag(rate) OVER w, 6) + 0.0::DOUBLE AS rate_chg, round((stocks / lag(stocks, 4) OVER w - 1) * 100, 6) + 0.0::DOUBLE AS stocks_mom FROM macro WINDOW w AS (ORDER BY date)")
+@query("macro drivers", f"SELECT date, {r('stocks_chg', 'surprise', 'rate', 'rate_chg', 'stocks_mom')} FROM drivers")
 def E1_E2_macro_changes(spark, d):
-    w = S.over()
-    return rounded(X.macro(spark, d).select("date", (F.col("stocks") - F.lag("stocks").over(w)).alias("stocks_chg"), (F.col("rate") - F.lag("rate").over(w)).alias("rate_chg"), S.change(F.col("stocks"), w, 4).alias("stocks_mom")))
+    return rounded(_drivers(spark, d))
 
 
 @query(sql="SELECT " + WEEK.format("ts::DATE") + " AS week, round(arg_max(value, (ts, event_id)), 6) AS value FROM events WHERE value IS NOT NULL GROUP BY 1")
@@ -528,9 +543,17 @@ def B4_mixture(spark, d):
     return rounded(rows.select("date", B.mixture(y, {"up": None, "calm": y * 2}, {"up": F.exp("regime_score_up"), "calm": F.exp("regime_score_calm")}).alias("mixed")))
 
 
-@query("price ret bt bt2", "SELECT date, " + ", ".join(f"round(product(1 + {p} * y_true / 100) OVER w, 6) AS growth_{k}" for k, p in (("naive", "1.0"), ("filtered", "CASE WHEN abs(y_pred) >= 1 THEN sign(y_pred) ELSE 0 END"), ("regime_filtered", "CASE WHEN regime <> 'macro' AND abs(y_pred) >= 1 THEN sign(y_pred) ELSE 0 END"))) + " FROM bt2 WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)")
+_RULES = (("buyhold", "1.0"), ("naive", "(y_pred > 0)::INT"), ("filtered", "CASE WHEN y_pred >= 1 THEN 1 WHEN y_pred <= -1 THEN -1 ELSE 0 END"), ("regime_filtered", "CASE WHEN regime = 'macro' THEN 0 WHEN y_pred >= 1 THEN 1 WHEN y_pred <= -1 THEN -1 ELSE 0 END"))
+
+
+@query("price ret bt bt2", "SELECT date, " + ", ".join(f"round(product(1 + {p} * y_true / 100) OVER w, 6) AS growth_{k}" for k, p in _RULES) + " FROM bt2 WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)")
 def B10_signals(spark, d):
-    return rounded(B.signal(_bt(spark, d)).select("date", "growth_naive", "growth_filtered", "growth_regime_filtered"))
+    return rounded(B.signal(_bt(spark, d)).select("date", *(f"growth_{k}" for k, _ in _RULES)))
+
+
+@query("price ret bt bt2", f"SELECT count(*) AS n, count(*) FILTER (s <> 0) AS n_trades, count(*) FILTER (s = 1) AS n_long, count(*) FILTER (s = -1) AS n_short, round(avg((sign(y_pred) = sign(y_true))::INT) FILTER (s <> 0), 6) AS dir_acc FROM (SELECT *, {_RULES[2][1]} AS s FROM bt2)")
+def B10_trades(spark, d):
+    return rounded(B.trades(B.signal(_bt(spark, d))))
 
 
 @query()
@@ -551,17 +574,75 @@ def B6_B7_walk_forward(spark, d):
     return B.walk_forward(lags, "ret", ["ret_lag1", "ret_lag2", "realized_vol_lag1", "realized_vol_lag2"])
 
 
-X.SQL["wk"] = "SELECT *, row_number() OVER (ORDER BY date) AS n FROM weekly"
-X.SQL["pr"] = "SELECT *, row_number() OVER (ORDER BY date) AS n FROM vol"
+def _layer_sql(days: str, how: dict[str, str], name: str, mean: str, std: str) -> str:
+    """The CTEs of matrix.weekly_layer(): {name}_w, and {name}_l with what is derived from it."""
+    week = WEEK.format("date")
+    columns = ", ".join(f"coalesce({c}, 0) AS {c}" if f == "sum" else c for c, f in how.items())
+    sums = ", ".join(f"{f}({c})" + ("::BIGINT" if f == "sum" and c != "log_headline_count" else "") + f" AS {c}" for c, f in how.items())
+    return f"""{name}_w AS (SELECT c.date, {columns} FROM (SELECT unnest(generate_series(min(w), max(w), INTERVAL 7 DAYS))::DATE AS date FROM (SELECT {week} AS w FROM {days})) c LEFT JOIN (SELECT {week} AS date, {sums} FROM {days} GROUP BY 1) s USING (date)),
+{name}_l AS (SELECT *, {mean} * {std} AS {name}_csi_v FROM {name}_w JOIN (SELECT a.date, sum(coalesce(b.{mean}, 0) * exp(-date_diff('day', b.date, a.date) / 28.0::DOUBLE)) AS {name}_cs_di FROM {name}_w a JOIN {name}_w b ON b.date <= a.date GROUP BY a.date) USING (date))"""
+
+
+_LAYERS = {"broad": M.BROAD, "opec": M.DECISIVE, "disruption": M.DISRUPTIVE}
+_NEWS = [c for name, how in _LAYERS.items() for c in (*(c for c in how if not c.endswith("event_window")), f"{name}_cs_di", f"{name}_csi_v")]
+_REST = ["realized_vol", "vol_regime_low", "vol_regime_mid", "vol_regime_high", "stocks_chg", "surprise", "rate", "rate_chg", "stocks_mom"]
+_WHOLE = {c for c in _NEWS if c != "log_headline_count" and any(x in c for x in ("count", "_day", "intensity"))} | set(_REST[1:4])
+_DAY_FLAGS = "avg(sentiment) AS {0}_sentiment, coalesce(stddev_samp(sentiment), 0) AS {0}_sentiment_std, 1 AS {0}_event_day, 1 AS {0}_event_window"
+X.SQL["bday"] = DAILY.replace("FROM scored", "FROM news WHERE tier NOT IN ('purchase', 'error')")
+X.SQL["oday"] = f"SELECT date, count(id) AS opec_article_count, {_DAY_FLAGS.format('opec')}, max(contains(lower(title), 'deal')::INT) AS opec_decision_day FROM news WHERE tier = 'purchase' GROUP BY date"
+X.SQL["dday"] = f"SELECT date, count(id) AS disruption_intensity, {_DAY_FLAGS.format('disruption')} FROM news WHERE tier = 'error' GROUP BY date"
+_MATRIX = ",\n".join((
+    with_tables("news bday oday dday price ret vol regime macro drivers", "").strip(),
+    _layer_sql("bday", M.BROAD, "broad", "sentiment_mean", "sentiment_std"), _layer_sql("oday", M.DECISIVE, "opec", "opec_sentiment", "opec_sentiment_std"), _layer_sql("dday", M.DISRUPTIVE, "disruption", "disruption_sentiment", "disruption_sentiment_std"),
+    "j AS (SELECT v.date, close, ret AS close_pct_change, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in _NEWS) + ", realized_vol, " + ", ".join(f"coalesce((vol_regime = {k})::INT, 0) AS vol_regime_{x}" for k, x in enumerate(("low", "mid", "high"))) + ", stocks_chg, surprise, rate, rate_chg, stocks_mom FROM regime v LEFT JOIN broad_l USING (date) LEFT JOIN opec_l USING (date) LEFT JOIN disruption_l USING (date) LEFT JOIN drivers USING (date))",
+    "l AS (SELECT date, close, close_pct_change, " + ", ".join(f"lag({c}) OVER o AS {c}_lag1" for c in _NEWS + _REST) + " FROM j WINDOW o AS (ORDER BY date))",
+))
+
+
+@query(sql=f"{_MATRIX} SELECT date, {r('close', 'close_pct_change')}, " + ", ".join(f"{c}_lag1" if c in _WHOLE else r(f"{c}_lag1") for c in _NEWS + _REST) + " FROM l WHERE close_pct_change IS NOT NULL AND " + " AND ".join(f"{c}_lag1 IS NOT NULL" for c in _NEWS + _REST))
+def X1_feature_matrix(spark, d):
+    """Three layers of news, volatility regimes and macro changes, a week late, beside the price."""
+    return rounded(_matrix(spark, d))
+
 
+@query()
+def X1_feature_matrix_with_states(spark, d):
+    """X1_feature_matrix with the states of a hidden Markov model."""
+    return rounded(_matrix(spark, d, 3))
 
-@query("scored daily weekly wk price ret vol pr", """SELECT p.date, round(p.close, 6) AS close, round(p.ret, 6) AS close_pct_change, round(p.realized_vol, 6) AS realized_vol,
-lag(w.headline_count) OVER o AS headline_count_lag1, round(lag(w.sentiment_mean) OVER o, 6) AS sentiment_mean_lag1, round(lag(x.cs_di) OVER o, 6) AS cs_di_lag1
-FROM pr p LEFT JOIN wk w USING (n) LEFT JOIN (SELECT a.n, sum(coalesce(b.sentiment_mean, 0) * exp(-(a.n - b.n) / 4.0::DOUBLE)) AS cs_di FROM wk a JOIN wk b ON b.n <= a.n GROUP BY a.n) x USING (n)
-WINDOW o AS (ORDER BY p.date)""")
-def X1_feature_matrix(spark, d):
-    """Weekly news features, a week late, beside the price: both sides by week number."""
-    w = S.over()
-    news = _weekly(spark, d).withColumn("cs_di", S.decayed("sentiment_mean", w)).withColumn("n", F.row_number().over(w)).select("n", "headline_count", "sentiment_mean", "cs_di")
-    rows = _vol(spark, d).withColumn("n", F.row_number().over(w)).join(F.broadcast(news), "n", "left").drop("n").withColumnRenamed("ret", "close_pct_change")
-    return rounded(S.lagged(rows, ["headline_count", "sentiment_mean", "cs_di"]))
+
+def _matrix(spark, d, states=0):
+    rows = X.news(spark, d)
+    tiers = [rows.where(c) for c in ("tier not in ('purchase', 'error')", "tier = 'purchase'", "tier = 'error'")]
+    return M.news_matrix(X.price(spark, d), *tiers, _drivers(spark, d), states)
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _any_sql(column: str, terms) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{t}')" for t in terms) + ")"
+
+
+_BASE_SQL = ", ".join(f"('{w}', {p}::DOUBLE)" for w, p in sorted({w: p for some, p in L.BASE for w in some}.items()))
+_LM = ",\n".join((
+    with_tables("price ret", "").strip(),
+    "c AS (SELECT doc_id AS id, DATE '1995-01-06' + (doc_id % 2390)::INT AS date, coalesce(split_part(text, chr(10), 1), '') AS headline, trim(coalesce(split_part(text, chr(10), 1), '') || ' ' || coalesce(text, '')) AS text FROM documents)",
+    f"d AS (SELECT *, {_any_sql('lower(headline)', words.CONTEXT_WORDS)} AS o, list_has_any(regexp_split_to_array(lower(headline), '\\s+'), {_sql_list(words.RISE_WORDS)}) AS u, list_has_any(regexp_split_to_array(lower(headline), '\\s+'), {_sql_list(words.FALL_WORDS)}) AS f FROM c WHERE text <> '')",
+    rf"tk AS (SELECT id, CASE WHEN o AND u AND NOT f THEN 'rise' WHEN o AND f AND NOT u THEN 'fall' END AS side, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-z]{{3,}}$') AND NOT list_contains({_sql_list(words.STOP_WORDS)}, x))) AS word FROM d)",
+    "counts AS (SELECT word, count(*) FILTER (side = 'rise') AS n_rise, count(*) FILTER (side = 'fall') AS n_fall FROM tk WHERE side IS NOT NULL GROUP BY word)",
+    f"base AS (SELECT * FROM (VALUES {_BASE_SQL}) v(word, polarity))",
+    f"lexicon AS ({LEXICON.replace('FROM counts', 'FROM counts, (SELECT coalesce(sum(n_rise), 0) AS sr, coalesce(sum(n_fall), 0) AS sf FROM counts)').replace('WHERE n_rise', 'WHERE sr > 0 AND sf > 0 AND n_rise')})",
+    "sc AS (SELECT id, sum(coalesce(polarity, 0)::DECIMAL(18, 6))::DOUBLE / count(*) AS s FROM tk LEFT JOIN lexicon USING (word) GROUP BY id)",
+    f"t AS (SELECT {WEEK.format('date')} AS week, greatest(least(coalesce(s, 0), 1), -1)::DOUBLE AS sentiment, list_filter([" + ", ".join(f"CASE WHEN {_any_sql('lower(text)', terms)} THEN '{k}' END" for k, terms in words.TOPIC_KEYWORDS.items()) + "], lambda x: x IS NOT NULL) AS topics FROM d LEFT JOIN sc USING (id))",
+    LM_IND,
+    "w AS (SELECT week, " + ", ".join(f"max({k}) FILTER (category = '{c}') AS {c}_{k}" for c in words.TOPIC_KEYWORDS for k in ("intensity", "sentiment", "variance", "decay")) + " FROM ind GROUP BY week)",
+))
+
+
+@query(sql=f"{_LM} SELECT ret.date, {r('close')}, {r('ret').replace('AS ret', 'AS close_pct_change')}, " + ", ".join(f"round(coalesce({c}_{k}, 0), 6) + 0.0::DOUBLE AS {c}_{k}_lag1" for c in words.TOPIC_KEYWORDS for k in ("intensity", "sentiment", "variance", "decay")) + " FROM ret LEFT JOIN w ON ret.date = w.week + 7 WHERE ret IS NOT NULL")
+def X3_lexicon_matrix(spark, d):
+    """Direction, grown lexicon, score, topics and 32 indicators with the lists of functions.words."""
+    day = F.date_add(F.lit("1995-01-06").cast("date"), (F.col("id") % 2390).cast("int"))
+    return rounded(M.lexicon_matrix(X.price(spark, d), A.corpus(X.articles(spark, d).select("id", F.col("headline").alias("title"), "body", day.alias("date")))))

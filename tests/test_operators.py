@@ -30,10 +30,22 @@ def test_empty_week(spark):
 
 def test_decay(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0)], "date int, x double")
-    found = [r[0] for r in rows.select(S.decayed("x", S.over()).alias("y")).collect()]
+    found = [r["y"] for r in S.decayed(rows, {"y": "x"}).orderBy("date").collect()]
     assert np.allclose(found, [1, math.exp(-0.25), 2 + math.exp(-0.5)])
 
 
+def test_decay_over_many_rows(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=900)
+    rows = spark.createDataFrame([(k, "ab"[k % 2], float(v)) for k, v in enumerate(x)], "date int, s string, x double")
+    found = {(r["s"], r["date"]): r["y"] for r in S.decayed(rows, {"y": "x"}, by=("s",), n=1).collect()}
+    for s in range(2):
+        y = 0.0
+        for k in range(s, 900, 2):
+            y = x[k] + math.exp(-1) * y
+            assert math.isclose(found["ab"[s], k], y, rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_direction(spark):
     rows = spark.createDataFrame([("Oil prices rise and fall",), ("Oil rises",), ("Crude falls, analysts say",), ("Shares rise",), (None,)], "h string")
     assert [r[0] for r in rows.select(T.direction(F.col("h"))).collect()] == [None, "rise", None, None, None]
@@ -61,7 +73,8 @@ def test_indicators_sum_to_shares(spark):
     rows = spark.createDataFrame([(dt.date(2024, 1, 1), 0.5, ["a", "b"]), (dt.date(2024, 1, 2), 0.1, []), (dt.date(2024, 1, 30), 0.2, ["a"])], "date date, sentiment double, topics array<string>")
     found = {(r["week"].day, r["category"]): r for r in I.weekly_indicators(rows, ["a", "b"]).collect()}
     assert found[5, "a"]["intensity"] == 0.25 and found[2, "b"]["intensity"] == 0
-    assert math.isclose(found[2, "a"]["decay"], 1 + 0.25 * math.exp(-0.25))  # observed weeks count, not calendar weeks
+    assert found[2, "a"]["decay"] == round(0.2 + 0.5 * math.exp(-0.25), 6)  # observed weeks count, not calendar weeks
+    assert found[5, "a"]["variance"] == 0 and found[2, "b"]["decay"] == round(0.5 * math.exp(-0.25), 6)
 
 
 def test_assignment():
