@@ -37,6 +37,8 @@ LEAF = 64
 PURE = 0.75
 #: Documents of a candidate group, or block of one, that a task confirms at once.
 GROUP = 1000
+#: Documents of a node for each of the salts that it is dealt out over.
+SALTED = 2000
 _FACTORS = blocks.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = blocks.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(20))
 
@@ -178,7 +180,8 @@ def _alike(least: int):
         for batch in batches:
             if batch.num_rows:
                 same = (_plane(batch.column("low")) == _plane(batch.column("pivot"))).sum(axis=1) >= least
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rep", "low", "high", "first")), pa.array(same)], ["node", "rep", "low", "high", "first", "alike"])
+                kept = ["node", "salt", "salts", "rep", "low", "high", "first"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(same)], [*kept, "alike"])
 
     return alike
 
@@ -194,16 +197,20 @@ def candidates(reps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     nodes, pairs = written(reps.select(F.explode("roots").alias("node"), "rep"), "nodes"), None
     for level in range(LEVELS):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
-        members = nodes.join(sizes, "node").withColumn("first", F.when(F.col("n") > LEAF, F.col("first"))).drop("n")
+        members = nodes.join(sizes, "node").withColumn("first", F.when(F.col("n") > LEAF, F.col("first"))).withColumn("salts", F.ceil(F.col("n") / SALTED)).drop("n")
         members = written(members if level else members.join(reps.drop("roots"), "rep"), "members")
         small = members.where("first is null").select("node", "rep", "low").repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_compare(least), "a long, b long")
         large = members.where("first is not null")
         last = level == LEVELS - 1 or large.isEmpty()
         if not last:
-            pivots = large.where("rep = first").select("node", F.col("low").alias("pivot"))
-            alike = written(large.join(pivots, "node").select("node", "rep", "low", "high", "first", "pivot").mapInArrow(_alike(least), "node long, rep long, low binary, high binary, first long, alike boolean"), "alike")
-            mixed = alike.groupBy("node").agg(F.avg(F.col("alike").cast("int")).alias("share")).where(F.col("share") < PURE).select("node")
-            onward, large = alike.join(mixed, "node", "left_semi"), alike.join(mixed, "node", "left_anti")
+            # a node of very many documents is dealt out over salts, and what joins it is repeated for each
+            each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+            salted = large.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+            pivots = large.where("rep = first").select("node", each, F.col("low").alias("pivot"))
+            alike = salted.join(pivots, ["node", "salt"]).select("node", "salt", "salts", "rep", "low", "high", "first", "pivot")
+            alike = written(alike.mapInArrow(_alike(least), "node long, salt long, salts long, rep long, low binary, high binary, first long, alike boolean"), "alike")
+            mixed = alike.groupBy("node", "salts").agg(F.avg(F.col("alike").cast("int")).alias("share")).where(F.col("share") < PURE).select("node", each)
+            onward, large = alike.join(mixed, ["node", "salt"], "left_semi"), alike.join(mixed, ["node", "salt"], "left_anti")
         found = small.union(large.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
         pairs = found if pairs is None else pairs.union(found)
         if last or mixed.isEmpty():
@@ -302,7 +309,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, group: int =
     any of its texts is. Exact copies are one set throughout and cost one
     comparison. A candidate group of over `group` documents is confirmed in
     blocks, each with the group's first document; what is not connected to that
-    one is then compared with every block, so no link between components is lost.
+    one is dealt into sides of `group` documents, and each side is compared with each
+    block, so no link between components is lost and a task holds two blocks at most.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -323,8 +331,18 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, group: int =
         known = connected(links.join(big.select("rep"), "rep", "left_semi"), "rep", "low")
         now = written(big.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
         main = now.where("rep = part").select("part", F.col("label").alias("main"))
-        apart = now.join(main, "part").where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        links = links.union(written(_confirmed(now.select(shape).union(apart.select(shape)).distinct(), texts, similarity), "links"))
+        apart = now.join(main, "part").where("label <> main")
+        apart = apart.join(apart.groupBy("part").agg(F.ceil(F.count("*") / group).alias("sides")), "part")
+        pair = (F.col("block") * F.col("sides") + F.col("side")).alias("block")
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        one = apart.withColumn("side", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("sides"))).withColumn("block", upto("blocks"))
+        two = now.join(apart.select("part", "sides").distinct(), "part").withColumn("side", upto("sides"))
+        both = [x.select("part", pair, "rep", "label", "set_id") for x in (one, two)]
+        links = links.union(written(_confirmed(both[0].union(both[1]).distinct(), texts, similarity), "links"))
+    # texts that share an id are one document
+    owned = signed.where("set_id is not null and doc_id is not null").select("doc_id", "set_id").distinct().join(reps.select("set_id", "rep"), "set_id")
+    shared = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id", "low")
+    links = links.union(owned.join(shared, "doc_id").select("rep", "low"))
     final = connected(links.where("rep <> low"), "rep", "low").select(F.col("node").alias("rep"), "component")
     of = reps.select("set_id", "rep").join(final, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     whole = signed.select("doc_id", "n_shingles", "set_id").join(of, "set_id", "left")
