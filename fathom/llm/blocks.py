@@ -36,16 +36,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of whole texts with about
-    `most` bytes, one text at least; a null is an empty text."""
+def text_slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of `rows` whole texts at most with
+    about `most` bytes, one text at least; a null is an empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        end = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 

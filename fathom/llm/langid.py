@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF n-grams.
 
-Features are the n-grams of one to three bytes of UTF-8 text, A-Z lower-cased and
-ASCII digits, punctuation and white space as one space, hashed to a fixed number
-of columns. Document frequencies are counted over all learnable documents; the
+Features are the n-grams of one to three characters of the lower-cased text, with
+ASCII digits, punctuation, white space and control characters as spaces, hashed to
+a fixed number of columns. Document frequencies are counted over all learnable documents; the
 regression is trained on a bounded sample with the follow-the-regularised-leader
 algorithm and an elastic-net penalty, then calibrated by a temperature that is
 fitted on a part of the sample which the training doesn't see.
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm import blocks
@@ -24,25 +24,29 @@ COLUMNS = 1 << 14
 #: Training documents of all languages together, and passes over them.
 SAMPLE, EPOCHS = 6000, 3
 UNKNOWN = "und"
-_CHUNK = 1 << 18
-_FOLD = blocks.LOWER.copy()
-_FOLD[[*range(65), *range(91, 97), *range(123, 128)]] = 32
+#: Bytes and texts of a slice, whose counts are held as one dense array.
+_CHUNK, _ROWS = 1 << 18, 64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FOLD = np.arange(128, dtype=np.uint32)
+_FOLD[[*range(97), *range(123, 128)]] = 32
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts of hashed n-grams, a row for each text."""
-    n = len(offsets) - 1
-    data = _FOLD[data].astype(np.uint64)
-    text = np.repeat(np.arange(n), np.diff(offsets))
+    n, raw = len(offsets) - 1, data.tobytes()
+    texts = [raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    plain = chars < 128
+    chars[plain] = _FOLD[chars[plain]]
+    text = np.repeat(np.arange(n), [len(t) for t in texts])
     out = np.zeros(n * COLUMNS, np.int64)
-    code = data
+    code = chars = chars.astype(np.uint64)
     for k in range(1, 4):
         if k > 1:
-            code = (code[:-1] << np.uint64(8)) | data[k - 1 :]
+            code = (code[:-1] << np.uint64(21)) | chars[k - 1 :]
         row = text[: len(code)]
         inside = row == text[k - 1 :]
-        column = (((code + np.uint64(k << 32)) * _FACTOR) >> np.uint64(50)).astype(np.int64)
+        column = (((code * np.uint64(4) + np.uint64(k)) * _FACTOR) >> np.uint64(50)).astype(np.int64)
         out += np.bincount((row * COLUMNS + column)[inside], minlength=len(out))
     return out.reshape(n, COLUMNS)
 
@@ -56,7 +60,7 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COLUMNS, np.int64)
     for batch in batches:
-        for _, _, data, offsets in blocks.text_slices(batch.column("text"), _CHUNK):
+        for _, _, data, offsets in blocks.text_slices(batch.column("text"), _CHUNK, _ROWS):
             total += (_features(data, offsets) > 0).sum(axis=0)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["feature", "n"])
@@ -128,7 +132,7 @@ def _predicted(w: np.ndarray, idf: np.ndarray, t: float, classes: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, score = [], []
-            for _, _, data, offsets in blocks.text_slices(batch.column("text"), _CHUNK):
+            for _, _, data, offsets in blocks.text_slices(batch.column("text"), _CHUNK, _ROWS):
                 p = _softmax(_weighted(_features(data, offsets), idf) @ w / t)
                 some = _letters(data, offsets)
                 best += [classes[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1).tolist(), some.tolist(), strict=True)]
@@ -143,7 +147,8 @@ def identify(docs: DataFrame, held_out: Column | None = None, sample: int = SAMP
     text, lang).
 
     Learns from text and lang of the rows that are not held out and have both; at most
-    `sample` of them, drawn by hash for each language alike, train the regression. A
+    `sample` distinct texts, an equal number of each language at most and drawn by
+    hash, train the regression. A
     text without a letter, null or empty, is `und` with score 0, and so is every text
     if there is nothing to learn from. Rows that repeat get equal predictions.
     """
@@ -161,8 +166,9 @@ def identify(docs: DataFrame, held_out: Column | None = None, sample: int = SAMP
     for r in known.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # COLUMNS rows at most
         idf[r["feature"]] -= np.log1p(r["n"])
     each = max(1, sample // len(classes))
-    share = F.coalesce(*(F.when(F.col("lang") == c, F.lit(int(min(1.0, each / n) * (1 << 30)))) for c, n in sizes.items()))
-    few = known.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) <= share).orderBy("h", "text").limit(sample)
-    model = few.coalesce(1).mapInArrow(_trained(idf, classes), "weights binary, temperature double").first()
+    share = F.coalesce(*(F.when(F.col("lang") == c, F.lit(int(min(1.0, 2 * each / n + 1e-4) * (1 << 30)))) for c, n in sizes.items()))
+    few = known.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) <= share).dropDuplicates(["lang", "h"])
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= each).drop("n")
+    model = few.repartition(1).mapInArrow(_trained(idf, classes), "weights binary, temperature double").first()
     w = np.frombuffer(model["weights"], np.float32).reshape(COLUMNS, len(classes))
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predicted(w, idf, model["temperature"], classes), shape)

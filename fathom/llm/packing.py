@@ -1,15 +1,18 @@
 """Packing of documents into fixed-length sequences by cutting-stock column generation.
 
-Documents longer than a sequence fill whole ones; what is left of each is a piece
-shorter than a sequence. The histogram of pieces is a cutting-stock instance:
-a linear program over patterns (how many pieces of each size a sequence takes)
-whose columns an unbounded-knapsack dynamic program prices. Rounded patterns are
-handed out to the pieces by their rank in their size class; what the tight ones
-leave over is laid end to end and cut at the ends of sequences.
+Documents longer than a sequence fill whole ones; what is left of each is shorter
+than a sequence, and cut at half a sequence if it is longer than that, because
+larger pieces leave gaps that no pattern fills. The histogram of pieces is a
+cutting-stock instance: a linear program over patterns (how many pieces of each
+size a sequence takes) whose columns an unbounded-knapsack dynamic program prices.
+Its solution is rounded down, and patterns of what that leaves are priced by size.
+Patterns are handed out to the pieces by their rank in their size class; the last
+residue is laid end to end and cut at the ends of sequences.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections import Counter
@@ -24,9 +27,9 @@ from fathom.llm.base import bounded_batches, written
 from fathom.llm.tokens import encoder
 
 #: Tokens of a sequence; the step of the size classes that patterns are made of.
-CAPACITY, GRAIN = 1024, 4
-#: Parts in which the pieces of one class are ranked.
-SALTS = 64
+CAPACITY, GRAIN = 1024, 2
+#: Parts in which the pieces of one class are ranked: at least, at most, and pieces of one of them.
+SALTS, MOST_SALTS, RANKED = 16, 4096, 50_000
 #: Share of a sequence that a pattern fills at least.
 FILL = 0.99
 
@@ -54,13 +57,33 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
+def fullest_pattern(left: dict[int, int], capacity: int) -> dict[int, int]:
+    """The fullest pattern of the pieces that are left: bounded knapsack, sizes as prices."""
+    last, used = [0] + [-1] * capacity, [0] * (capacity + 1)
+    for s in sorted((s for s, n in left.items() if n), reverse=True):
+        for c in range(s, capacity + 1):
+            if last[c] < 0 <= last[c - s]:
+                n = used[c - s] + 1 if last[c - s] == s else 1
+                if n <= left[s]:
+                    last[c], used[c] = s, n
+        if last[capacity] >= 0:
+            break
+    c = max(k for k in range(capacity + 1) if last[k] >= 0)
+    found: Counter = Counter()
+    while c:
+        found[last[c]] += 1
+        c -= last[c]
+    return dict(found)
+
+
 def cut_patterns(demand: dict[int, int], capacity: int, fill: float = FILL, gap: float = 5e-3, rounds: int = 800) -> list[tuple[dict[int, int], int]]:
     """Patterns {size: pieces} with how often each is used; together they hold at most
     the demand {size: pieces}. Column generation stops where the bound
     sequences / best price is within `gap` of the solution, or after `rounds`
     columns; every basis on the way is a feasible packing. Fractions are rounded
-    down, and only patterns filled to the share `fill` are kept: the pieces
-    of the others are cut to measure by pack()."""
+    down, and what is left gets patterns of its own, the fullest first. Only patterns
+    filled to the share `fill` are kept: the pieces of the others are cut to measure
+    by pack()."""
     sizes = np.array(sorted(s for s, d in demand.items() if d), int)
     if not len(sizes):
         return []
@@ -95,13 +118,23 @@ def cut_patterns(demand: dict[int, int], capacity: int, fill: float = FILL, gap:
         if times:
             left -= times * pattern
             found.append((dict(zip(sizes[held].tolist(), pattern[held].tolist(), strict=True)), times))
+    rest = dict(zip(sizes.tolist(), left.tolist(), strict=True))
+    while sum(s * n for s, n in rest.items()) >= fill * capacity:
+        pattern = fullest_pattern(rest, capacity)
+        if sum(s * n for s, n in pattern.items()) < fill * capacity:
+            break
+        times = min(rest[s] // n for s, n in pattern.items())
+        for s, n in pattern.items():
+            rest[s] -= n * times
+        found.append((pattern, times))
     return found
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """The pieces of every document's ids, as narrow as the vocabulary allows: whole
-    sequences, then the rest. piece is a key of its own for each, so that documents
-    that repeat stay apart."""
+    sequences, then the rest, of which half a sequence is a piece of its own if it is
+    longer. piece is a key of its own for each, so that documents that repeat stay
+    apart."""
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +142,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.texts(batch.column("text"), end_id), strict=True):
-                for at in range(0, len(ids), capacity):
-                    part = ids[at : at + capacity].astype("<u4")
+                cuts = [*range(0, len(ids), capacity), len(ids)]
+                if cuts[-1] - cuts[-2] < capacity and cuts[-1] - cuts[-2] > capacity // 2:
+                    cuts.insert(-1, cuts[-2] + capacity // 2)
+                for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                    part = ids[at:end].astype("<u4")
                     for to, x in zip(rows, (doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(enc.dtype).tobytes()), strict=True):
                         to.append(x)
             first = uuid.uuid4().int & (1 << 62) - 1
@@ -142,7 +178,7 @@ def _before(table: DataFrame, value: str, order: list[str], by: list[str]) -> Da
     return table.withColumn("before", F.coalesce(F.sum(value).over(row), F.lit(0).cast("long")))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, grain: int = GRAIN, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, grain: int = GRAIN, salts: int | None = None) -> DataFrame:
     """Packs docs (doc_id, text; null text: empty) into sequences of `capacity` tokens.
 
     Returns for each piece doc_id, start, length, ids_crc32, doc_tokens,
@@ -152,18 +188,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     `capacity` tokens, so that they are cut once in a sequence at most and only
     the last one is not full. Documents that repeat, with equal or null ids too,
     are packed as often as they come. The histogram has capacity / grain classes
-    in `salts` parts at most, whatever the input.
+    in `salts` parts, whose number grows with the pieces up to MOST_SALTS.
     """
     spark = docs.sparkSession
     whole = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
-    size = F.when(F.col("length") == capacity, capacity).otherwise(F.least(F.ceil(F.col("length") / grain) * grain, F.lit(capacity))).cast("int")
-    cut = whole.drop("ids").withColumn("size", size).withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "piece"]
+    none = F.lit(0).cast("long")
+    # whole sequences are numbered by their place in a task's rows and the rows of the tasks before
+    full = written(whole.drop("ids").where(F.col("length") == capacity).withColumn("row", F.monotonically_increasing_id()), "full")
+    tasks = full.groupBy(F.shiftright("row", 33).alias("task")).agg(F.count("*").alias("n"))
+    tasks = written(_before(tasks, "n", ["task"], []), "tasks")  # a row for each task
+    first = tasks.agg(F.sum("n")).first()[0] or 0
+    full = full.withColumn("task", F.shiftright("row", 33)).join(F.broadcast(tasks.drop("n")), "task")
+    full = full.withColumns({"sequence_id": F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1)), "offset": none, "from": none}).select(*columns, "from")
+
+    cut = whole.drop("ids").where(F.col("length") < capacity).withColumn("size", (F.ceil(F.col("length") / grain) * grain).cast("int"))
+    salts = salts or min(MOST_SALTS, max(SALTS, math.ceil(cut.count() * grain / capacity / RANKED)))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
     counts = written(cut.groupBy("size", "salt").agg(F.count("*").alias("n")), "histogram")
     demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # capacity / grain rows at most
-    full = demand.pop(capacity, 0)
     patterns = [({k * grain: n for k, n in p.items()}, times) for p, times in cut_patterns({s // grain: n for s, n in demand.items()}, capacity // grain)]
-    plan, first = [(capacity, 0, full, 1, 0)] if full else [], full
-    given = Counter()
+    plan, given = [], Counter()
     for pattern, times in patterns:
         for s, n in sorted(pattern.items(), reverse=True):
             plan.append((s, given[s], given[s] + n * times, n, first))
@@ -178,14 +223,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     ranked = written(ranked.join(F.broadcast(slots), fits, "left").drop(slots["size"]), "ranked")
     put = ranked.where("sequence is not null").withColumn("sequence_id", F.expr("sequence + (rank - low) div each"))
     row = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    put = put.withColumn("offset", F.coalesce(F.sum("length").over(row), F.lit(0).cast("long")))
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "piece"]
-    put = put.select(*columns, F.lit(0).cast("long").alias("from"))
+    put = put.withColumn("offset", F.coalesce(F.sum("length").over(row), none)).select(*columns, none.alias("from"))
 
     rest = ranked.where("sequence is null")
     laid = _before(rest.groupBy("size", "salt").agg(F.sum("length").alias("n")), "n", ["size", "salt"], [])  # classes * salts rows at most
     own = Window.partitionBy("size", "salt").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    at = rest.withColumn("at", F.coalesce(F.sum("length").over(own), F.lit(0).cast("long"))).join(F.broadcast(laid.drop("n")), ["size", "salt"])
+    at = rest.withColumn("at", F.coalesce(F.sum("length").over(own), none)).join(F.broadcast(laid.drop("n")), ["size", "salt"])
     at = at.withColumn("at", F.col("at") + F.col("before")).withColumn("into", F.expr(f"{capacity} - at % {capacity}"))
     two = F.expr("""explode(if(into < length, array(struct(0L as a, into as n), struct(into as a, length - into as n)), array(struct(0L as a, length as n))))""")
     at = at.withColumn("part", two)
@@ -194,5 +237,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
         F.expr(f"{first}L + (at + part.a) div {capacity}").alias("sequence_id"), F.expr(f"(at + part.a) % {capacity}").alias("offset"), "piece", F.col("part.a").alias("from"),
     )
     kind = ", ".join(f"{c} long" for c in columns if c not in ("ids_crc32", "piece"))
-    full_ids = put.unionByName(at).join(whole.select("piece", "ids"), "piece").drop("piece")
+    full_ids = full.unionByName(put).unionByName(at).join(whole.select("piece", "ids"), "piece").drop("piece")
     return full_ids.mapInArrow(_cut_ids(tokenizer), f"{kind}, ids_crc32 long, ids binary").select(*columns[:-1], "ids")

@@ -62,8 +62,8 @@ def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shards: int) -> DataFrame:
-    """Writes docs (doc_id, text) in ascending doc_id order, nulls first and ties by
-    text, to `shards` files or fewer under path, a place that pyarrow.fs can open
+    """Writes docs (doc_id, text) in ascending doc_id order, nulls first and ties by a
+    hash of the text, to `shards` files or fewer under path, a place that pyarrow.fs can open
     on every executor. Returns the manifest, kept as Parquet under path: file,
     shard, n_docs, n_tokens. A null text is empty; a rerun task writes a new file,
     and the manifest names only those of the tasks that counted."""
@@ -92,8 +92,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shards
             yield pa.RecordBatch.from_pylist([{"file": name, "shard": part, "n_docs": docs_n, "n_tokens": tokens_n}], pa.schema([("file", pa.string()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(write, "file string, shard int, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    rows.select("doc_id", "text").mapInArrow(write, "file string, shard int, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
@@ -124,6 +124,45 @@ def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
     return placed(manifest, before).mapInArrow(read, "shard int, row long, doc_id long, start long, ids array<int>")
 
 
+def read_index(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """(file, doc_id, offset, size) of every record, from the index files alone."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                with store.open_input_stream(f"{root}/{file}.idx") as index:
+                    while some := index.read(INDEX.itemsize * 65536):
+                        rows = np.frombuffer(some, INDEX)
+                        columns = [pa.array([file] * len(rows)), pa.array(rows["doc_id"], mask=rows["doc_id"] == NO_ID), *(pa.array(rows[c].astype(np.int64)) for c in ("offset", "size"))]
+                        yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "offset", "size"])
+
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(read, "file string, doc_id long, offset long, size long")
+
+
+def read_at(path: str, places: DataFrame) -> DataFrame:
+    """places (file, offset, size) with the doc_id and ids of each record, in the order in
+    which the rows come: a reader that shuffles the index seeks each record by itself."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(path)
+        name, file = None, None
+        for batch in batches:
+            found = []
+            for this, offset, size in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "size")), strict=True):
+                if this != name:
+                    name, file = this, store.open_input_file(f"{root}/{this}.rec")
+                file.seek(offset)
+                payload, end = unframe(file.read(size), 0)
+                if end != size:
+                    raise ValueError(f"{this}: no record of {size} bytes at byte {offset}")
+                found.append(unpack_ids(payload))
+            ids = pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.int64()), ids], [*batch.schema.names, "doc_id", "ids"])
+
+    return places.select("file", "offset", "size").mapInArrow(read, "file string, offset long, size long, doc_id long, ids array<int>")
+
+
 def placed(manifest: DataFrame, before) -> DataFrame:
     n = max(1, manifest.count())
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))).repartition(n, "shard")

@@ -12,12 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathom.llm import langid, lm, quality, queries, secrets, sharding, topk
+from fathom.llm import blocks, langid, lm, quality, queries, secrets, sharding, topk
 from fathom.llm.base import connected
 from fathom.llm.decontaminate import decontaminate
 from fathom.llm.neardup import near_duplicates
 from fathom.llm.packing import cut_patterns, pack
-from fathom.llm.records import digests, frame, read_shards, tokenized, unframe, write_shards
+from fathom.llm.records import digests, frame, read_at, read_index, read_shards, tokenized, unframe, write_shards
 
 SMALL = "/root/testdata/sf0.001"
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -46,6 +46,41 @@ def test_sharding(spark, documents, empty):
         sharding.fill(names, 1000)
 
 
+def mirror(n):
+    """A Thue-Morse word of n letters and its complement."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 4096])
+def test_words_that_polynomial_hashes_confuse(spark, tokenizer, n):
+    from tokenizers import Tokenizer
+
+    a, b = mirror(n)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b} <|endoftext|> {a}"), (4, a)], "doc_id long, text string").coalesce(1)
+    t = Tokenizer.from_file(tokenizer)
+    want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in docs.collect()}
+    assert {r["doc_id"]: r["ids_crc32"] for r in tokenized(docs, tokenizer, 2, 1).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    start, end, _ = blocks.words(np.frombuffer(f"{a} {b}".encode(), np.uint8), np.array([0, 2 * n + 1]), blocks.SOLID)
+    assert len(set(blocks.span_hashes(np.frombuffer(f"{a} {b}".encode(), np.uint8), start, end).tolist())) == 2
+
+
+def test_shards_by_hand(spark):
+    """The table as its definition has it, slot by slot, from hashes of its own."""
+    names, slots = ["x", "y", "z"], 13
+    md5 = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    order = {n: [(md5(f"offset {n}") + k * (md5(f"step {n}") % (slots - 1) + 1)) % slots for k in range(slots)] for n in names}
+    owner = {}
+    while len(owner) < slots:
+        for n in names:
+            free = [s for s in order[n] if s not in owner]
+            if free:
+                owner[free[0]] = names.index(n)
+    rows = spark.createDataFrame([(k,) for k in range(100)], "k long")
+    assert all(r["slot"] == md5(str(r["k"])) % slots and r["shard"] == owner[r["slot"]] for r in sharding.place(rows, "k", names, slots).collect())
+
+
 def test_stupid_backoff(documents, empty):
     rows = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))) for i, t in rows_of(documents)]
     gram = lambda w, i, n: tuple(w[i - n + 1 : i + 1])
@@ -73,7 +108,6 @@ def test_records_round_trip(spark, documents, empty, tokenizer, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
     want = sorted(((-(1 << 63) if i is None else i, text or "") for i, text in rows_of(documents)))
     at = 0
     assert [r["doc_id"] for r in found] == [None if i < 0 else i for i, _ in want]
@@ -83,6 +117,11 @@ def test_records_round_trip(spark, documents, empty, tokenizer, tmp_path):
     sums = {(r["start"], r["ids_crc32"]) for r in digests(read_shards(spark, path, manifest)).collect()}
     assert sums == {(r["start"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in found}
     assert tokenized(empty, tokenizer).count() == 0
+    index = read_index(spark, path, manifest)
+    assert index.count() == len(want)
+    picked = read_at(path, index.orderBy(F.desc("size")).limit(20)).collect()
+    whole = {(r["doc_id"], tuple(r["ids"])) for r in found}
+    assert len(picked) == 20 and [r["size"] for r in picked] == sorted((r["size"] for r in index.collect()), reverse=True)[:20] and all((r["doc_id"], tuple(r["ids"])) in whole for r in picked)
     broken = bytearray(frame(b"payload"))
     broken[14] ^= 1
     with pytest.raises(ValueError):
@@ -162,6 +201,41 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty.select("doc_id", "text")).count() == 0
 
 
+def test_added_spans_against_brute_force(spark):
+    """Tokens outside base spans, scored by transition counts made anew in Python."""
+    rng = np.random.default_rng(3)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    draw = lambda n: "".join(rng.choice(letters, n))
+    syllables = ["inter", "nation", "al", "com", "mun", "ic", "ation", "er", "ing", "the"]
+    texts = [f"token={draw(40)} and {''.join(rng.choice(syllables, 6))} then {draw(28) if k % 100 == 0 else "no"} é {''.join(rng.choice(syllables, 5))}" for k in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in secrets.scan(docs).collect()}
+    made, plain = Counter(), Counter()
+    for k, t in enumerate(texts):
+        for kind, a, b in base[k]:
+            value = re.search(secrets.ASSIGN, t[a:b])[2] if kind == "assign" else t[a:b]
+            made.update(zip(value[:-1], value[1:]))
+        rest = t
+        for pattern in secrets.PATTERNS.values():
+            rest = re.sub(pattern, " ", rest)
+        for w in re.findall(secrets.WORD, rest):
+            plain.update(zip(w[:-1], w[1:]))
+    row = lambda c: {x: sum(n for (a, _), n in c.items() if a == x) + 64 for x in map(chr, range(128))}
+    tr, to = row(made), row(plain)
+    gain = lambda a, b: math.log((made[a, b] + 0.5) / tr[a]) - math.log((plain[a, b] + 0.5) / to[a])
+    added = 0
+    for r in secrets.scan(docs).collect():
+        t, want = texts[r["doc_id"]], []
+        for m in re.finditer(secrets.TOKEN, t):
+            if not any(a < m.end() and m.start() < b for _, a, b in base[r["doc_id"]]):
+                ll = sum(gain(x, y) for x, y in zip(m[0][:-1], m[0][1:]))
+                if ll >= secrets.SUM and ll >= secrets.MEAN * (len(m[0]) - 1):
+                    want.append((m.start(), m.end()))
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] == want
+        added += len(want)
+    assert added >= 3
+
+
 def test_markov_models_tell_random_from_ordinary(spark):
     rng = np.random.default_rng(0)
     words = ["inter", "nation", "al", "com", "mun", "ic", "ation", "er", "ing", "the", "re", "der"]
@@ -174,9 +248,21 @@ def test_markov_models_tell_random_from_ordinary(spark):
 
 
 def test_packing(documents, empty, tokenizer):
-    found = defaultdict(list)
+    from tokenizers import Tokenizer
+
+    found, spans = defaultdict(list), defaultdict(list)
     for r in pack(documents, tokenizer).collect():
         found[r["sequence_id"]].append(r)
+        spans[r["doc_id"]].append(r)
+    t = Tokenizer.from_file(tokenizer)
+    texts = dict(rows_of(documents))
+    copies = Counter(i for i, _ in rows_of(documents))
+    assert set(spans) == set(texts)
+    for i, text in texts.items():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert all(r["doc_tokens"] == len(ids) and r["ids"] == ids[r["start"] : r["start"] + r["length"]].tobytes() for r in spans[i])
+        held = Counter(k for r in spans[i] for k in range(r["start"], r["start"] + r["length"]))
+        assert held == dict.fromkeys(range(len(ids)), copies[i])
     room = Counter()
     for parts in found.values():
         at = 0
@@ -205,6 +291,29 @@ def test_patterns_hold_no_more_than_the_demand():
     assert all(used[s] <= n for s, n in demand.items()) and sum(s * n for s, n in used.items()) > 0.5 * sum(s * n for s, n in demand.items())
 
 
+def test_texts_that_share_an_id_are_one_document(spark):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(3, word("a")), (5, word("a")), (5, word("b")), (9, word("b") + " tail"), (11, word("c")), (7, word("c")), (11, word("d")), (12, word("e"))]
+    found = {(r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(3, 3), (5, 3), (9, 3), (11, 7), (7, 7), (12, 12)}
+
+
+def test_a_candidate_group_of_unlike_documents(spark):
+    """A template that all share puts documents in one group, of which few are alike."""
+    rng = np.random.default_rng(7)
+    base = [f"t{k}" for k in range(100)]
+    rows, sets = [], {}
+    for k in range(150):
+        own = [f"o{k // 2 if k > 100 else 1000 + k}_{j}" for j in range(38)]
+        w = [*base, *own, f"z{k}" if rng.integers(2) else "z"]
+        rows.append((k, " ".join(w)))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    root = {k: min(j for j in sets if 100 * len(sets[j] & sets[k]) >= 75 * len(sets[j] | sets[k])) for k in sets}
+    assert len(set(root.values())) > 100
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), group=20).collect()
+    assert all(r["component_id"] == root[r["doc_id"]] for r in found)
+
+
 def test_near_duplicates(documents, empty):
     texts = rows_of(documents)
     sets = defaultdict(set)
