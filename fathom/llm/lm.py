@@ -30,7 +30,7 @@ from fathom.llm.base import bounded_batches, written
 ORDER, BACKOFF = 3, 0.4
 #: Parts of the range of hashes, a power of two; rows of a partition of one of them; parts
 #: in which the blocks are scored.
-ROUNDS, PART_ROWS, SIDES = 4, 1_500_000, 2
+ROUNDS, PART_ROWS, SIDES = 4, 1_500_000, 4
 #: Rows of an Arrow batch.
 _SOME = 1 << 16
 
@@ -168,7 +168,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, rounds:
     for part in range(rounds):
         each = cut.mapInArrow(_exploded(order, shift, part), "gram long, block long, place int, own int").repartition(parts, "gram")
         each = each.withColumn("n", F.sum("own").over(Window.partitionBy("gram"))).where("n > own").select("block", "place", "n")
-        counted.append(written(each, "counts").withColumn("part", F.lit(part)))
+        counted.append(written(each, "counts", compression="zstd").withColumn("part", F.lit(part)))
     counts = reduce(DataFrame.unionAll, counted)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
