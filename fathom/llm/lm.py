@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm import blocks
-from fathom.llm.base import bounded_batches, written
+from fathom.llm.base import ARROW_BYTES, bounded_batches, written
 
 ORDER, BACKOFF = 3, 0.4
 #: Parts of the range of hashes, a power of two; rows of a partition of one of them; parts
@@ -155,7 +155,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, rounds:
     their own, so copies make each other likely; ids may be null.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 2500)
+    bounded_batches(spark, 1250, ARROW_BYTES // 2)
     shift = 64 - (rounds.bit_length() - 1)
     if rounds < 2 or rounds & (rounds - 1):
         raise ValueError("rounds must be a power of two")
