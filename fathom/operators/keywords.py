@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from fathom.functions.text import tokens, votes
 
 
+#: Seeds that are broadcast; more of them meet the vectors in blocks.
+MOST_SEEDS = 1000
+
+
 def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, t: s + t)
@@ -23,6 +27,8 @@ def neighbours(vectors: DataFrame, seeds: DataFrame, top: int = 5, least: float
     """The `top` vectors (word, vector) nearest to each of seeds (seed, vector) by
     cosine, ties by word: seed, word, similarity, rank. The seeds are a stated set
     of queries; a seed isn't its own neighbour."""
+    if seeds.limit(MOST_SEEDS + 1).count() > MOST_SEEDS:
+        return all_neighbours(vectors, seeds, top, least)
     pairs = vectors.join(F.broadcast(seeds.withColumnRenamed("vector", "_s")), F.col("word") != F.col("seed"))
     scored = pairs.select("seed", "word", cosine(F.col("vector"), F.col("_s")).alias("similarity")).where(F.col("similarity") >= least)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("similarity"), "word")))
@@ -108,20 +114,114 @@ def all_pmi(index: DataFrame, seeds: list[str]) -> DataFrame:
     return both.select("word", "seed", F.log2(F.col("n_ab") * total / (F.col("n_a") * F.col("n_b"))).alias("pmi"))
 
 
-def rate_gap(counts: DataFrame, gap: float = 1.2e-4, least: int = 3, most: int = 500) -> DataFrame:
+def rate_gap(counts: DataFrame, gap: float = 1.2e-4, least: int = 3, most: int = 500, base: tuple[str, ...] = ()) -> DataFrame:
     """Words of counts (word, n_rise, n_fall) whose shares of the two classes differ by
-    more than `gap`, the `most` widest of each side."""
+    more than `gap`, the `most` widest of each side; words of `base`, seeds already,
+    count in the totals only."""
     sums = counts.agg(F.sum("n_rise").alias("r"), F.sum("n_fall").alias("f"))
     rise, fall = sums.select("r").scalar(), sums.select("f").scalar()
-    rates = counts.where(F.col("n_rise") + F.col("n_fall") >= least).withColumn("gap", F.col("n_rise") / F.greatest(rise, F.lit(1)) - F.col("n_fall") / F.greatest(fall, F.lit(1)))
+    rates = counts.where(F.col("n_rise") + F.col("n_fall") >= least).where(~F.col("word").isin(list(base))).withColumn("gap", F.col("n_rise") / F.greatest(rise, F.lit(1)) - F.col("n_fall") / F.greatest(fall, F.lit(1)))
     wide_ = rates.where(F.abs("gap") > gap).withColumn("side", F.when(F.col("gap") > 0, "rise").otherwise("fall"))
     top = lambda side: wide_.where(F.col("side") == side).orderBy(F.desc(F.abs("gap")), "word").limit(most)
     return top("rise").unionByName(top("fall")).select("word", "side", "gap")
 
 
-def relevant(suggestions: DataFrame, cosine_least: float = 0.5, pmi_least: float = 0.02) -> DataFrame:
-    """Suggestions (word, mean_cosine, mean_pmi) that pass both gates."""
-    return suggestions.where((F.col("mean_cosine") >= cosine_least) & (F.col("mean_pmi") >= pmi_least))
+def mean_pmi(index: DataFrame, seeds: list[str]) -> DataFrame:
+    """(word, mean_pmi) over the seeds that share a document with the word."""
+    return all_pmi(index, seeds).groupBy("word").agg(F.avg("pmi").alias("mean_pmi"))
+
+
+def mean_cosine(vectors: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(word, mean_cosine) of vectors (word, vector) to all of seeds (vector): the product
+    with the mean of their unit vectors, so that no pair is formed. Null for a vector
+    that is null or 0."""
+    whole = lambda df: df.where("vector is not null and not exists(vector, x -> x is null) and exists(vector, x -> x <> 0)")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.transform("vector", lambda x: x.cast("double") / norm)
+    each = whole(seeds).select(F.posexplode(unit).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("x"))
+    centre = each.agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("c")).scalar()
+    dot = F.aggregate(F.zip_with(unit, "_c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return whole(vectors).withColumn("_c", centre).select("word", F.when(F.size("_c") > 0, dot).alias("mean_cosine"))
+
+
+def relevant(suggestions: DataFrame, cosines: DataFrame, pmis: DataFrame, groups: list[str] | None = None, cosine_least: float = 0.5, pmi_least: float = 0.02) -> DataFrame:
+    """Suggestions (group, word, ...) of the mapped `groups` (null: all) whose mean cosine and
+    mean PMI with the group's seeds (group, word, ...) pass both gates, with both rounded
+    to four places; those of other groups pass as they are, with nulls."""
+    rows = suggestions.join(cosines.select("group", "word", "mean_cosine"), ["group", "word"], "left").join(pmis.select("group", "word", "mean_pmi"), ["group", "word"], "left")
+    gated = F.lit(True) if groups is None else F.col("group").isin(groups)
+    rows = rows.where(~gated | ((F.col("mean_cosine") >= cosine_least) & (F.col("mean_pmi") >= pmi_least)))
+    return rows.withColumns({f"mean_{k}": F.when(gated, F.round(f"mean_{k}", 4)) for k in ("cosine", "pmi")})
+
+
+def phrases(docs: DataFrame, tokens: str = "tokens", least: int = 5, threshold: float = 10.0) -> DataFrame:
+    """(a, b, n_ab, score): pairs of neighbouring tokens that come together more often than
+    by chance, (n_ab - least) * V / (n_a * n_b) above `threshold`. V counts the
+    distinct tokens and the distinct pairs."""
+    t, n = F.col(tokens), F.greatest(F.size(tokens) - 1, F.lit(0))
+    each = F.explode(F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = docs.where(F.size(tokens) > 1).select(each.alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n_ab"))
+    single = docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    known = pairs.agg(F.count("*").alias("n")).scalar() + single.agg(F.count("*").alias("n")).scalar()
+    some = pairs.where(F.col("n_ab") >= least).join(single.select(F.col("token").alias("a"), F.col("n").alias("n_a")), "a").join(single.select(F.col("token").alias("b"), F.col("n").alias("n_b")), "b")
+    some = some.withColumn("score", (F.col("n_ab") - least) * known / (F.col("n_a") * F.col("n_b")))
+    return some.where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
+
+
+def phrased(docs: DataFrame, found: DataFrame, id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """(id, pos, token) with the phrases (a, b) joined by _, from left to right: of a run
+    of overlapping ones every other is taken. The phrases grow with the vocabulary,
+    so they are joined; id tells documents apart."""
+    t = F.col(tokens)
+    each = F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("token"), F.get(t, i + 1).alias("next")))
+    rows = docs.select(id, F.explode(each).alias("t")).select(id, "t.*")
+    hits = rows.join(found.select(F.col("a").alias("token"), F.col("b").alias("next")), ["token", "next"], "left_semi").select(id, "pos")
+    runs = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(id).orderBy("pos")))
+    taken = runs.withColumn("k", F.row_number().over(Window.partitionBy(id, "run").orderBy("pos"))).where("k % 2 = 1")
+    taken = taken.select(id, F.explode(F.array(F.struct("pos", F.lit(True).alias("first")), F.struct((F.col("pos") + 1).alias("pos"), F.lit(False).alias("first")))).alias("p")).select(id, "p.*")
+    return rows.join(taken, [id, "pos"], "left").where("first is null or first").select(id, "pos", F.when(F.col("first"), F.concat_ws("_", "token", "next")).otherwise(F.col("token")).alias("token"))
+
+
+def seed_tokens(seeds: DataFrame, found: DataFrame, stop=()) -> DataFrame:
+    """(seed, token): each phrase of seeds (seed) as tokens and phrases of them, joined by _."""
+    rows = seeds.select("seed", tokens(F.col("seed"), stop).alias("tokens"))
+    parts = phrased(rows, found, "seed").groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("p"))
+    return parts.select("seed", F.array_join(F.transform("p", lambda x: x["token"]), "_").alias("token"))
+
+
+def word_vectors(rows: DataFrame, id: str = "doc_id", size: int = 150, window: int = 6, least: int = 3, rounds: int = 15, vocabulary: int = 100_000, sample: int = 1_000_000, parts: int = 1, seed: int = 42) -> DataFrame:
+    """(word, vector) by skip-grams from the rows of phrased(). The model is held whole,
+    so it learns the `vocabulary` most frequent tokens from `sample` documents at
+    most, drawn by hash."""
+    from pyspark.ml.feature import Word2Vec
+
+    few = rows.select(id).distinct().orderBy(F.xxhash64(id), id).limit(sample)
+    some = rows.join(few, id, "left_semi")
+    top = some.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(vocabulary)
+    texts = some.join(top, "token", "left_semi").groupBy(id).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("p"))
+    texts = texts.orderBy(id).select(F.transform("p", lambda x: x["token"]).alias("tokens"))
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=rounds, numPartitions=parts, seed=seed, inputCol="tokens", outputCol="v").fit(texts)
+    from pyspark.ml.functions import vector_to_array
+
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+
+
+def expanded(vectors: DataFrame, seeds: DataFrame, existing: DataFrame, top: int = 10, least: float = 0.6, letters: int = 4) -> DataFrame:
+    """(word, display, similarity, similar_to): of the `top` vectors (word, vector) nearest
+    to each of seeds (seed, vector) those of a similarity of `least`, not in
+    existing (term) and of `letters` characters or more, each with its best seed."""
+    near = all_neighbours(vectors, seeds, top).where(F.col("similarity") >= least)
+    near = near.where(F.length(F.regexp_replace("word", "_", "")) >= letters).join(existing.select(F.col("term").alias("word")).distinct(), "word", "left_anti")
+    return best_seed(near).select("word", F.regexp_replace("word", "_", " ").alias("display"), F.round("similarity", 4).alias("similarity"), "similar_to")
+
+
+def appended(catalogue: DataFrame, suggestions: DataFrame, groups: DataFrame) -> DataFrame:
+    """catalogue (strategy, term) and the suggestions (group, word) that it doesn't have,
+    whatever the case, under the strategies that groups (group, strategy) map theirs to."""
+    new = suggestions.join(groups, "group").select("strategy", F.col("word").alias("term"))
+    new = new.withColumn("_n", F.row_number().over(Window.partitionBy("strategy", F.lower("term")).orderBy("term"))).where("_n = 1")
+    there = catalogue.select(F.col("strategy").alias("_s"), F.lower("term").alias("_t"))
+    return catalogue.unionByName(new.join(there, (F.col("strategy") == F.col("_s")) & (F.lower("term") == F.col("_t")), "left_anti").select("strategy", "term"))
 
 
 def fused(candidates: DataFrame, pmi_least: float, cosine_least: float, band: float, confidence: float) -> DataFrame:
@@ -139,3 +239,9 @@ def fused(candidates: DataFrame, pmi_least: float, cosine_least: float, band: fl
 def novel(suggestions: DataFrame, existing: DataFrame) -> DataFrame:
     """Suggestions (word) that are not in existing (term), whatever the case."""
     return suggestions.join(existing.select(F.lower("term").alias("_t")).distinct(), F.lower("word") == F.col("_t"), "left_anti")
+
+
+def report(suggestions: DataFrame, top: int = 10) -> DataFrame:
+    """The `top` suggestions (group, word, similarity) of each group, with their ranks."""
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("similarity"), "word"))
+    return suggestions.withColumn("rank", rank).where(F.col("rank") <= top)

@@ -29,20 +29,30 @@ def volatility_regime(rows: DataFrame, column: str = "realized_vol", low: float
     return rows.select("*", *(F.coalesce((F.col("vol_regime") == k).cast("int"), F.lit(0)).alias(f"vol_regime_{name}") for k, name in enumerate(("low", "mid", "high"))))
 
 
+def _robust(columns: list[str]) -> dict[str, Column]:
+    q = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns}
+    return {c: F.when(F.count(c) > 0, F.array(q[c][1], F.greatest(q[c][2] - q[c][0], F.lit(1e-6)))).otherwise(F.array(F.lit(0.0), F.lit(1.0))) for c in columns}
+
+
 def robust_stats(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: for each column an array of the median and the interquartile range,
     at least 1e-6; (0, 1) for a column of nulls."""
-    q = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns}
-    return rows.agg(*(F.when(F.count(c) > 0, F.array(q[c][1], F.greatest(q[c][2] - q[c][0], F.lit(1e-6)))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias(c) for c in columns))
+    return rows.agg(*(c.alias(n) for n, c in _robust(columns).items()))
 
 
-def rule_scores(rows: DataFrame, groups: dict[str, dict[str, float]], muted: str, train: DataFrame | None = None, band: float = 0.5) -> DataFrame:
+def rule_scores(rows: DataFrame, groups: dict[str, dict[str, float]], muted: str, train: DataFrame | None = None, band: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
     """regime_score_*, regime_prob_* and regime: the score of a group is the weighted sum
     of its columns' robust z-scores (0 for a missing column), that of `muted` the
-    negative sum of the others' magnitudes times `band`."""
-    held = [c for weights in groups.values() for c in weights if c in rows.columns]
-    stats = robust_stats(rows if train is None else train, held)
-    rows = rows.withColumns({f"_s_{c}": stats.select(c).scalar() for c in held})
+    negative sum of the others' magnitudes times `band`. Medians and ranges are those of
+    train, or of the rows themselves, and of each part that `by` tells apart."""
+    held = sorted({c for weights in groups.values() for c in weights if c in rows.columns})
+    source = rows if train is None else train
+    if by:
+        stats = source.groupBy(*by).agg(*(c.alias(f"_s_{n}") for n, c in _robust(held).items()))
+        rows = rows.join(stats, list(by), "left")
+    else:
+        stats = robust_stats(source, held)
+        rows = rows.withColumns({f"_s_{c}": stats.select(c).scalar() for c in held})
 
     def z(c: str) -> Column:
         return (F.coalesce(F.col(c), F.col(f"_s_{c}")[0]) - F.col(f"_s_{c}")[0]) / F.col(f"_s_{c}")[1] if c in held else F.lit(0.0)
@@ -62,11 +72,11 @@ def switched(regime: str, date: str = "date", by: tuple[str, ...] = (), before:
     return F.coalesce(F.col(regime) != last, F.lit(True)).cast("int")
 
 
-def adjusted(rows: DataFrame, decayed: list[str], plain: list[str], reset: float = 0.35, multipliers: dict[str, float] = MULTIPLIERS, date: str = "date") -> DataFrame:
+def adjusted(rows: DataFrame, decayed: list[str], plain: list[str], reset: float = 0.35, multipliers: dict[str, float] = MULTIPLIERS, date: str = "date", by: tuple[str, ...] = (), before: str | None = None) -> DataFrame:
     """Sentiment by regime: times its multiplier (1 if unknown); what carries over
-    also loses `reset` where the regime switches."""
+    also loses `reset` where the regime switches. before: the regime ahead of the rows."""
     table = F.create_map(*(F.lit(x) for pair in multipliers.items() for x in pair))
-    rows = rows.withColumn("regime_switched", switched("regime", date)).withColumn("regime_sent_mult", F.coalesce(table[F.col("regime")], F.lit(1.0)))
+    rows = rows.withColumn("regime_switched", switched("regime", date, by, before)).withColumn("regime_sent_mult", F.coalesce(table[F.col("regime")], F.lit(1.0)))
     kept = F.col("regime_sent_mult") * (1 - F.col("regime_switched") * reset)
     return rows.select("*", *((F.coalesce(F.col(c), F.lit(0.0)) * kept).alias(f"{c}_regime_adj") for c in decayed), *((F.coalesce(F.col(c), F.lit(0.0)) * F.col("regime_sent_mult")).alias(f"{c}_regime_adj") for c in plain))
 
@@ -92,44 +102,123 @@ def _total(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def hidden_markov(x: np.ndarray, states: int = 3, rounds: int = 100, tolerance: float = 1e-4, floor: float = 1e-3) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(most likely path, posteriors, log-likelihood after each round) of a Gaussian
-    hidden Markov model fitted by expectation maximisation. States start as equal
-    parts in the order of the last column and are numbered by its mean."""
-    n, d = x.shape
-    start = np.argsort(np.argsort(x[:, -1], kind="stable")) * states // n
-    mean = np.stack([x[start == k].mean(axis=0) for k in range(states)])
-    cov = np.stack([np.cov(x.T).reshape(d, d) + floor * np.eye(d)] * states)
-    move, first, seen = np.full((states, states), 0.1 / max(1, states - 1)), np.full(states, 1 / states), []
-    np.fill_diagonal(move, 0.9)
-    for _ in range(rounds):
-        b, log_move = _log_normal(x, mean, cov), np.log(move + 1e-300)
-        ahead, behind = np.empty((n, states)), np.zeros((n, states))
-        ahead[0] = np.log(first + 1e-300) + b[0]
+class States:
+    """A Gaussian hidden Markov model: shares at the start, moves, means and covariances."""
+
+    def __init__(self, first: np.ndarray, move: np.ndarray, mean: np.ndarray, cov: np.ndarray):
+        self.first, self.move, self.mean, self.cov = first, move, mean, cov
+
+    def smooth(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """(posteriors, expected moves, log-likelihood) by the forward-backward sums."""
+        b, log_move, n = _log_normal(x, self.mean, self.cov), np.log(self.move + 1e-300), len(x)
+        ahead, behind = np.empty(b.shape), np.zeros(b.shape)
+        ahead[0] = np.log(self.first + 1e-300) + b[0]
         for t in range(1, n):
             ahead[t] = b[t] + _total(ahead[t - 1][:, None] + log_move, 0)
         for t in range(n - 2, -1, -1):
             behind[t] = _total(log_move + (b[t + 1] + behind[t + 1])[None], 1)
-        seen.append(float(_total(ahead[-1], 0)))
-        post = np.exp(ahead + behind - seen[-1])
-        pairs = np.exp(ahead[:-1, :, None] + log_move + (b[1:] + behind[1:])[:, None] - seen[-1]).sum(axis=0)
+        seen = float(_total(ahead[-1], 0))
+        pairs = np.exp(ahead[:-1, :, None] + log_move + (b[1:] + behind[1:])[:, None] - seen).sum(axis=0)
+        return np.exp(ahead + behind - seen), pairs, seen
+
+    def path(self, x: np.ndarray) -> np.ndarray:
+        """The most likely states (Viterbi)."""
+        b, log_move, n = _log_normal(x, self.mean, self.cov), np.log(self.move + 1e-300), len(x)
+        best, back = np.log(self.first + 1e-300) + b[0], np.zeros(b.shape, int)
+        for t in range(1, n):
+            step = best[:, None] + log_move
+            back[t] = step.argmax(axis=0)
+            best = step.max(axis=0) + b[t]
+        out = np.empty(n, int)
+        out[-1] = best.argmax()
+        for t in range(n - 1, 0, -1):
+            out[t - 1] = back[t, out[t]]
+        return out
+
+
+def fit_states(x: np.ndarray, states: int = 3, rounds: int = 100, tolerance: float = 1e-4, floor: float = 1e-3, diagonal: bool = False) -> tuple[States, list[float]]:
+    """(model, log-likelihood after each round) by expectation maximisation. States
+    start as equal parts in the order of the last column and are numbered by its mean."""
+    n, d = x.shape
+    shape = np.eye(d) if diagonal else np.ones((d, d))
+    start = np.argsort(np.argsort(x[:, -1], kind="stable")) * states // n
+    move = np.full((states, states), 0.1 / max(1, states - 1))
+    np.fill_diagonal(move, 0.9)
+    model = States(np.full(states, 1 / states), move, np.stack([x[start == k].mean(axis=0) for k in range(states)]), np.stack([np.cov(x.T).reshape(d, d) * shape + floor * np.eye(d)] * states))
+    seen: list[float] = []
+    for _ in range(rounds):
+        post, pairs, found = model.smooth(x)
+        seen.append(found)
         if len(seen) > 1 and seen[-1] - seen[-2] < tolerance:
             break
         weight = post.sum(axis=0) + 1e-12
-        first, move = post[0] / post[0].sum(), (pairs + 1e-12) / (pairs + 1e-12).sum(axis=1, keepdims=True)
         mean = post.T @ x / weight[:, None]
-        cov = np.stack([((x - mean[k]).T * post[:, k]) @ (x - mean[k]) / weight[k] + floor * np.eye(d) for k in range(states)])
-    best, back = np.log(first + 1e-300) + b[0], np.zeros((n, states), int)
-    for t in range(1, n):
-        step = best[:, None] + log_move
-        back[t] = step.argmax(axis=0)
-        best = step.max(axis=0) + b[t]
-    path = np.empty(n, int)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    rank = np.argsort(np.argsort(mean[:, -1]))
-    return rank[path], post[:, np.argsort(rank)], seen
+        cov = np.stack([((x - mean[k]).T * post[:, k]) @ (x - mean[k]) / weight[k] * shape + floor * np.eye(d) for k in range(states)])
+        model = States(post[0] / post[0].sum(), (pairs + 1e-12) / (pairs + 1e-12).sum(axis=1, keepdims=True), mean, cov)
+    order = np.argsort(model.mean[:, -1])
+    return States(model.first[order], model.move[np.ix_(order, order)], model.mean[order], model.cov[order]), seen
+
+
+def hidden_markov(x: np.ndarray, states: int = 3, **settings) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(most likely path, posteriors, log-likelihood after each round) of fit_states()."""
+    model, seen = fit_states(x, states, **settings)
+    return model.path(x), model.smooth(x)[0], seen
+
+
+#: What tells the regimes of a driver model apart: column, weight, whether its magnitude counts.
+DRIVER_SCORES = {
+    "supply": (("opec_event_day", 1, False), ("disruption_event_day", 1, False), ("disruption_intensity", 1, False)),
+    "demand": (("spx_ret_pct", 1, False), ("inventory_chg_kb", -1, False)),
+    "macro": (("usd_mom_4w", 1, True), ("yield_10y_chg", 1, True)),
+    "risk_off": (("realized_vol", 1, False), ("negative_ratio", 1, False), ("finbert_negative_mean", 1, False)),
+}
+
+
+class DriverRegimes:
+    """Named regimes of a four-state model with diagonal covariances over standardised
+    drivers; nulls are 0. A state's name is that of the one-to-one assignment with
+    the largest sum of scores, made of the states' means over their largest magnitude."""
+
+    def __init__(self, x: np.ndarray, columns: list[str], scores: dict = DRIVER_SCORES):
+        x = np.nan_to_num(x)
+        self.mean, std = x.mean(axis=0), x.std(axis=0)
+        self.std = np.where(std > 0, std, 1.0)
+        self.states, self.seen = fit_states((x - self.mean) / self.std, len(scores), rounds=200, diagonal=True)
+        self.means = self.states.mean * self.std + self.mean
+        share = {c: self.means[:, j] / max(np.abs(self.means[:, j]).max(), 1e-6) for j, c in enumerate(columns)}
+        value = lambda c, w, size: w * (np.abs(share[c]) if size else share[c])
+        table = np.stack([sum((value(*x) for x in terms if x[0] in share), np.zeros(len(scores))) for terms in scores.values()], axis=1)
+        self.names = [list(scores)[j] for j in assignment(table)]
+
+    def infer(self, x: np.ndarray) -> tuple[list[str], dict[str, np.ndarray]]:
+        """(regime of each row, probabilities of each regime)."""
+        z = (np.nan_to_num(x) - self.mean) / self.std
+        post = self.states.smooth(z)[0]
+        return [self.names[k] for k in self.states.path(z)], {name: post[:, k] for k, name in enumerate(self.names)}
+
+
+def driver_regime(rows: DataFrame, columns: list[str], scores: dict = DRIVER_SCORES, date: str = "date", key: str = "series") -> DataFrame:
+    """(key, date, regime, regime_prob_*) of each series, a model for each; a series is
+    one instrument's history, so it fits a task. Series of fewer than 40 rows have nulls."""
+    probs = [f"regime_prob_{r}" for r in scores]
+    shape = f"{key} string, {date} date, regime string, " + ", ".join(f"{p} double" for p in probs)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(date).reset_index(drop=True)
+        out = pdf[[key, date]].assign(regime=None, **dict.fromkeys(probs, np.nan))
+        if len(pdf) >= 40:
+            x = pdf[columns].to_numpy(float)
+            out["regime"], found = DriverRegimes(x, columns, scores).infer(x)
+            for name, p in found.items():
+                out[f"regime_prob_{name}"] = p
+        return out
+
+    return rows.select(F.col(key).cast("string").alias(key), date, *columns).groupBy(key).applyInPandas(fit, shape)
+
+
+def regime_means(rows: DataFrame, columns: list[str], regime: str = "regime") -> DataFrame:
+    """Rows and mean drivers of each regime, to three places."""
+    return rows.groupBy(regime).agg(F.count("*").alias("n_weeks"), *(F.round(F.avg(c), 3).alias(c) for c in columns))
 
 
 def markov_regime(rows: DataFrame, columns: list[str], states: int = 3, date: str = "date", key: str = "series") -> DataFrame:

@@ -133,3 +133,10 @@ def sequences(rows: DataFrame, columns: list[str], look: int = 4, date: str = "d
     """The `look` rows before each, as an array of structs; rows with fewer go."""
     frame = over(date, by).rowsBetween(-look, -1)
     return rows.withColumn("past", F.collect_list(F.struct(*columns)).over(frame)).where(F.size("past") == look)
+
+
+def described(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each column: number, mean, deviation, least, quartiles and largest."""
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("e.*")
+    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return each.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), *(q[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))), F.max("x").alias("max"))

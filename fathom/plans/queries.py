@@ -16,6 +16,7 @@ from fathom.operators import indicators as I
 from fathom.operators import keywords as K
 from fathom.operators import lexicon as L
 from fathom.operators import matrix as M
+from fathom.operators import paragraphs as G
 from fathom.operators import regimes as R
 from fathom.operators import series as S
 from fathom.plans import fixtures as X
@@ -160,7 +161,7 @@ def A13_value_counts(spark, d):
 
 @query("price ret bt bt2 out", f"SELECT regime, n, {r('accuracy', 'mean_strategy_ret', 'mean_bh_ret')}, accuracy < 0.5 AS below_50pct_acc FROM (SELECT regime, count(*) AS n, avg(hit) AS accuracy, avg(strategy_ret) AS mean_strategy_ret, avg(bh_ret) AS mean_bh_ret FROM out GROUP BY regime)")
 def A15_A18_by_regime(spark, d):
-    return rounded(B.by_regime(B.outcomes(_bt(spark, d))))
+    return rounded(B.weak_regimes(B.outcomes(_bt(spark, d))))
 
 
 @query("price ret bt bt2 out cum", f"SELECT {r('accuracy', 'mean_strategy_ret', 'mean_bh_ret', 'cum_strategy_ret', 'cum_bh_ret')} FROM (SELECT avg(hit) AS accuracy, avg(strategy_ret) AS mean_strategy_ret, avg(bh_ret) AS mean_bh_ret, max_by(cum_strategy_ret, date) AS cum_strategy_ret, max_by(cum_bh_ret, date) AS cum_bh_ret FROM cum)")
@@ -464,9 +465,9 @@ def M13_J10_pmi_of_all(spark, d):
     return rounded(K.all_pmi(K.token_index(X.table(spark, d, "documents")), _B))
 
 
-@query("tokens counts", "SELECT word, side, round(gap, 9) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(gap) DESC, word) AS n FROM (SELECT word, n_rise / r - n_fall / f AS gap, CASE WHEN n_rise / r - n_fall / f > 0 THEN 'rise' ELSE 'fall' END AS side FROM counts CROSS JOIN (SELECT sum(n_rise)::DOUBLE AS r, sum(n_fall)::DOUBLE AS f FROM counts) WHERE n_rise + n_fall >= 3) WHERE abs(gap) > 0.00012) WHERE n <= 500")
+@query("tokens counts", "SELECT word, side, round(gap, 9) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(gap) DESC, word) AS n FROM (SELECT word, n_rise / r - n_fall / f AS gap, CASE WHEN n_rise / r - n_fall / f > 0 THEN 'rise' ELSE 'fall' END AS side FROM counts CROSS JOIN (SELECT sum(n_rise)::DOUBLE AS r, sum(n_fall)::DOUBLE AS f FROM counts) WHERE n_rise + n_fall >= 3 AND word NOT IN ('the', 'and', 'der', 'que')) WHERE abs(gap) > 0.00012) WHERE n <= 500")
 def M14_A10_L4_rate_gap(spark, d):
-    return rounded(K.rate_gap(L.class_counts(_labelled(spark, d), stop=())), 9)
+    return rounded(K.rate_gap(L.class_counts(_labelled(spark, d), stop=()), base=tuple(POLARITY)), 9)
 
 
 def _vectors(spark, d):
@@ -561,17 +562,17 @@ def R2_R5_R6_markov_regime(spark, d):
     return R.markov_regime(_vol(spark, d).withColumn("series", F.lit("price")), ["ret", "realized_vol"])
 
 
-@query()
+@query("price ret vol regime", 'SELECT vol_regime AS "from", "to", n, round(n / sum(n) OVER (PARTITION BY vol_regime), 6) AS share FROM (SELECT vol_regime, "to", count(*) AS n FROM (SELECT vol_regime, lead(vol_regime) OVER (ORDER BY date) AS "to" FROM regime WHERE vol_regime IS NOT NULL) WHERE "to" IS NOT NULL GROUP BY 1, 2)')
 def R7_transitions(spark, d):
-    return R.transitions(R.volatility_regime(_vol(spark, d)), "vol_regime")
+    return rounded(R.transitions(R.volatility_regime(_vol(spark, d)), "vol_regime"))
 
 
 @query()
-def B6_B7_walk_forward(spark, d):
+def W18_ridge_walk_forward(spark, d):
     rows = _vol(spark, d)
     w = S.over()
     lags = rows.select("date", "ret", *(F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in ("ret", "realized_vol") for k in (1, 2))).where("ret is not null")
-    return B.walk_forward(lags, "ret", ["ret_lag1", "ret_lag2", "realized_vol_lag1", "realized_vol_lag2"])
+    return B.ridge_walk_forward(lags, "ret", ["ret_lag1", "ret_lag2", "realized_vol_lag1", "realized_vol_lag2"])
 
 
 def _layer_sql(days: str, how: dict[str, str], name: str, mean: str, std: str) -> str:
@@ -646,3 +647,170 @@ def X3_lexicon_matrix(spark, d):
     """Direction, grown lexicon, score, topics and 32 indicators with the lists of functions.words."""
     day = F.date_add(F.lit("1995-01-06").cast("date"), (F.col("id") % 2390).cast("int"))
     return rounded(M.lexicon_matrix(X.price(spark, d), A.corpus(X.articles(spark, d).select("id", F.col("headline").alias("title"), "body", day.alias("date")))))
+
+
+X.SQL["kt"] = rf"SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-z]{{3,}}$') AND NOT list_contains({_sql_list(words.KEYWORD_STOP_WORDS)}, x)) AS w FROM documents"
+X.SQL["kp"] = "SELECT doc_id, i - 1 AS pos, w[i] AS token, w[i + 1] AS next FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM kt)"
+X.SQL["pair"] = "SELECT token AS a, next AS b, count(*) AS n_ab FROM kp WHERE next IS NOT NULL GROUP BY ALL"
+X.SQL["single"] = "SELECT token, count(*) AS n FROM kp GROUP BY token"
+X.SQL["phr"] = "SELECT * FROM (SELECT a, b, n_ab, (n_ab - 5) * ((SELECT count(*) FROM pair) + (SELECT count(*) FROM single)) / (x.n * y.n)::DOUBLE AS score FROM pair JOIN single x ON x.token = a JOIN single y ON y.token = b WHERE n_ab >= 5) WHERE score > 10"
+X.SQL["run"] = "SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM kp JOIN phr ON token = a AND next = b"
+X.SQL["taken"] = "SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS k FROM run) WHERE k % 2 = 1"
+
+
+def _keyword_tokens(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", T.tokens(F.col("text"), words.KEYWORD_STOP_WORDS).alias("tokens"))
+
+
+@query("kt kp pair single phr", "SELECT a, b, n_ab, round(score, 6) AS score FROM phr")
+def M8_phrases(spark, d):
+    return rounded(K.phrases(_keyword_tokens(spark, d)))
+
+
+@query("kt kp pair single phr run taken", "SELECT kp.doc_id, kp.pos::INT AS pos, CASE WHEN t.pos IS NOT NULL THEN token || '_' || next ELSE token END AS token FROM kp LEFT JOIN taken t ON t.doc_id = kp.doc_id AND t.pos = kp.pos LEFT JOIN taken u ON u.doc_id = kp.doc_id AND u.pos = kp.pos - 1 WHERE u.pos IS NULL")
+def M8_phrased(spark, d):
+    docs = _keyword_tokens(spark, d)
+    return K.phrased(docs, K.phrases(docs))
+
+
+_NAMED = "e AS (SELECT 'w' || vec_id AS word, embedding::DOUBLE[] AS v, vec_id FROM embeddings)"
+
+
+def _named_vectors(spark, d):
+    rows = X.table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.col("embedding").alias("vector"))
+    return rows.select("word", "vector"), rows.where("vec_id % 50 = 0").select(F.col("word").alias("seed"), "vector"), rows
+
+
+@query(sql=f"WITH {_NAMED}, n AS (SELECT s.word AS seed, e.word, list_cosine_similarity(s.v, e.v) AS similarity FROM e s JOIN e ON s.vec_id % 50 = 0 AND e.word <> s.word QUALIFY row_number() OVER (PARTITION BY s.word ORDER BY similarity DESC, e.word) <= 10) SELECT word, word AS display, round(similarity, 4) AS similarity, seed AS similar_to FROM n WHERE similarity >= 0.2 AND length(word) >= 4 AND word NOT IN (SELECT word FROM e WHERE vec_id % 10 = 5) QUALIFY row_number() OVER (PARTITION BY word ORDER BY n.similarity DESC, seed) = 1")
+def M11_expansion(spark, d):
+    vectors, seeds, rows = _named_vectors(spark, d)
+    return K.expanded(vectors, seeds, rows.where("vec_id % 10 = 5").select(F.col("word").alias("term")), 10, 0.2)
+
+
+@query(sql=f"WITH {_NAMED} SELECT e.word, round(avg(list_cosine_similarity(e.v, s.v)), 6) + 0.0::DOUBLE AS mean_cosine FROM e JOIN e s ON s.vec_id % 50 = 0 GROUP BY e.word")
+def M12_mean_cosine(spark, d):
+    vectors, seeds, _ = _named_vectors(spark, d)
+    return rounded(K.mean_cosine(vectors, seeds.select("vector")))
+
+
+_PMI = """b AS (SELECT DISTINCT 'w' || (l_partkey % 500) AS word, l_orderkey FROM lineitem), nb AS (SELECT word, count(*) AS c FROM b GROUP BY word),
+pm AS (SELECT word, avg(log2(n_ab * (SELECT count(DISTINCT l_orderkey) FROM b) / (x.c * y.c)::DOUBLE)) AS mean_pmi FROM (SELECT b.word, s.word AS seed, count(*) AS n_ab FROM b JOIN b s USING (l_orderkey) WHERE s.word IN ('w0', 'w50', 'w100') AND b.word <> s.word GROUP BY ALL) JOIN nb x USING (word) JOIN nb y ON y.word = seed GROUP BY word)"""
+
+
+def _baskets(spark, d):
+    return X.table(spark, d, "lineitem").select(F.concat(F.lit("w"), (F.col("l_partkey") % 500).cast("string")).alias("token"), F.col("l_orderkey").alias("doc_id")).distinct()
+
+
+@query(sql=f"WITH {_PMI} SELECT word, round(mean_pmi, 6) + 0.0::DOUBLE AS mean_pmi FROM pm")
+def M13_mean_pmi(spark, d):
+    return rounded(K.mean_pmi(_baskets(spark, d), ["w0", "w50", "w100"]))
+
+
+@query(sql=f'WITH {_NAMED}, {_PMI}, c AS (SELECT e.word, e.vec_id, avg(list_cosine_similarity(e.v, s.v)) AS mean_cosine FROM e JOIN e s ON s.vec_id % 50 = 0 GROUP BY ALL) SELECT \'g\' || (vec_id % 3) AS "group", word, CASE WHEN vec_id % 3 < 2 THEN round(mean_cosine, 4) + 0.0::DOUBLE END AS mean_cosine, CASE WHEN vec_id % 3 < 2 THEN round(mean_pmi, 4) + 0.0::DOUBLE END AS mean_pmi FROM c LEFT JOIN pm USING (word) WHERE vec_id % 3 = 2 OR (mean_cosine >= 0 AND mean_pmi >= 0.02)')
+def M15_relevance(spark, d):
+    vectors, seeds, rows = _named_vectors(spark, d)
+    group = F.concat(F.lit("g"), (F.substring("word", 2, 20).cast("long") % 3).cast("string")).alias("group")
+    cosines = K.mean_cosine(vectors, seeds.select("vector")).select("*", group)
+    pmis = K.mean_pmi(_baskets(spark, d), ["w0", "w50", "w100"]).select("*", group)
+    return rounded(K.relevant(rows.select("word", group), cosines, pmis, ["g0", "g1"], 0.0, 0.02), 4)
+
+
+@query(sql="""WITH c AS (SELECT r_name AS strategy, n_name AS term FROM nation JOIN region ON n_regionkey = r_regionkey), m AS (SELECT * FROM (VALUES ('BUILDING', 'ASIA'), ('MACHINERY', 'EUROPE')) v(g, strategy)),
+n AS (SELECT DISTINCT strategy, lower(n_name) AS term FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN m ON g = c_mktsegment) SELECT * FROM c UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.strategy = n.strategy AND lower(c.term) = n.term)""")
+def K8_catalogue(spark, d):
+    nation = X.table(spark, d, "nation")
+    catalogue = nation.join(X.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("strategy"), F.col("n_name").alias("term"))
+    found = X.table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("group"), F.lower("n_name").alias("word")).distinct()
+    return K.appended(catalogue, found, spark.createDataFrame([("BUILDING", "ASIA"), ("MACHINERY", "EUROPE")], "group string, strategy string"))
+
+
+@query()
+def M5_M6_J13_A12_article_topics(spark, d):
+    """Topics by classifiers that learn from the keywords of functions.words."""
+    return G.topics_by_model(X.articles(spark, d).select("id", "body"), "id", "body").select("id", F.array_join("topics", ",").alias("topics"))
+
+
+@query("articles", "SELECT id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {_any_sql('lower(body)', terms)} THEN '{k}' END" for k, terms in words.TOPIC_KEYWORDS.items()) + "], lambda x: x IS NOT NULL)), ',') AS topics FROM articles")
+def A12_F7_weak_topics(spark, d):
+    """The union of labels that are certain: those of the keywords, for a text as one paragraph."""
+    rows = X.articles(spark, d).select("id", "body")
+    sure = rows.select("id", F.map_from_arrays(T.topics(F.col("body")), F.transform(T.topics(F.col("body")), lambda _: F.lit(1.0))).alias("probabilities"))
+    return G.article_topics(rows, sure).select("id", F.array_join("topics", ",").alias("topics"))
+
+
+_GROUPS = {
+    "supply": {"opec_event_day_lag1": 1.0, "disruption_event_day_lag1": 1.0, "disruption_intensity_lag1": 1.0, "opec_sentiment_lag1": 0.4, "opec_cs_di_lag1": 1.0, "disruption_cs_di_lag1": 1.0},
+    "demand": {"stocks_chg_lag1": 1.0, "surprise_lag1": 1.0},
+    "macro": {"rate_chg_lag1": 1.0, "stocks_mom_lag1": 1.0, "realized_vol_lag1": 1.0},
+}
+_SCORES = {
+    "supply": (("opec_event_day_lag1", 1, False), ("disruption_event_day_lag1", 1, False), ("disruption_intensity_lag1", 1, False)), "demand": (("stocks_chg_lag1", -1, False),),
+    "macro": (("stocks_mom_lag1", 1, True), ("rate_chg_lag1", 1, True)), "risk_off": (("realized_vol_lag1", 1, False), ("negative_ratio_lag1", 1, False)),
+}
+_DRIVERS = sorted({c for terms in _SCORES.values() for c, *_ in terms})
+
+
+def _learnable(spark, d):
+    rows = _matrix(spark, d).cache()  # some hundred weeks, read by every step of a walk-forward
+    return rows, [c for c in rows.columns if c.endswith("_lag1")]
+
+
+@query()
+def B1_B2_B3_B6_regime_walk_forward(spark, d):
+    rows, features = _learnable(spark, d)
+    return B.regime_walk_forward(rows, "close_pct_change", features, _GROUPS, "risk_off", [c for c in features if c.endswith("_cs_di_lag1")], [c for c in features if c.endswith("_sentiment_lag1")], step=4)
+
+
+@query()
+def B7_boosted_walk_forward(spark, d):
+    return B.boosted_walk_forward(*_split(_learnable(spark, d)))
+
+
+@query()
+def B9_specialist_walk_forward(spark, d):
+    return B.specialist_walk_forward(*_split(_learnable(spark, d)), _DRIVERS, _SCORES)
+
+
+@query()
+def B11_L7_permutation_importance(spark, d):
+    return B.permutation_importance(*_split(_learnable(spark, d)), repeats=5)
+
+
+def _split(found):
+    rows, features = found
+    return rows, "close_pct_change", features
+
+
+@query()
+def R3_R4_R11_driver_regime(spark, d):
+    rows, _ = _learnable(spark, d)
+    return R.driver_regime(rows.withColumn("series", F.lit("price")), _DRIVERS, _SCORES)
+
+
+@query("price ret bt bt2", "SELECT regime, count(*) AS n_weeks, round(avg(y_true), 3) + 0.0::DOUBLE AS y_true, round(avg(y_pred), 3) + 0.0::DOUBLE AS y_pred FROM bt2 GROUP BY regime")
+def A14_regime_means(spark, d):
+    return rounded(R.regime_means(_bt(spark, d), ["y_true", "y_pred"]))
+
+
+@query(sql="SELECT 'union' AS kind, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'both', count(*) FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'rest', count(*) FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
+def U3_set_operations(spark, d):
+    a, b = X.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), X.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    sizes = {"union": a.union(b).distinct(), "both": a.intersect(b), "rest": a.subtract(b)}
+    found = [df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, df in sizes.items()]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query(sql=" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(median({c}), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM lineitem" for c in ("l_quantity", "l_extendedprice")))
+def A24_described(spark, d):
+    return rounded(S.described(X.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]))
+
+
+@query("articles", "SELECT id, date FROM articles")
+def L1_sorted(spark, d):
+    """Sorted by ranges of (date, id), not in one task."""
+    return X.articles(spark, d).select("id", "date").orderBy("date", "id")
+
+
+@query(sql="SELECT c_mktsegment AS \"group\", c_name AS word, round(c_acctbal, 6) AS similarity, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_name))::INT AS rank FROM customer QUALIFY rank <= 10")
+def L5_report(spark, d):
+    return rounded(K.report(X.table(spark, d, "customer").select(F.col("c_mktsegment").alias("group"), F.col("c_name").alias("word"), F.col("c_acctbal").alias("similarity"))))

@@ -5,9 +5,31 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.text import any_term
+from fathom.operators.series import keep_first
+
+
+#: Parts of addresses that no article has, and of paragraphs that are no text.
+NO_ARTICLE = ["/search", "/goto/", "/feed/", "/newsfeeds/", "/auth/", "/account/"]
+NO_TEXT = ["advertisement", "click here", "related:", "read more"]
+
+
+def article_links(found: DataFrame, base: str) -> DataFrame:
+    """links() that look like articles, with whole addresses, the first of each page and address."""
+    url = F.when(F.col("href").startswith("http"), F.col("href")).when(F.col("href").startswith("/"), F.concat(F.lit(base.rstrip("/")), "href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), "href"))
+    rows = found.withColumn("url", url).where(F.col("url").endswith(".html") & ~any_term(F.col("url"), NO_ARTICLE))
+    return keep_first(rows, ["page_id", "url"], ["title"]).select("page_id", "url", "title")
+
+
+def linked_date(html: Column) -> Column:
+    """datePublished, or else dateCreated, of the first JSON-LD script that has one."""
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?s)<script[^>]*type=["']application/ld[+]json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    dates = F.transform(scripts, lambda s: F.coalesce(F.get_json_object(s, "$.datePublished"), F.get_json_object(s, "$.dateCreated")))
+    return F.get(F.filter(dates, lambda x: x.isNotNull() & (x != "")), F.lit(0))
+
 
 def links(pages: DataFrame, least: int = 20) -> DataFrame:
     """(page_id, href, title): anchors whose text has `least` characters or more."""
@@ -53,7 +75,8 @@ class _Reader(HTMLParser):
 
 def articles(pages: DataFrame, least: int = 40) -> DataFrame:
     """(page_id, url, title, author, published_at, body): paragraphs of `least` characters or more inside
-    <article>, or of the whole page if there are none."""
+    <article>, or of the whole page if there are none, without what is no text; the time of a meta tag or
+    else of JSON-LD."""
 
     @F.pandas_udf("title string, author string, published_at string, body string")
     def read(html: pd.Series) -> pd.DataFrame:
@@ -63,7 +86,8 @@ def articles(pages: DataFrame, least: int = 40) -> DataFrame:
             r.feed(text)
             inside = [p for p, within in r.parts if within] or [p for p, _ in r.parts]
             body = [" ".join(p.split()) for p in inside]
-            rows.append((" ".join(r.title.split()) or None, r.meta.get("author"), r.meta.get("article:published_time"), "\n".join(p for p in body if len(p) >= least)))
+            rows.append((" ".join(r.title.split()) or None, r.meta.get("author") or r.meta.get("article:author"), r.meta.get("article:published_time") or r.meta.get("pubdate") or r.meta.get("date"), "\n".join(p for p in body if len(p) >= least and not any(x in p.lower() for x in NO_TEXT))))
         return pd.DataFrame(rows, columns=["title", "author", "published_at", "body"])
 
-    return pages.select("page_id", "url", read("html").alias("r")).select("page_id", "url", "r.*")
+    rows = pages.select("page_id", "url", read("html").alias("r"), linked_date(F.col("html")).alias("linked")).select("page_id", "url", "r.*", "linked")
+    return rows.withColumn("published_at", F.coalesce("published_at", "linked")).drop("linked")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators.articles import month, upserted
+from fathom.operators.series import keep_first
 
 BY = ("query_strategy", "year_month")
 
@@ -27,11 +29,20 @@ def upsert_months(new: DataFrame, path: str, scratch: str, key: str = "id", date
     """Adds rows with new keys to the months they belong to; rows that are there stay."""
     spark = new.sparkSession
     new = new.withColumn("year_month", month(F.col(date)))
-    there = read_months(spark, path).join(F.broadcast(new.select("year_month").distinct()), "year_month", "left_semi")
+    try:
+        old = read_months(spark, path)
+    except AnalysisException as e:  # the first rows
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return write_months(keep_first(new, [key], [date]), path, date)
+    there = old.join(F.broadcast(new.select("year_month").distinct()), "year_month", "left_semi")
     upserted(there, new, key, date).write.mode("overwrite").parquet(scratch)  # not read and overwritten at once
     write_months(spark.read.parquet(scratch), path, date)
 
 
-def prices(spark: SparkSession, path: str) -> DataFrame:
+def prices(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """(date, close) of a CSV, numbers only, in order, within first..last where given."""
     rows = spark.read.schema("date string, close string").option("header", True).csv(path)
-    return rows.select(F.try_to_date("date").alias("date"), F.col("close").try_cast("double").alias("close")).dropna()
+    rows = rows.select(F.try_to_date("date").alias("date"), F.col("close").try_cast("double").alias("close")).dropna()
+    rows = rows.where(F.col("date") >= F.lit(first).cast("date")) if first else rows
+    return (rows.where(F.col("date") <= F.lit(last).cast("date")) if last else rows).orderBy("date")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,8 +16,8 @@ def incremental(spark: SparkSession, source: str, schema: str, target: str, chec
         rows = batch.dropDuplicates([key])
         try:
             rows = rows.join(batch.sparkSession.read.parquet(target).select(key), key, "left_anti")
-        except Exception as e:  # the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # the first batch has no target yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
         rows.write.mode("append").parquet(target)
 

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.operators import articles as A
+from fathom.operators import backtest as B
+from fathom.operators import boosting
+from fathom.operators import daily as D
 from fathom.operators import indicators as I
 from fathom.operators import keywords as K
+from fathom.operators import paragraphs as G
 from fathom.operators import regimes as R
 from fathom.operators import series as S
 from fathom.plans import queries as Q
-from fathom.sources import tables
+from fathom.sources import files, pages, tables
 from fathom.streaming import ingest
 
 
@@ -156,3 +160,163 @@ def test_paragraphs_have_weak_labels(spark):
     rows = Q.QUERIES["F11_M4_paragraphs"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r["weak_labels"] == [k for k, words in Q.TOPICS.items() if any(w in r["paragraph_text"].lower() for w in words)] for r in rows)
     assert any(r["weak_labels"] for r in rows)
+
+
+def test_flags_of_a_day_with_one_article(spark):
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, 1), "Output DEAL near", 0.5), (2, dt.date(2024, 1, 4), None, 0.1), (3, dt.date(2024, 1, 4), "x", 0.3)], "id int, date date, title string, sentiment double")
+    found = {r["date"].day: r for r in D.event_flags(rows, "opec", ["deal"]).collect()}
+    assert found[1]["opec_sentiment_std"] == 0 and found[1]["opec_decision_day"] == 1 and found[4]["opec_decision_day"] == 0 and found[4]["opec_article_count"] == 2
+    other = D.event_flags(rows, "disruption", count="intensity")
+    assert "disruption_intensity" in other.columns and "disruption_decision_day" not in other.columns
+
+
+def test_rules_of_signals(spark):
+    rows = spark.createDataFrame([(1, 10.0, 2.0, "macro"), (2, -10.0, -0.5, "demand"), (3, 10.0, -3.0, "demand"), (4, 10.0, 0.0, "demand")], "date int, y_true double, y_pred double, regime string")
+    last = B.signal(rows).where("date = 4").first()
+    assert math.isclose(last["growth_buyhold"], 1.1 * 0.9 * 1.1 * 1.1) and math.isclose(last["growth_naive"], 1.1)
+    assert math.isclose(last["growth_filtered"], 1.1 * 0.9) and math.isclose(last["growth_regime_filtered"], 0.9)
+    assert B.trades(B.signal(rows)).first().asDict() == {"n": 4, "n_trades": 2, "n_long": 1, "n_short": 1, "dir_acc": 0.5}
+
+
+def test_boosted_trees():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 6))
+    y = np.where(x[:, 2] > 0.3, 2.0, -1.0) + 0.5 * (x[:, 4] > 0) + rng.normal(0, 0.1, 300)
+    for settings in ({}, {"absolute": True, "held": 0.1, "rounds": 400}):
+        model = boosting.fit(x[:200], y[:200], **settings)
+        assert np.abs(model.predict(x[200:]) - y[200:]).mean() < 0.25
+        found = boosting.importance(model, x[200:], y[200:], 3)
+        assert found.argsort()[::-1][:2].tolist() == [2, 4]
+    one = boosting.fit(x, y, depth=1, rounds=1, rate=1.0, leaf=20, l2=0.0)
+    cuts = one.cuts[int(one.trees[0][0][0])]
+    best = min((((y[m] - y[m].mean()) ** 2).sum() + ((y[~m] - y[~m].mean()) ** 2).sum(), j) for j in range(6) for c in boosting.fit(x, y, rounds=0).cuts[j] for m in [x[:, j] <= c] if min(m.sum(), (~m).sum()) >= 20)
+    assert best[1] == int(one.trees[0][0][0]) == 2 and math.isclose(((one.predict(x) - y) ** 2).sum(), best[0]) and len(cuts) < 64
+    assert np.ptp(boosting.fit(x, y, leaf=200).predict(x)) == 0
+
+
+def _weeks(spark, n=200, seed=1):
+    rng = np.random.default_rng(seed)
+    rows, y = [], 0.0
+    for k in range(n):
+        a, b = rng.normal(size=2)
+        rows.append((dt.date(2015, 1, 2) + dt.timedelta(7 * k), float(a), float(b), float(2 * np.sign(a) + rng.normal(0, 0.3))))
+    return spark.createDataFrame(rows, "date date, a double, b double, y double")
+
+
+def test_walk_forward_looks_back_only(spark):
+    rows = _weeks(spark)
+    groups = {"up": {"a": 1.0}, "down": {"b": -1.0}}
+    params = {"rounds": 30, "depth": 2, "rate": 0.2}
+    run = lambda df: {r["date"]: r for r in B.regime_walk_forward(df, "y", ["a", "b"], groups, "calm", ["a"], ["b"], start=150, step=10, params=params).collect()}
+    found = run(rows)
+    assert len(found) == 50 and sum(r["hit"] for r in found.values()) > 45
+    late = rows.withColumn("y", F.when(F.col("date") >= dt.date(2018, 6, 1), -F.col("y")).otherwise(F.col("y")))
+    again = run(late)
+    first = [d for d in found if d < dt.date(2018, 3, 1)]
+    assert first and all(found[d]["y_pred"] == again[d]["y_pred"] and found[d]["regime"] == again[d]["regime"] for d in first)
+
+
+def test_boosted_and_specialist_walk_forward(spark):
+    rows = _weeks(spark)
+    found = B.boosted_walk_forward(rows, "y", ["a", "b"], params=B.BOOSTED | {"rounds": 60, "rate": 0.1}).collect()
+    assert len(found) == 13 * 7 + 5 and sum((r["y_true"] > 0) == (r["y_pred"] > 0) for r in found) > 85
+    ranks = {r["feature"]: r["rank"] for r in B.permutation_importance(rows, "y", ["a", "b"], repeats=2, params=B.BOOSTED | {"rounds": 60, "rate": 0.1}).collect()}
+    assert ranks == {"a": 1, "b": 2}
+    scores = {"up": (("a", 1, False),), "down": (("a", -1, False),), "wide": (("b", 1, True),), "rest": ()}
+    found = B.specialist_walk_forward(rows, "y", ["a", "b"], ["a", "b"], scores, params={"rounds": 20, "rate": 0.2}).collect()
+    assert len(found) == 96 and {r["regime"] for r in found} <= set(scores) and sum(r["hit"] for r in found) > 85
+
+
+def test_driver_regimes():
+    rng = np.random.default_rng(3)
+    truth = np.repeat([0, 1, 2, 3, 0, 2], 50)
+    centre = np.array([[5, 0, 0, 0], [0, 5, 0, 0], [0, 0, 5, 0], [0, 0, 0, 5.0]])
+    x = centre[truth] + rng.normal(0, 0.3, (300, 4))
+    scores = {n: ((c, 1, False),) for n, c in zip(("supply", "demand", "macro", "risk_off"), "abcd", strict=True)}
+    model = R.DriverRegimes(x, list("abcd"), scores)
+    path, probs = model.infer(x)
+    assert np.mean([p == list(scores)[t] for p, t in zip(path, truth, strict=True)]) > 0.98
+    assert np.allclose(sum(probs.values()), 1) and all(b >= a - 1e-6 for a, b in itertools.pairwise(model.seen))
+
+
+def test_phrases(spark):
+    docs = spark.createDataFrame([(k, ["red", "sea", "port", "red", "sea", f"w{k}"]) for k in range(20)] + [(99, []), (98, ["red"])], "doc_id int, tokens array<string>")
+    found = K.phrases(docs, least=5, threshold=0.1)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {("red", "sea"), ("sea", "port"), ("port", "red")}
+    tokens = [r["token"] for r in K.phrased(docs, found).where("doc_id = 3").orderBy("pos").collect()]
+    assert tokens == ["red_sea", "port_red", "sea", "w3"]
+    seeds = spark.createDataFrame([("Red Sea",), ("port",), ("a b",)], "seed string")
+    assert {r["seed"]: r["token"] for r in K.seed_tokens(seeds, found).collect()} == {"Red Sea": "red_sea", "port": "port"}
+
+
+def test_word_vectors(spark):
+    rows = [(k, p, w) for k in range(60) for p, w in enumerate((["oil", "crude", "barrel"] if k % 2 else ["cat", "dog", "mouse"]) * 3)]
+    found = {r["word"]: np.array(r["vector"]) for r in K.word_vectors(spark.createDataFrame(rows, "doc_id int, pos int, token string"), size=16, rounds=5).collect()}
+    assert set(found) == {"oil", "crude", "barrel", "cat", "dog", "mouse"} and all(len(v) == 16 for v in found.values())
+    assert len(K.word_vectors(spark.createDataFrame(rows, "doc_id int, pos int, token string"), size=4, rounds=1, vocabulary=2).collect()) == 2
+
+
+def test_topics_by_model(spark):
+    rng = np.random.default_rng(0)
+    text = lambda k: f"{'quota talks opec' if k % 2 else 'inventories stockpile cushing'} " + " ".join(rng.choice(["alpha", "beta", "gamma", "delta"] if k % 2 else ["one", "two", "three", "four"], 12))
+    keywords = {"quota": ["quota"], "stock": ["stockpile"], "rare": ["zzz"]}
+    rows = spark.createDataFrame([(k, text(k)) for k in range(80)] + [(100, "alpha beta gamma delta alpha beta gamma delta alpha beta gamma delta alpha beta"), (101, ""), (102, None)], "id int, text string")
+    found = {r["id"]: r["topics"] for r in G.topics_by_model(rows, keywords=keywords).collect()}
+    assert all(found[k] == (["quota"] if k % 2 else ["stock"]) for k in range(80)) and found[100] == ["quota"] and found[101] == found[102] == []
+    none = G.topics_by_model(rows.where("id > 99"), keywords=keywords).collect()
+    assert all(r["topics"] == [] for r in none)
+
+
+def test_files(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    rows = files.csv_articles(spark, put("a.csv", 'headline,body_text,published_at\nOne,"two\nlines",2024-01-05T10:00:00Z\nTwo,x,never\n,y,"Mon, 01 Jan 2024 23:30:00 -0400"\n')).collect()
+    assert [(r["headline"], r["text"]) for r in rows] == [("One", "One two\nlines"), ("", "y")]
+    page = lambda *p: '{"response": {"total": "4", "data": [' + ", ".join(f'{{"period": "{a}", "value": {b}}}' for a, b in p) + "]}}"
+    put("s/1.json", page(("2024-01-05", 1.5), ("2024-01-12", "null")))
+    put("s/2.json", page(("2024-01-12", '"2"'), ("2024-01-05", 1.5)))
+    assert [tuple(r) for r in files.paged_series(spark, str(tmp_path / "s"), "x").collect()] == [(dt.date(2024, 1, 5), 1.5), (dt.date(2024, 1, 12), 2.0)]
+    loc = lambda *u: "<urlset>" + "".join(f"<url><loc>{a}</loc>{f'<lastmod>{b}</lastmod>' if b else ''}</url>" for a, b in u) + "</urlset>"
+    leaf = put("leaf.xml", loc(("/E/Oil/a.html", "2024-01-05T00:00:00"), ("site.com/E/Oil/b.html", None), ("https://site.com/E/Coal/c.html", None), ("https://site.com/E/Oil/d.html", "2023-01-01"), ("https://site.com/E/Oil/e.htm", None), ("ftp:x.html", None), ("/E/Oil/a.html", None)))
+    assert {r["url"]: r["lastmod"] for r in files.sitemap_urls(spark, leaf, "site.com", "2024-01-01", "2024-12-31", ["/E/"], ["/E/Coal/"]).collect()} == {"https://site.com/E/Oil/a.html": dt.date(2024, 1, 5), "https://site.com/E/Oil/b.html": None}
+    index = put("index.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>https://s/{n}</loc></sitemap>" for n in ("sitemap_articles_2024_1.xml", "sitemap_articles_2023_12.xml", "static.xml", "sitemap_articles_2024_3.xml")) + "</sitemapindex>")
+    assert files.sitemaps(spark, index, "2024-01-01", "2024-02-15") == ["https://s/sitemap_articles_2024_1.xml"]
+    assert files.optional(spark, lambda: spark.read.parquet(str(tmp_path / "none")), "id long").count() == 0
+    both = spark.createDataFrame([(1, 2, "https://s/c/Big-News.html")], "a int, p int, u string")
+    assert both.select(files.page_url(F.lit("https://s/c//"), F.col("p")).alias("x"), files.page_url(F.lit("https://s/c"), F.col("a")).alias("y"), files.slug_headline(F.col("u")).alias("z")).first() == ("https://s/c/Page-2.html", "https://s/c/", "Big News")
+    high = spark.createDataFrame([(1, "high"), (1, "medium"), (2, "low"), (3, "medium")], "id int, importance string")
+    assert sorted((r["id"], r["importance"], r["is_important"]) for r in files.important(high).collect()) == [(1, "high", True), (3, "medium", True)]
+    raw = put("raw.json", '{"id": 1, "title": "t", "created": "Mon, 01 Jan 2024 23:30:00 -0400", "channels": [{"name": "x"}]}\n{"id": 2, "created": "no", "tags": null}\n')
+    found = files.strategies(spark, {"broad": raw, "opec": raw}, {"broad": "wide"}).orderBy("id").collect()
+    assert [(r["id"], r["query_strategy"], r["query_tier"], r["channels"], r["date"]) for r in found] == [(1, "broad", "wide", ["x"], dt.date(2024, 1, 2)), (2, "broad", "wide", [], None)]
+    for kind in ("csv", "json", "parquet"):
+        files.write_table(high, str(tmp_path / f"out.{kind}"), kind)
+        assert spark.read.format(kind).option("header", True).load(str(tmp_path / f"out.{kind}")).count() == 4
+    files.write_table(high.withColumn("date", F.col("id")), str(tmp_path / "deep/x/y"))
+    assert files.folder(spark, str(tmp_path / "deep")).count() == 3
+
+
+def test_pages(spark):
+    html = '<script type="application/ld+json">{"x": 1}</script><script type="application/ld+json">{"dateCreated": "2024-01-05"}</script><h1>T <b>x</b></h1><article><p>' + "word " * 12 + "</p><p>Click here " + "word " * 12 + '</p></article><a href="/a/b.html">A long enough title here</a><a href="https://s.com/search/x.html">A long enough title too</a><a href="/a/b.html">Zz the same address again</a>'
+    rows = spark.createDataFrame([(1, "u", html), (2, "v", None)], "page_id int, url string, html string")
+    found = {r["page_id"]: r for r in pages.articles(rows).collect()}
+    assert found[1]["published_at"] == "2024-01-05" and found[1]["body"] == ("word " * 12).strip() and found[2]["body"] == ""
+    assert [tuple(r) for r in pages.article_links(pages.links(rows), "https://s.com").collect()] == [(1, "https://s.com/a/b.html", "A long enough title here")]
+
+
+def test_upsert_makes_the_table(spark, tmp_path):
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, 3)), (1, dt.date(2024, 1, 4))], "id int, date date").withColumn("query_strategy", F.lit("s"))
+    tables.upsert_months(rows, str(tmp_path / "t"), str(tmp_path / "s"))
+    assert [r["date"].day for r in tables.read_months(spark, str(tmp_path / "t")).collect()] == [3]
+
+
+def test_base_lexicon(spark):
+    from fathom.functions import words
+    from fathom.operators import lexicon as L
+
+    held = {r["word"]: r["polarity"] for r in L.base_lexicon(spark).collect()}
+    assert held["disruption"] == 1.0 and held["excess"] == -1.0  # the market's lists come last
+    assert set(held) == {w for some, _ in L.BASE for w in some} and set(words.BASE_POSITIVE) <= set(held)
