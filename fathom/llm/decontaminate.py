@@ -147,13 +147,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, run: int = RUN, gram: int =
 
     Returns doc_id, n_words, n_hit (words inside a shared window), item_ids
     (sorted as strings), n_items, contaminated; a row for each row of docs, also
-    for null ids. See shared_runs for nulls, short texts and repeats.
+    for null ids. Items without an id mark words, but are not among item_ids. See
+    shared_runs for nulls, short texts and repeats.
     """
     marked, runs = shared_runs(docs, items, run, gram)
-    by_doc = runs.groupBy("row_key", "doc_id").agg(
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"), F.collect_set(F.struct("start", "end")).alias("spans")
-    )
-    by_doc = by_doc.select(F.col("row_key").alias("k"), F.col("doc_id").alias("d"), "item_ids", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))).cast("long").alias("n_hit"))
+    by_doc = runs.groupBy("row_key", "doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    zero = F.lit(0).cast("long")
+    met = F.aggregate(
+        "spans", F.struct(zero.alias("upto"), zero.alias("n")),
+        lambda a, s: F.struct(F.greatest(a["upto"], s["end"].cast("long")).alias("upto"), (a["n"] + F.greatest(zero, s["end"] - F.greatest(a["upto"], s["start"].cast("long")))).alias("n")), lambda a: a["n"],
+    )
+    by_doc = by_doc.select(F.col("row_key").alias("k"), F.col("doc_id").alias("d"), "item_ids", met.alias("n_hit"))
     joined = marked.join(by_doc, (marked["row_key"] == by_doc["k"]) & marked["doc_id"].eqNullSafe(by_doc["d"]), "left")
     return joined.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")

@@ -51,8 +51,8 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
 def base_spans(docs: DataFrame) -> DataFrame:
     """docs with `text` as it is or empty, and a column of spans for each kind of PATTERNS."""
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    docs = docs.withColumns({f"_{kind}": matches(F.col("text"), pattern, kind) for kind, pattern in PATTERNS.items()})
-    return docs.withColumn("_assign", F.filter("_assign", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGNED))
+    docs = docs.withColumns({f"__scan_{kind}": matches(F.col("text"), pattern, kind) for kind, pattern in PATTERNS.items()})
+    return docs.withColumn("__scan_assign", F.filter("__scan_assign", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGNED))
 
 
 def samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -62,7 +62,7 @@ def samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     share = most / max(1, rows.count())
     few = rows.where(F.pmod("h", F.lit(1 << 20)) < int(min(1.0, 2 * share + 1e-3) * (1 << 20))).orderBy("h", "text").limit(most)
     few = base_spans(few)
-    marked = few.select(F.explode(F.concat("_assign", "_access", "_hex")).alias("s"))
+    marked = few.select(F.explode(F.concat("__scan_assign", "__scan_access", "__scan_hex")).alias("s"))
     random = marked.select(F.when(F.col("s.kind") == "assign", F.regexp_extract("s.value", ASSIGN, 2)).otherwise(F.col("s.value")).alias("value"), F.lit(1).alias("random"))
     rest = F.col("text")
     for pattern in PATTERNS.values():
@@ -103,14 +103,15 @@ def scan(docs: DataFrame, most: int = SAMPLE, least: float = SUM, mean: float =
     base has what the patterns find, spans also the tokens ("random") that overlap
     none of these and whose likelihood ratio reaches `least` in sum and `mean` for a
     transition. A null text counts as empty and has none; it stays null. Rows that
-    repeat are scanned alike. The models come from `most` documents at most.
+    repeat are scanned alike. Columns named base and spans are replaced; names that
+    begin with __scan_ are taken. The models come from `most` documents at most.
     """
     table = weights(samples(docs, most)).scalar()
-    rows = base_spans(docs.withColumn("_was", F.col("text")).drop("base", "spans"))
-    rows = rows.withColumn("_base", F.concat("_assign", "_access", "_hex")).withColumn("_token", matches(F.col("text"), TOKEN, "random"))
-    apart = F.filter("_token", lambda t: ~F.exists("_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    rows = rows.withColumn("_apart", apart).withColumn("_table", F.when(F.size("_apart") > 0, table))
-    scored = F.transform("_apart", lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), likelihood(t["value"], F.col("_table")).alias("ll")))
+    rows = base_spans(docs.withColumn("__scan_was", F.col("text")).drop("base", "spans"))
+    rows = rows.withColumn("__scan_base", F.concat("__scan_assign", "__scan_access", "__scan_hex")).withColumn("__scan_token", matches(F.col("text"), TOKEN, "random"))
+    apart = F.filter("__scan_token", lambda t: ~F.exists("__scan_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    rows = rows.withColumn("__scan_apart", apart).withColumn("__scan_table", F.when(F.size("__scan_apart") > 0, table))
+    scored = F.transform("__scan_apart", lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), likelihood(t["value"], F.col("__scan_table")).alias("ll")))
     chosen = F.filter(scored, lambda t: (t["ll"] >= least) & (t["ll"] >= mean * (t["end"] - t["start"] - 1)))
     order = F.create_map(*(x for i, kind in enumerate([*PATTERNS, "random"]) for x in (F.lit(kind), F.lit(i))))
 
@@ -119,8 +120,8 @@ def scan(docs: DataFrame, most: int = SAMPLE, least: float = SUM, mean: float =
         return F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     plain = F.transform(chosen, lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))
-    rows = rows.withColumn("spans", listed(F.concat(F.col("_base"), plain))).withColumn("base", listed(F.col("_base")))
-    return rows.withColumn("text", F.col("_was")).select(*(c for c in docs.columns if c not in ("base", "spans")), "base", "spans")
+    rows = rows.withColumn("spans", listed(F.concat(F.col("__scan_base"), plain))).withColumn("base", listed(F.col("__scan_base")))
+    return rows.withColumn("text", F.col("__scan_was")).select(*(c for c in docs.columns if c not in ("base", "spans")), "base", "spans")
 
 
 def as_text(spans: str) -> Column:

@@ -393,3 +393,26 @@ def test_pipeline_decides_by_row(spark):
     clean = [(None, text["a"], "s"), (5, text["c"], "s"), (6, text["d"], "s"), (6, text["d"], "s"), (None, None, "s")]
     left = told(corpus_pipeline.decontamination(spark, frame_of([*clean, (None, bad, "s"), (5, bad, "s"), (9, bad, "s"), (9, bad, "s")]), SMALL))
     assert left == Counter(clean)
+
+
+def test_pipeline_masks_and_packs(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "plain words only", "en", "s", 16), (2, "é token = hunter22x end", "en", "s", 23), (3, None, None, None, None), (None, "", "en", "s", 0), (2, "é token = hunter22x end", "en", "s", 23)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    masked = corpus_pipeline.secrets(spark, docs, SMALL)
+    want = Counter([(1, "plain words only", 16), (2, "é <secret> end", 14), (3, None, None), (None, "", 0), (2, "é <secret> end", 14)])
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in masked.collect()) == want
+    t = Tokenizer.from_file(tokenizer)
+    packed = corpus_pipeline.packing(spark, masked, SMALL).collect()
+    assert sum(r["length"] for r in packed) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x, _ in want.elements())
+    assert corpus_pipeline.packing(spark, docs.limit(0), SMALL).count() == corpus_pipeline.secrets(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_pipeline_quality_keeps_what_the_model_accepts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(None, docs.first()["text"]), (5, None)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    both = docs.unionByName(odd)
+    model = queries.quality_model(spark, docs, SMALL)
+    want = Counter((r["doc_id"], r["text"]) for r in quality.score(both.select("doc_id", "text"), model).where("score >= 0.3").collect())
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.quality(spark, both, SMALL).collect()) == want
