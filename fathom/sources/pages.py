@@ -63,7 +63,7 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "article":
             self.depth -= 1
-        if tag == self.inside:
+        if tag == self.inside or tag in ("article", "main", "section", "div", "body"):  # these end an open paragraph
             self.inside = None
 
     def handle_data(self, data):
