@@ -8,9 +8,9 @@ has end there. Each block gets the counts of its other n-grams back, and scores
 summed for each document.
 
 An n-gram that every document has costs one row for each block, so frequent words
-make no partition heavy. The range of hashes is worked through in ROUNDS parts, so
-that only that share of the rows lies in shuffle files at once; each round's files go
-when it is written.
+make no partition heavy. The orders are worked through one after the other, and the
+hashes of each in SPLITS parts, so that only that share of the rows lies in shuffle
+files at once; a step's files go when it is written.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from fathom.llm import blocks
 from fathom.llm.base import ARROW_BYTES, bounded_batches, written
 
 ORDER, BACKOFF = 3, 0.4
-#: Parts of the range of hashes, a power of two; rows of a partition of one of them; parts
-#: in which the blocks are scored.
-ROUNDS, PART_ROWS, SIDES = 4, 1_500_000, 4
+#: Parts of an order's range of hashes, a power of two; rows of a partition of one of them;
+#: parts in which the blocks are scored.
+SPLITS, PART_ROWS, SIDES = 2, 1_500_000, 4
 #: Rows of an Arrow batch.
 _SOME = 1 << 16
 
@@ -72,20 +72,29 @@ def _ngrams(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, n
     return grams[whole], np.flatnonzero(whole).astype(np.int32)
 
 
-def _exploded(order: int, shift: int, part: int):
-    """The rows of each block's distinct n-grams whose hashes begin with `part`; places
-    of one order leave the same remainder when divided by `order`."""
+def _steps(order: int, splits: int) -> list[list[tuple[int, int | None]]]:
+    """What each step counts: orders and parts of their hashes; single words go with the
+    first pairs, whole."""
+    if order == 1:
+        return [[(1, None)]]
+    return [[(n, p), *([(1, None)] if (n, p) == (2, 0) else [])] for n in range(2, order + 1) for p in range(splits)]
+
+
+def _exploded(order: int, shift: int, step: list[tuple[int, int | None]]):
+    """The rows of each block's distinct n-grams of a step; places of one order leave the
+    same remainder when divided by `order`. What varies least comes first in a row, so
+    that rows compress well."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 _, text, hashes = _held(batch, k)
-                for n in range(1, order + 1):
+                for n, part in step:
                     found, _ = _ngrams(text, hashes, n)
-                    grams, own = np.unique(found[found >> np.uint64(shift) == part], return_counts=True)
+                    grams, own = np.unique(found if part is None else found[found >> np.uint64(shift) == part], return_counts=True)
                     places = np.arange(len(grams), dtype=np.int32) * np.int32(order) + np.int32(n - 1)
-                    columns = [pa.array(x) for x in (grams.view(np.int64), np.full(len(grams), batch.column("block")[k].as_py()), places, own.astype(np.int32))]
-                    rows = pa.RecordBatch.from_arrays(columns, ["gram", "block", "place", "own"])
+                    columns = [pa.array(x) for x in (np.full(len(grams), batch.column("block")[k].as_py()), own.astype(np.int32), grams.view(np.int64), places)]
+                    rows = pa.RecordBatch.from_arrays(columns, ["block", "own", "gram", "place"])
                     for at in range(0, len(grams), _SOME):
                         yield rows.slice(at, _SOME)
 
@@ -102,10 +111,11 @@ def _sorted(grams: np.ndarray) -> np.ndarray:
     return np.argsort(grams, kind="stable") if mixed.any() else sort
 
 
-def _others(grams: np.ndarray, of: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], shift: int) -> np.ndarray:
+def _others(grams: np.ndarray, of: np.ndarray, counts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
     """How often other documents than its own (`of`) have each n-gram. counts: for each
-    part of the hashes, places and counts of those that other blocks have too. N-grams
-    of one document follow each other, so a stable sort keeps equal ones together."""
+    part of the hashes where it begins, and places and counts of the n-grams that other
+    blocks have too. N-grams of one document follow each other, so a stable sort keeps
+    equal ones together."""
     sort = _sorted(grams)
     grams, of = grams[sort], of[sort]
     new = np.ones(len(grams), bool)
@@ -113,8 +123,8 @@ def _others(grams: np.ndarray, of: np.ndarray, counts: list[tuple[np.ndarray, np
     first = np.flatnonzero(new)
     keys, often = grams[first], np.diff(np.append(first, len(grams)))
     known = often.copy()
-    for part, (place, n) in enumerate(counts):
-        known[np.searchsorted(keys, np.uint64(part << shift)) + place] = n
+    for begin, place, n in counts:
+        known[np.searchsorted(keys, np.uint64(begin)) + place] = n
     rest = np.repeat(known, often)
     new[1:] |= of[1:] != of[:-1]
     run = np.diff(np.append(np.flatnonzero(new), len(grams)))
@@ -124,16 +134,15 @@ def _others(grams: np.ndarray, of: np.ndarray, counts: list[tuple[np.ndarray, np
     return out
 
 
-def _scores(held: tuple, counts: list[list[tuple[np.ndarray, np.ndarray]]], shift: int, backoff: float, total: int) -> np.ndarray:
+def _scores(sizes: np.ndarray, text: np.ndarray, hashes: np.ndarray, counts: list[list[tuple[int, np.ndarray, np.ndarray]]], backoff: float, total: int) -> np.ndarray:
     """The sum of the log scores of each document's words, from the counts of each order."""
-    sizes, text, hashes = held
-    ahead = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    most = np.minimum(ahead, len(counts) - 1)
-    score, last = np.zeros(len(text)), np.zeros(0)
+    most = np.minimum(np.arange(len(text), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes), len(counts) - 1)
+    score, last = np.zeros(0), np.zeros(0)
     for n, some in enumerate(counts, 1):
         grams, begin = _ngrams(text, hashes, n)
         found = np.zeros(len(text))
-        found[begin + n - 1] = _others(grams, text[begin], some, shift)
+        found[begin + n - 1] = _others(grams, text[begin], some)
+        del grams, begin
         if n == 1:
             score = np.log(np.maximum(found, 0.5) / np.maximum(total - sizes[text], 1)) + np.log(backoff) * most
         else:
@@ -143,7 +152,7 @@ def _scores(held: tuple, counts: list[list[tuple[np.ndarray, np.ndarray]]], shif
     return np.bincount(text, score, len(sizes)) if len(text) else np.zeros(len(sizes))
 
 
-def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, splits: int = SPLITS) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs over the words) and score, its
     mean, for each row of docs (doc_id, text).
 
@@ -155,27 +164,32 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, rounds:
     their own, so copies make each other likely; ids may be null.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 1250, ARROW_BYTES // 2)
-    shift = 64 - (rounds.bit_length() - 1)
-    if rounds < 2 or rounds & (rounds - 1):
-        raise ValueError("rounds must be a power of two")
+    if splits < 2 or splits & (splits - 1):
+        raise ValueError("splits must be a power of two")
+    bounded_batches(spark, 1900, ARROW_BYTES * 3 // 4)
+    shift, steps = 64 - (splits.bit_length() - 1), _steps(order, splits)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = written(rows.mapInArrow(_blocks, _BLOCK), "blocks", compression="zstd")
     total = cut.agg(F.sum("words")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * order // (rounds * PART_ROWS)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * order // (len(steps) * PART_ROWS)))
     bounded_batches(spark, _SOME)
     counted = []
-    for part in range(rounds):
-        each = cut.mapInArrow(_exploded(order, shift, part), "gram long, block long, place int, own int").repartition(parts, "gram")
+    for at, step in enumerate(steps):
+        each = cut.mapInArrow(_exploded(order, shift, step), "block long, own int, gram long, place int").repartition(parts, "gram")
         each = each.withColumn("n", F.sum("own").over(Window.partitionBy("gram"))).where("n > own").select("block", "place", "n")
-        counted.append(written(each, "counts", compression="zstd").withColumn("part", F.lit(part)))
+        counted.append(written(each, "counts").withColumn("step", F.lit(at)))
     counts = reduce(DataFrame.unionAll, counted)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        part, place, n = (np.asarray(right.column(c)) for c in ("part", "place", "n"))
-        each = [[(place[some] // order, n[some]) for p in range(rounds) for some in [(part == p) & (place % order == k)]] for k in range(order)]
+        at, place, n = (np.asarray(right.column(c)) for c in ("step", "place", "n"))
+        each: list[list] = [[] for _ in range(order)]
+        for k, step in enumerate(steps):
+            for m, part in step:
+                own = np.flatnonzero((at == k) & (place % order == m - 1))
+                each[m - 1].append(((part or 0) << shift, place[own] // order, n[own]))
+        del at, place, n
         held = _held(left, 0)
-        found = _scores(held, each, shift, backoff, total)
+        found = _scores(*held, each, backoff, total)
         size = held[0].astype(np.int64)
         mean = np.divide(found, size, out=np.zeros(len(size)), where=size > 0)
         return pa.table({"doc_id": left.column("doc_ids")[0].values.cast(pa.int64()), "n_words": size, "log_score": found, "score": pa.array(mean, mask=size == 0)})
