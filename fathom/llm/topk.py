@@ -5,7 +5,9 @@ query probes values within a radius of its own in every segment; the radius
 grows by one each round. After radius r every code at a distance of up to
 m * (r + 1) - 1 has been met, because one that is farther than r in every
 segment differs in m * (r + 1) bits. A query is settled once the distance of its
-k-th verified neighbour is covered in this sense, and only the others go on.
+k-th verified neighbour is covered in this sense, and only the others go on. Codes
+farther than the k-th of a few from its own buckets never leave the join, and a
+bucket of very many codes is dealt out over salts.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from fathom.llm.base import written
 
 K, EVERY = 10, 50
+#: Codes of a bucket for each of the salts that it is dealt out over.
+SALTED = 20_000
 
 
 def sign_code(vector: str) -> Column:
@@ -68,7 +72,15 @@ def _probes(of: list[int], ones: int) -> Column:
     return F.transform(choice, lambda flip: F.col("value").bitwiseXOR(flip))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """(query, kth) of found (query, code, members, distance): the distance within which
+    more than k rows lie; no row for a query with fewer."""
+    run = Window.partitionBy("query").orderBy("distance")
+    sums = found.groupBy("query", "distance").agg(F.sum("members").alias("n")).withColumn("n", F.sum("n").over(run))
+    return sums.where(F.col("n") > k).groupBy("query").agg(F.min("distance").alias("kth"))
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = 64, salted: int = SALTED) -> DataFrame:
     """The k rows (id, code) nearest to each of queries (id, code) by Hamming
     distance, ties by id, without the row of the query's own id.
 
@@ -86,19 +98,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = 64) -> Da
     codes = written(codes.withColumn("members", F.size("ids")), "codes")
     asked = queries.where("id is not null and code is not null").select("id", "code").distinct()
     of = widths(codes.count(), bits)
-    index = written(codes.select("code", "members", F.explode(_segments("code", of)).alias("s")).select("s.segment", "s.value", "code", "members"), "index")
-    open_ = written(asked.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(bits)), "open")
+    index = codes.select("code", "members", F.explode(_segments("code", of)).alias("s")).select("s.segment", "s.value", "code", "members")
+    hot = written(index.groupBy("segment", "value").agg(F.ceil(F.count("*") / salted).alias("salts")).where("salts > 1"), "hot")  # codes * segments / `salted` rows at most
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    index = written(index.join(hot, ["segment", "value"], "left").withColumn("salt", F.pmod(F.xxhash64("code"), salts)).drop("salts"), "index")
+    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
+    asked_codes = asked.select(F.col("code").alias("query")).distinct()
+    own = asked_codes.select("query", F.explode(_segments("query", of)).alias("s")).select("query", "s.segment", "s.value")
+    few = index.where("salt = 0").withColumn("n", F.row_number().over(Window.partitionBy("segment", "value").orderBy("code"))).where(F.col("n") <= k + 1)
+    near = own.join(few, ["segment", "value"]).select("query", "code", "members", distance.alias("distance")).distinct()
+    open_ = written(asked_codes.join(_kth(near, k), "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("bound")), "open")
     found = settled = None
     for ones in range(max(of) + 1):
         probes = open_.select("query", "bound", F.explode(_segments("query", of)).alias("s")).select("query", "bound", "s.segment", "s.value")
         probes = probes.select("query", "bound", "segment", F.explode(_probes(of, ones)).alias("value"))
-        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
-        met = probes.join(index, (probes["segment"] == index["segment"]) & (probes["value"] == index["value"]) & (distance <= F.col("bound")))
-        met = met.select("query", "code", "members", distance.alias("distance"))
+        probes = probes.join(hot, ["segment", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+        met = probes.join(index, ["segment", "value", "salt"]).where(distance <= F.col("bound")).select("query", "code", "members", distance.alias("distance"))
         found = written((met if found is None else met.union(found)).distinct(), "found")
-        run = Window.partitionBy("query").orderBy("distance")
-        sums = found.groupBy("query", "distance").agg(F.sum("members").alias("n")).withColumn("n", F.sum("n").over(run))
-        kth = sums.where(F.col("n") > k).groupBy("query").agg(F.min("distance").alias("kth"))
+        kth = _kth(found, k)
         covered = len(of) * (ones + 1) - 1
         state = written(open_.select("query").join(kth, "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("bound")), "state")
         found = found.join(state, "query").where("distance <= bound").select("query", "code", "members", "distance")

@@ -358,7 +358,10 @@ def test_top_k(spark):
     rows = [(k, c) for k, c in enumerate(codes)] + [(None, 5), (900, None), (0, codes[0])]
     df = spark.createDataFrame(rows, "id long, code long")
     found = defaultdict(list)
-    for r in topk.top_k(df, df.where("id % 50 = 0"), 7).orderBy("id", "rank").collect():
+    codes[100:200] = [c & ~0xFF for c in codes[100:200]]  # a bucket that a third of the codes share
+    rows = [(k, c) for k, c in enumerate(codes)] + [(None, 5), (900, None), (0, codes[0])]
+    df = spark.createDataFrame(rows, "id long, code long")
+    for r in topk.top_k(df, df.where("id % 50 = 0"), 7, salted=30).orderBy("id", "rank").collect():
         found[r["id"]].append((r["distance"], r["neighbor_id"]))
     for q in range(0, 300, 50):
         want = sorted(((codes[q] ^ c) & (1 << 64) - 1).bit_count() * 1000 + k for k, c in enumerate(codes) if k != q)[:7]
