@@ -330,13 +330,15 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, group: int =
     if not big.isEmpty():
         known = connected(links.join(big.select("rep"), "rep", "left_semi"), "rep", "low")
         now = written(big.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
-        main = now.where("rep = part").select("part", F.col("label").alias("main"))
-        apart = now.join(main, "part").where("label <> main")
-        apart = apart.join(apart.groupBy("part").agg(F.ceil(F.count("*") / group).alias("sides")), "part")
-        pair = (F.col("block") * F.col("sides") + F.col("side")).alias("block")
+        # what holds for a whole group is repeated for its blocks, so that no join deals a group to one task
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        main = now.where("rep = part").select("part", F.col("label").alias("main"), upto("blocks").alias("block"))
+        apart = now.join(main, ["part", "block"]).where("label <> main")
+        sides = apart.groupBy("part", "blocks").agg(F.ceil(F.count("*") / group).alias("sides")).select("part", "sides", upto("blocks").alias("block"))
+        apart = apart.join(sides, ["part", "block"])
+        pair = (F.col("block") * F.col("sides") + F.col("side")).alias("block")
         one = apart.withColumn("side", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("sides"))).withColumn("block", upto("blocks"))
-        two = now.join(apart.select("part", "sides").distinct(), "part").withColumn("side", upto("sides"))
+        two = now.join(sides, ["part", "block"]).withColumn("side", upto("sides"))
         both = [x.select("part", pair, "rep", "label", "set_id") for x in (one, two)]
         links = links.union(written(_confirmed(both[0].union(both[1]).distinct(), texts, similarity), "links"))
     # texts that share an id are one document
