@@ -73,11 +73,12 @@ def _ngrams(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def _steps(order: int, splits: int) -> list[list[tuple[int, int | None]]]:
-    """What each step counts: orders and parts of their hashes; single words go with the
-    first pairs, whole."""
+    """What each step counts: orders and parts of their hashes. The first step, which has
+    the most rows, is of single words, whole, and the first pairs; the last ones, beside
+    the counts of all others, are of the other pairs, which are the fewest."""
     if order == 1:
         return [[(1, None)]]
-    return [[(n, p), *([(1, None)] if (n, p) == (2, 0) else [])] for n in range(2, order + 1) for p in range(splits)]
+    return [[(2, 0), (1, None)], *([(n, p)] for n in range(order, 1, -1) for p in range(splits) if (n, p) != (2, 0))]
 
 
 def _exploded(order: int, shift: int, step: list[tuple[int, int | None]]):
