@@ -170,7 +170,7 @@ DRIVER_SCORES = {
     "supply": (("opec_event_day", 1, False), ("disruption_event_day", 1, False), ("disruption_intensity", 1, False)),
     "demand": (("spx_ret_pct", 1, False), ("inventory_chg_kb", -1, False)),
     "macro": (("usd_mom_4w", 1, True), ("yield_10y_chg", 1, True)),
-    "risk_off": (("realized_vol", 1, False), ("negative_ratio", 1, False), ("finbert_negative_mean", 1, False)),
+    "risk_off": (("realized_vol", 1, False), ("negative_ratio", 1, False), ("negative_mean", 1, False)),
 }
 
 
