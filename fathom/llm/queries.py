@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.base import remainder, table
 from fathom.llm.decontaminate import decontaminate
-from fathom.llm import langid, lm, quality
+from fathom.llm import bpe, fim, langid, lm, quality, whitening
 from fathom.llm.neardup import near_duplicates
 from fathom.llm.packing import pack
 from fathom.llm.records import tokenized
@@ -76,7 +76,24 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where(F.col("id") % EVERY == 0)).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_lm_scores, op3_token_records, op4_decontaminate, op5_quality, op6_language, op7_secrets, op8_pack, op9_near_duplicates, op10_top_k)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    sizes = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    digests = [F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (fim.restored(), "restored_sha256"))]
+    return found.select("doc_id", "n", "form", *sizes, *digests)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op2_lm_scores, op3_token_records, op4_decontaminate, op5_quality, op6_language, op7_secrets, op8_pack, op9_near_duplicates, op10_top_k, op11_whitening, op12_fill_in_middle, op13_bpe)}
 
 #: Words of a text as LM scoring and near-duplicate detection take them.
 WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -118,4 +135,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighb
 SELECT vec_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op2_lm_scores": LM_SQL, "op10_top_k": TOP_K_SQL}
+#: Units as a list, cut by two draws of the id.
+FIM_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w,
+    list_transform(range(4), lambda k: ('0x' || substr(h, 8 * k::INTEGER + 1, 8))::BIGINT) AS r FROM d),
+c AS (SELECT *, len(w) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+    WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b FROM c),
+q AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM p)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM q
+"""
+
+ORACLES: dict[str, str] = {"op12_fill_in_middle": FIM_SQL, "op2_lm_scores": LM_SQL, "op10_top_k": TOP_K_SQL}
