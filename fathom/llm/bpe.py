@@ -26,8 +26,8 @@ from fathom.llm.tokens import Encoder
 
 #: What a leaf without a mergeable pair holds, and the bits of a place in the others.
 FREE, PLACE = 1 << 96, 40
-#: Words that a worker remembers; beyond this it starts afresh.
-REMEMBERED = 1_000_000
+#: Words that a worker remembers beside its chunks; beyond this it starts afresh.
+REMEMBERED = 100_000
 
 
 class Ids(NamedTuple):
