@@ -7,10 +7,13 @@ a sum over all blocks is count table and join at once; n-grams that no other blo
 has end there. Each block gets the counts of its other n-grams back, and scores are
 summed for each document.
 
-An n-gram that every document has costs one row for each block, so frequent words
-make no partition heavy. The orders are worked through one after the other, and the
-hashes of each in SPLITS parts, so that only that share of the rows lies in shuffle
-files at once; a step's files go when it is written.
+N-grams that most blocks have are told by a few blocks, SAMPLED of them, and don't
+become rows of the blocks at all: each task sums them over its blocks first, so that
+a frequent word has one row a task, and their counts, FREQUENT an order at most, go
+to the blocks as a whole. Which n-grams these are changes the work, not the result.
+The orders are worked through one after the other, and the hashes of each in SPLITS
+parts, so that only that share of the rows lies in shuffle files at once; a step's
+files go when it is written.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ ORDER, BACKOFF = 3, 0.4
 #: Parts of an order's range of hashes, a power of two; rows of a partition of one of them;
 #: parts in which the blocks are scored.
 SPLITS, PART_ROWS, SIDES = 2, 1_500_000, 4
+#: Blocks that tell frequent n-grams, those that half of them have, and how many an order has at most.
+SAMPLED, FREQUENT = 8, 1 << 15
 #: Rows of an Arrow batch.
 _SOME = 1 << 16
 
@@ -81,12 +86,43 @@ def _steps(order: int, splits: int) -> list[list[tuple[int, int | None]]]:
     return [[(2, 0), (1, None)], *([(n, p)] for n in range(order, 1, -1) for p in range(splits) if (n, p) != (2, 0))]
 
 
-def _exploded(order: int, shift: int, step: list[tuple[int, int | None]]):
+def _frequent(order: int):
+    """(n, gram): the n-grams of each order that half of the blocks have, two at least."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each: list[list[np.ndarray]] = [[] for _ in range(order)]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, text, hashes = _held(batch, k)
+                for n in range(1, order + 1):
+                    each[n - 1].append(np.unique(_ngrams(text, hashes, n)[0]))
+        for n, some in enumerate(each, 1):
+            if some:
+                grams, count = np.unique(np.concatenate(some), return_counts=True)
+                at = np.flatnonzero(2 * count >= max(4, len(some)))
+                at = at[np.argsort(-count[at], kind="stable")[:FREQUENT]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(grams[at].view(np.int64))], ["n", "gram"])
+
+    return frequent
+
+
+def _within(grams: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of grams are in some, their places there); some is sorted."""
+    if not len(some):
+        return np.zeros(len(grams), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(some, grams), len(some) - 1)
+    found = some[at] == grams
+    return found, at[found]
+
+
+def _exploded(order: int, shift: int, step: list[tuple[int, int | None]], frequent: list[np.ndarray]):
     """The rows of each block's distinct n-grams of a step; places of one order leave the
     same remainder when divided by `order`. What varies least comes first in a row, so
-    that rows compress well."""
+    that rows compress well. Frequent n-grams have one row each at the end of a task,
+    of block -1, with their sum and their place among the frequent ones."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {n: np.zeros(len(frequent[n - 1]), np.int64) for n, _ in step}
         for batch in batches:
             for k in range(batch.num_rows):
                 _, text, hashes = _held(batch, k)
@@ -94,14 +130,23 @@ def _exploded(order: int, shift: int, step: list[tuple[int, int | None]]):
                     found, _ = _ngrams(text, hashes, n)
                     grams, own = np.unique(found if part is None else found[found >> np.uint64(shift) == part], return_counts=True)
                     places = np.arange(len(grams), dtype=np.int32) * np.int32(order) + np.int32(n - 1)
-                    columns = [pa.array(x) for x in (np.full(len(grams), batch.column("block")[k].as_py()), own.astype(np.int32), grams.view(np.int64), places)]
-                    rows = pa.RecordBatch.from_arrays(columns, ["block", "own", "gram", "place"])
-                    for at in range(0, len(grams), _SOME):
-                        yield rows.slice(at, _SOME)
+                    known, at = _within(grams, frequent[n - 1])
+                    sums[n][at] += own[known]
+                    yield from _rows(batch.column("block")[k].as_py(), own[~known], grams[~known], places[~known])
+        for n, total in sums.items():
+            at = np.flatnonzero(total)
+            yield from _rows(-1, total[at], frequent[n - 1][at], (at * order + n - 1).astype(np.int32))
 
     return explode
 
 
+def _rows(block: int, own: np.ndarray, grams: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    columns = [pa.array(x) for x in (np.full(len(grams), block), own.astype(np.int32), grams.view(np.int64), places)]
+    rows = pa.RecordBatch.from_arrays(columns, ["block", "own", "gram", "place"])
+    for at in range(0, len(grams), _SOME):
+        yield rows.slice(at, _SOME)
+
+
 def _sorted(grams: np.ndarray) -> np.ndarray:
     """np.argsort(grams, kind="stable"): hashes without their last bits, and places in
     those, sort much faster as numbers; where that leaves two apart, the slow way."""
@@ -112,11 +157,11 @@ def _sorted(grams: np.ndarray) -> np.ndarray:
     return np.argsort(grams, kind="stable") if mixed.any() else sort
 
 
-def _others(grams: np.ndarray, of: np.ndarray, counts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+def _others(grams: np.ndarray, of: np.ndarray, counts: list[tuple[int, np.ndarray, np.ndarray]], frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """How often other documents than its own (`of`) have each n-gram. counts: for each
     part of the hashes where it begins, and places and counts of the n-grams that other
-    blocks have too. N-grams of one document follow each other, so a stable sort keeps
-    equal ones together."""
+    blocks have too; frequent: the frequent n-grams and their counts. N-grams of one
+    document follow each other, so a stable sort keeps equal ones together."""
     sort = _sorted(grams)
     grams, of = grams[sort], of[sort]
     new = np.ones(len(grams), bool)
@@ -126,6 +171,8 @@ def _others(grams: np.ndarray, of: np.ndarray, counts: list[tuple[int, np.ndarra
     known = often.copy()
     for begin, place, n in counts:
         known[np.searchsorted(keys, np.uint64(begin)) + place] = n
+    inside, at = _within(keys, frequent[0])
+    known[inside] = frequent[1][at]
     rest = np.repeat(known, often)
     new[1:] |= of[1:] != of[:-1]
     run = np.diff(np.append(np.flatnonzero(new), len(grams)))
@@ -135,14 +182,14 @@ def _others(grams: np.ndarray, of: np.ndarray, counts: list[tuple[int, np.ndarra
     return out
 
 
-def _scores(sizes: np.ndarray, text: np.ndarray, hashes: np.ndarray, counts: list[list[tuple[int, np.ndarray, np.ndarray]]], backoff: float, total: int) -> np.ndarray:
+def _scores(sizes: np.ndarray, text: np.ndarray, hashes: np.ndarray, counts: list[list[tuple[int, np.ndarray, np.ndarray]]], frequent: list[tuple[np.ndarray, np.ndarray]], backoff: float, total: int) -> np.ndarray:
     """The sum of the log scores of each document's words, from the counts of each order."""
     most = np.minimum(np.arange(len(text), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes), len(counts) - 1)
     score, last = np.zeros(0), np.zeros(0)
     for n, some in enumerate(counts, 1):
         grams, begin = _ngrams(text, hashes, n)
         found = np.zeros(len(text))
-        found[begin + n - 1] = _others(grams, text[begin], some)
+        found[begin + n - 1] = _others(grams, text[begin], some, frequent[n - 1])
         del grams, begin
         if n == 1:
             score = np.log(np.maximum(found, 0.5) / np.maximum(total - sizes[text], 1)) + np.log(backoff) * most
@@ -173,13 +220,20 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, splits:
     cut = written(rows.mapInArrow(_blocks, _BLOCK), "blocks", compression="zstd")
     total = cut.agg(F.sum("words")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * order // (len(steps) * PART_ROWS)))
+    few = [r["block"] for r in cut.select("block").orderBy("block").limit(SAMPLED).collect()]
+    found = cut.where(F.col("block").isin(few)).coalesce(1).mapInArrow(_frequent(order), "n int, gram long").collect()  # FREQUENT an order at most
+    frequent = [np.sort(np.array([r["gram"] for r in found if r["n"] == n], np.int64).view(np.uint64)) for n in range(1, order + 1)]
     bounded_batches(spark, _SOME)
     counted = []
     for at, step in enumerate(steps):
-        each = cut.mapInArrow(_exploded(order, shift, step), "block long, own int, gram long, place int").repartition(parts, "gram")
-        each = each.withColumn("n", F.sum("own").over(Window.partitionBy("gram"))).where("n > own").select("block", "place", "n")
+        each = cut.mapInArrow(_exploded(order, shift, step, frequent), "block long, own int, gram long, place int").repartition(parts, "gram")
+        each = each.withColumn("n", F.sum("own").over(Window.partitionBy("gram"))).where("n > own or block < 0").select("block", "place", "n")
         counted.append(written(each, "counts").withColumn("step", F.lit(at)))
     counts = reduce(DataFrame.unionAll, counted)
+    sums = [np.zeros(len(grams), np.int64) for grams in frequent]
+    for r in counts.where("block < 0").select("place", "n").distinct().collect():  # as many as there are frequent n-grams
+        sums[r["place"] % order][r["place"] // order] = r["n"]
+    counts, known = counts.where("block >= 0"), list(zip(frequent, sums, strict=True))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         at, place, n = (np.asarray(right.column(c)) for c in ("step", "place", "n"))
@@ -190,7 +244,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, splits:
                 each[m - 1].append(((part or 0) << shift, place[own] // order, n[own]))
         del at, place, n
         held = _held(left, 0)
-        found = _scores(*held, each, backoff, total)
+        found = _scores(*held, each, known, backoff, total)
         size = held[0].astype(np.int64)
         mean = np.divide(found, size, out=np.zeros(len(size)), where=size > 0)
         return pa.table({"doc_id": left.column("doc_ids")[0].values.cast(pa.int64()), "n_words": size, "log_score": found, "score": pa.array(mean, mask=size == 0)})
