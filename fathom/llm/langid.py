@@ -166,8 +166,9 @@ def identify(docs: DataFrame, held_out: Column | None = None, sample: int = SAMP
     for r in known.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # COLUMNS rows at most
         idf[r["feature"]] -= np.log1p(r["n"])
     each = max(1, sample // len(classes))
-    share = F.coalesce(*(F.when(F.col("lang") == c, F.lit(int(min(1.0, 2 * each / n + 1e-4) * (1 << 30)))) for c, n in sizes.items()))
-    few = known.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) <= share).dropDuplicates(["lang", "h"])
+    # about twice as many texts as are asked for get past the filter, however many there are
+    share = F.coalesce(*(F.when(F.col("lang") == c, F.lit(int(min(1.0, (2 * each + 1000) / n) * (1 << 62)))) for c, n in sizes.items()))
+    few = known.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 62))).where(F.col("h") <= share).dropDuplicates(["lang", "h"])
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= each).drop("n")
     model = few.repartition(1).mapInArrow(_trained(idf, classes), "weights binary, temperature double").first()
     w = np.frombuffer(model["weights"], np.float32).reshape(COLUMNS, len(classes))

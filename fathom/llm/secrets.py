@@ -58,9 +58,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(value, random): labelled strings from `most` documents, chosen by hash. What the
     patterns match is random, words elsewhere are not."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    share = most / max(1, rows.count())
-    few = rows.where(F.pmod("h", F.lit(1 << 20)) < int(min(1.0, 2 * share + 1e-3) * (1 << 20))).orderBy("h", "text").limit(most)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)).alias("h"))
+    # about twice as many rows as are asked for get past the filter, however many there are
+    share = min(1.0, (2 * most + 1000) / max(1, rows.count()))
+    few = rows.where(F.col("h") <= int(share * (1 << 62))).orderBy("h", "text").limit(most)
     few = base_spans(few)
     marked = few.select(F.explode(F.concat("__scan_assign", "__scan_access", "__scan_hex")).alias("s"))
     random = marked.select(F.when(F.col("s.kind") == "assign", F.regexp_extract("s.value", ASSIGN, 2)).otherwise(F.col("s.value")).alias("value"), F.lit(1).alias("random"))
