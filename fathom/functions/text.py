@@ -109,6 +109,15 @@ def article_time(value: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(value), F.try_to_timestamp(F.substring(value, 6, 40), F.lit("dd MMM yyyy HH:mm:ss Z")))
 
 
+def article_day(value: Column) -> Column:
+    """The day of a text that is an ISO or RFC 2822 time, or starts with a date such as
+    2024-01-05 or Jan 5, 2024; null if it does neither."""
+    text = F.trim(value)
+    named = F.regexp_extract(text, r"^([A-Za-z]{3})[a-z]*[.]?\s+(\d{1,2}),\s+(\d{4})", 0)
+    short = F.regexp_replace(named, r"^([A-Za-z]{3})[a-z]*[.]?\s+", "$1 ")
+    return F.coalesce(F.to_date(article_time(text)), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"), F.try_to_date(short, "MMM d, yyyy"))
+
+
 def softmax(scores: list[Column]) -> list[Column]:
     top = F.greatest(*scores)
     e = [F.exp(s - top) for s in scores]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions.text import article_time, hashed_id, joined
+from fathom.functions.text import article_day, article_time, hashed_id, joined
 from fathom.operators.series import keep_first
 
 PAYLOAD = """id long, title string, teaser string, body string, author string, url string, created string, updated string,
@@ -25,6 +25,17 @@ def scan_windows(spark: SparkSession, first: str, last: str, days: int = 30) ->
     return starts.withColumn("end", F.least(F.date_add("start", days), F.lit(last).cast("date")))
 
 
+def by_window(rows: DataFrame, days: int = 30, date: str = "date") -> DataFrame:
+    """(start, end, n): the windows of scan_windows() that cover the dates of rows, and how
+    many rows each has. A row's window follows from its date, so nothing is compared."""
+    ends = rows.agg(F.min(date).alias("a"), F.max(date).alias("b")).where("a is not null")
+    windows = ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval {days + 1} days"))).alias("start"), "b").select("start", F.least(F.date_add("start", days), F.col("b")).alias("end"))
+    first = ends.select("a").scalar()
+    at = F.floor(F.datediff(date, first) / (days + 1)) * (days + 1)
+    counts = rows.where(F.col(date).isNotNull()).groupBy(F.date_add(first, at.cast("int")).alias("start")).agg(F.count("*").alias("n"))
+    return windows.join(counts, "start", "left").select("start", "end", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def tagged(rows: DataFrame, strategy: str, tier: str) -> DataFrame:
     return rows.withColumns({"query_strategy": F.lit(strategy), "query_tier": F.lit(tier)})
 
@@ -38,7 +49,7 @@ def normalised(rows: DataFrame, columns=("title", "teaser", "body")) -> DataFram
 def from_scraped(rows: DataFrame) -> DataFrame:
     """Scraped pages (url, title, headline, author, published_at, body_text) as articles: the id from
     the address, the headline for a missing title, only dated ones."""
-    day = F.coalesce(F.to_date(article_time(F.col("published_at"))), F.try_to_date(F.col("published_at"), "MMM dd, yyyy"))
+    day = article_day(F.col("published_at"))
     return rows.select(
         hashed_id(F.col("url")).alias("id"), F.coalesce("title", "headline").alias("title"), F.col("headline").alias("teaser"), F.col("body_text").alias("body"),
         "author", "url", day.alias("date"),

@@ -1,14 +1,11 @@
-"""Walk-forward forecasts and the measures of a back-test."""
+"""The measures of a back-test."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.operators import boosting, regimes
-from fathom.operators.series import age_weights, clipped_volatility, folds, growth, over
+from fathom.operators.series import growth, over
 
 
 def outcomes(rows: DataFrame, date: str = "date", by: tuple[str, ...] = ()) -> DataFrame:
@@ -41,11 +38,11 @@ def regime_shares(bt: DataFrame, size: int = 52, date: str = "date", by: tuple[s
 
 
 def errors(rows: DataFrame, *by: str) -> DataFrame:
-    """MAE, RMSE, share of equal signs, and the ratio of the deviations."""
+    """MAE, RMSE, share of equal signs, mean size of the forecasts, and the ratio of the deviations."""
     miss = F.col("y_pred") - F.col("y_true")
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(F.abs(miss)).alias("mae"), F.sqrt(F.avg(miss * miss)).alias("rmse"),
-        F.avg((F.signum("y_pred") == F.signum("y_true")).cast("double")).alias("dir_acc"), F.try_divide(F.stddev_pop("y_pred"), F.stddev_pop("y_true")).alias("var_ratio"),
+        F.avg((F.signum("y_pred") == F.signum("y_true")).cast("double")).alias("dir_acc"), F.avg(F.abs("y_pred")).alias("mean_abs_pred"), F.try_divide(F.stddev_pop("y_pred"), F.stddev_pop("y_true")).alias("var_ratio"),
     )
 
 
@@ -87,138 +84,8 @@ def trades(signals: DataFrame, rule: str = "filtered") -> DataFrame:
     return signals.agg(F.count("*").alias("n"), *(F.count(F.when(c, 1)).alias(k) for k, c in (("n_trades", position != 0), ("n_long", position == 1), ("n_short", position == -1))), F.avg(right).alias("dir_acc"))
 
 
-def _by_fold(rows: DataFrame, start: int, step: int, least: int, date: str) -> DataFrame:
-    """The rows that each fold trains on and its test rows, which have is_test."""
-    tests = folds(rows, start, step, least, date)
-    bounds = tests.groupBy("fold").agg(F.min("rn").alias("_from"), F.max("rn").alias("_to"))
-    numbered = rows.withColumn("rn", F.row_number().over(over(date)).cast("long"))
-    return numbered.join(F.broadcast(bounds), F.col("rn") <= F.col("_to")).withColumn("is_test", F.col("rn") >= F.col("_from")).drop("_from", "_to")  # a row for each fold and week
-
-
 def composed(rows: DataFrame, base: list[str]) -> list[str]:
     """The numeric columns of base, and those that the regimes add; sorted, each once."""
     extra = [c for c in rows.columns if c.endswith("_regime_adj") or c.startswith("regime_prob_") or c in ("regime_sent_mult", "regime_switched")]
     numeric = {f.name for f in rows.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")}
     return sorted({c for c in (*base, *extra) if c in numeric})
-
-
-def experts(x: np.ndarray, y: np.ndarray, regime: np.ndarray, names: list[str], least: int = 40, params: dict | None = None, weight: np.ndarray | None = None) -> tuple[boosting.Trees, dict[str, boosting.Trees | None]]:
-    """A model of all rows, and one of each regime that has `least` of them."""
-    params = boosting.GRID[1] if params is None else params
-    some = {r: regime == r for r in names}
-    own = {r: boosting.fit(x[m], y[m], None if weight is None else weight[m], **params) if m.sum() >= least else None for r, m in some.items()}
-    return boosting.fit(x, y, weight, **params), own
-
-
-def _mixed(models: tuple, x: np.ndarray, probs: dict[str, np.ndarray], weight: float) -> np.ndarray:
-    whole, own = models
-    y = whole.predict(x)
-    total = np.maximum(sum(probs.values()), 1e-12)
-    return weight * y + (1 - weight) * sum(p / total * (y if own[r] is None else own[r].predict(x)) for r, p in probs.items())
-
-
-def regime_walk_forward(
-    rows: DataFrame, target: str, features: list[str], groups: dict[str, dict[str, float]], muted: str, decayed: list[str] = [], plain: list[str] = [], start: int = 156, step: int = 1,
-    least: int = 40, weight: float = 0.2, params: dict | None = None, date: str = "date",
-) -> DataFrame:
-    """Outcomes of an expanding walk-forward with a model of all weeks ahead and one of each
-    regime. Regimes come by rule_scores() with statistics of the training weeks, sentiment
-    is adjusted() to them, and forecasts are mixed by the regimes' probabilities. Folds are
-    independent tasks."""
-    each = _by_fold(rows, start, step, 1, date)
-    each = regimes.rule_scores(each, groups, muted, each.where("not is_test"), by=("fold",))
-    each = regimes.adjusted(each, decayed, plain, date=date, by=("fold",))
-    names, used = [*groups, muted], composed(each, features)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        test = pdf["is_test"].to_numpy()
-        x, y = pdf[used].fillna(0.0).to_numpy(float), pdf[target].to_numpy(float)
-        models = experts(x[~test], np.nan_to_num(y[~test]), pdf["regime"].to_numpy()[~test], names, least, params)
-        probs = {r: pdf[f"regime_prob_{r}"].fillna(0.0).to_numpy()[test] for r in names}
-        return pd.DataFrame({"fold": pdf["fold"][test], date: pdf[date][test], "y_true": y[test], "y_pred": _mixed(models, x[test], probs, weight), "regime": pdf["regime"][test]})
-
-    found = each.select("fold", "rn", "is_test", date, target, "regime", *(c for c in dict.fromkeys((*used, *(f"regime_prob_{r}" for r in names))))).groupBy("fold").applyInPandas(fit, f"fold long, {date} date, y_true double, y_pred double, regime string")
-    return outcomes(found, date)
-
-
-def specialist_walk_forward(rows: DataFrame, target: str, features: list[str], drivers: list[str], scores: dict = regimes.DRIVER_SCORES, start: int = 104, step: int = 13, least: int = 25, weight: float = 0.15, params: dict | None = None, date: str = "date") -> DataFrame:
-    """regime_walk_forward() with the regimes of a hidden Markov model over `drivers`, fitted
-    to the training weeks of each fold."""
-    each, names = _by_fold(rows, start, step, 5, date), list(scores)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        test = pdf["is_test"].to_numpy()
-        x, y, z = pdf[features].fillna(0.0).to_numpy(float), pdf[target].to_numpy(float), pdf[drivers].to_numpy(float)
-        states = regimes.DriverRegimes(z[~test], drivers, scores)
-        models = experts(x[~test], np.nan_to_num(y[~test]), np.array(states.infer(z[~test])[0]), names, least, params)
-        found, probs = states.infer(z[test])
-        return pd.DataFrame({"fold": pdf["fold"][test], date: pdf[date][test], "y_true": y[test], "y_pred": _mixed(models, x[test], probs, weight), "regime": found})
-
-    columns = list(dict.fromkeys((*features, *drivers)))
-    return outcomes(each.select("fold", "rn", "is_test", date, target, *columns).groupBy("fold").applyInPandas(fit, f"fold long, {date} date, y_true double, y_pred double, regime string"), date)
-
-
-#: The learner of boosted_walk_forward().
-BOOSTED = {"rounds": 1000, "rate": 0.02, "depth": 3, "leaf": 20, "l2": 2.0, "absolute": True, "held": 0.1, "patience": 30}
-
-
-def _scaled(rows: DataFrame, target: str, date: str) -> DataFrame:
-    """rows with realized_vol, at least a half, and the target over it as _y, within 10."""
-    rows = clipped_volatility(rows.drop("realized_vol"), target, date=date)
-    return rows.withColumn("_y", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col(target) / F.col("realized_vol"))))
-
-
-def boosted_walk_forward(rows: DataFrame, target: str, features: list[str], start: int = 104, step: int = 13, least: int = 5, params: dict = BOOSTED, date: str = "date") -> DataFrame:
-    """(fold, date, y_true, y_pred, n_trees): boosted trees of the weeks ahead of each fold,
-    on the target over its volatility, recent weeks weighing more."""
-    each = _by_fold(_scaled(rows, target, date), start, step, least, date)
-    each = each.withColumn("_w", F.when(~F.col("is_test"), age_weights(Window.partitionBy("fold", "is_test"), date)))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        test = pdf["is_test"].to_numpy()
-        x = pdf[features].fillna(0.0).to_numpy(float)
-        model = boosting.fit(x[~test], pdf["_y"].fillna(0.0).to_numpy(float)[~test], pdf["_w"].to_numpy(float)[~test], **params)
-        return pd.DataFrame({"fold": pdf["fold"][test], date: pdf[date][test], "y_true": pdf[target][test], "y_pred": model.predict(x[test]) * pdf["realized_vol"][test], "n_trees": len(model.trees)})
-
-    columns = list(dict.fromkeys((*features, "realized_vol")))
-    return each.select("fold", "rn", "is_test", date, target, "_y", "_w", *columns).groupBy("fold").applyInPandas(fit, f"fold long, {date} date, y_true double, y_pred double, n_trees long")
-
-
-def permutation_importance(rows: DataFrame, target: str, features: list[str], start: int = 104, step: int = 13, least: int = 5, repeats: int = 20, params: dict = BOOSTED, date: str = "date") -> DataFrame:
-    """(rank, feature, importance): how much the model of the last fold loses on all test
-    weeks, in units of volatility, when a feature is shuffled; most important first."""
-    ready = _scaled(rows, target, date)
-    last = folds(rows, start, step, least, date).agg(F.max("fold").alias("fold")).scalar()
-    ready = ready.withColumns({"rn": F.row_number().over(over(date)).cast("long"), "fold": last}).withColumn("_train", F.col("rn") <= start + F.col("fold") * step)
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        x, y = pdf[features].fillna(0.0).to_numpy(float), pdf["_y"].fillna(0.0).to_numpy(float)
-        train, test = pdf["_train"].to_numpy(), (pdf["rn"] > start).to_numpy()
-        age = 0.995 ** np.arange(int(train.sum()))[::-1]
-        found = boosting.importance(boosting.fit(x[train], y[train], age / age.mean(), **params), x[test], y[test], repeats)
-        order = np.lexsort((features, -found))
-        return pd.DataFrame({"rank": np.arange(1, len(order) + 1), "feature": np.array(features)[order], "importance": found[order]})
-
-    return ready.select("fold", "rn", "_train", "_y", *features).groupBy("fold").applyInPandas(score, "rank int, feature string, importance double")
-
-
-def ridge_walk_forward(rows: DataFrame, target: str, features: list[str], start: int = 104, step: int = 13, least: int = 5, ridge: float = 1.0, date: str = "date") -> DataFrame:
-    """(fold, date, y_true, y_pred): each fold's forecasts by a linear model of the rows
-    ahead of it. Folds are independent tasks; each gets the rows it trains on."""
-    each = _by_fold(rows, start, step, least, date).select("fold", "rn", "is_test", date, target, *features)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        x, y = pdf[features].fillna(0.0).to_numpy(float), pdf[target].to_numpy(float)
-        test = pdf["is_test"].to_numpy()
-        mean, std = x[~test].mean(axis=0), x[~test].std(axis=0) + 1e-9
-        z = np.column_stack([(x - mean) / std, np.ones(len(x))])
-        known = ~test & ~np.isnan(y)
-        w = np.linalg.solve(z[known].T @ z[known] + ridge * np.eye(z.shape[1]), z[known].T @ y[known])
-        return pd.DataFrame({"fold": pdf["fold"][test], date: pdf[date][test], "y_true": y[test], "y_pred": z[test] @ w})
-
-    return each.groupBy("fold").applyInPandas(fit, f"fold long, {date} date, y_true double, y_pred double")

@@ -44,7 +44,7 @@ def news_matrix(price: DataFrame, broad: DataFrame, decisive: DataFrame, disrupt
     rows = D.with_news(price, *layers).withColumn("close_pct_change", S.change(F.col("close"), S.over()))
     rows = R.volatility_regime(S.volatility(rows, "close_pct_change"))
     if states:
-        hidden = R.markov_regime(rows.withColumn("_series", F.lit("price")), ["close_pct_change", "realized_vol"], states, key="_series").select("date", "hmm_regime")
+        hidden = R.markov_regime(rows.withColumn("_series", F.lit("all")), ["close_pct_change", "realized_vol"], states, key="_series").select("date", "hmm_regime")
         rows = rows.join(hidden, "date", "left").select("*", *(F.coalesce((F.col("hmm_regime") == k).cast("int"), F.lit(0)).alias(f"hmm_regime_{k}") for k in range(states)))
     if macro is not None:
         rows = rows.join(macro, "date", "left")

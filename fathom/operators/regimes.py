@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import itertools
-import math
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import first_of_largest, softmax
+from fathom.operators import markov
 from fathom.operators.series import over
 
 REGIMES = ["supply", "demand", "macro", "risk_off"]
@@ -87,84 +87,6 @@ def assignment(scores: np.ndarray) -> tuple[int, ...]:
     return max(itertools.permutations(range(scores.shape[1]), n), key=lambda p: sum(scores[i, p[i]] for i in range(n)))
 
 
-def _log_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    d = x.shape[1]
-    out = np.empty((len(x), len(mean)))
-    for k in range(len(mean)):
-        low = np.linalg.cholesky(cov[k])
-        y = np.linalg.solve(low, (x - mean[k]).T)
-        out[:, k] = -0.5 * (y * y).sum(axis=0) - np.log(np.diag(low)).sum() - d / 2 * math.log(2 * math.pi)
-    return out
-
-
-def _total(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-class States:
-    """A Gaussian hidden Markov model: shares at the start, moves, means and covariances."""
-
-    def __init__(self, first: np.ndarray, move: np.ndarray, mean: np.ndarray, cov: np.ndarray):
-        self.first, self.move, self.mean, self.cov = first, move, mean, cov
-
-    def smooth(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """(posteriors, expected moves, log-likelihood) by the forward-backward sums."""
-        b, log_move, n = _log_normal(x, self.mean, self.cov), np.log(self.move + 1e-300), len(x)
-        ahead, behind = np.empty(b.shape), np.zeros(b.shape)
-        ahead[0] = np.log(self.first + 1e-300) + b[0]
-        for t in range(1, n):
-            ahead[t] = b[t] + _total(ahead[t - 1][:, None] + log_move, 0)
-        for t in range(n - 2, -1, -1):
-            behind[t] = _total(log_move + (b[t + 1] + behind[t + 1])[None], 1)
-        seen = float(_total(ahead[-1], 0))
-        pairs = np.exp(ahead[:-1, :, None] + log_move + (b[1:] + behind[1:])[:, None] - seen).sum(axis=0)
-        return np.exp(ahead + behind - seen), pairs, seen
-
-    def path(self, x: np.ndarray) -> np.ndarray:
-        """The most likely states (Viterbi)."""
-        b, log_move, n = _log_normal(x, self.mean, self.cov), np.log(self.move + 1e-300), len(x)
-        best, back = np.log(self.first + 1e-300) + b[0], np.zeros(b.shape, int)
-        for t in range(1, n):
-            step = best[:, None] + log_move
-            back[t] = step.argmax(axis=0)
-            best = step.max(axis=0) + b[t]
-        out = np.empty(n, int)
-        out[-1] = best.argmax()
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
-        return out
-
-
-def fit_states(x: np.ndarray, states: int = 3, rounds: int = 100, tolerance: float = 1e-4, floor: float = 1e-3, diagonal: bool = False) -> tuple[States, list[float]]:
-    """(model, log-likelihood after each round) by expectation maximisation. States
-    start as equal parts in the order of the last column and are numbered by its mean."""
-    n, d = x.shape
-    shape = np.eye(d) if diagonal else np.ones((d, d))
-    start = np.argsort(np.argsort(x[:, -1], kind="stable")) * states // n
-    move = np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(move, 0.9)
-    model = States(np.full(states, 1 / states), move, np.stack([x[start == k].mean(axis=0) for k in range(states)]), np.stack([np.cov(x.T).reshape(d, d) * shape + floor * np.eye(d)] * states))
-    seen: list[float] = []
-    for _ in range(rounds):
-        post, pairs, found = model.smooth(x)
-        seen.append(found)
-        if len(seen) > 1 and seen[-1] - seen[-2] < tolerance:
-            break
-        weight = post.sum(axis=0) + 1e-12
-        mean = post.T @ x / weight[:, None]
-        cov = np.stack([((x - mean[k]).T * post[:, k]) @ (x - mean[k]) / weight[k] * shape + floor * np.eye(d) for k in range(states)])
-        model = States(post[0] / post[0].sum(), (pairs + 1e-12) / (pairs + 1e-12).sum(axis=1, keepdims=True), mean, cov)
-    order = np.argsort(model.mean[:, -1])
-    return States(model.first[order], model.move[np.ix_(order, order)], model.mean[order], model.cov[order]), seen
-
-
-def hidden_markov(x: np.ndarray, states: int = 3, **settings) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(most likely path, posteriors, log-likelihood after each round) of fit_states()."""
-    model, seen = fit_states(x, states, **settings)
-    return model.path(x), model.smooth(x)[0], seen
-
-
 #: What tells the regimes of a driver model apart: column, weight, whether its magnitude counts.
 DRIVER_SCORES = {
     "supply": (("opec_event_day", 1, False), ("disruption_event_day", 1, False), ("disruption_intensity", 1, False)),
@@ -174,46 +96,78 @@ DRIVER_SCORES = {
 }
 
 
+def named(means: np.ndarray, columns: list[str], scores: dict = DRIVER_SCORES) -> list[str]:
+    """The regime of each state: the one-to-one assignment with the largest sum of scores,
+    made of the states' means (a row each) over their largest magnitude."""
+    share = {c: means[:, j] / max(np.abs(means[:, j]).max(), 1e-6) for j, c in enumerate(columns)}
+    value = lambda c, w, size: w * (np.abs(share[c]) if size else share[c])
+    table = np.stack([sum((value(*x) for x in terms if x[0] in share), np.zeros(len(scores))) for terms in scores.values()], axis=1)
+    return [list(scores)[j] for j in assignment(table)]
+
+
 class DriverRegimes:
     """Named regimes of a four-state model with diagonal covariances over standardised
-    drivers; nulls are 0. A state's name is that of the one-to-one assignment with
-    the largest sum of scores, made of the states' means over their largest magnitude."""
+    drivers of some hundred rows, the training weeks of a fold; nulls are 0."""
 
     def __init__(self, x: np.ndarray, columns: list[str], scores: dict = DRIVER_SCORES):
         x = np.nan_to_num(x)
         self.mean, std = x.mean(axis=0), x.std(axis=0)
         self.std = np.where(std > 0, std, 1.0)
-        self.states, self.seen = fit_states((x - self.mean) / self.std, len(scores), rounds=200, diagonal=True)
-        self.means = self.states.mean * self.std + self.mean
-        share = {c: self.means[:, j] / max(np.abs(self.means[:, j]).max(), 1e-6) for j, c in enumerate(columns)}
-        value = lambda c, w, size: w * (np.abs(share[c]) if size else share[c])
-        table = np.stack([sum((value(*x) for x in terms if x[0] in share), np.zeros(len(scores))) for terms in scores.values()], axis=1)
-        self.names = [list(scores)[j] for j in assignment(table)]
+        self.states, self.seen = markov.fitted((x - self.mean) / self.std, markov.Settings(len(scores), diagonal=True))
+        self.names = named(self.states.mean * self.std + self.mean, columns, scores)
 
     def infer(self, x: np.ndarray) -> tuple[list[str], dict[str, np.ndarray]]:
         """(regime of each row, probabilities of each regime)."""
-        z = (np.nan_to_num(x) - self.mean) / self.std
-        post = self.states.smooth(z)[0]
-        return [self.names[k] for k in self.states.path(z)], {name: post[:, k] for k, name in enumerate(self.names)}
-
-
-def driver_regime(rows: DataFrame, columns: list[str], scores: dict = DRIVER_SCORES, date: str = "date", key: str = "series") -> DataFrame:
-    """(key, date, regime, regime_prob_*) of each series, a model for each; a series is
-    one instrument's history, so it fits a task. Series of fewer than 40 rows have nulls."""
+        path, post = markov.decoded(self.states, (np.nan_to_num(x) - self.mean) / self.std)
+        return [self.names[k] for k in path], {name: post[:, k] for k, name in enumerate(self.names)}
+
+
+class DriverModels(NamedTuple):
+    """The models of driver_models(): moments (key, mean, std) of the drivers, blocks of the
+    standardised rows, fits, and the regimes' names of each series by state."""
+
+    columns: list[str]
+    moments: dict[str, tuple[np.ndarray, np.ndarray]]
+    packed: DataFrame
+    fits: markov.Fits
+    names: dict[str, list[str]]
+
+
+def driver_models(rows: DataFrame, columns: list[str], scores: dict = DRIVER_SCORES, date: str = "date", key: str = "series", least: int = 40, block: int = markov.BLOCK) -> DriverModels:
+    """A model of named regimes for each series of `least` rows or more, over its drivers
+    less their mean and over their deviation; nulls are 0. Long series are fitted in blocks
+    of time; the driver holds the models, some hundred numbers a series."""
+    flat = rows.select(F.col(key).cast("string").alias(key), date, *(F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns)).where(F.col(key).isNotNull())
+    moments = flat.groupBy(key).agg(F.count("*").alias("_n"), *(F.avg(c).alias(f"_m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"_s_{c}") for c in columns)).where(F.col("_n") >= least)
+    held = {r[key]: (np.array([r[f"_m_{c}"] for c in columns]), np.array([r[f"_s_{c}"] or 1.0 for c in columns])) for r in moments.collect()}
+    scaled = flat.join(moments, key).select(key, date, *(((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)).alias(c) for c in columns))
+    packed = markov.blocks(scaled, columns, date, key, block)
+    fits = markov.fit(packed, markov.Settings(len(scores), diagonal=True), len(columns), key)
+    return DriverModels(columns, held, packed, fits, {k: named(m.mean * held[k][1] + held[k][0], columns, scores) for k, m in fits.models.items()})
+
+
+def driver_regime(rows: DataFrame, columns: list[str], scores: dict = DRIVER_SCORES, date: str = "date", key: str = "series", block: int = markov.BLOCK, models: DriverModels | None = None) -> DataFrame:
+    """(key, date, regime, regime_prob_*) of each row, by the models of its series; nulls
+    where the series has none. (key, date) tells rows apart."""
+    models = driver_models(rows, columns, scores, date, key, block=block) if models is None else models
     probs = [f"regime_prob_{r}" for r in scores]
-    shape = f"{key} string, {date} date, regime string, " + ", ".join(f"{p} double" for p in probs)
+    states = rows.sparkSession.createDataFrame([(k, n, [n.index(r) for r in scores]) for k, n in models.names.items()], f"{key} string, _names array<string>, _at array<int>")
+    found = markov.inferred(models.packed, models.fits.models, date, key).join(F.broadcast(states), key)
+    found = found.select(key, date, F.col("_names")[F.col("state")].alias("regime"), *(F.col("probs")[F.col("_at")[j]].alias(p) for j, p in enumerate(probs)))
+    return rows.select(F.col(key).cast("string").alias(key), date).join(found, [key, date], "left")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date).reset_index(drop=True)
-        out = pdf[[key, date]].assign(regime=None, **dict.fromkeys(probs, np.nan))
-        if len(pdf) >= 40:
-            x = pdf[columns].to_numpy(float)
-            out["regime"], found = DriverRegimes(x, columns, scores).infer(x)
-            for name, p in found.items():
-                out[f"regime_prob_{name}"] = p
-        return out
 
-    return rows.select(F.col(key).cast("string").alias(key), date, *columns).groupBy(key).applyInPandas(fit, shape)
+def state_report(models: DriverModels, spark: SparkSession, key: str = "series") -> DataFrame:
+    """(key, regime, decay_weeks, moves, means): for each regime of each series the weeks of
+    its sentiment's decay, its chances of moving to each regime, and the mean of each driver
+    in its own units, to three places."""
+    rows = []
+    for k, m in models.fits.models.items():
+        mean, std = models.moments[k]
+        for state, name in enumerate(models.names[k]):
+            moves = {n: round(float(p), 3) for n, p in zip(models.names[k], m.move[state], strict=True)}
+            rows.append((k, name, DECAY_WEEKS.get(name), moves, {c: round(float(v), 3) for c, v in zip(models.columns, m.mean[state] * std + mean, strict=True)}))
+    return spark.createDataFrame(rows, f"{key} string, regime string, decay_weeks int, moves map<string,double>, means map<string,double>")
 
 
 def regime_means(rows: DataFrame, columns: list[str], regime: str = "regime") -> DataFrame:
@@ -221,26 +175,17 @@ def regime_means(rows: DataFrame, columns: list[str], regime: str = "regime") ->
     return rows.groupBy(regime).agg(F.count("*").alias("n_weeks"), *(F.round(F.avg(c), 3).alias(c) for c in columns))
 
 
-def markov_regime(rows: DataFrame, columns: list[str], states: int = 3, date: str = "date", key: str = "series") -> DataFrame:
-    """(key, date, hmm_regime, hmm_prob_*) of each series, a model for each. A series is
-    one instrument's history, so it fits a task; rows with nulls get null and 0."""
-    shape = f"{key} string, {date} date, hmm_regime int, " + ", ".join(f"hmm_prob_{k} double" for k in range(states))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date).reset_index(drop=True)
-        out = pdf[[key, date]].copy()
-        ok = pdf[columns].notna().all(axis=1).to_numpy()
-        out["hmm_regime"] = pd.array([None] * len(out), dtype="Int32")
-        for k in range(states):
-            out[f"hmm_prob_{k}"] = 0.0
-        if ok.sum() >= 5 * states:
-            path, post, _ = hidden_markov(pdf.loc[ok, columns].to_numpy(float), states)
-            out.loc[ok, "hmm_regime"] = path
-            for k in range(states):
-                out.loc[ok, f"hmm_prob_{k}"] = post[:, k]
-        return out
-
-    return rows.select(F.col(key).cast("string").alias(key), date, *columns).groupBy(key).applyInPandas(fit, shape)
+def markov_regime(rows: DataFrame, columns: list[str], states: int = 3, date: str = "date", key: str = "series", block: int = markov.BLOCK) -> DataFrame:
+    """(key, date, hmm_regime, hmm_prob_*) of each row, by a model of its series, however
+    many series there are and however long they are. Rows with nulls, and those of
+    series with fewer than five whole rows a state, get null and 0. (key, date) tells rows apart."""
+    flat = rows.select(F.col(key).cast("string").alias(key), date, *columns)
+    whole = flat.dropna(subset=[key, *columns])
+    enough = whole.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= 5 * states)
+    packed = markov.blocks(whole.join(enough, key, "left_semi"), columns, date, key, block)
+    found = markov.inferred(packed, markov.fit(packed, markov.Settings(states), len(columns), key).models, date, key)
+    out = flat.select(key, date).join(found, [key, date], "left")
+    return out.select(key, date, F.col("state").alias("hmm_regime"), *(F.coalesce(F.col("probs")[k], F.lit(0.0)).alias(f"hmm_prob_{k}") for k in range(states)))
 
 
 def transitions(rows: DataFrame, regime: str, date: str = "date", by: tuple[str, ...] = ()) -> DataFrame:

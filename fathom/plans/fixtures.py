@@ -34,6 +34,12 @@ def price(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(friday(F.to_date("o_orderdate")).alias("date")).agg(F.round(F.avg("o_totalprice"), 4).alias("close"))
 
 
+def segment_price(spark: SparkSession, d: str) -> DataFrame:
+    """(series, date, close): weekly mean prices of each market segment."""
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy(F.col("c_mktsegment").alias("series"), friday(F.to_date("o_orderdate")).alias("date")).agg(F.round(F.avg("o_totalprice"), 4).alias("close"))
+
+
 def macro(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(friday(F.to_date("l_shipdate")).alias("date")).agg(F.sum("l_quantity").alias("stocks"), F.round(F.avg("l_discount"), 6).alias("rate"))
 

@@ -19,6 +19,7 @@ from fathom.operators import matrix as M
 from fathom.operators import paragraphs as G
 from fathom.operators import regimes as R
 from fathom.operators import series as S
+from fathom.operators import walk as V
 from fathom.plans import fixtures as X
 from fathom.plans.fixtures import WEEK, with_tables
 from fathom.sources import pages as P
@@ -174,7 +175,7 @@ def A17_regime_shares(spark, d):
     return rounded(B.regime_shares(_bt(spark, d)))
 
 
-_ERR = "count(*) AS n, round(avg(abs(y_pred - y_true)), 6) AS mae, round(sqrt(avg((y_pred - y_true) ** 2)), 6) AS rmse, round(avg((sign(y_pred) = sign(y_true))::INT), 6) AS dir_acc, round(stddev_pop(y_pred) / stddev_pop(y_true), 6) AS var_ratio"
+_ERR = "count(*) AS n, round(avg(abs(y_pred - y_true)), 6) AS mae, round(sqrt(avg((y_pred - y_true) ** 2)), 6) AS rmse, round(avg((sign(y_pred) = sign(y_true))::INT), 6) AS dir_acc, round(avg(abs(y_pred)), 6) AS mean_abs_pred, round(stddev_pop(y_pred) / stddev_pop(y_true), 6) AS var_ratio"
 
 
 @query("price ret bt bt2", f"SELECT {_ERR} FROM bt2")
@@ -559,7 +560,17 @@ def B10_trades(spark, d):
 
 @query()
 def R2_R5_R6_markov_regime(spark, d):
-    return R.markov_regime(_vol(spark, d).withColumn("series", F.lit("price")), ["ret", "realized_vol"])
+    """A model for each market segment's weekly prices."""
+    by = ("series",)
+    rows = X.segment_price(spark, d).withColumn("ret", S.change(F.col("close"), S.over(by=by)))
+    return R.markov_regime(S.volatility(rows, "ret", by=by), ["ret", "realized_vol"])
+
+
+@query()
+def R2_R5_R6_markov_regime_of_events(spark, d):
+    """A model for each type of event over its values in time, long series in blocks."""
+    rows = X.table(spark, d, "events").where("value is not null").groupBy(F.col("event_type").alias("series"), F.col("ts").alias("date")).agg(F.avg("value").alias("value"))
+    return R.markov_regime(rows, ["value"], 2)
 
 
 @query("price ret vol regime", 'SELECT vol_regime AS "from", "to", n, round(n / sum(n) OVER (PARTITION BY vol_regime), 6) AS share FROM (SELECT vol_regime, "to", count(*) AS n FROM (SELECT vol_regime, lead(vol_regime) OVER (ORDER BY date) AS "to" FROM regime WHERE vol_regime IS NOT NULL) WHERE "to" IS NOT NULL GROUP BY 1, 2)')
@@ -572,7 +583,7 @@ def W18_ridge_walk_forward(spark, d):
     rows = _vol(spark, d)
     w = S.over()
     lags = rows.select("date", "ret", *(F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in ("ret", "realized_vol") for k in (1, 2))).where("ret is not null")
-    return B.ridge_walk_forward(lags, "ret", ["ret_lag1", "ret_lag2", "realized_vol_lag1", "realized_vol_lag2"])
+    return V.ridge_walk_forward(lags, "ret", ["ret_lag1", "ret_lag2", "realized_vol_lag1", "realized_vol_lag2"])
 
 
 def _layer_sql(days: str, how: dict[str, str], name: str, mean: str, std: str) -> str:
@@ -751,40 +762,62 @@ _DRIVERS = sorted({c for terms in _SCORES.values() for c, *_ in terms})
 
 
 def _learnable(spark, d):
-    rows = _matrix(spark, d).cache()  # some hundred weeks, read by every step of a walk-forward
-    return rows, [c for c in rows.columns if c.endswith("_lag1")]
+    rows = _matrix(spark, d)
+    return rows, "close_pct_change", [c for c in rows.columns if c.endswith("_lag1")]
+
+
+def _design(features):
+    rule = V.Regimes(_GROUPS, "risk_off", tuple(c for c in features if c.endswith("_cs_di_lag1")), tuple(c for c in features if c.endswith("_sentiment_lag1")))
+    return V.Design("close_pct_change", tuple(features), rule)
 
 
 @query()
 def B1_B2_B3_B6_regime_walk_forward(spark, d):
-    rows, features = _learnable(spark, d)
-    return B.regime_walk_forward(rows, "close_pct_change", features, _GROUPS, "risk_off", [c for c in features if c.endswith("_cs_di_lag1")], [c for c in features if c.endswith("_sentiment_lag1")], step=4)
+    rows, _, features = _learnable(spark, d)
+    return V.regime_walk_forward(rows, _design(features))
+
+
+@query()
+def B5_nested_tuning(spark, d):
+    """What the nested search chooses on all weeks: a row, with the experts' parameters by regime."""
+    rows, target, features = _learnable(spark, d)
+    weeks = V.gathered(rows, [target, *features])
+    whole = spark.createDataFrame([(0, len(weeks["date"]))], "fold long, first long")
+    return V.tuned(whole, weeks, _design(features))
 
 
 @query()
 def B7_boosted_walk_forward(spark, d):
-    return B.boosted_walk_forward(*_split(_learnable(spark, d)))
+    return V.boosted_walk_forward(*_learnable(spark, d))
 
 
 @query()
 def B9_specialist_walk_forward(spark, d):
-    return B.specialist_walk_forward(*_split(_learnable(spark, d)), _DRIVERS, _SCORES)
+    return V.specialist_walk_forward(*_learnable(spark, d), _DRIVERS, _SCORES)
 
 
 @query()
 def B11_L7_permutation_importance(spark, d):
-    return B.permutation_importance(*_split(_learnable(spark, d)), repeats=5)
+    return V.permutation_importance(*_learnable(spark, d))
 
 
-def _split(found):
-    rows, features = found
-    return rows, "close_pct_change", features
+@query()
+def R3_R4_R11_driver_regime(spark, d):
+    rows, *_ = _learnable(spark, d)
+    return R.driver_regime(rows.withColumn("series", F.lit("all")), _DRIVERS, _SCORES)
 
 
 @query()
-def R3_R4_R11_driver_regime(spark, d):
-    rows, _ = _learnable(spark, d)
-    return R.driver_regime(rows.withColumn("series", F.lit("price")), _DRIVERS, _SCORES)
+def R7_driver_report(spark, d):
+    """Weeks and mean drivers of each regime as inferred, and what its state says of itself."""
+    rows = _learnable(spark, d)[0].withColumn("series", F.lit("all")).select("series", "date", *_DRIVERS)
+    models = R.driver_models(rows, _DRIVERS, _SCORES)
+    labels = R.driver_regime(rows, _DRIVERS, _SCORES, models=models).select("series", "date", "regime")
+    summary = R.regime_means(rows.join(labels, ["series", "date"]), _DRIVERS).withColumns({c: F.col(c).alias(c) for c in _DRIVERS})
+    seen = F.explode(F.create_map(*(x for c in ("n_weeks", *_DRIVERS) for x in (F.lit(c if c == "n_weeks" else f"seen {c}"), F.col(c).cast("double"))))).alias("measure", "value")
+    state = R.state_report(models, spark)
+    said = F.map_concat(F.create_map(F.lit("decay_weeks"), F.col("decay_weeks").cast("double")), F.transform_keys("moves", lambda k, _: F.concat(F.lit("to "), k)), F.transform_keys("means", lambda k, _: F.concat(F.lit("state "), k)))
+    return summary.select("regime", seen).union(state.select("regime", F.explode(said).alias("measure", "value")))
 
 
 @query("price ret bt bt2", "SELECT regime, count(*) AS n_weeks, round(avg(y_true), 3) + 0.0::DOUBLE AS y_true, round(avg(y_pred), 3) + 0.0::DOUBLE AS y_pred FROM bt2 GROUP BY regime")

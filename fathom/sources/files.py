@@ -62,13 +62,23 @@ def paged_series(spark: SparkSession, path: str, name: str) -> DataFrame:
     return keep_first(each, ["date"], [name]).orderBy("date")
 
 
-def sitemaps(spark: SparkSession, path: str, first: str, last: str) -> list[str]:
-    """Addresses of the monthly article sitemaps in an index whose months lie in first..last.
-    An index has as many rows as months, so it is listed on the driver."""
+#: Of a monthly sitemap's name or folder: year and month.
+MONTH = r"sitemap_articles[_=](\d{4})_(\d{1,2})"
+
+
+def _month(name: Column) -> Column:
+    return F.make_date(F.regexp_extract(name, MONTH, 1).try_cast("int"), F.regexp_extract(name, MONTH, 2).try_cast("int"), F.lit(1))
+
+
+def sitemaps(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """(loc, month): the monthly article sitemaps of an index whose months lie in first..last, each once."""
     rows = spark.read.option("wholetext", "true").text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("loc"))
-    month = F.make_date(F.regexp_extract("loc", r"sitemap_articles_(\d{4})_(\d{1,2})\.xml", 1).try_cast("int"), F.regexp_extract("loc", r"sitemap_articles_(\d{4})_(\d{1,2})\.xml", 2).try_cast("int"), F.lit(1))
-    kept = rows.where(F.col("loc").rlike(r"sitemap_articles_\d{4}_\d{1,2}\.xml")).where(month.between(F.lit(first).cast("date"), F.trunc(F.lit(last).cast("date"), "month")))
-    return [r["loc"] for r in kept.distinct().orderBy("loc").collect()]
+    rows = rows.where(F.col("loc").rlike(MONTH + "[.]xml")).select("loc", _month(F.col("loc")).alias("month"))
+    return rows.where(_between(F.col("month"), first, last)).distinct()
+
+
+def _between(month: Column, first: str, last: str) -> Column:
+    return month.between(F.trunc(F.lit(first).cast("date"), "month"), F.trunc(F.lit(last).cast("date"), "month"))
 
 
 def repaired(url: Column, site: str) -> Column:
@@ -79,8 +89,11 @@ def repaired(url: Column, site: str) -> Column:
 
 def sitemap_urls(spark: SparkSession, path: str, site: str, first: str, last: str, wanted: list[str], unwanted: list[str]) -> DataFrame:
     """(url, lastmod) of leaf sitemaps: pages ending in .html under a wanted and no
-    unwanted path, changed in first..last or with no date; each once."""
-    rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
+    unwanted path, changed in first..last or with no date; each once. Below a folder, sitemaps named
+    by months out of range aren't opened: the condition on their names is one on the scan."""
+    rows = spark.read.format("xml").option("rowTag", "url").option("recursiveFileLookup", "true").schema("loc string, lastmod string").load(path)
+    month = _month(F.col("_metadata.file_path"))
+    rows = rows.where(month.isNull() | _between(month, first, last))
     rows = rows.select(repaired(F.col("loc"), site).alias("url"), F.try_to_date(F.substring(F.trim("lastmod"), 1, 10)).alias("lastmod"))
     part = F.regexp_replace("url", rf"^https?://{site.replace('.', '[.]')}", "")
     under = lambda paths: F.array_contains(F.transform(F.array(*map(F.lit, paths)), lambda p: part.startswith(p)), True) if paths else F.lit(False)
@@ -89,6 +102,12 @@ def sitemap_urls(spark: SparkSession, path: str, site: str, first: str, last: st
     return keep_first(kept, ["url"], [F.asc_nulls_last("lastmod")])
 
 
+def write_sitemaps(rows: DataFrame, path: str) -> None:
+    """rows (loc, lastmod, year, month) as leaf sitemaps, a folder for each month."""
+    out = rows.withColumn("sitemap_articles", F.concat_ws("_", "year", "month")).drop("year", "month")
+    out.repartition("sitemap_articles").write.mode("overwrite").partitionBy("sitemap_articles").format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+
+
 def page_url(base: Column, page: Column) -> Column:
     """The address of a page of a category; the first one has no number."""
     bare = F.regexp_replace(base, "/+$", "")

@@ -93,7 +93,7 @@ def test_hidden_markov_recovers_states():
     rng = np.random.default_rng(2)
     truth = np.repeat([0, 1, 2, 0, 2], 60)
     x = np.column_stack([rng.normal(size=300), rng.normal(truth * 4.0, 0.5)])
-    path, post, seen = R.hidden_markov(x)
+    path, post, seen = R.markov.hidden_markov(x)
     assert (path == truth).mean() > 0.97 and np.allclose(post.sum(axis=1), 1)
     assert all(b >= a - 1e-6 for a, b in itertools.pairwise(seen))
 
@@ -194,51 +194,6 @@ def test_boosted_trees():
     assert np.ptp(boosting.fit(x, y, leaf=200).predict(x)) == 0
 
 
-def _weeks(spark, n=200, seed=1):
-    rng = np.random.default_rng(seed)
-    rows, y = [], 0.0
-    for k in range(n):
-        a, b = rng.normal(size=2)
-        rows.append((dt.date(2015, 1, 2) + dt.timedelta(7 * k), float(a), float(b), float(2 * np.sign(a) + rng.normal(0, 0.3))))
-    return spark.createDataFrame(rows, "date date, a double, b double, y double")
-
-
-def test_walk_forward_looks_back_only(spark):
-    rows = _weeks(spark)
-    groups = {"up": {"a": 1.0}, "down": {"b": -1.0}}
-    params = {"rounds": 30, "depth": 2, "rate": 0.2}
-    run = lambda df: {r["date"]: r for r in B.regime_walk_forward(df, "y", ["a", "b"], groups, "calm", ["a"], ["b"], start=150, step=10, params=params).collect()}
-    found = run(rows)
-    assert len(found) == 50 and sum(r["hit"] for r in found.values()) > 45
-    late = rows.withColumn("y", F.when(F.col("date") >= dt.date(2018, 6, 1), -F.col("y")).otherwise(F.col("y")))
-    again = run(late)
-    first = [d for d in found if d < dt.date(2018, 3, 1)]
-    assert first and all(found[d]["y_pred"] == again[d]["y_pred"] and found[d]["regime"] == again[d]["regime"] for d in first)
-
-
-def test_boosted_and_specialist_walk_forward(spark):
-    rows = _weeks(spark)
-    found = B.boosted_walk_forward(rows, "y", ["a", "b"], params=B.BOOSTED | {"rounds": 60, "rate": 0.1}).collect()
-    assert len(found) == 13 * 7 + 5 and sum((r["y_true"] > 0) == (r["y_pred"] > 0) for r in found) > 85
-    ranks = {r["feature"]: r["rank"] for r in B.permutation_importance(rows, "y", ["a", "b"], repeats=2, params=B.BOOSTED | {"rounds": 60, "rate": 0.1}).collect()}
-    assert ranks == {"a": 1, "b": 2}
-    scores = {"up": (("a", 1, False),), "down": (("a", -1, False),), "wide": (("b", 1, True),), "rest": ()}
-    found = B.specialist_walk_forward(rows, "y", ["a", "b"], ["a", "b"], scores, params={"rounds": 20, "rate": 0.2}).collect()
-    assert len(found) == 96 and {r["regime"] for r in found} <= set(scores) and sum(r["hit"] for r in found) > 85
-
-
-def test_driver_regimes():
-    rng = np.random.default_rng(3)
-    truth = np.repeat([0, 1, 2, 3, 0, 2], 50)
-    centre = np.array([[5, 0, 0, 0], [0, 5, 0, 0], [0, 0, 5, 0], [0, 0, 0, 5.0]])
-    x = centre[truth] + rng.normal(0, 0.3, (300, 4))
-    scores = {n: ((c, 1, False),) for n, c in zip(("supply", "demand", "macro", "risk_off"), "abcd", strict=True)}
-    model = R.DriverRegimes(x, list("abcd"), scores)
-    path, probs = model.infer(x)
-    assert np.mean([p == list(scores)[t] for p, t in zip(path, truth, strict=True)]) > 0.98
-    assert np.allclose(sum(probs.values()), 1) and all(b >= a - 1e-6 for a, b in itertools.pairwise(model.seen))
-
-
 def test_phrases(spark):
     docs = spark.createDataFrame([(k, ["red", "sea", "port", "red", "sea", f"w{k}"]) for k in range(20)] + [(99, []), (98, ["red"])], "doc_id int, tokens array<string>")
     found = K.phrases(docs, least=5, threshold=0.1)
@@ -283,7 +238,7 @@ def test_files(spark, tmp_path):
     leaf = put("leaf.xml", loc(("/E/Oil/a.html", "2024-01-05T00:00:00"), ("site.com/E/Oil/b.html", None), ("https://site.com/E/Coal/c.html", None), ("https://site.com/E/Oil/d.html", "2023-01-01"), ("https://site.com/E/Oil/e.htm", None), ("ftp:x.html", None), ("/E/Oil/a.html", None)))
     assert {r["url"]: r["lastmod"] for r in files.sitemap_urls(spark, leaf, "site.com", "2024-01-01", "2024-12-31", ["/E/"], ["/E/Coal/"]).collect()} == {"https://site.com/E/Oil/a.html": dt.date(2024, 1, 5), "https://site.com/E/Oil/b.html": None}
     index = put("index.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>https://s/{n}</loc></sitemap>" for n in ("sitemap_articles_2024_1.xml", "sitemap_articles_2023_12.xml", "static.xml", "sitemap_articles_2024_3.xml")) + "</sitemapindex>")
-    assert files.sitemaps(spark, index, "2024-01-01", "2024-02-15") == ["https://s/sitemap_articles_2024_1.xml"]
+    assert [r["loc"] for r in files.sitemaps(spark, index, "2024-01-01", "2024-02-15").collect()] == ["https://s/sitemap_articles_2024_1.xml"]
     assert files.optional(spark, lambda: spark.read.parquet(str(tmp_path / "none")), "id long").count() == 0
     both = spark.createDataFrame([(1, 2, "https://s/c/Big-News.html")], "a int, p int, u string")
     assert both.select(files.page_url(F.lit("https://s/c//"), F.col("p")).alias("x"), files.page_url(F.lit("https://s/c"), F.col("a")).alias("y"), files.slug_headline(F.col("u")).alias("z")).first() == ("https://s/c/Page-2.html", "https://s/c/", "Big News")

@@ -8,7 +8,9 @@ import pytest
 
 import __spark_entry__ as entry
 from fathom.functions import words
+from fathom.operators import regimes as R
 from fathom.plans import queries as Q
+from fathom.sources import pages as P
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -41,11 +43,25 @@ def check_paragraphs(rows, con):
     assert all(r["weak_labels"] == [k for k, some in Q.TOPICS.items() if any(w in r["paragraph_text"].lower() for w in some)] for r in rows)
 
 
+def check_listing(rows, con):
+    """Against regular expressions: the anchors of these pages hold text only."""
+    html = dict(con.execute("SELECT page_id, html FROM pages").fetchall())
+    want = set()
+    for page, text in html.items():
+        for href, title in re.findall(r'<a href="([^"]*)"[^>]*>([^<]*)</a>', text):
+            if len(unescape(title).strip()) >= 5 and href.endswith(".html") and not any(x in href for x in P.NO_ARTICLE):
+                want.add((page, href if href.startswith("http") else "https://site.com" + href))
+    assert {(r["page_id"], r["url"]) for r in rows} == want and len(rows) == len(want)
+
+
 def check_pages(rows, con):
     html = dict(con.execute("SELECT page_id, html FROM pages").fetchall())
     plain = lambda x: "".join(unescape(re.sub(r"<[^>]*>", "", x)).split())
     assert {r["page_id"] for r in rows} == set(html) and len(rows) == len(html)
     for r in rows:
+        nav = re.search(r"(?s)<nav>(.*?)</nav>", html[r["page_id"]])
+        crumbs = [unescape(a).strip() for a in re.findall(r"<a [^>]*>([^<]*)</a>", nav[1] if nav else "")]
+        assert r["section"] == (" > ".join([c for c in crumbs if c][-3:]) or None)
         title = re.search(r"(?s)<h1[^>]*>(.*?)</h1>", html[r["page_id"]])
         assert plain(r["title"] or "") == (plain(title[1]) if title else "")
         whole = " ".join(plain(p) for p in re.findall(r"(?s)<p(?=[ >])[^>]*>(.*?)(?=</p>|<p[ >]|</article>|</div>|</main>|</section>|</body>)", html[r["page_id"]]))
@@ -90,6 +106,22 @@ def check_topics(rows, con):
     assert all(r["topics"] == ",".join(sorted(s)) for r, s in zip(rows, found, strict=True))
 
 
+def check_tuned(rows, con):
+    (r,) = rows
+    assert r["reset"] in (0.2, 0.35, 0.5) and all(m in (0.7, 0.85, 1.0, 1.15, *R.MULTIPLIERS.values()) for m in r["multipliers"]) and len(r["multipliers"]) == 4
+    assert r["whole"] in range(3) and len(r["experts"]) == 4 and all(e in range(3) for e in r["experts"])
+
+
+def check_report(rows, con):
+    """Weeks and means as inferred, and each state's moves, for each of four regimes."""
+    found = {(r["regime"], r["measure"]): r["value"] for r in rows}
+    states = {k for k, m in found if m == "decay_weeks"}
+    assert states == set(R.REGIMES) and all(abs(sum(found[k, f"to {n}"] for n in states) - 1) < 0.01 for k in states)
+    seen = {k for k, m in found if m == "n_weeks"}
+    assert seen <= states and sum(found[k, "n_weeks"] for k in seen) > 100
+    assert all(found[k, f"seen {c}"] is not None and found[k, f"state {c}"] is not None for k in seen for c in Q._DRIVERS)
+
+
 def check_states(rows, con):
     assert rows and all(sum(r[f"hmm_regime_{k}_lag1"] for k in range(3)) == 1 for r in rows)
 
@@ -99,6 +131,7 @@ CHECKS = {
     "F11_M4_paragraphs": check_paragraphs, "S18_articles": check_pages, "R2_R5_R6_markov_regime": check_probabilities("hmm_prob_", "hmm_regime"),
     "R3_R4_R11_driver_regime": check_probabilities("regime_prob_", "regime"), "W18_ridge_walk_forward": check_forecasts, "B7_boosted_walk_forward": check_forecasts,
     "B1_B2_B3_B6_regime_walk_forward": check_forecasts, "B9_specialist_walk_forward": check_forecasts, "B11_L7_permutation_importance": check_importance,
+    "B5_nested_tuning": check_tuned, "R7_driver_report": check_report, "R2_R5_R6_markov_regime_of_events": check_probabilities("hmm_prob_", "hmm_regime"), "S17_listing": check_listing,
     "M5_M6_J13_A12_article_topics": check_topics, "X1_feature_matrix_with_states": check_states,
 }
 
