@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,29 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokens, votes
-
-
-#: Seeds that are broadcast; more of them meet the vectors in blocks.
-MOST_SEEDS = 1000
-
-
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, t: s + t)
-
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def neighbours(vectors: DataFrame, seeds: DataFrame, top: int = 5, least: float = -1.0) -> DataFrame:
-    """The `top` vectors (word, vector) nearest to each of seeds (seed, vector) by
-    cosine, ties by word: seed, word, similarity, rank. The seeds are a stated set
-    of queries; a seed isn't its own neighbour."""
-    if seeds.limit(MOST_SEEDS + 1).count() > MOST_SEEDS:
-        return all_neighbours(vectors, seeds, top, least)
-    pairs = vectors.join(F.broadcast(seeds.withColumnRenamed("vector", "_s")), F.col("word") != F.col("seed"))
-    scored = pairs.select("seed", "word", cosine(F.col("vector"), F.col("_s")).alias("similarity")).where(F.col("similarity") >= least)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("similarity"), "word")))
-    return ranked.where(F.col("rank") <= top)
+from fathom.sources.scratch import written
 
 
 def _nearest(top: int, least: float):
@@ -64,7 +43,9 @@ def _nearest(top: int, least: float):
 
 
 def all_neighbours(vectors: DataFrame, seeds: DataFrame, top: int = 5, least: float = -1.0, block: int = 1000, part: int = 10_000) -> DataFrame:
-    """neighbours() for seeds that grow with the table: about `block` seeds meet about
+    """The `top` vectors (word, vector) nearest to each of seeds (seed, vector) by cosine,
+    ties by word: seed, word, similarity, rank. A seed isn't its own neighbour. The seeds
+    may grow with the table: about `block` of them meet about
     `part` vectors in a task, and only the `top` of each part go on. Vectors are of one
     length; those that are null or hold a null have no similarity."""
     whole = lambda df: df.where("vector is not null and not exists(vector, x -> x is null)")
@@ -103,9 +84,10 @@ def pair_pmi(index: DataFrame, candidates: list[str], seeds: list[str]) -> DataF
     return both.select("word", "seed", F.log2(F.col("n_ab") * total / (F.col("n_a") * F.col("n_b"))).alias("pmi"))
 
 
-def all_pmi(index: DataFrame, seeds: list[str]) -> DataFrame:
-    """pair_pmi() of every token of the index with the seeds."""
-    total = index.agg(F.countDistinct("doc_id").alias("n")).scalar()
+def all_pmi(index: DataFrame, seeds: list[str], total: int | None = None) -> DataFrame:
+    """pair_pmi() of every token of the index with the seeds; total: documents, where the
+    index isn't of all of them."""
+    total = index.agg(F.countDistinct("doc_id").alias("n")).scalar() if total is None else F.lit(total)
     df = index.groupBy("token").agg(F.count("*").alias("n"))
     b = index.where(F.col("token").isin(seeds)).select("doc_id", F.col("token").alias("seed"))
     both = index.withColumnRenamed("token", "word").join(b, "doc_id").where("word <> seed").groupBy("word", "seed").agg(F.count("*").alias("n_ab"))
@@ -126,9 +108,9 @@ def rate_gap(counts: DataFrame, gap: float = 1.2e-4, least: int = 3, most: int =
     return top("rise").unionByName(top("fall")).select("word", "side", "gap")
 
 
-def mean_pmi(index: DataFrame, seeds: list[str]) -> DataFrame:
+def mean_pmi(index: DataFrame, seeds: list[str], total: int | None = None) -> DataFrame:
     """(word, mean_pmi) over the seeds that share a document with the word."""
-    return all_pmi(index, seeds).groupBy("word").agg(F.avg("pmi").alias("mean_pmi"))
+    return all_pmi(index, seeds, total).groupBy("word").agg(F.avg("pmi").alias("mean_pmi"))
 
 
 def mean_cosine(vectors: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -189,23 +171,54 @@ def seed_tokens(seeds: DataFrame, found: DataFrame, stop=()) -> DataFrame:
     return parts.select("seed", F.array_join(F.transform("p", lambda x: x["token"]), "_").alias("token"))
 
 
-def word_vectors(rows: DataFrame, id: str = "doc_id", size: int = 150, window: int = 6, least: int = 3, rounds: int = 15, vocabulary: int = 100_000, sample: int = 1_000_000, parts: int = 1, seed: int = 42) -> DataFrame:
-    """(word, vector) by skip-grams from the rows of phrased(). The model is held whole,
-    so it learns the `vocabulary` most frequent tokens from `sample` documents at
-    most, drawn by hash."""
-    from pyspark.ml.feature import Word2Vec
+#: Tokens that one partition of the skip-grams learns from, about.
+PART_TOKENS = 2_000_000
+
 
-    few = rows.select(id).distinct().orderBy(F.xxhash64(id), id).limit(sample)
-    some = rows.join(few, id, "left_semi")
-    top = some.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(vocabulary)
-    texts = some.join(top, "token", "left_semi").groupBy(id).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("p"))
-    texts = texts.orderBy(id).select(F.transform("p", lambda x: x["token"]).alias("tokens"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=rounds, numPartitions=parts, seed=seed, inputCol="tokens", outputCol="v").fit(texts)
+def word_vectors(rows: DataFrame, id: str = "doc_id", size: int = 150, window: int = 6, least: int = 3, rounds: int = 15, parts: int | None = None, seed: int = 42) -> DataFrame:
+    """(word, vector) by skip-grams from all rows (id, pos, token) of phrased(), for every token
+    that comes `least` times: no cap on words or documents. Partitions learn side by side, their
+    parameters are averaged after each round. The table of parameters is held whole, `size` numbers a
+    token: a larger `least` makes it smaller where the vocabulary is very large."""
+    from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
+    n = parts or max(1, -(-rows.count() // PART_TOKENS))
+    texts = rows.groupBy(id).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("p"))
+    texts = texts.repartitionByRange(n, id).sortWithinPartitions(id).select(F.transform("p", lambda x: x["token"]).alias("tokens"))
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=rounds, numPartitions=n, seed=seed, inputCol="tokens", outputCol="v").fit(texts)
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
+def expanded_groups(docs: DataFrame, groups: DataFrame, top: int = 10, least: float = 0.6, letters: int = 4, cosine_least: float = 0.5, pmi_least: float = 0.02, gated: list[str] | None = None, phrase_least: int = 5, threshold: float = 10.0, **learner) -> DataFrame:
+    """From a corpus (doc_id, tokens) and groups (group, seed) of known keywords to new ones: (group,
+    word, display, similarity, similar_to, mean_cosine, mean_pmi).
+
+    Phrases are found and joined, word vectors learned, each seed taken as its token (phrases too),
+    and the `top` neighbours of a seed's vector kept from a similarity of `least` on, with `letters`
+    letters, if they are no group's seed; a word stays with its best seed in a group. Words of the
+    `gated` groups (null: all) also pass both gates: their mean cosine with the group's seeds, and their mean
+    PMI with those in documents. Seeds without a vector suggest nothing. Each step's table is
+    written once; the groups are a short list, worked through one by one at the gates."""
+    found = written(phrases(docs, least=phrase_least, threshold=threshold), "phrases")
+    text = written(phrased(docs, found), "phrased")
+    vectors = written(word_vectors(text, **learner), "vectors")
+    seeds = written(groups.join(seed_tokens(groups.select("seed").distinct(), found), "seed").select("group", "seed", "token").distinct(), "seeds")
+    held = written(vectors.join(seeds.withColumnRenamed("token", "word"), "word").select("group", "seed", "word", "vector"), "held")
+    near = all_neighbours(vectors, held.select(F.col("word").alias("seed"), "vector").distinct(), top, least).withColumnRenamed("seed", "token")
+    near = near.join(seeds.select(F.col("token").alias("word")).distinct(), "word", "left_anti").where(F.length(F.replace("word", F.lit("_"), F.lit(""))) >= letters)
+    best = F.row_number().over(Window.partitionBy("group", "word").orderBy(F.desc("similarity"), "seed"))
+    new = near.join(seeds, "token").withColumn("_n", best).where("_n = 1").select("group", "word", F.replace("word", F.lit("_"), F.lit(" ")).alias("display"), F.round("similarity", 4).alias("similarity"), F.col("seed").alias("similar_to"))
+    new, index = written(new, "suggestions"), written(text.select(F.col("token"), "doc_id").distinct(), "index")
+    names = [r["group"] for r in groups.select("group").distinct().orderBy("group").collect()]  # a short list
+    tokens_of = {g: [r["token"] for r in seeds.where(F.col("group") == g).select("token").collect()] for g in names}
+    some = index.join(new.select(F.col("word").alias("token")).union(seeds.select("token")).distinct(), "token", "left_semi")
+    total = index.agg(F.countDistinct("doc_id").alias("n")).first()["n"]
+    cosines = reduce(DataFrame.unionAll, [mean_cosine(vectors, held.where(F.col("group") == g).select("vector")).withColumn("group", F.lit(g)) for g in names])
+    pmis = reduce(DataFrame.unionAll, [mean_pmi(some, tokens_of[g], total).withColumn("group", F.lit(g)) for g in names])
+    return relevant(new, cosines, pmis, gated, cosine_least, pmi_least)
+
+
 def expanded(vectors: DataFrame, seeds: DataFrame, existing: DataFrame, top: int = 10, least: float = 0.6, letters: int = 4) -> DataFrame:
     """(word, display, similarity, similar_to): of the `top` vectors (word, vector) nearest
     to each of seeds (seed, vector) those of a similarity of `least`, not in

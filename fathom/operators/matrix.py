@@ -12,6 +12,7 @@ from fathom.operators import indicators as I
 from fathom.operators import lexicon as L
 from fathom.operators import regimes as R
 from fathom.operators import series as S
+from fathom.sources.scratch import written
 
 #: How the columns of each layer are rolled up by week.
 BROAD = {
@@ -42,6 +43,7 @@ def news_matrix(price: DataFrame, broad: DataFrame, decisive: DataFrame, disrupt
         weekly_layer(D.event_flags(disruptive, "disruption", before=1, after=3, count="intensity"), DISRUPTIVE, "disruption", "disruption_sentiment", "disruption_sentiment_std"),
     )
     rows = D.with_news(price, *layers).withColumn("close_pct_change", S.change(F.col("close"), S.over()))
+    rows = written(rows, "weeks")  # the quantiles and the states read it too
     rows = R.volatility_regime(S.volatility(rows, "close_pct_change"))
     if states:
         hidden = R.markov_regime(rows.withColumn("_series", F.lit("all")), ["close_pct_change", "realized_vol"], states, key="_series").select("date", "hmm_regime")
@@ -63,7 +65,7 @@ def lexicon_scores(articles: DataFrame, base: DataFrame | None = None, stop=word
     """labelled() articles (key, text, price_direction) with lm_sentiment under the
     lexicon that the base grows to."""
     base = L.base_lexicon(articles.sparkSession) if base is None else base
-    grown = L.expanded_lexicon(base, L.class_counts(articles, stop=stop))
+    grown = written(L.expanded_lexicon(base, written(L.class_counts(articles, stop=stop), "counts")), "lexicon")
     return articles.join(L.scored(articles, grown, key, stop=stop), key)
 
 
@@ -73,7 +75,7 @@ def lexicon_matrix(price: DataFrame, articles: DataFrame, found_topics: DataFram
     indicators a topic. Topics are those of found_topics (key, topics) or else of the
     keywords that the text holds."""
     keywords = words.TOPIC_KEYWORDS if keywords is None else keywords
-    rows = lexicon_scores(labelled(articles, **lists), key=key)
+    rows = lexicon_scores(written(labelled(articles, **lists), "articles"), key=key)
     if found_topics is None:
         rows = rows.withColumn("topics", topics(F.col("text"), keywords))
     else:

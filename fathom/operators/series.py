@@ -41,10 +41,6 @@ def lagged(rows: DataFrame, columns: list[str], date: str = "date", by: tuple[st
     return rows.select("*", *(F.lag(c).over(w).alias(f"{c}_lag1") for c in columns)).drop(*columns)
 
 
-def padded(column: str, w: WindowSpec) -> Column:
-    return F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-
-
 def change(column: Column, w: WindowSpec, k: int = 1) -> Column:
     """Percent change against k rows before."""
     return (F.try_divide(column, F.lag(column, k).over(w)) - 1) * 100
@@ -122,6 +118,15 @@ def inner_splits(n: int, splits: int = 3, size: int = 26, least: int = 104) -> l
     return sorted(set(ends))
 
 
+def inner_split_rows(counts: DataFrame, splits: int = 3, size: int = 26, least: int = 104) -> DataFrame:
+    """counts (n, ...) with `e`, the end of the training part of each of inner_splits(); a
+    row of too few has none."""
+    last = F.col("n") - size
+    at = F.sequence(F.lit(0), F.lit(max(1, splits) - 1))
+    ends = F.array_distinct(F.transform(at, lambda k: F.floor(F.lit(least) + (last - least) * k / max(1, splits - 1)).cast("long")))
+    return counts.where(F.col("n") >= least + size).select("*", F.explode(ends).alias("e"))
+
+
 def age_weights(w_all: WindowSpec, date: str = "date", base: float = 0.995) -> Column:
     """base ** age, over the mean of all; w_all is the unordered window of a series."""
     raw = F.pow(F.lit(base), F.row_number().over(w_all.orderBy(F.desc(date))) - 1)

@@ -23,6 +23,7 @@ from fathom.operators import walk as V
 from fathom.plans import fixtures as X
 from fathom.plans.fixtures import WEEK, with_tables
 from fathom.sources import pages as P
+from fathom.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +74,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 def _drivers(spark: SparkSession, d: str) -> DataFrame:
     """Weekly changes, the surprise of a change, the level that is kept, and momentum."""
     w = S.over()
-    rows = X.macro(spark, d).select("date", (F.col("stocks") - F.lag("stocks").over(w)).alias("stocks_chg"), "rate", (F.col("rate") - F.lag("rate").over(w)).alias("rate_chg"), S.change(F.col("stocks"), w, 4).alias("stocks_mom"))
+    rows = written(X.macro(spark, d), "macro").select("date", (F.col("stocks") - F.lag("stocks").over(w)).alias("stocks_chg"), "rate", (F.col("rate") - F.lag("rate").over(w)).alias("rate_chg"), S.change(F.col("stocks"), w, 4).alias("stocks_mom"))
     return rows.select("date", "stocks_chg", S.seasonal_surprise(rows, "stocks_chg").alias("surprise"), "rate", "rate_chg", "stocks_mom")
 
 
@@ -296,8 +297,7 @@ def W19_weekly_folds(spark, d):
 
 @query("price", "SELECT n, e FROM (SELECT count(*) AS n FROM price), LATERAL (SELECT DISTINCT CAST(floor(104 + (n - 26 - 104) * k / 2.0) AS BIGINT) AS e FROM range(3) t(k))")
 def W20_inner_splits(spark, d):
-    n = X.price(spark, d).count()
-    return spark.createDataFrame([(n, e) for e in S.inner_splits(n)], "n long, e long")
+    return S.inner_split_rows(X.price(spark, d).agg(F.count("*").alias("n")))
 
 
 @query("scored", "SELECT date FROM (SELECT DISTINCT date FROM scored) s WHERE EXISTS (SELECT 1 FROM scored e WHERE e.tier = 'signup' AND e.sentiment > 0.94 AND s.date BETWEEN e.date - 2 AND e.date + 2)")
@@ -440,7 +440,7 @@ X.SQL["lexicon"] = LEXICON
 
 def _lexicon(spark, d):
     base = spark.createDataFrame(sorted(POLARITY.items()), "word string, polarity double")
-    return L.expanded_lexicon(base, L.class_counts(_labelled(spark, d), stop=()))
+    return L.expanded_lexicon(base, written(L.class_counts(_labelled(spark, d), stop=()), "counts"))
 
 
 @query("tokens counts base lexicon", "SELECT word, round(polarity, 4) AS polarity FROM lexicon")
@@ -453,22 +453,27 @@ def M3_J9_article_scores(spark, d):
     return rounded(L.scored(X.table(spark, d, "documents"), _lexicon(spark, d), "doc_id", stop=()))
 
 
+def _token_index(spark, d):
+    """The index as a table: texts are read and cut into tokens once."""
+    return written(K.token_index(X.table(spark, d, "documents")), "index")
+
+
 _A, _B = ["the", "tion", "ing", "ble"], ["and", "that", "from"]
 
 
 @query("tokens", f"SELECT word, seed, round(log2(n_ab * n / (a.c * b.c)::DOUBLE), 6) + 0.0::DOUBLE AS pmi FROM (SELECT x.word, y.word AS seed, count(*) AS n_ab FROM (SELECT DISTINCT * FROM tokens WHERE word IN {tuple(_A)}) x JOIN (SELECT DISTINCT * FROM tokens WHERE word IN {tuple(_B)}) y USING (doc_id) GROUP BY 1, 2) JOIN (SELECT word, count(DISTINCT doc_id) AS c FROM tokens GROUP BY word) a USING (word) JOIN (SELECT word AS seed, count(DISTINCT doc_id) AS c FROM tokens GROUP BY word) b USING (seed) CROSS JOIN (SELECT count(DISTINCT doc_id) AS n FROM tokens)")
 def M13_J10_pmi(spark, d):
-    return rounded(K.pair_pmi(K.token_index(X.table(spark, d, "documents")), _A, _B))
+    return rounded(K.pair_pmi(_token_index(spark, d), _A, _B))
 
 
 @query("tokens", f"SELECT word, seed, round(log2(n_ab * n / (a.c * b.c)::DOUBLE), 6) + 0.0::DOUBLE AS pmi FROM (SELECT x.word, y.word AS seed, count(*) AS n_ab FROM (SELECT DISTINCT * FROM tokens) x JOIN (SELECT DISTINCT * FROM tokens WHERE word IN {tuple(_B)}) y USING (doc_id) WHERE x.word <> y.word GROUP BY 1, 2) JOIN (SELECT word, count(DISTINCT doc_id) AS c FROM tokens GROUP BY word) a USING (word) JOIN (SELECT word AS seed, count(DISTINCT doc_id) AS c FROM tokens GROUP BY word) b USING (seed) CROSS JOIN (SELECT count(DISTINCT doc_id) AS n FROM tokens)")
 def M13_J10_pmi_of_all(spark, d):
-    return rounded(K.all_pmi(K.token_index(X.table(spark, d, "documents")), _B))
+    return rounded(K.all_pmi(_token_index(spark, d), _B))
 
 
 @query("tokens counts", "SELECT word, side, round(gap, 9) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(gap) DESC, word) AS n FROM (SELECT word, n_rise / r - n_fall / f AS gap, CASE WHEN n_rise / r - n_fall / f > 0 THEN 'rise' ELSE 'fall' END AS side FROM counts CROSS JOIN (SELECT sum(n_rise)::DOUBLE AS r, sum(n_fall)::DOUBLE AS f FROM counts) WHERE n_rise + n_fall >= 3 AND word NOT IN ('the', 'and', 'der', 'que')) WHERE abs(gap) > 0.00012) WHERE n <= 500")
 def M14_A10_L4_rate_gap(spark, d):
-    return rounded(K.rate_gap(L.class_counts(_labelled(spark, d), stop=()), base=tuple(POLARITY)), 9)
+    return rounded(K.rate_gap(written(L.class_counts(_labelled(spark, d), stop=()), "counts"), base=tuple(POLARITY)), 9)
 
 
 def _vectors(spark, d):
@@ -481,12 +486,12 @@ _NEAR = "SELECT s.vec_id AS seed, e.vec_id AS word, list_cosine_similarity(s.emb
 
 @query(sql=f"SELECT seed, word, round(similarity, 6) AS similarity, (row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, word))::INT AS rank FROM ({_NEAR})")
 def L2_neighbours(spark, d):
-    return rounded(K.neighbours(*_vectors(spark, d)))
+    return rounded(K.all_neighbours(*_vectors(spark, d)))
 
 
 @query(sql=f"SELECT word, round(max(similarity), 6) AS similarity, arg_max(seed, (similarity, -seed)) AS similar_to FROM ({_NEAR}) GROUP BY word")
 def L3_M11_best_seed(spark, d):
-    return rounded(K.best_seed(K.neighbours(*_vectors(spark, d))))
+    return rounded(K.best_seed(K.all_neighbours(*_vectors(spark, d))))
 
 
 def _all_neighbours(spark, d):
@@ -624,9 +629,9 @@ def X1_feature_matrix_with_states(spark, d):
 
 
 def _matrix(spark, d, states=0):
-    rows = X.news(spark, d)
+    rows = written(X.news(spark, d), "news")
     tiers = [rows.where(c) for c in ("tier not in ('purchase', 'error')", "tier = 'purchase'", "tier = 'error'")]
-    return M.news_matrix(X.price(spark, d), *tiers, _drivers(spark, d), states)
+    return M.news_matrix(written(X.price(spark, d), "price"), *tiers, _drivers(spark, d), states)
 
 
 def _sql_list(values) -> str:
@@ -670,7 +675,7 @@ X.SQL["taken"] = "SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def _keyword_tokens(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", T.tokens(F.col("text"), words.KEYWORD_STOP_WORDS).alias("tokens"))
+    return written(X.table(spark, d, "documents").select("doc_id", T.tokens(F.col("text"), words.KEYWORD_STOP_WORDS).alias("tokens")), "tokens")
 
 
 @query("kt kp pair single phr", "SELECT a, b, n_ab, round(score, 6) AS score FROM phr")
@@ -681,7 +686,14 @@ def M8_phrases(spark, d):
 @query("kt kp pair single phr run taken", "SELECT kp.doc_id, kp.pos::INT AS pos, CASE WHEN t.pos IS NOT NULL THEN token || '_' || next ELSE token END AS token FROM kp LEFT JOIN taken t ON t.doc_id = kp.doc_id AND t.pos = kp.pos LEFT JOIN taken u ON u.doc_id = kp.doc_id AND u.pos = kp.pos - 1 WHERE u.pos IS NULL")
 def M8_phrased(spark, d):
     docs = _keyword_tokens(spark, d)
-    return K.phrased(docs, K.phrases(docs))
+    return K.phrased(docs, written(K.phrases(docs), "phrases"))
+
+
+@query()
+def M9_M10_M11_expanded_groups(spark, d):
+    """From the corpus to new keywords of three groups: phrases, vectors, seeds, neighbours, gates."""
+    groups = spark.createDataFrame([(g, s) for g, some in {"one": ["the", "that", "with"], "two": ["der", "und", "nicht"], "three": ["que", "les", "dans"]}.items() for s in some], "group string, seed string")
+    return K.expanded_groups(_keyword_tokens(spark, d), groups, least=0.3, cosine_least=0.2, size=50, rounds=5)
 
 
 _NAMED = "e AS (SELECT 'w' || vec_id AS word, embedding::DOUBLE[] AS v, vec_id FROM embeddings)"
@@ -709,7 +721,7 @@ pm AS (SELECT word, avg(log2(n_ab * (SELECT count(DISTINCT l_orderkey) FROM b) /
 
 
 def _baskets(spark, d):
-    return X.table(spark, d, "lineitem").select(F.concat(F.lit("w"), (F.col("l_partkey") % 500).cast("string")).alias("token"), F.col("l_orderkey").alias("doc_id")).distinct()
+    return written(X.table(spark, d, "lineitem").select(F.concat(F.lit("w"), (F.col("l_partkey") % 500).cast("string")).alias("token"), F.col("l_orderkey").alias("doc_id")).distinct(), "baskets")
 
 
 @query(sql=f"WITH {_PMI} SELECT word, round(mean_pmi, 6) + 0.0::DOUBLE AS mean_pmi FROM pm")

@@ -137,4 +137,4 @@ def X1_text_matrix(spark, d):
     """The feature matrix with all three layers of news scored by their texts, once."""
     rows = written(_text_news(spark, d), "scored")
     tiers = [rows.where(c) for c in ("tier not in ('purchase', 'error')", "tier = 'purchase'", "tier = 'error'")]
-    return rounded(M.news_matrix(X.price(spark, d), *tiers, Q._drivers(spark, d)))
+    return rounded(M.news_matrix(written(X.price(spark, d), "price"), *tiers, Q._drivers(spark, d)))

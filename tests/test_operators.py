@@ -3,6 +3,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
@@ -108,6 +109,11 @@ def test_inner_splits():
     assert S.inner_splits(130) == [104] and S.inner_splits(129) == [] and S.inner_splits(230) == [104, 154, 204]
 
 
+@pytest.mark.parametrize("n", [10, 129, 130, 131, 200, 375])
+def test_inner_splits_as_rows(spark, n):
+    assert sorted(r["e"] for r in S.inner_split_rows(spark.createDataFrame([(n,)], "n long")).collect()) == S.inner_splits(n)
+
+
 def test_months_and_upsert(spark, tmp_path):
     rows = spark.createDataFrame([(1, dt.date(2024, 1, 3), "old"), (2, dt.date(2024, 2, 3), "old")], "id int, date date, x string").withColumn("query_strategy", F.lit("s"))
     path = str(tmp_path / "t")
@@ -148,7 +154,10 @@ def test_all_neighbours_in_blocks(spark):
     vectors = spark.createDataFrame([*rows, (90, None)], "word long, vector array<float>")
     seeds = vectors.where("word % 7 = 0").withColumnRenamed("word", "seed")
     told = lambda df: sorted(tuple(r) for r in df.select("seed", "rank", "word", "similarity").collect())
-    assert told(K.all_neighbours(vectors, seeds, 3, block=4, part=9)) == told(K.neighbours(vectors, seeds, 3))
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in vectors.where("vector is not null").collect()}
+    want = [(s, n, w) for s in unit if s % 7 == 0 for n, w in enumerate(sorted((w for w in unit if w != s), key=lambda w: (-round(float(unit[s] @ unit[w]), 9), w))[:3], 1)]
+    found = told(K.all_neighbours(vectors, seeds, 3, block=4, part=9))
+    assert [r[:3] for r in found] == sorted(want) and found == told(K.all_neighbours(vectors, seeds, 3))
 
 
 def test_all_pmi(spark):
@@ -208,7 +217,32 @@ def test_word_vectors(spark):
     rows = [(k, p, w) for k in range(60) for p, w in enumerate((["oil", "crude", "barrel"] if k % 2 else ["cat", "dog", "mouse"]) * 3)]
     found = {r["word"]: np.array(r["vector"]) for r in K.word_vectors(spark.createDataFrame(rows, "doc_id int, pos int, token string"), size=16, rounds=5).collect()}
     assert set(found) == {"oil", "crude", "barrel", "cat", "dog", "mouse"} and all(len(v) == 16 for v in found.values())
-    assert len(K.word_vectors(spark.createDataFrame(rows, "doc_id int, pos int, token string"), size=4, rounds=1, vocabulary=2).collect()) == 2
+    often = spark.createDataFrame(rows + [(99, 0, "rare"), (99, 1, "rare")], "doc_id int, pos int, token string")
+    assert {r["word"] for r in K.word_vectors(often, size=4, rounds=1, parts=3).collect()} == set(found)  # every token that comes three times
+
+
+def test_keywords_from_a_corpus(spark):
+    """Planted: words that share contexts with a group's seeds are found, of the other group none."""
+    rng, docs = np.random.default_rng(7), []
+    one, two = ["crude", "barrel", "refinery", "pipeline", "tanker"], ["kitten", "puppy", "hamster", "rabbit", "parrot"]
+    for k in range(600):
+        some, frame = (one, ["export", "storage", "terminal"]) if k % 2 else (two, ["feeding", "garden", "basket"])
+        words = []
+        for _ in range(6):
+            words += [rng.choice(some), *rng.permutation(frame)[:2], rng.choice(["the", "with", "from"])]
+            words += ["red", "sea"] if k % 2 and rng.random() < 0.3 else []
+        docs.append((k, [str(w) for w in words]))
+    docs += [(900, []), (901, None)]
+    df = spark.createDataFrame(docs, "doc_id int, tokens array<string>")
+    groups = spark.createDataFrame([("oil", "crude"), ("oil", "barrel"), ("oil", "red sea"), ("oil", "unknown word"), ("pets", "kitten"), ("pets", "puppy")], "group string, seed string")
+    found = K.expanded_groups(df, groups, top=8, least=0.3, cosine_least=0.2, pmi_least=0.02, size=24, rounds=8).collect()
+    got = {g: {r["word"] for r in found if r["group"] == g} for g in ("oil", "pets")}
+    assert {"refinery", "pipeline", "tanker"} <= got["oil"] and {"hamster", "rabbit", "parrot"} <= got["pets"]
+    assert not got["oil"] & {*two, "feeding", "garden", "basket"} and not got["pets"] & {*one, "export", "storage", "terminal", "red_sea"}
+    assert all(r["similarity"] >= 0.3 and r["mean_cosine"] >= 0.2 and r["mean_pmi"] >= 0.02 and r["word"] not in ("crude", "barrel", "red_sea", "kitten", "puppy") for r in found)
+    assert {r["similar_to"] for r in found if r["group"] == "oil"} <= {"crude", "barrel", "red sea"}
+    open_ = K.expanded_groups(df, groups, top=8, least=0.3, gated=["pets"], size=24, rounds=8).collect()
+    assert all((r["mean_pmi"] is None) == (r["group"] == "oil") for r in open_) and any(r["group"] == "oil" for r in open_)
 
 
 def test_topics_by_model(spark):
@@ -258,7 +292,7 @@ def test_pages(spark):
     html = '<script type="application/ld+json">{"x": 1}</script><script type="application/ld+json">{"dateCreated": "2024-01-05"}</script><h1>T <b>x</b></h1><article><p>' + "word " * 12 + "</p><p>Click here " + "word " * 12 + '</p></article><a href="/a/b.html">A long enough title here</a><a href="https://s.com/search/x.html">A long enough title too</a><a href="/a/b.html">Zz the same address again</a>'
     rows = spark.createDataFrame([(1, "u", html), (2, "v", None)], "page_id int, url string, html string")
     found = {r["page_id"]: r for r in pages.articles(rows).collect()}
-    assert found[1]["published_at"] == "2024-01-05" and found[1]["body"] == ("word " * 12).strip() and found[2]["body"] == ""
+    assert found[1]["published_at"] == "2024-01-05T00:00:00" and found[1]["body"] == ("word " * 12).strip() and found[2]["body"] == ""
     assert [tuple(r) for r in pages.article_links(pages.links(rows), "https://s.com").collect()] == [(1, "https://s.com/a/b.html", "A long enough title here")]
 
 

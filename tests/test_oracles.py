@@ -106,6 +106,12 @@ def check_topics(rows, con):
     assert all(r["topics"] == ",".join(sorted(s)) for r, s in zip(rows, found, strict=True))
 
 
+def check_expanded(rows, con):
+    assert rows and {r["group"] for r in rows} <= {"one", "two", "three"} and len({(r["group"], r["word"]) for r in rows}) == len(rows)
+    known = {"the", "that", "with", "der", "und", "nicht", "que", "les", "dans"}
+    assert all(r["similarity"] >= 0.3 and r["mean_cosine"] >= 0.2 and r["mean_pmi"] >= 0.02 and r["word"] not in known and r["similar_to"] in known for r in rows)
+
+
 def check_tuned(rows, con):
     (r,) = rows
     assert r["reset"] in (0.2, 0.35, 0.5) and all(m in (0.7, 0.85, 1.0, 1.15, *R.MULTIPLIERS.values()) for m in r["multipliers"]) and len(r["multipliers"]) == 4
@@ -131,7 +137,7 @@ CHECKS = {
     "F11_M4_paragraphs": check_paragraphs, "S18_articles": check_pages, "R2_R5_R6_markov_regime": check_probabilities("hmm_prob_", "hmm_regime"),
     "R3_R4_R11_driver_regime": check_probabilities("regime_prob_", "regime"), "W18_ridge_walk_forward": check_forecasts, "B7_boosted_walk_forward": check_forecasts,
     "B1_B2_B3_B6_regime_walk_forward": check_forecasts, "B9_specialist_walk_forward": check_forecasts, "B11_L7_permutation_importance": check_importance,
-    "B5_nested_tuning": check_tuned, "R7_driver_report": check_report, "R2_R5_R6_markov_regime_of_events": check_probabilities("hmm_prob_", "hmm_regime"), "S17_listing": check_listing,
+    "B5_nested_tuning": check_tuned, "M9_M10_M11_expanded_groups": check_expanded, "R7_driver_report": check_report, "R2_R5_R6_markov_regime_of_events": check_probabilities("hmm_prob_", "hmm_regime"), "S17_listing": check_listing,
     "M5_M6_J13_A12_article_topics": check_topics, "X1_feature_matrix_with_states": check_states,
 }
 
