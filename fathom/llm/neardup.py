@@ -186,14 +186,20 @@ def _alike(least: int):
     return alike
 
 
+def least_matches(similarity: int) -> int:
+    """Equal coordinates of two signatures from which on sets are compared: five standard
+    deviations below what the similarity leads to expect."""
+    p = similarity / 100
+    return int(np.floor(COORDINATES * p - 5 * np.sqrt(COORDINATES * p * (1 - p))))
+
+
 def candidates(reps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(a, b): pairs that connect the candidate groups of reps (rep, roots, low, high):
     the nodes of level 0, which take whole hashes, so that unlike documents don't
     meet by chance, and two bytes of each coordinate. Documents are compared on the low bytes alone, which
     can only let more pairs through. Signatures join the nodes of more than one
     document once, at the root, and stay with them from there."""
-    p = similarity / 100
-    least = int(np.floor(COORDINATES * p - 5 * np.sqrt(COORDINATES * p * (1 - p))))
+    least = least_matches(similarity)
     nodes, pairs = written(reps.select(F.explode("roots").alias("node"), "rep"), "nodes"), None
     for level in range(LEVELS):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
@@ -292,6 +298,29 @@ def _confirm(similarity: int):
     return confirm
 
 
+def _likely(least: int):
+    """Of rows (part, block, rep, label, set_id, low) those whose signature is like that of a
+    row of their block with another label; repeats go."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["part", "block"]):
+            rows = rows.combine_chunks()
+            part, block, rep, label = (np.array(rows.column(c)) for c in ("part", "block", "rep", "label"))
+            cut = np.flatnonzero((part[1:] != part[:-1]) | (block[1:] != block[:-1])) + 1
+            signs = _plane(rows.column("low"))
+            for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(part)).tolist(), strict=True):
+                own = a + np.unique(rep[a:b], return_index=True)[1]
+                kept = np.zeros(len(own), bool)
+                for at in range(0, len(own), 16):
+                    some = own[at : at + 16]
+                    alike = (signs[some][:, None] == signs[own][None]).sum(axis=2) >= least
+                    kept[at : at + 16] = (alike & (label[some][:, None] != label[own][None])).any(axis=1)
+                if kept.any():
+                    yield from rows.take(pa.array(own[kept])).select(["part", "block", "rep", "label", "set_id"]).to_batches()
+
+    return likely
+
+
 def _confirmed(rows: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """rows (part, block, rep, label, set_id) with texts: links of the confirmed components."""
     full = rows.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("part", "block", "rep", "label", "set_id", "text")
@@ -311,6 +340,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, group: int =
     blocks, each with the group's first document; what is not connected to that
     one is dealt into sides of `group` documents, and each side is compared with each
     block, so no link between components is lost and a task holds two blocks at most.
+    Sides and blocks meet with signatures of 128 bytes a document; only documents whose
+    signatures are like one of another component go on with their texts.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -329,7 +360,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, group: int =
     big = members.where("blocks > 1")
     if not big.isEmpty():
         known = connected(links.join(big.select("rep"), "rep", "left_semi"), "rep", "low")
-        now = written(big.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
+        now = big.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        now = written(now.join(reps.select("rep", "low"), "rep"), "labelled")
         # what holds for a whole group is repeated for its blocks, so that no join deals a group to one task
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         main = now.where("rep = part").select("part", F.col("label").alias("main"), upto("blocks").alias("block"))
@@ -339,8 +371,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, group: int =
         pair = (F.col("block") * F.col("sides") + F.col("side")).alias("block")
         one = apart.withColumn("side", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("sides"))).withColumn("block", upto("blocks"))
         two = now.join(sides, ["part", "block"]).withColumn("side", upto("sides"))
-        both = [x.select("part", pair, "rep", "label", "set_id") for x in (one, two)]
-        links = links.union(written(_confirmed(both[0].union(both[1]).distinct(), texts, similarity), "links"))
+        both = [x.select("part", pair, "rep", "label", "set_id", "low") for x in (one, two)]
+        both = both[0].union(both[1]).repartition("part", "block").sortWithinPartitions("part", "block", "rep")
+        some = written(both.mapInArrow(_likely(least_matches(similarity)), "part long, block long, rep long, label long, set_id binary"), "likely")
+        links = links.union(written(_confirmed(some, texts, similarity), "links"))
     # texts that share an id are one document
     owned = signed.where("set_id is not null and doc_id is not null").select("doc_id", "set_id").distinct().join(reps.select("set_id", "rep"), "set_id")
     shared = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id", "low")
