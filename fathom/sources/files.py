@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import article_time, joined
 from fathom.operators.articles import PAYLOAD, merged, parsed, tagged
 from fathom.operators.series import keep_first
+from fathom.sources.scratch import written
 
 
 def optional(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
@@ -28,6 +29,21 @@ def folder(spark: SparkSession, path: str, key: str = "id", order: str = "date")
     return keep_first(spark.read.option("recursiveFileLookup", "true").parquet(path), [key], [order])
 
 
+def with_keys(rows: DataFrame, prefix: str, url: str = "url", order: str = "url") -> DataFrame:
+    """rows with `key`, the prefix before the address; rows without an address are numbered in a
+    given order, so that they stay apart. Their numbers follow from the sizes of ranges of that order,
+    each numbered in a task of its own."""
+    spark = rows.sparkSession
+    bare = F.coalesce(F.trim(url), F.lit("")) == ""
+    own = rows.where(~bare).withColumn("key", F.concat(F.lit(f"{prefix}::"), F.col(url)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = written(rows.where(bare).repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "bare")
+    sizes = rest.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    ahead = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = rest.join(F.broadcast(ahead), "_part").withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before"))
+    return own.unionByName(numbered.withColumn("key", F.concat(F.lit(f"{prefix}::row-"), F.col("_k").cast("string"))).drop("_part", "_before", "_k"))
+
+
 def payloads(spark: SparkSession, path: str) -> DataFrame:
     """Articles out of JSON lines of operators.articles.PAYLOAD, in the order of creation."""
     return parsed(spark.read.schema(PAYLOAD).json(path)).orderBy("created", "id")
