@@ -17,8 +17,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: they can be, so a run below the least length holds no match that counts.
 PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 ASSIGNED = 6
-#: Tokens that the models score, and words that stand for ordinary text.
-TOKEN, WORD = r"[A-Za-z0-9+/_=-]{16,}", r"[A-Za-z0-9+/_=-]{4,}"
+#: The least length of tokens that the models score, these, and words that stand for ordinary text.
+SCORED = 16
+TOKEN, WORD = rf"[A-Za-z0-9+/_=-]{{{SCORED},}}", r"[A-Za-z0-9+/_=-]{4,}"
 #: Documents whose matches and words are the labelled samples.
 SAMPLE = 4000
 #: The least sum of log-likelihood ratios, and the least mean over a token's transitions.
@@ -57,7 +58,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(value, random): labelled strings from `most` documents, chosen by hash. What the
-    patterns match is random, words elsewhere are not."""
+    patterns match is random, words elsewhere are not; tokens as long as those that are
+    scored that mix letters and digits have no label."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)).alias("h"))
     # about twice as many rows as are asked for get past the filter, however many there are
     share = min(1.0, (2 * most + 1000) / max(1, rows.count()))
@@ -69,7 +71,8 @@ def samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     for pattern in PATTERNS.values():
         rest = F.regexp_replace(rest, pattern, " ")
     words = few.select(F.explode(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))).alias("value"), F.lit(0).alias("random"))
-    return random.union(words)
+    unlabelled = (F.length("value") >= SCORED) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    return random.union(words.where(~unlabelled))
 
 
 def weights(labelled: DataFrame) -> DataFrame:

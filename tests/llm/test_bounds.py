@@ -77,5 +77,16 @@ def test_precision_and_recall_of_the_models(spark):
     assert n["both"] / n["all"] >= 0.99 and n["both"] / n["hits"] >= 0.99
 
 
+def test_recall_where_the_sample_holds_random_tokens(spark):
+    """500 random tokens in documents that the models learn from, and as many long identifiers."""
+    planted = [(k, t, r) for k, (t, r) in enumerate(tokens(random.Random(4), 500)) if len(t) >= 16]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    more = spark.createDataFrame([(1_000_000 + k, f"see {t} here") for k, t, _ in planted], "doc_id long, text string")
+    found = {r["doc_id"] - 1_000_000 for r in secrets.scan(docs.union(more)).where(F.exists("spans", lambda s: s["kind"] == "random")).select("doc_id").collect()}
+    right = {k for k, _, random_ in planted if random_}
+    print(len(found & right) / len(right), len(found & right) / max(1, len(found)))
+    assert len(found & right) / len(right) >= 0.95 and len(found & right) / len(found) >= 0.95
+
+
 def test_the_queries_sample_no_more(spark):
     assert queries.op7_secrets(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
