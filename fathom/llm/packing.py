@@ -28,8 +28,8 @@ from fathom.llm.tokens import encoder
 
 #: Tokens of a sequence; the step of the size classes that patterns are made of.
 CAPACITY, GRAIN = 1024, 2
-#: Parts in which the pieces of one class are ranked: at least, at most, and pieces of one of them.
-SALTS, MOST_SALTS, RANKED = 16, 4096, 50_000
+#: Parts in which the pieces of one class are ranked, at most, and pieces of one of them.
+MOST_SALTS, RANKED = 4096, 2000
 #: Share of a sequence that a pattern fills at least.
 FILL = 0.99
 
@@ -187,8 +187,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     Pieces that no tight pattern takes are laid end to end and cut at every
     `capacity` tokens, so that they are cut once in a sequence at most and only
     the last one is not full. Documents that repeat, with equal or null ids too,
-    are packed as often as they come. The histogram has capacity / grain classes
-    in `salts` parts, whose number grows with the pieces up to MOST_SALTS.
+    are packed as often as they come. The pieces of each of the capacity / grain classes
+    are ranked in parts of about RANKED, MOST_SALTS at most, so that a class that very many
+    pieces share, as empty texts do, is many tasks; `salts` sets one number for all.
     """
     spark = docs.sparkSession
     whole = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
@@ -203,10 +204,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     full = full.withColumns({"sequence_id": F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1)), "offset": none, "from": none}).select(*columns, "from")
 
     cut = whole.drop("ids").where(F.col("length") < capacity).withColumn("size", (F.ceil(F.col("length") / grain) * grain).cast("int"))
-    salts = salts or min(MOST_SALTS, max(SALTS, math.ceil(cut.count() * grain / capacity / RANKED)))
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
+    demand = {r["size"]: r["n"] for r in cut.groupBy("size").agg(F.count("*").alias("n")).collect()}  # capacity / grain rows at most
+    parts = spark.createDataFrame([(s, salts or min(MOST_SALTS, math.ceil(n / RANKED))) for s, n in demand.items()], "size int, salts int")
+    cut = cut.join(F.broadcast(parts), "size").withColumn("salt", F.pmod(F.xxhash64("piece"), F.col("salts")).cast("int")).drop("salts")
     counts = written(cut.groupBy("size", "salt").agg(F.count("*").alias("n")), "histogram")
-    demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # capacity / grain rows at most
     patterns = [({k * grain: n for k, n in p.items()}, times) for p, times in cut_patterns({s // grain: n for s, n in demand.items()}, capacity // grain)]
     plan, given = [], Counter()
     for pattern, times in patterns:
@@ -214,13 +215,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
             plan.append((s, given[s], given[s] + n * times, n, first))
             given[s] += n * times
         first += times
-    slots = spark.createDataFrame(plan, "size int, low long, high long, each long, sequence long")  # the classes squared at most
+    # the ranks of a class are cut into as many equal ranges as it has slots, so that a piece meets the few slots of its range
+    often = Counter(s for s, *_ in plan)
+    width = {s: -(-given[s] // often[s]) for s in often}
+    plan = [(*slot, k) for slot in plan for k in range(slot[1] // width[slot[0]], (slot[2] - 1) // width[slot[0]] + 1)]
+    slots = spark.createDataFrame(plan, "size int, low long, high long, each long, sequence long, range long")  # twice the classes squared at most
+    widths = spark.createDataFrame(list(width.items()), "size int, width long")
     within = Window.partitionBy("size", "salt").orderBy("doc_id", "start", "ids_crc32", "piece")
     ranked = cut.withColumn("rank", F.row_number().over(within) - 1)
-    before = _before(counts, "n", ["salt"], ["size"]).select("size", "salt", "before")
-    ranked = ranked.join(F.broadcast(before), ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before")
-    fits = (ranked["size"] == slots["size"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    ranked = written(ranked.join(F.broadcast(slots), fits, "left").drop(slots["size"]), "ranked")
+    before = _before(counts, "n", ["salt"], ["size"]).join(F.broadcast(widths), "size", "left").select("size", "salt", "before", "width")
+    ranked = ranked.join(F.broadcast(before), ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).withColumn("_range", F.expr("rank div width"))
+    fits = (ranked["size"] == slots["size"]) & (F.col("_range") == F.col("range")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    ranked = written(ranked.join(F.broadcast(slots), fits, "left").drop(slots["size"]).drop("before", "width", "_range", "range"), "ranked")
     put = ranked.where("sequence is not null").withColumn("sequence_id", F.expr("sequence + (rank - low) div each"))
     row = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     put = put.withColumn("offset", F.coalesce(F.sum("length").over(row), none)).select(*columns, none.alias("from"))
