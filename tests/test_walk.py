@@ -41,6 +41,14 @@ def test_folds_are_rows(spark):
     assert walk.fold_rows(spark, 5, 10, 1).count() == 0
 
 
+def test_composed_features(spark):
+    """Numeric columns of the base and those that regimes add, sorted, each once."""
+    from fathom.operators.backtest import composed
+
+    df = spark.sql("SELECT 1 AS b, 2.0D AS a, 'x' AS text, 3 AS a_regime_adj, 0.5D AS regime_prob_up, 1 AS regime_switched, 1.0D AS regime_sent_mult, 'up' AS regime, 9 AS other")
+    assert composed(df, ["b", "a", "text", "none", "b"]) == ["a", "a_regime_adj", "b", "regime_prob_up", "regime_sent_mult", "regime_switched"]
+
+
 def test_the_rule_is_that_of_the_columns(spark, rows, weeks):
     """Regimes, probabilities and adjusted sentiment as regimes.rule_scores() and adjusted() have them."""
     regime, probs = RULE.seen(weeks, 200, 150)
