@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline (sharding to top-k search).
+"""Operators of a training-data pipeline (sharding to byte-pair encoding).
 
 Nothing outside this subpackage imports it; the rest of the library works
 without it.
