@@ -9,7 +9,7 @@ from fathom.operators import regimes as R
 from fathom.plans import fixtures as X
 from fathom.plans import queries as Q
 from fathom.plans.queries import query, rounded
-from fathom.sources import files, pages, tables
+from fathom.sources import crawl, files, pages, tables
 from fathom.sources.scratch import scratch
 
 _TIERS = {"broad": "wide", "deep": "narrow"}
@@ -108,3 +108,17 @@ def S11_synthetic_keys(spark, d):
     """Keys of articles from elsewhere: of the address, or of a number of its own where it is empty."""
     rows = X.table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, "").otherwise(F.col("url")).alias("url"))
     return files.with_keys(rows, "other", order="page_id").select(T.hashed_id(F.col("url")).alias("id"), "key")
+
+
+def _cards(spark, d):
+    """Cards of four categories on pages with gaps, some addresses on several."""
+    rows = X.articles(spark, d)
+    page = (F.floor(F.col("id") / 4) % 14 + F.when(F.col("id") % 14 > 8, 2).otherwise(1)).cast("int")
+    url = F.concat(F.lit("u"), F.when(F.col("id") % 5 == 0, F.floor(F.col("id") / 10)).otherwise(F.col("id")).cast("string"))
+    return rows.select(F.coalesce("lang", F.lit("none")).alias("category"), page.alias("page"), url.alias("url"), F.coalesce("source", F.lit("")).alias("headline"))
+
+
+@query()
+def S20_crawl(spark, d):
+    """What a crawl of four categories meets, each up to its first page without anything new."""
+    return crawl.discovered(_cards(spark, d), ["en", "de", "fr", "es"])

@@ -5,6 +5,7 @@ from html import unescape
 
 import compare
 import pytest
+from test_scans import crawl_by_hand
 
 import __spark_entry__ as entry
 from fathom.functions import words
@@ -112,6 +113,11 @@ def check_expanded(rows, con):
     assert all(r["similarity"] >= 0.3 and r["mean_cosine"] >= 0.2 and r["mean_pmi"] >= 0.02 and r["word"] not in known and r["similar_to"] in known for r in rows)
 
 
+def check_crawl(rows, con):
+    cards = con.execute("SELECT coalesce(lang, 'none'), ((doc_id // 4) % 14 + CASE WHEN doc_id % 14 > 8 THEN 2 ELSE 1 END)::INT, 'u' || (CASE WHEN doc_id % 5 = 0 THEN doc_id // 10 ELSE doc_id END), coalesce(source, '') FROM documents").fetchall()
+    assert sorted((r["category"], r["page"], r["url"], r["headline"]) for r in rows) == crawl_by_hand(cards, ["en", "de", "fr", "es"], 15)
+
+
 def check_tuned(rows, con):
     (r,) = rows
     assert r["reset"] in (0.2, 0.35, 0.5) and all(m in (0.7, 0.85, 1.0, 1.15, *R.MULTIPLIERS.values()) for m in r["multipliers"]) and len(r["multipliers"]) == 4
@@ -137,7 +143,7 @@ CHECKS = {
     "F11_M4_paragraphs": check_paragraphs, "S18_articles": check_pages, "R2_R5_R6_markov_regime": check_probabilities("hmm_prob_", "hmm_regime"),
     "R3_R4_R11_driver_regime": check_probabilities("regime_prob_", "regime"), "W18_ridge_walk_forward": check_forecasts, "B7_boosted_walk_forward": check_forecasts,
     "B1_B2_B3_B6_regime_walk_forward": check_forecasts, "B9_specialist_walk_forward": check_forecasts, "B11_L7_permutation_importance": check_importance,
-    "B5_nested_tuning": check_tuned, "M9_M10_M11_expanded_groups": check_expanded, "R7_driver_report": check_report, "R2_R5_R6_markov_regime_of_events": check_probabilities("hmm_prob_", "hmm_regime"), "S17_listing": check_listing,
+    "B5_nested_tuning": check_tuned, "M9_M10_M11_expanded_groups": check_expanded, "R7_driver_report": check_report, "R2_R5_R6_markov_regime_of_events": check_probabilities("hmm_prob_", "hmm_regime"), "S17_listing": check_listing, "S20_crawl": check_crawl,
     "M5_M6_J13_A12_article_topics": check_topics, "X1_feature_matrix_with_states": check_states,
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fathom.functions import words
 from fathom.operators import articles as A
 from fathom.operators import sentiment as N
-from fathom.sources import files, html, pages, scan
+from fathom.sources import crawl, files, html, pages, scan
 from fathom.streaming import ingest
 
 DAY = dt.date(2024, 1, 1)
@@ -208,3 +208,41 @@ def test_checkpointed_load(spark, tmp_path):
     put("4", [("c", 7), ("a", 0)])
     load(again=True).awaitTermination()
     assert ("c", 7) in target() and len(target()) == 5 and json.dumps(state()).count("negative") == 2
+
+
+def crawl_by_hand(cards, categories, most):
+    seen, out = set(), []
+    for c in dict.fromkeys(categories):
+        for p in range(1, most + 1):
+            new = []
+            for url, headline in sorted((u, h) for cc, pp, u, h in cards if cc == c and pp == p):
+                if url not in seen:
+                    seen.add(url)
+                    new.append((c, p, url, headline))
+            out += new
+            if not new:
+                break
+    return sorted(out)
+
+
+def test_crawl_stops_where_nothing_is_new(spark):
+    import random
+
+    rng = random.Random(3)
+    cards = [(rng.choice("abc"), rng.randint(1, 9), f"u{rng.randint(0, 25)}", f"h{rng.randint(0, 3)}") for _ in range(120)]
+    cards = [c for c in cards if not (c[0] == "b" and c[1] == 4) and c[0] + str(c[1]) != "c1"] + [("d", 1, "only", "h")]
+    df = spark.createDataFrame(cards, "category string, page int, url string, headline string")
+    for order, most in ((["a", "b", "c", "d"], 8), (["c", "b", "b", "a"], 15), (["none"], 3)):
+        found = [tuple(r) for r in crawl.discovered(df, order, most).select("category", "page", "url", "headline").collect()]
+        assert sorted(found) == crawl_by_hand(cards, order, most)
+    assert crawl.discovered(df, []).count() == 0
+
+
+def test_relevant_articles(spark):
+    cards = spark.createDataFrame([("c", 1, "u1", "Crude exports and a refinery shutdown"), ("c", 1, "u2", "A quiet day"), ("c", 2, "u3", "Oil pipeline")], "category string, page int, url string, headline string")
+    body = "The tanker carried inventories of barrels through the strait for a week"
+    pages_ = spark.createDataFrame([("u1", f"<h1>T</h1><article><p>{body}</p></article>"), ("u2", "<h1>no</h1>")], "url string, html string")
+    found = {r["url"]: r for r in crawl.relevant_articles(cards, pages_).collect()}
+    assert set(found) == {"u1", "u3"} and found["u1"]["body"] == body and found["u3"]["body"] is None and found["u3"]["fulltext_topics"] is None
+    assert found["u1"]["headline_topics"] == "refining,flows" and set(found["u1"]["fulltext_topics"].split(",")) == {"inventory", "refining", "flows"}
+    assert "tanker" in found["u1"]["fulltext_keyword_matches"].split(",") and "tanker" not in found["u1"]["headline_keyword_matches"] and found["u1"]["headline_score"] > found["u3"]["headline_score"]
