@@ -100,8 +100,7 @@ def rate_gap(counts: DataFrame, gap: float = 1.2e-4, least: int = 3, most: int =
     """Words of counts (word, n_rise, n_fall) whose shares of the two classes differ by
     more than `gap`, the `most` widest of each side; words of `base`, seeds already,
     count in the totals only."""
-    sums = counts.agg(F.sum("n_rise").alias("r"), F.sum("n_fall").alias("f"))
-    rise, fall = sums.select("r").scalar(), sums.select("f").scalar()
+    rise, fall = (F.lit(n or 0) for n in counts.agg(F.sum("n_rise"), F.sum("n_fall")).first())
     rates = counts.where(F.col("n_rise") + F.col("n_fall") >= least).where(~F.col("word").isin(list(base))).withColumn("gap", F.col("n_rise") / F.greatest(rise, F.lit(1)) - F.col("n_fall") / F.greatest(fall, F.lit(1)))
     wide_ = rates.where(F.abs("gap") > gap).withColumn("side", F.when(F.col("gap") > 0, "rise").otherwise("fall"))
     top = lambda side: wide_.where(F.col("side") == side).orderBy(F.desc(F.abs("gap")), "word").limit(most)

@@ -38,10 +38,9 @@ def scored(corpus: DataFrame, lexicon: DataFrame, id: str, text: str = "text", s
     """(id, lm_sentiment): sum of polarities over the number of tokens. The lexicon
     grows with the vocabulary, so words are joined to it: those of a document are counted
     before they are shuffled, and only the lexicon's words go on."""
-    found = corpus.select(F.col(id), tokens(F.col(text), stop).alias("w"))
-    sizes = found.select(id, F.size("w").alias("n"), F.lit(None).cast("decimal(38,6)").alias("s"))
-    counts = found.select(id, F.explode("w").alias("word")).groupBy(id, "word").agg(F.count("*").alias("k"))
-    hits = counts.join(lexicon, "word").select(id, F.lit(0).alias("n"), (F.col("polarity").cast("decimal(18,6)") * F.col("k")).cast("decimal(38,6)").alias("s"))
+    counts = corpus.select(F.col(id), F.explode_outer(tokens(F.col(text), stop)).alias("word")).groupBy(id, "word").agg(F.count("*").alias("k"))
+    sizes = counts.select(id, F.when(F.col("word").isNotNull(), F.col("k")).otherwise(0).alias("n"), F.lit(None).cast("decimal(38,6)").alias("s"))
+    hits = counts.join(lexicon, "word").select(id, F.lit(0).cast("long").alias("n"), (F.col("polarity").cast("decimal(18,6)") * F.col("k")).cast("decimal(38,6)").alias("s"))
     total = sizes.union(hits).groupBy(id).agg(F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("s"), F.sum("n").alias("n"))
     return total.select(id, F.when(F.col("n") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s") / F.col("n")))).otherwise(0.0).alias("lm_sentiment"))
 
