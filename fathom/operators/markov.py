@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from fathom.sources.scratch import written
 
-#: Rows of a block, about.
-BLOCK = 4096
+#: Rows of a block, about: numpy takes as many steps as the root of it.
+BLOCK = 32_768
 
 
 class States(NamedTuple):
@@ -52,25 +52,68 @@ def densities(model: States, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(out - top[:, None]), top
 
 
+def _lanes(each: np.ndarray, still: np.ndarray) -> np.ndarray:
+    """The matrices of a block's rows as (lane, step, ...): runs of rows that numpy works through
+    side by side. The last lane ends with matrices that leave things as they are."""
+    lanes = max(1, math.isqrt(len(each)))
+    steps = -(-len(each) // lanes)
+    return np.concatenate([each, np.broadcast_to(still, (lanes * steps - len(each), *still.shape))]).reshape(lanes, steps, *still.shape)
+
+
+def _moves(model: States, b: np.ndarray, begins: bool) -> np.ndarray:
+    """What each row does to the probabilities of the states, as (lane, step, from, to)."""
+    each = model.move[None] * b[:, None, :]
+    if begins:
+        each[0] = np.diag(b[0])
+    return _lanes(each, np.eye(len(model.mean)))
+
+
+def _wholes(moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the product of each lane over its largest entry, that one's logarithm)."""
+    whole, scale = np.broadcast_to(np.eye(moves.shape[-1]), moves[:, 0].shape), np.zeros(len(moves))
+    for t in range(moves.shape[1]):
+        whole = whole @ moves[:, t]
+        size = whole.max(axis=(1, 2))
+        whole = whole / size[:, None, None]
+        scale += np.log(size)
+    return whole, scale
+
+
 def product(model: States, x: np.ndarray, begins: bool) -> tuple[np.ndarray, float]:
     """(matrix, logarithm of its scale): states before the block by states at its end. The
     first block of a series starts from the shares, without a move."""
     b, top = densities(model, x)
-    whole, scale = np.eye(len(model.mean)), float(top.sum())
-    for t in range(len(x)):
-        whole = whole * b[t] if begins and t == 0 else (whole @ model.move) * b[t]
+    lanes, scales = _wholes(_moves(model, b, begins))
+    whole, scale = np.eye(len(model.mean)), float(top.sum()) + float(scales.sum())
+    for one in lanes:
+        whole = whole @ one
         size = whole.max()
-        whole /= size
+        whole = whole / size
         scale += math.log(size)
     return whole, scale
 
 
+def _best_moves(model: States, b: np.ndarray, begins: bool) -> np.ndarray:
+    """_moves() for log-likelihoods of paths."""
+    apart = np.where(np.eye(b.shape[1]) > 0, 0.0, -np.inf)
+    each = np.log(model.move + 1e-300)[None] + b[:, None, :]
+    if begins:
+        each[0] = apart + b[0]
+    return _lanes(each, apart)
+
+
+def _best_wholes(moves: np.ndarray) -> np.ndarray:
+    whole = moves[:, 0]
+    for t in range(1, moves.shape[1]):
+        whole = (whole[:, :, :, None] + moves[:, t, None]).max(axis=2)
+    return whole
+
+
 def best_product(model: States, x: np.ndarray, begins: bool) -> np.ndarray:
     """Largest log-likelihood of the paths between a state before the block and one at its end."""
-    b, move = np.log(densities(model, x)[0] + 1e-300), np.log(model.move + 1e-300)
-    whole = np.where(np.eye(len(move)) > 0, 0.0, -np.inf)
-    for t in range(len(x)):
-        whole = whole + b[t] if begins and t == 0 else (whole[:, :, None] + move[None]).max(axis=1) + b[t]
+    whole = None
+    for one in _best_wholes(_best_moves(model, np.log(densities(model, x)[0] + 1e-300), begins)):
+        whole = one if whole is None else (whole[:, :, None] + one[None]).max(axis=1)
     return whole
 
 
@@ -103,16 +146,29 @@ def smoothed(model: States, x: np.ndarray, begins: bool, before: np.ndarray, beh
     """(posteriors of the rows, sums) of a block from the vectors at its ends."""
     b, _ = densities(model, x)
     n, states = b.shape
-    ahead, after = np.empty((n, states)), np.empty((n, states))
-    now = before
-    for t in range(n):
-        now = (now if begins and t == 0 else now @ model.move) * b[t]
-        now = now / now.sum()
-        ahead[t] = now
-    after[-1] = behind / behind.sum()
-    for t in range(n - 2, -1, -1):
-        now = model.move @ (b[t + 1] * after[t + 1])
-        after[t] = now / now.sum()
+    moves = _moves(model, b, begins)
+    lanes, steps = moves.shape[:2]
+    wholes, _ = _wholes(moves)
+    fore, aft = np.empty((lanes, states)), np.empty((lanes, states))
+    fore[0], aft[-1] = before / before.sum(), behind / behind.sum()
+    for k in range(1, lanes):
+        now = fore[k - 1] @ wholes[k - 1]
+        fore[k] = now / now.sum()
+    for k in range(lanes - 1, 0, -1):
+        now = wholes[k] @ aft[k]
+        aft[k - 1] = now / now.sum()
+    ahead, after = np.empty((lanes, steps, states)), np.empty((lanes, steps, states))
+    now = fore
+    for t in range(steps):
+        now = (now[:, None, :] @ moves[:, t])[:, 0]
+        now = now / now.sum(axis=1, keepdims=True)
+        ahead[:, t] = now
+    now = aft
+    for t in range(steps - 1, -1, -1):
+        after[:, t] = now
+        now = (moves[:, t] @ now[:, :, None])[:, :, 0]
+        now = now / now.sum(axis=1, keepdims=True)
+    ahead, after = ahead.reshape(-1, states)[:n], after.reshape(-1, states)[:n]
     post = ahead * after
     post /= post.sum(axis=1, keepdims=True)
     last = np.vstack([before[None], ahead[:-1]])[begins:]
@@ -123,19 +179,24 @@ def smoothed(model: States, x: np.ndarray, begins: bool, before: np.ndarray, beh
 
 def most_likely(model: States, x: np.ndarray, begins: bool, before: np.ndarray, end: int) -> np.ndarray:
     """The states of a block that ends in `end`, from the best log-likelihoods before it."""
-    b, move = np.log(densities(model, x)[0] + 1e-300), np.log(model.move + 1e-300)
-    now, back = before, np.zeros(b.shape, int)
-    for t in range(len(x)):
-        if begins and t == 0:
-            now = now + b[0]
-        else:
-            step = now[:, None] + move
-            back[t], now = step.argmax(axis=0), step.max(axis=0) + b[t]
-    out = np.empty(len(x), int)
-    out[-1] = end
-    for t in range(len(x) - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+    moves = _best_moves(model, np.log(densities(model, x)[0] + 1e-300), begins)
+    lanes, steps = moves.shape[:2]
+    wholes, best, ends = _best_wholes(moves), np.empty((lanes, len(before))), np.empty(lanes, int)
+    best[0], ends[-1] = before, end
+    for k in range(1, lanes):
+        now = (best[k - 1][:, None] + wholes[k - 1]).max(axis=0)
+        best[k] = now - now.max()
+    for k in range(lanes - 1, 0, -1):
+        ends[k - 1] = (best[k] + wholes[k][:, ends[k]]).argmax()
+    now, back = best, np.empty((lanes, steps, len(before)), int)
+    for t in range(steps):
+        step = now[:, :, None] + moves[:, t]
+        back[:, t], now = step.argmax(axis=1), step.max(axis=1)
+    out, at = np.empty((lanes, steps), int), ends
+    for t in range(steps - 1, -1, -1):
+        out[:, t] = at
+        at = back[np.arange(lanes), t, at]
+    return out.ravel()[: len(x)]
 
 
 def maximised(model: States, sums: Sums, floor: float, diagonal: bool) -> States:
@@ -280,11 +341,12 @@ def fit(packed: DataFrame, s: Settings, d: int, key: str = "series") -> Fits:
     for _ in range(s.rounds):
         now = dict(open_)
         ends = long.where(F.col(key).isin(list(now))) if len(now) < len(cuts) else long
-        bounds = _bounds(ends, now, key)
-        sums = _summed(ends.join(bounds, [key, "block"]), lambda row: smoothed(now[getattr(row, key)], _matrix(row), row.block == 0, np.asarray(row.before), np.asarray(row.behind))[1], key, "likelihood")
-        for name, (v, likelihood) in sums.items():
+        # a small matrix for each of the blocks, which are tens of thousands of rows
+        bounds, likelihood = _ends(ends.select(key, "block", "n", "x").mapInPandas(_matrices(now, key), f"{key} string, block int, m array<double>, scale double").toPandas(), now, key)
+        sums = _summed(ends, lambda row: smoothed(now[getattr(row, key)], _matrix(row), row.block == 0, *bounds[getattr(row, key), row.block])[1], key)
+        for name, v in sums.items():
             before = seen.setdefault(name, [])
-            before.append(likelihood)
+            before.append(likelihood[name])
             if len(before) > 1 and before[-1] - before[-2] < s.tolerance:
                 models[name] = open_.pop(name).ordered()
             else:
@@ -294,49 +356,72 @@ def fit(packed: DataFrame, s: Settings, d: int, key: str = "series") -> Fits:
     return Fits(models | {name: m.ordered() for name, m in open_.items()}, seen)
 
 
-def _summed(packed: DataFrame, sums, key: str, also: str | None = None) -> dict:
-    """The sums of the blocks of each series, added by Spark: rows (key, place, value)."""
+def _summed(packed: DataFrame, sums, key: str) -> dict[str, np.ndarray]:
+    """The sums of the blocks of each series, added up by task and then by Spark: rows (key,
+    place, value)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {}
         for batch in batches:
             for row in _each(batch):
-                v = sums(row).flat()
-                yield pd.DataFrame({key: getattr(row, key), "place": np.arange(len(v)), "v": v, "likelihood": getattr(row, also) if also else 0.0})
+                name = getattr(row, key)
+                found[name] = found.get(name, 0) + sums(row).flat()
+        for name, v in found.items():
+            yield pd.DataFrame({key: name, "place": np.arange(len(v)), "v": v})
 
-    added = packed.mapInPandas(each, f"{key} string, place int, v double, likelihood double").groupBy(key, "place").agg(F.sum("v").alias("v"), F.max("likelihood").alias("likelihood"))
+    added = packed.select(key, "block", "n", "x").mapInPandas(each, f"{key} string, place int, v double").groupBy(key, "place").agg(F.sum("v").alias("v"))
     found: dict[str, list] = {}
-    for r in added.orderBy(key, "place").collect():
-        found.setdefault(r[key], []).append((r["v"], r["likelihood"]))
-    return {name: (np.array([v for v, _ in some]), some[0][1]) if also else np.array([v for v, _ in some]) for name, some in found.items()}
+    for r in sorted(added.collect(), key=lambda r: (r[key], r["place"])):
+        found.setdefault(r[key], []).append(r["v"])
+    return {name: np.array(some) for name, some in found.items()}
 
 
-def _bounds(packed: DataFrame, models: dict[str, States], key: str) -> DataFrame:
-    """(key, block, before, behind, likelihood): the vectors at the ends of each block, and
-    the log-likelihood of the series."""
-
+def _matrices(models: dict[str, States], key: str):
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in _each(batch):
                 whole, scale = product(models[getattr(row, key)], _matrix(row), row.block == 0)
                 yield pd.DataFrame({key: [getattr(row, key)], "block": [row.block], "m": [whole.ravel().tolist()], "scale": [scale]})
 
+    return matrices
+
+
+def _scanned(first: np.ndarray, pdf: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+    """(vectors before each block, vectors behind each, log-likelihood) of a series' blocks, in order."""
+    m = [np.asarray(v).reshape(len(first), -1) for v in pdf["m"]]
+    now, total, before = first, float(pdf["scale"].sum()), []
+    for one in m:
+        before.append(now)
+        now = now @ one
+        total += math.log(now.sum())
+        now = now / now.sum()
+    behind = [np.ones(len(first))]
+    for one in m[:0:-1]:
+        back = one @ behind[-1]
+        behind.append(back / back.sum())
+    return before, behind[::-1], total
+
+
+def _ends(found: pd.DataFrame, models: dict[str, States], key: str) -> tuple[dict, dict[str, float]]:
+    """(the vectors at the ends of each block, by series and block; log-likelihoods by series)."""
+    bounds, likelihood = {}, {}
+    for name, pdf in found.groupby(key):
+        pdf = pdf.sort_values("block")
+        before, behind, likelihood[name] = _scanned(models[name].first, pdf)
+        bounds |= {(name, block): ends for block, *ends in zip(pdf["block"].tolist(), before, behind, strict=True)}
+    return bounds, likelihood
+
+
+def _bounds(packed: DataFrame, models: dict[str, States], key: str) -> DataFrame:
+    """(key, block, before, behind, likelihood): the vectors at the ends of each block, and
+    the log-likelihood of the series."""
+
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        states = len(models[pdf[key].iloc[0]].first)
-        m = [np.asarray(v).reshape(states, states) for v in pdf["m"]]
-        now, total, before = models[pdf[key].iloc[0]].first, float(pdf["scale"].sum()), []
-        for one in m:
-            before.append(now)
-            now = now @ one
-            total += math.log(now.sum())
-            now = now / now.sum()
-        behind = [np.ones(states)]
-        for one in m[:0:-1]:
-            back = one @ behind[-1]
-            behind.append(back / back.sum())
-        return pd.DataFrame({key: pdf[key].to_numpy(), "block": pdf["block"].to_numpy(), "before": [v.tolist() for v in before], "behind": [v.tolist() for v in behind[::-1]], "likelihood": total})
-
-    found = packed.select(key, "block", "n", "x").mapInPandas(matrices, f"{key} string, block int, m array<double>, scale double")
+        before, behind, total = _scanned(models[pdf[key].iloc[0]].first, pdf)
+        return pd.DataFrame({key: pdf[key].to_numpy(), "block": pdf["block"].to_numpy(), "before": [v.tolist() for v in before], "behind": [v.tolist() for v in behind], "likelihood": total})
+
+    found = packed.select(key, "block", "n", "x").mapInPandas(_matrices(models, key), f"{key} string, block int, m array<double>, scale double")
     return found.groupBy(key).applyInPandas(scan, f"{key} string, block int, before array<double>, behind array<double>, likelihood double")
 
 

@@ -110,3 +110,35 @@ def test_driver_regimes_of_several_series(spark):
         assert r["decay_weeks"] == R.DECAY_WEEKS[name] and math.isclose(sum(r["moves"].values()), 1, abs_tol=0.01) and r["moves"][name] > 0.9
         assert abs(r["means"]["abcd"[R.REGIMES.index(name)]] - 5) < 0.2
     assert df.where(F.col("series") == "few").count() == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 1000])
+@pytest.mark.parametrize("begins", [True, False])
+def test_lanes_side_by_side_find_what_a_row_at_a_time_finds(n, begins):
+    """A block takes as many steps as the root of its rows, whose results are those of one row after another."""
+    x = np.random.default_rng(n).normal(size=(n, 1)) * 2
+    model = M.States(np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[-1.0], [1.0]]), np.array([[[1.0]], [[2.0]]]))
+    assert M._lanes(np.ones((n, 2, 2)), np.eye(2)).shape[1] <= 2 * np.sqrt(n)
+    b, top = M.densities(model, x)
+    each = [np.diag(b[t]) if begins and t == 0 else model.move * b[t] for t in range(n)]
+    whole, scale = np.eye(2), top.sum()
+    for one in each:
+        whole = whole @ one
+        scale += np.log(whole.max())
+        whole = whole / whole.max()
+    got, of = M.product(model, x, begins)
+    assert np.allclose(got, whole) and np.isclose(of, scale)
+    before, behind = np.array([0.4, 0.6]), np.array([0.5, 1.5])
+    ahead, after = [before], [behind]
+    for one, back in zip(each, each[:0:-1] + [None]):
+        ahead.append(ahead[-1] @ one / (ahead[-1] @ one).sum())
+        after.append(after[-1] if back is None else back @ after[-1] / (back @ after[-1]).sum())
+    want = np.array(ahead[1:]) * np.array(after[:n][::-1])
+    assert np.allclose(M.smoothed(model, x, begins, before, behind)[0], want / want.sum(axis=1, keepdims=True))
+    best, logs = np.log(before), [np.log(one + 1e-300) for one in each]
+    for one in logs:
+        best = (best[:, None] + one).max(axis=0)
+    end = int(best.argmax())
+    path = M.most_likely(model, x, begins, np.log(before), end)
+    score = max(np.log(before)[s] + logs[0][s, path[0]] for s in range(2)) + sum(logs[t][path[t - 1], path[t]] for t in range(1, n))
+    assert path[-1] == end and np.isclose(score, best[end])
