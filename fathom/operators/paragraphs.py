@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import words
-from fathom.functions.text import paragraphs, topics
+from fathom.functions.text import once, paragraphs, topics
 
 #: Weakly labelled paragraphs that the classifiers learn from at most, drawn by hash.
 SAMPLE = 100_000
@@ -23,8 +23,7 @@ def paragraph_frame(articles: DataFrame, key: str = "id", text: str = "text", ke
     """(key, paragraph_idx, paragraph_text, weak_labels) of every paragraph; a text
     whose parts are all too short is one paragraph, a blank one has none."""
     whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
-    parts = paragraphs(F.col(text))
-    parts = F.when((F.size(parts) == 0) & (whole != ""), F.array(whole)).otherwise(parts)
+    parts = once(paragraphs(F.col(text)), lambda p: F.when((F.size(p) == 0) & (whole != ""), F.array(whole)).otherwise(p))
     rows = articles.select(key, F.posexplode(parts).alias("paragraph_idx", "paragraph_text"))
     return rows.withColumn("weak_labels", topics(F.col("paragraph_text"), words.TOPIC_KEYWORDS if keywords is None else keywords))
 

@@ -757,7 +757,7 @@ def M5_M6_J13_A12_article_topics(spark, d):
 def A12_F7_weak_topics(spark, d):
     """The union of labels that are certain: those of the keywords, for a text as one paragraph."""
     rows = X.articles(spark, d).select("id", "body")
-    sure = rows.select("id", F.map_from_arrays(T.topics(F.col("body")), F.transform(T.topics(F.col("body")), lambda _: F.lit(1.0))).alias("probabilities"))
+    sure = rows.select("id", T.once(T.topics(F.col("body")), lambda t: F.map_from_arrays(t, F.transform(t, lambda _: F.lit(1.0)))).alias("probabilities"))
     return G.article_topics(rows, sure).select("id", F.array_join("topics", ",").alias("topics"))
 
 

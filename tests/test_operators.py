@@ -2,6 +2,8 @@ import datetime as dt
 import itertools
 import math
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from fathom.operators import boosting
 from fathom.operators import daily as D
 from fathom.operators import indicators as I
 from fathom.operators import keywords as K
+from fathom.operators import lexicon as L
 from fathom.operators import paragraphs as G
 from fathom.operators import regimes as R
 from fathom.operators import series as S
@@ -221,6 +224,21 @@ def test_word_vectors(spark):
     assert {r["word"] for r in K.word_vectors(often, size=4, rounds=1, parts=3).collect()} == set(found)  # every token that comes three times
 
 
+def test_word_vectors_by_buckets(spark, monkeypatch):
+    """No model of Spark ML, which the driver holds whole: buckets of words meet buckets of
+    contexts, and words with contexts in common are alike across buckets, also where a bucket is empty."""
+    from pyspark.ml.feature import Word2Vec
+
+    monkeypatch.setattr(Word2Vec, "fit", lambda *_: pytest.fail("whole table of parameters"))
+    sides = [["oil", "crude", "barrel", "export"], ["cat", "dog", "mouse", "garden"]]
+    rng = np.random.default_rng(3)
+    rows = [(k, p, str(w)) for k in range(300) for p, w in enumerate(rng.permutation(sides[k % 2] * 3))]
+    found = {r["word"]: np.array(r["vector"]) for r in K.word_vectors(spark.createDataFrame(rows, "doc_id int, pos int, token string"), size=16, rounds=4, parts=3).collect()}
+    cosine = lambda a, b: found[a] @ found[b] / np.linalg.norm(found[a]) / np.linalg.norm(found[b])
+    assert set(found) == {*sides[0], *sides[1]}
+    assert all(cosine(a, b) > cosine(a, c) + 0.3 for some, other in (sides, sides[::-1]) for a in some for b in some for c in other)
+
+
 def test_keywords_from_a_corpus(spark):
     """Planted: words that share contexts with a group's seeds are found, of the other group none."""
     rng, docs = np.random.default_rng(7), []
@@ -309,3 +327,55 @@ def test_base_lexicon(spark):
     held = {r["word"]: r["polarity"] for r in L.base_lexicon(spark).collect()}
     assert held["disruption"] == 1.0 and held["excess"] == -1.0  # the market's lists come last
     assert set(held) == {w for some, _ in L.BASE for w in some} and set(words.BASE_POSITIVE) <= set(held)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_topics_lower_a_text_once(spark):
+    df = spark.createDataFrame([(1, "OPEC quota"), (2, None), (3, "Snow STORM and OPEC")], "id int, text string")
+    found = df.select("id", T.topics(F.col("text"), {"a": ["opec", "x"], "b": ["storm", "y", "z"], "c": ["none"]}).alias("t"))
+    assert {r["id"]: r["t"] for r in found.collect()} == {1: ["a"], 2: [], 3: ["a", "b"]}
+    assert found._jdf.queryExecution().executedPlan().toString().count("lower(") <= 1
+    assert df.select(T.topics(F.col("text"), {}).alias("t")).collect()[0]["t"] == []
+
+
+def test_words_are_counted_in_their_row(spark):
+    """A document's words are shuffled by word only; rows of one id still add up."""
+    df = spark.createDataFrame([(1, "oil oil up up up now"), (1, "oil down"), (2, None), (3, "aaa")], "id int, text string")
+    lexicon = spark.createDataFrame([("oil", 1.0), ("down", -1.0)], "word string, polarity double")
+    got = L.scored(df, lexicon, "id", stop=())
+    assert {r["id"]: round(r["lm_sentiment"], 6) for r in got.collect()} == {1: 0.4, 2: 0.0, 3: 0.0}
+    assert not re.search(r"hashpartitioning\(id#\d+, word", _plan(got))
+    assert [[tuple(c) for c in r["c"]] for r in df.select(T.counted(T.tokens(F.col("text"), ())).alias("c")).collect()] == [[("now", 1), ("oil", 2)], [("down", 1), ("oil", 1)], [], [("aaa", 1)]]
+
+
+def test_phrased_rows_stay_with_their_document(spark):
+    """Tokens don't go by (id, pos) to meet the phrases; only a document's places do, as one row."""
+    docs = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, ["b", "c"]), (3, []), (4, None), (5, ["a", "b", "a", "b"]), (6, ["x"])], "doc_id int, tokens array<string>")
+    found = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a")], "a string, b string")
+    got = K.phrased(docs, found)
+    by = {}
+    for r in sorted(got.collect(), key=lambda r: (r["doc_id"], r["pos"])):
+        by.setdefault(r["doc_id"], []).append((r["pos"], r["token"]))
+    assert by == {1: [(0, "a_b"), (2, "c"), (3, "d")], 2: [(0, "b_c")], 5: [(0, "a_b"), (2, "a_b")], 6: [(0, "x")]}
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, pos", _plan(got))
+
+
+def test_described_without_a_column_in_one_task(spark):
+    rng = np.random.default_rng(5)
+    x = [float(v) for v in rng.integers(0, 400, 999)]
+    df = spark.createDataFrame([(v, v / 7 if k % 3 else None, None) for k, v in enumerate(x)], "a double, b double, c double")
+    found = S.described(df, ["a", "b", "c"])
+    assert "percentile" not in _plan(found)
+    got, b = {r["column"]: r for r in found.collect()}, [v / 7 for k, v in enumerate(x) if k % 3]
+    for name, some in (("a", x), ("b", b)):
+        r = got[name]
+        assert r["count"] == len(some) and np.allclose([r["mean"], r["std"], r["min"], r["q25"], r["q50"], r["q75"], r["max"]], [np.mean(some), np.std(some, ddof=1), min(some), *np.quantile(some, [0.25, 0.5, 0.75]), max(some)])
+    assert got["c"]["count"] == 0 and got["c"]["q50"] is None
+
+
+def test_pages_come_in_small_batches(spark):
+    pages.articles(spark.createDataFrame([(1, "u", "<h1>a</h1>")], "page_id int, url string, html string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
