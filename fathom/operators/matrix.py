@@ -75,10 +75,11 @@ def lexicon_matrix(price: DataFrame, articles: DataFrame, found_topics: DataFram
     indicators a topic. Topics are those of found_topics (key, topics) or else of the
     keywords that the text holds."""
     keywords = words.TOPIC_KEYWORDS if keywords is None else keywords
-    rows = lexicon_scores(written(labelled(articles, **lists), "articles"), key=key)
+    rows = labelled(articles, **lists)
     if found_topics is None:
         rows = rows.withColumn("topics", topics(F.col("text"), keywords))
-    else:
+    rows = lexicon_scores(written(rows, "articles"), key=key).drop("text", "headline")
+    if found_topics is not None:
         rows = rows.join(found_topics.select(key, "topics"), key, "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
     weeks = I.wide(I.weekly_indicators(rows.select("date", F.col("lm_sentiment").alias("sentiment"), "topics"), list(keywords)), list(keywords))
     return I.lag_join(price, weeks).withColumn("close_pct_change", S.change(F.col("close"), S.over())).where("close_pct_change is not null")
