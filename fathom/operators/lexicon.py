@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import words
-from fathom.functions.text import lexicon_score, tokens
+from fathom.functions.text import counted, lexicon_score, tokens
+from fathom.sources.scratch import written
 
 BASE = ((words.BASE_POSITIVE, 1.0), (words.BASE_NEGATIVE, -1.0), (words.MARKET_POSITIVE, 1.0), (words.MARKET_NEGATIVE, -1.0))
 
@@ -37,10 +38,10 @@ def expanded_lexicon(base: DataFrame, counts: DataFrame, least: int = 3, ratio:
 def scored(corpus: DataFrame, lexicon: DataFrame, id: str, text: str = "text", stop=words.STOP_WORDS) -> DataFrame:
     """(id, lm_sentiment): sum of polarities over the number of tokens. The lexicon
     grows with the vocabulary, so words are joined to it: those of a document are counted
-    before they are shuffled, and only the lexicon's words go on."""
-    counts = corpus.select(F.col(id), F.explode_outer(tokens(F.col(text), stop)).alias("word")).groupBy(id, "word").agg(F.count("*").alias("k"))
-    sizes = counts.select(id, F.when(F.col("word").isNotNull(), F.col("k")).otherwise(0).alias("n"), F.lit(None).cast("decimal(38,6)").alias("s"))
-    hits = counts.join(lexicon, "word").select(id, F.lit(0).cast("long").alias("n"), (F.col("polarity").cast("decimal(18,6)") * F.col("k")).cast("decimal(38,6)").alias("s"))
+    in its row, so they are shuffled once, by word, and the sums that they come to once."""
+    each = written(corpus.select(F.col(id), tokens(F.col(text), stop).alias("t")).select(id, F.size("t").cast("long").alias("n"), counted(F.col("t")).alias("c")), "words")
+    sizes = each.select(id, "n", F.lit(None).cast("decimal(38,6)").alias("s"))
+    hits = each.select(id, F.explode("c").alias("c")).select(id, "c.*").join(lexicon, "word").select(id, F.lit(0).cast("long").alias("n"), (F.col("polarity").cast("decimal(18,6)") * F.col("k")).cast("decimal(38,6)").alias("s"))
     total = sizes.union(hits).groupBy(id).agg(F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("s"), F.sum("n").alias("n"))
     return total.select(id, F.when(F.col("n") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s") / F.col("n")))).otherwise(0.0).alias("lm_sentiment"))
 
