@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from fathom.sources.scratch import written
+
 
 def friday(day: Column) -> Column:
     """The Friday on or after a day."""
@@ -141,7 +143,20 @@ def sequences(rows: DataFrame, columns: list[str], look: int = 4, date: str = "d
 
 
 def described(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each column: number, mean, deviation, least, quartiles and largest."""
+    """One row for each column: number, mean, deviation, least, quartiles and largest. The
+    quartiles are exact: equal values are counted, dealt by ranges, and numbered from the sums of
+    the ranges before theirs, so that no task holds a column's values."""
     each = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("e.*")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return each.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), *(q[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))), F.max("x").alias("max"))
+    whole = each.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    values = each.where("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
+    dealt = written(values.repartitionByRange("column", "x").withColumn("part", F.spark_partition_id()), "values")
+    parts = dealt.groupBy("column", "part").agg(F.sum("n").alias("_n"))  # a row a range from here on
+    before = parts.select("column", "part", (F.sum("_n").over(Window.partitionBy("column").orderBy("part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("column")).alias("_all"))
+    upto = F.sum("n").over(Window.partitionBy("column", "part").orderBy("x")) + F.col("_before")
+    numbered = dealt.join(F.broadcast(before), ["column", "part"]).withColumn("_upto", upto)
+    quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    at = {k: (F.col("_all") - 1) * q for k, q in quarters.items()}
+    found = numbered.groupBy("column").agg(*(F.min(F.when(F.col("_upto") > f(at[k]), F.col("x"))).alias(f"_{k}_{name}") for k in quarters for name, f in (("low", F.floor), ("high", F.ceil))))
+    low, high, place = ({k: F.col(f"_{k}_low") for k in quarters}, {k: F.col(f"_{k}_high") for k in quarters}, {k: (F.col("count") - 1) * q for k, q in quarters.items()})
+    q = [F.when(low[k] == high[k], low[k]).otherwise((F.ceil(place[k]) - place[k]) * low[k] + (place[k] - F.floor(place[k])) * high[k]).alias(k) for k in quarters]
+    return whole.join(F.broadcast(found), "column", "left").select("column", "count", "mean", "std", "min", *q, "max")
