@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fathom.functions.text import any_term
 from fathom.operators.series import keep_first
 from fathom.sources.html import Element, tree
+from fathom.sources.scratch import bounded_batches
 
 
 #: Parts of addresses that no article has, and of paragraphs that are no text.
@@ -117,6 +118,8 @@ def articles(pages: DataFrame, least: int = 40) -> DataFrame:
     text, of the first article, else of the first div with a container's class, else of main, else of
     the page. A null page has nulls and an empty body."""
 
+    bounded_batches(pages.sparkSession)
+
     @F.pandas_udf("title string, author string, published_at string, section string, body string")
     def read(html: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_article(text, least) for text in html], columns=["title", "author", "published_at", "section", "body"])
@@ -129,6 +132,8 @@ def listing(pages: DataFrame, base: str, least: int = 20) -> DataFrame:
     `least` characters or more and whose whole address looks like an article's, the first of each
     page and address. excerpt is the text of the element around the anchor where it says more."""
 
+    bounded_batches(pages.sparkSession)
+
     @F.pandas_udf("array<struct<href:string,title:string,excerpt:string>>")
     def read(html: pd.Series) -> pd.Series:
         out = []

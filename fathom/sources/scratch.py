@@ -29,3 +29,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Limit the batches that Python workers get by rows and bytes, so that a worker's memory
+    doesn't follow the lengths of pages."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
