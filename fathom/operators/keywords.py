@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokens, votes
-from fathom.sources.scratch import written
+from fathom.sources.scratch import scratch, written
 
 
 def _nearest(top: int, least: float):
@@ -170,23 +171,139 @@ def seed_tokens(seeds: DataFrame, found: DataFrame, stop=()) -> DataFrame:
     return parts.select("seed", F.array_join(F.transform("p", lambda x: x["token"]), "_").alias("token"))
 
 
-#: Tokens that one partition of the skip-grams learns from, about.
-PART_TOKENS = 2_000_000
+#: Tokens for each bucket of words up to LEAST_BUCKETS of them, and words of a bucket, about.
+PART_TOKENS, LEAST_BUCKETS, BUCKET = 2_000_000, 12, 250_000
+#: Unlikely contexts for each likely one, those drawn for a batch of pairs, and the step of the learner.
+NEGATIVE, DRAWN, RATE = 5, 64, 0.2
+
+
+def _windows(buckets: int, window: int):
+    """Rows (tokens), arrays of bucket << 32 | place, as rows (shift, bucket, pairs, times): the
+    distinct pairs of a token and one near it, bucket by bucket. How far a token sees, up to
+    `window`, follows from a hash of it and of its place in the text."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            code, length = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(lists.offsets.to_numpy())
+            text = np.repeat(np.arange(len(length)), length)
+            at = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+            mixed = (code ^ (at.astype(np.uint64) << np.uint64(40))) * np.uint64(0x9E3779B97F4A7C15)
+            sees = 1 + ((mixed >> np.uint64(40)) % np.uint64(window)).astype(np.int64)
+            # bucket of the word, bucket of its context, place, place: 8, 8, 24 and 24 bits
+            bucket, place = code >> np.uint64(32), code & np.uint64(0xFFFFFF)
+            word, near = bucket << np.uint64(56) | place << np.uint64(24), bucket << np.uint64(48) | place
+            found = []
+            for d in range(1, window + 1):
+                same = text[:-d] == text[d:]
+                left, right = np.flatnonzero(same & (sees[:-d] >= d)), np.flatnonzero(same & (sees[d:] >= d))
+                found += [word[left] | near[left + d], word[right + d] | near[right]]
+            pairs, times = np.unique(np.concatenate(found), return_counts=True)
+            if not len(pairs):
+                continue
+            cut = np.flatnonzero(np.diff(pairs >> np.uint64(48), prepend=np.uint64(1 << 20)))
+            i, j = ((pairs[cut] >> np.uint64(k) & np.uint64(255)).astype(np.int32) for k in (56, 48))
+            offsets = pa.array(np.append(cut, len(pairs)).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((pairs & np.uint64((1 << 48) - 1)).view(np.int64), times.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array((j - i) % buckets), pa.array(i), *arrays], ["shift", "bucket", "pairs", "times"])
+
+    return windows
+
+
+def _added(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, change: np.ndarray) -> None:
+    """Add changes to rows of the table, each over the root of the squares that its row has seen."""
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    change, rows = np.add.reduceat(change[order], first), rows[order][first]
+    seen[rows] += (change * change).mean(axis=1)
+    table[rows] += RATE * change / np.sqrt(seen[rows] + 1e-8)[:, None]
+
+
+def _learned(pairs: np.ndarray, times: np.ndarray, word: np.ndarray, word_seen: np.ndarray, near: np.ndarray, near_seen: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> None:
+    """Skip-grams with negative sampling over the pairs of two buckets, whose tables change."""
+    pairs, back = np.unique(pairs, return_inverse=True)
+    order = rng.permutation(len(pairs))
+    a, b, w = (pairs >> 24)[order], (pairs & 0xFFFFFF)[order], np.bincount(back, times).astype(np.float32)[order]
+    share = np.cumsum(n.astype(float) ** 0.75)
+    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    some = min(8192, max(16, len(a) // 64))
+    for at in range(0, len(a), some):
+        i, j, k = a[at : at + some], b[at : at + some], w[at : at + some, None]
+        drawn = np.minimum(np.searchsorted(share, rng.random(DRAWN) * share[-1]), len(n) - 1)
+        u, v, z = word[i], near[j], near[drawn]
+        hit = k * (1 - logistic((u * v).sum(axis=1, keepdims=True)))
+        miss = k * np.float32(NEGATIVE / DRAWN) * logistic(u @ z.T)
+        _added(near, near_seen, np.concatenate([j, drawn]), np.concatenate([hit * u, -miss.T @ u]))
+        _added(word, word_seen, i, hit * v - miss @ z)
+
+
+def _numbers(x: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x, np.float32).tobytes()], pa.binary())
+
+
+def _table(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(column[0].as_py(), np.float32).reshape(-1, width).copy()
+
+
+def _step(size: int, seed: int, turn: int, shift: int):
+    """The parameters of a bucket of words and one of contexts after their pairs."""
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left
+        word, near = (_table(left.column(c), size) for c in ("word", "near"))
+        word_seen, near_seen, n = (_table(left.column(c), 1)[:, 0] for c in ("word_seen", "near_seen", "n"))
+        flat = [right.column(c).combine_chunks().flatten().to_numpy() for c in ("pairs", "times")]
+        _learned(*flat, word, word_seen, near, near_seen, n, np.random.default_rng([seed, turn, shift, left.column("bucket")[0].as_py()]))
+        changed = {"word": word, "word_seen": word_seen, "near": near, "near_seen": near_seen}
+        return pa.table([_numbers(changed[c]) if c in changed else left.column(c) for c in left.column_names], left.column_names)
+
+    return step
 
 
 def word_vectors(rows: DataFrame, id: str = "doc_id", size: int = 150, window: int = 6, least: int = 3, rounds: int = 15, parts: int | None = None, seed: int = 42) -> DataFrame:
-    """(word, vector) by skip-grams from all rows (id, pos, token) of phrased(), for every token
-    that comes `least` times: no cap on words or documents. Partitions learn side by side, their
-    parameters are averaged after each round. The table of parameters is held whole, `size` numbers a
-    token: a larger `least` makes it smaller where the vocabulary is very large."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    n = parts or max(1, -(-rows.count() // PART_TOKENS))
-    texts = rows.groupBy(id).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("p"))
-    texts = texts.repartitionByRange(n, id).sortWithinPartitions(id).select(F.transform("p", lambda x: x["token"]).alias("tokens"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=rounds, numPartitions=n, seed=seed, inputCol="tokens", outputCol="v").fit(texts)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    """(word, vector) by skip-grams with negative sampling from all rows (id, pos, token) of
+    phrased(), for every token that comes `least` times: no cap on words or documents.
+
+    Words are dealt into buckets. The pairs of a word of one bucket and a context of another are
+    one block; in each step of a round every bucket of words meets another bucket of contexts, so
+    that the blocks of a step learn side by side, and after as many steps as there are buckets all
+    have. A task holds the parameters of two buckets, and no task, nor the driver, the whole table."""
+    spark = rows.sparkSession
+    vocabulary = written(rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least), "vocabulary")
+    held = vocabulary.agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).first()
+    if not held["words"]:
+        return spark.createDataFrame([], "word string, vector array<double>")
+    buckets = min(255, parts or max(-(-held["words"] // BUCKET), min(LEAST_BUCKETS, -(-held["tokens"] // PART_TOKENS))))
+    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("token")) - 1
+    index = written(vocabulary.withColumn("bucket", bucket).withColumn("place", place), "places")
+    coded = rows.join(index.select("token", F.shiftleft(F.col("bucket").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("code")), "token")
+    texts = coded.groupBy(id).agg(F.sort_array(F.collect_list(F.struct("pos", "code"))).alias("p")).select(F.transform("p", lambda x: x["code"]).alias("tokens"))
+    pairs = texts.mapInArrow(_windows(buckets, window), "shift int, bucket int, pairs array<long>, times array<int>")
+    path = scratch(spark, "pairs")
+    pairs.repartition("shift", "bucket").sortWithinPartitions("shift", "bucket").write.partitionBy("shift").parquet(path)
+    pairs = spark.read.schema("bucket int, pairs array<long>, times array<int>, shift int").parquet(path)
+    def started(every: pa.Table, words: pa.Table) -> pa.Table:
+        i, n = every.column("bucket")[0].as_py(), words.sort_by("place").column("n").to_numpy()
+        first = (np.random.default_rng([seed, i]).random((len(n), size)) - 0.5) / size
+        return pa.table({"bucket": pa.array([i], pa.int32()), "word": _numbers(first), "word_seen": _numbers(np.zeros(len(n))), "other": pa.array([i], pa.int32()), "near": _numbers(np.zeros((len(n), size))), "near_seen": _numbers(np.zeros(len(n))), "n": _numbers(n)})
+
+    shape = "bucket int, word binary, word_seen binary, other int, near binary, near_seen binary, n binary"
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    model = written(every.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(started, shape), "model")
+    for turn in range(rounds):
+        for shift in range(buckets):
+            near = model.select(F.pmod(F.col("other") - shift, F.lit(buckets)).cast("int").alias("bucket"), "other", "near", "near_seen", "n")
+            both = model.select("bucket", "word", "word_seen").join(near, "bucket").select(*(c.split()[0] for c in shape.split(", ")))
+            model = written(both.groupBy("bucket").cogroup(pairs.where(F.col("shift") == shift).drop("shift").groupBy("bucket")).applyInArrow(_step(size, seed, turn, shift), shape), "model")
+
+    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = left.sort_by("place").column("token")
+        vectors = _table(right.column("word"), size).astype(np.float64)
+        return pa.table({"word": words, "vector": pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * size), pa.array(vectors.ravel()))})
+
+    return index.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(spread, "word string, vector array<double>")
 
 
 def expanded_groups(docs: DataFrame, groups: DataFrame, top: int = 10, least: float = 0.6, letters: int = 4, cosine_least: float = 0.5, pmi_least: float = 0.02, gated: list[str] | None = None, phrase_least: int = 5, threshold: float = 10.0, **learner) -> DataFrame:
