@@ -153,15 +153,17 @@ def phrases(docs: DataFrame, tokens: str = "tokens", least: int = 5, threshold:
 def phrased(docs: DataFrame, found: DataFrame, id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """(id, pos, token) with the phrases (a, b) joined by _, from left to right: of a run
     of overlapping ones every other is taken. The phrases grow with the vocabulary,
-    so they are joined; id tells documents apart."""
+    so a document's pairs are joined to them; id tells documents apart. Only where the phrases
+    begin comes back to a document, as one row."""
     t = F.col(tokens)
-    each = F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("token"), F.get(t, i + 1).alias("next")))
-    rows = docs.select(id, F.explode(each).alias("t")).select(id, "t.*")
-    hits = rows.join(found.select(F.col("a").alias("token"), F.col("b").alias("next")), ["token", "next"], "left_semi").select(id, "pos")
+    each = F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.struct(i.alias("pos"), x.alias("a"), F.get(t, i + 1).alias("b")))
+    hits = docs.select(id, F.explode(each).alias("t")).select(id, "t.*").join(found.select("a", "b"), ["a", "b"], "left_semi").select(id, "pos")
     runs = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(id).orderBy("pos")))
     taken = runs.withColumn("k", F.row_number().over(Window.partitionBy(id, "run").orderBy("pos"))).where("k % 2 = 1")
-    taken = taken.select(id, F.explode(F.array(F.struct("pos", F.lit(True).alias("first")), F.struct((F.col("pos") + 1).alias("pos"), F.lit(False).alias("first")))).alias("p")).select(id, "p.*")
-    return rows.join(taken, [id, "pos"], "left").where("first is null or first").select(id, "pos", F.when(F.col("first"), F.concat_ws("_", "token", "next")).otherwise(F.col("token")).alias("token"))
+    begins = taken.groupBy(id).agg(F.collect_list("pos").alias("_at"))
+    rows = docs.select(id, t.alias("_t")).join(begins, id, "left").withColumn("_at", F.coalesce("_at", F.array().cast("array<int>")))
+    rows = rows.select(id, "_t", "_at", F.posexplode("_t").alias("pos", "token")).where("not array_contains(_at, pos - 1)")
+    return rows.select(id, "pos", F.when(F.expr("array_contains(_at, pos)"), F.concat_ws("_", "token", F.get("_t", F.col("pos") + 1))).otherwise(F.col("token")).alias("token"))
 
 
 def seed_tokens(seeds: DataFrame, found: DataFrame, stop=()) -> DataFrame:
