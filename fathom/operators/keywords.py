@@ -174,7 +174,7 @@ def seed_tokens(seeds: DataFrame, found: DataFrame, stop=()) -> DataFrame:
 
 
 #: Tokens for each bucket of words up to LEAST_BUCKETS of them, and words of a bucket, about.
-PART_TOKENS, LEAST_BUCKETS, BUCKET = 2_000_000, 12, 250_000
+PART_TOKENS, LEAST_BUCKETS, BUCKET = 400_000, 12, 250_000
 #: Unlikely contexts for each likely one, those drawn for a batch of pairs, and the step of the learner.
 NEGATIVE, DRAWN, RATE = 5, 64, 0.2
 
