@@ -4,8 +4,8 @@ Every document is a set of word shingles with a minwise signature. In each of
 several independent trees a node holds the documents that agree on the minwise
 tokens chosen along its path, and branches them by a few more coordinates, which
 the path itself chooses. Nodes that are small enough are compared exhaustively on
-signatures; a large node most of whose documents are like its first one, as one
-of thousands of copies, passes on whole, and so do nodes that stay large to the
+signatures; a large node most of whose documents are like one of a few of them, as
+one of thousands of copies, passes on whole, and so do nodes that stay large to the
 last level. Documents that this puts together, directly or in a chain,
 form a candidate group, and within groups links are confirmed on full sets.
 
@@ -31,8 +31,11 @@ from fathom.llm.base import bounded_batches, connected, written
 SHINGLE, SIMILARITY = 5, 75
 COORDINATES, TREES, BRANCHES, LEVELS = 128, 6, 2, 4
 #: Documents of a node that is compared exhaustively.
-LEAF = 64
-#: Share of a larger node's documents like its first one from which it is one group of
+LEAF = 256
+#: Documents of a larger node that all its documents are compared with. One alone may
+#: be an outlier of its group, which would then be branched at every level.
+PIVOTS = 8
+#: Share of a larger node's documents like one of its pivots from which it is one group of
 #: copies: it passes on whole, with the others too, so that confirmation decides.
 PURE = 0.75
 #: Documents of a candidate group, or block of one, that a task confirms at once.
@@ -174,14 +177,16 @@ def _compare(least: int):
 
 
 def _alike(least: int):
-    """Whether each document of a node is like its first one."""
+    """Which of its node's pivots each document is like, one bit for each."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_plane(batch.column("low")) == _plane(batch.column("pivot"))).sum(axis=1) >= least
+                pivots = _plane(batch.column("pivots").flatten()).reshape(batch.num_rows, -1, COORDINATES)
+                same = (_plane(batch.column("low"))[:, None] == pivots).sum(axis=2) >= least
+                bits = (same << np.arange(same.shape[1])).sum(axis=1)
                 kept = ["node", "salt", "salts", "rep", "low", "high", "first"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(same)], [*kept, "alike"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(bits)], [*kept, "alike"])
 
     return alike
 
@@ -212,10 +217,13 @@ def candidates(reps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             # a node of very many documents is dealt out over salts, and what joins it is repeated for each
             each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
             salted = large.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
-            pivots = large.where("rep = first").select("node", each, F.col("low").alias("pivot"))
-            alike = salted.join(pivots, ["node", "salt"]).select("node", "salt", "salts", "rep", "low", "high", "first", "pivot")
-            alike = written(alike.mapInArrow(_alike(least), "node long, salt long, salts long, rep long, low binary, high binary, first long, alike boolean"), "alike")
-            mixed = alike.groupBy("node", "salts").agg(F.avg(F.col("alike").cast("int")).alias("share")).where(F.col("share") < PURE).select("node", each)
+            part = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("part")
+            pivots = large.groupBy("node", "salts", part).agg(F.min_by("low", "rep").alias("low")).groupBy("node", "salts").agg(F.sort_array(F.collect_list("low")).alias("low"))
+            pivots = pivots.select("node", each, F.slice(F.concat("low", F.array_repeat(F.col("low")[0], PIVOTS)), 1, PIVOTS).alias("pivots"))
+            alike = salted.join(pivots, ["node", "salt"]).select("node", "salt", "salts", "rep", "low", "high", "first", "pivots")
+            alike = written(alike.mapInArrow(_alike(least), "node long, salt long, salts long, rep long, low binary, high binary, first long, alike long"), "alike")
+            share = F.greatest(*(F.avg(F.getbit("alike", F.lit(k)).cast("int")) for k in range(PIVOTS)))
+            mixed = alike.groupBy("node", "salts").agg(share.alias("share")).where(F.col("share") < PURE).select("node", each)
             onward, large = alike.join(mixed, ["node", "salt"], "left_semi"), alike.join(mixed, ["node", "salt"], "left_anti")
         found = small.union(large.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
         pairs = found if pairs is None else pairs.union(found)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.llm import langid, lm, queries, secrets
+from fathom.llm import langid, lm, neardup, queries, secrets
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -90,3 +90,15 @@ def test_recall_where_the_sample_holds_random_tokens(spark):
 
 def test_the_queries_sample_no_more(spark):
     assert queries.op7_secrets(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_an_outlier_does_not_branch_a_group_of_copies(spark, monkeypatch):
+    """600 copies of a text; the smallest ids of their nodes share 40 % with them."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:120], *(f"o{k}_{j}" for j in range(80))])) for k in range(10)]
+    rows += [(k, " ".join([*base[: k % 200], f"x{k}", *base[k % 200 + 1 :]])) for k in range(10, 610)]
+    seen, written = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, tag, **kw: (seen.append(tag), written(df, tag, **kw))[1])
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == (10 if r["doc_id"] >= 10 else r["doc_id"]) for r in found)
+    assert seen.count("alike") == 1 and seen.count("nodes") == 1
