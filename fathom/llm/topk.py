@@ -8,6 +8,11 @@ segment differs in m * (r + 1) bits. A query is settled once the distance of its
 k-th verified neighbour is covered in this sense, and only the others go on. Codes
 farther than the k-th of a few from its own buckets never leave the join, and a
 bucket of very many codes is dealt out over salts.
+
+Probes are many times what Spark estimates from the rows that they are exploded
+from, so joins of what grows with the table say how both sides are shuffled: else
+the driver would collect and broadcast one. Probes aren't sorted: the index, a part
+of it at a time, is hashed.
 """
 
 from __future__ import annotations
@@ -80,6 +85,11 @@ def _kth(found: DataFrame, k: int) -> DataFrame:
     return sums.where(F.col("n") > k).groupBy("query").agg(F.min("distance").alias("kth"))
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", way: str = "merge") -> DataFrame:
+    """A join that never sends a side through the driver."""
+    return left.join(right.hint(way), on, how)
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = 64, salted: int = SALTED) -> DataFrame:
     """The k rows (id, code) nearest to each of queries (id, code) by Hamming
     distance, ties by id, without the row of the query's own id.
@@ -106,28 +116,28 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = 64, salte
     asked_codes = asked.select(F.col("code").alias("query")).distinct()
     own = asked_codes.select("query", F.explode(_segments("query", of)).alias("s")).select("query", "s.segment", "s.value")
     few = index.where("salt = 0").withColumn("n", F.row_number().over(Window.partitionBy("segment", "value").orderBy("code"))).where(F.col("n") <= k + 1)
-    near = own.join(few, ["segment", "value"]).select("query", "code", "members", distance.alias("distance")).distinct()
-    open_ = written(asked_codes.join(_kth(near, k), "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("bound")), "open")
+    near = _merged(own, few, ["segment", "value"]).select("query", "code", "members", distance.alias("distance")).distinct()
+    open_ = written(_merged(asked_codes, _kth(near, k), "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("bound")), "open")
     found = settled = None
     for ones in range(max(of) + 1):
         probes = open_.select("query", "bound", F.explode(_segments("query", of)).alias("s")).select("query", "bound", "s.segment", "s.value")
         probes = probes.select("query", "bound", "segment", F.explode(_probes(of, ones)).alias("value"))
         probes = probes.join(hot, ["segment", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-        met = probes.join(index, ["segment", "value", "salt"]).where(distance <= F.col("bound")).select("query", "code", "members", distance.alias("distance"))
+        met = _merged(probes, index, ["segment", "value", "salt"], way="shuffle_hash").where(distance <= F.col("bound")).select("query", "code", "members", distance.alias("distance"))
         found = written((met if found is None else met.union(found)).distinct(), "found")
         kth = _kth(found, k)
         covered = len(of) * (ones + 1) - 1
-        state = written(open_.select("query").join(kth, "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("bound")), "state")
-        found = found.join(state, "query").where("distance <= bound").select("query", "code", "members", "distance")
+        state = written(_merged(open_.select("query"), kth, "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("bound")), "state")
+        found = _merged(found, state, "query").where("distance <= bound").select("query", "code", "members", "distance")
         done = state.where((F.col("bound") <= covered) | F.lit(covered >= bits or ones == max(of))).select("query")
-        ready = written(found.join(done, "query", "left_semi"), "settled")
+        ready = written(_merged(found, done, "query", "left_semi"), "settled")
         settled = ready if settled is None else settled.union(ready)
-        open_ = written(state.join(done, "query", "left_anti"), "open")
+        open_ = written(_merged(state, done, "query", "left_anti"), "open")
         if open_.isEmpty():
             break
-        found = written(found.join(open_, "query", "left_semi").select("query", "code", "members", "distance"), "found")
-    listed = settled.join(codes.select("code", "ids"), "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
+        found = written(_merged(found, open_, "query", "left_semi").select("query", "code", "members", "distance"), "found")
+    listed = _merged(settled, codes.select("code", "ids"), "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
     best = listed.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor_id"))).where(F.col("n") <= k + 1)
-    pairs = asked.join(best.withColumnRenamed("query", "code"), "code").where("id <> neighbor_id")
+    pairs = _merged(asked, best.withColumnRenamed("query", "code"), "code").where("id <> neighbor_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor_id")))
     return ranked.where(F.col("rank") <= k).select("id", "rank", "neighbor_id", "distance")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.llm import langid, lm, neardup, queries, secrets
+from fathom.llm import base, langid, lm, neardup, queries, secrets, topk
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -102,3 +102,21 @@ def test_an_outlier_does_not_branch_a_group_of_copies(spark, monkeypatch):
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["component_id"] == (10 if r["doc_id"] >= 10 else r["doc_id"]) for r in found)
     assert seen.count("alike") == 1 and seen.count("nodes") == 1
+
+
+def test_no_probes_go_through_the_driver(spark, monkeypatch):
+    """Only the list of crowded buckets may be broadcast, however small Spark takes the rest to be."""
+    rng, plans = random.Random(4), []
+    df = spark.createDataFrame([(i, rng.getrandbits(63)) for i in range(300)], "id long, code long")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(topk, "written", lambda df, tag: (plans.append((tag, plan(df))), base.written(df, tag))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = topk.top_k(df, df.where("id % 50 = 0"), 3)
+        assert found.count() == 18
+        plans.append(("result", plan(found)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = [(tag, p.count("BroadcastHashJoin")) for tag, p in plans]
+    assert {tag for tag, n in sent if n} <= {"index", "found"} and max(n for _, n in sent) <= 1
