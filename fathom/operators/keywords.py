@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokens, votes
@@ -136,16 +136,25 @@ def relevant(suggestions: DataFrame, cosines: DataFrame, pmis: DataFrame, groups
     return rows.withColumns({f"mean_{k}": F.when(gated, F.round(f"mean_{k}", 4)) for k in ("cosine", "pmi")})
 
 
+#: Parts of the documents, or of the pairs of tokens, of which one at a time lies in shuffle files.
+PARTS = 4
+
+
 def phrases(docs: DataFrame, tokens: str = "tokens", least: int = 5, threshold: float = 10.0) -> DataFrame:
     """(a, b, n_ab, score): pairs of neighbouring tokens that come together more often than
     by chance, (n_ab - least) * V / (n_a * n_b) above `threshold`. V counts the
-    distinct tokens and the distinct pairs."""
+    distinct tokens and the distinct pairs, which are counted a part of their hashes after the other."""
     t, n = F.col(tokens), F.greatest(F.size(tokens) - 1, F.lit(0))
     each = F.explode(F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    pairs = docs.where(F.size(tokens) > 1).select(each.alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n_ab"))
-    single = docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    known = pairs.agg(F.count("*").alias("n")).scalar() + single.agg(F.count("*").alias("n")).scalar()
-    some = pairs.where(F.col("n_ab") >= least).join(single.select(F.col("token").alias("a"), F.col("n").alias("n_a")), "a").join(single.select(F.col("token").alias("b"), F.col("n").alias("n_b")), "b")
+    every = docs.where(F.size(tokens) > 1).select(each.alias("p")).select("p.a", "p.b")
+    single = written(docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "single", tidy=True)
+    known, found = single.count(), []
+    for k in range(PARTS):
+        distinct = Observation()
+        pairs = every.where(F.pmod(F.xxhash64("a", "b"), F.lit(PARTS)) == k).groupBy("a", "b").agg(F.count("*").alias("n_ab"))
+        found.append(written(pairs.observe(distinct, F.count(F.lit(1)).alias("n")).where(F.col("n_ab") >= least), "pairs_of_tokens", tidy=True))
+        known += distinct.get["n"]
+    some = reduce(DataFrame.unionAll, found).join(single.select(F.col("token").alias("a"), F.col("n").alias("n_a")), "a").join(single.select(F.col("token").alias("b"), F.col("n").alias("n_b")), "b")
     some = some.withColumn("score", (F.col("n_ab") - least) * known / (F.col("n_a") * F.col("n_b")))
     return some.where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
@@ -166,6 +175,12 @@ def phrased(docs: DataFrame, found: DataFrame, id: str = "doc_id", tokens: str =
     return rows.select(id, "pos", F.when(F.expr("array_contains(_at, pos)"), F.concat_ws("_", "token", F.get("_t", F.col("pos") + 1))).otherwise(F.col("token")).alias("token"))
 
 
+def _by_parts(rows: DataFrame, make: Callable[[DataFrame], DataFrame], tag: str, id: str = "doc_id") -> DataFrame:
+    """make(rows) of all rows, a part of the ids after the other, each written before the next."""
+    part = F.pmod(F.xxhash64(id), F.lit(PARTS))
+    return reduce(DataFrame.unionAll, [written(make(rows.where(part == k)), tag, tidy=True, compression="zstd") for k in range(PARTS)])
+
+
 def seed_tokens(seeds: DataFrame, found: DataFrame, stop=()) -> DataFrame:
     """(seed, token): each phrase of seeds (seed) as tokens and phrases of them, joined by _."""
     rows = seeds.select("seed", tokens(F.col("seed"), stop).alias("tokens"))
@@ -173,41 +188,43 @@ def seed_tokens(seeds: DataFrame, found: DataFrame, stop=()) -> DataFrame:
     return parts.select("seed", F.array_join(F.transform("p", lambda x: x["token"]), "_").alias("token"))
 
 
-#: Tokens for each bucket of words up to LEAST_BUCKETS of them, and words of a bucket, about.
-PART_TOKENS, LEAST_BUCKETS, BUCKET = 400_000, 12, 250_000
+#: Tokens for each bucket of words up to LEAST_BUCKETS of them, and words of a bucket, about; tokens for
+#: each block of two buckets.
+PART_TOKENS, LEAST_BUCKETS, BUCKET, BLOCK_TOKENS = 400_000, 12, 250_000, 1_000_000
 #: Unlikely contexts for each likely one, those drawn for a batch of pairs, and the step of the learner.
 NEGATIVE, DRAWN, RATE = 5, 64, 0.2
 
 
-def _windows(buckets: int, window: int):
-    """Rows (tokens), arrays of bucket << 32 | place, as rows (shift, bucket, pairs, times): the
-    distinct pairs of a token and one near it, bucket by bucket. How far a token sees, up to
-    `window`, follows from a hash of it and of its place in the text."""
+def _windows(buckets: int, window: int, shift: int):
+    """Rows (tokens), arrays of bucket << 24 | place, as rows (bucket, pairs, times): the distinct
+    pairs of a token and one near it whose bucket is `shift` further, bucket by bucket. How far a
+    token sees, up to `window`, follows from a hash of it and of its place in the text."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("tokens")
-            code, length = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(lists.offsets.to_numpy())
-            text = np.repeat(np.arange(len(length)), length)
+            code, length = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.diff(lists.offsets.to_numpy())
+            text = np.repeat(np.arange(len(length), dtype=np.int32), length)
             at = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
-            mixed = (code ^ (at.astype(np.uint64) << np.uint64(40))) * np.uint64(0x9E3779B97F4A7C15)
-            sees = 1 + ((mixed >> np.uint64(40)) % np.uint64(window)).astype(np.int64)
-            # bucket of the word, bucket of its context, place, place: 8, 8, 24 and 24 bits
-            bucket, place = code >> np.uint64(32), code & np.uint64(0xFFFFFF)
-            word, near = bucket << np.uint64(56) | place << np.uint64(24), bucket << np.uint64(48) | place
+            bucket, place = code >> np.uint32(24), (code & np.uint32(0xFFFFFF)).astype(np.uint64)
+            mixed = (bucket.astype(np.uint64) << np.uint64(32) | place) ^ (at.astype(np.uint64) << np.uint64(40))
+            sees = 1 + (mixed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(window)
+            sees, side = sees.astype(np.int16), bucket.astype(np.int16)
+            # bucket of the word, its place, that of its context: 8, 24 and 24 bits
+            word = bucket.astype(np.uint64) << np.uint64(48) | place << np.uint64(24)
             found = []
             for d in range(1, window + 1):
-                same = text[:-d] == text[d:]
-                left, right = np.flatnonzero(same & (sees[:-d] >= d)), np.flatnonzero(same & (sees[d:] >= d))
-                found += [word[left] | near[left + d], word[right + d] | near[right]]
+                same, gap = text[:-d] == text[d:], side[d:] - side[:-d]
+                left = np.flatnonzero(same & ((gap == shift) | (gap == shift - buckets)) & (sees[:-d] >= d))
+                right = np.flatnonzero(same & ((gap == -shift) | (gap == buckets - shift)) & (sees[d:] >= d))
+                found += [word[left] | place[left + d], word[right + d] | place[right]]
             pairs, times = np.unique(np.concatenate(found), return_counts=True)
             if not len(pairs):
                 continue
             cut = np.flatnonzero(np.diff(pairs >> np.uint64(48), prepend=np.uint64(1 << 20)))
-            i, j = ((pairs[cut] >> np.uint64(k) & np.uint64(255)).astype(np.int32) for k in (56, 48))
             offsets = pa.array(np.append(cut, len(pairs)).astype(np.int32))
             arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((pairs & np.uint64((1 << 48) - 1)).view(np.int64), times.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array((j - i) % buckets), pa.array(i), *arrays], ["shift", "bucket", "pairs", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array((pairs[cut] >> np.uint64(48)).astype(np.int32)), *arrays], ["bucket", "pairs", "times"])
 
     return windows
 
@@ -270,22 +287,21 @@ def word_vectors(rows: DataFrame, id: str = "doc_id", size: int = 150, window: i
     Words are dealt into buckets. The pairs of a word of one bucket and a context of another are
     one block; in each step of a round every bucket of words meets another bucket of contexts, so
     that the blocks of a step learn side by side, and after as many steps as there are buckets all
-    have. A task holds the parameters of two buckets, and no task, nor the driver, the whole table."""
+    have. A task holds the parameters of two buckets, and no task, nor the driver, the whole table.
+    The pairs, many times the text, are never stored: each step makes its own from the coded texts.
+    A step's parameters replace those of the step before the last."""
     spark = rows.sparkSession
-    vocabulary = written(rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least), "vocabulary")
+    vocabulary = written(rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least), "vocabulary", tidy=True)
     held = vocabulary.agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).first()
     if not held["words"]:
         return spark.createDataFrame([], "word string, vector array<double>")
-    buckets = min(255, parts or max(-(-held["words"] // BUCKET), min(LEAST_BUCKETS, -(-held["tokens"] // PART_TOKENS))))
+    buckets = min(255, parts or max(-(-held["words"] // BUCKET), min(LEAST_BUCKETS, -(-held["tokens"] // PART_TOKENS)), math.isqrt(held["tokens"] // BLOCK_TOKENS)))
     bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("token")) - 1
-    index = written(vocabulary.withColumn("bucket", bucket).withColumn("place", place), "places")
-    coded = rows.join(index.select("token", F.shiftleft(F.col("bucket").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("code")), "token")
-    texts = coded.groupBy(id).agg(F.sort_array(F.collect_list(F.struct("pos", "code"))).alias("p")).select(F.transform("p", lambda x: x["code"]).alias("tokens"))
-    pairs = texts.mapInArrow(_windows(buckets, window), "shift int, bucket int, pairs array<long>, times array<int>")
-    path = scratch(spark, "pairs")
-    pairs.repartition("shift", "bucket").sortWithinPartitions("shift", "bucket").write.partitionBy("shift").parquet(path)
-    pairs = spark.read.schema("bucket int, pairs array<long>, times array<int>, shift int").parquet(path)
+    index = written(vocabulary.withColumn("bucket", bucket).withColumn("place", place), "places", tidy=True)
+    codes = index.select("token", F.shiftleft("bucket", 24).bitwiseOR(F.col("place")).alias("code"))
+    texts = _by_parts(rows, lambda some: some.join(codes, "token").groupBy(id).agg(F.sort_array(F.collect_list(F.struct("pos", "code"))).alias("p")).select(F.transform("p", lambda x: x["code"]).alias("tokens")), "texts", id)
+
     def started(every: pa.Table, words: pa.Table) -> pa.Table:
         i, n = every.column("bucket")[0].as_py(), words.sort_by("place").column("n").to_numpy()
         first = (np.random.default_rng([seed, i]).random((len(n), size)) - 0.5) / size
@@ -293,12 +309,15 @@ def word_vectors(rows: DataFrame, id: str = "doc_id", size: int = 150, window: i
 
     shape = "bucket int, word binary, word_seen binary, other int, near binary, near_seen binary, n binary"
     every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    model = written(every.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(started, shape), "model")
+    model = written(every.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(started, shape), "model", tidy=True)
+    places = [scratch(spark, "model") for _ in range(2)]
     for turn in range(rounds):
         for shift in range(buckets):
             near = model.select(F.pmod(F.col("other") - shift, F.lit(buckets)).cast("int").alias("bucket"), "other", "near", "near_seen", "n")
             both = model.select("bucket", "word", "word_seen").join(near, "bucket").select(*(c.split()[0] for c in shape.split(", ")))
-            model = written(both.groupBy("bucket").cogroup(pairs.where(F.col("shift") == shift).drop("shift").groupBy("bucket")).applyInArrow(_step(size, seed, turn, shift), shape), "model")
+            pairs = texts.mapInArrow(_windows(buckets, window, shift), "bucket int, pairs array<long>, times array<int>")
+            places.reverse()
+            model = written(both.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_step(size, seed, turn, shift), shape), "model", tidy=True, over=places[0])
 
     def spread(left: pa.Table, right: pa.Table) -> pa.Table:
         words = left.sort_by("place").column("token")
@@ -318,20 +337,21 @@ def expanded_groups(docs: DataFrame, groups: DataFrame, top: int = 10, least: fl
     `gated` groups (null: all) also pass both gates: their mean cosine with the group's seeds, and their mean
     PMI with those in documents. Seeds without a vector suggest nothing. Each step's table is
     written once; the groups are a short list, worked through one by one at the gates."""
-    found = written(phrases(docs, least=phrase_least, threshold=threshold), "phrases")
-    text = written(phrased(docs, found), "phrased")
-    vectors = written(word_vectors(text, **learner), "vectors")
+    found = written(phrases(docs, least=phrase_least, threshold=threshold), "phrases", tidy=True)
+    text = _by_parts(docs, lambda some: phrased(some, found), "phrased")
+    vectors = written(word_vectors(text, **learner), "vectors", tidy=True)
     seeds = written(groups.join(seed_tokens(groups.select("seed").distinct(), found), "seed").select("group", "seed", "token").distinct(), "seeds")
     held = written(vectors.join(seeds.withColumnRenamed("token", "word"), "word").select("group", "seed", "word", "vector"), "held")
     near = all_neighbours(vectors, held.select(F.col("word").alias("seed"), "vector").distinct(), top, least).withColumnRenamed("seed", "token")
     near = near.join(seeds.select(F.col("token").alias("word")).distinct(), "word", "left_anti").where(F.length(F.replace("word", F.lit("_"), F.lit(""))) >= letters)
     best = F.row_number().over(Window.partitionBy("group", "word").orderBy(F.desc("similarity"), "seed"))
     new = near.join(seeds, "token").withColumn("_n", best).where("_n = 1").select("group", "word", F.replace("word", F.lit("_"), F.lit(" ")).alias("display"), F.round("similarity", 4).alias("similarity"), F.col("seed").alias("similar_to"))
-    new, index = written(new, "suggestions"), written(text.select(F.col("token"), "doc_id").distinct(), "index")
+    new = written(new, "suggestions", tidy=True)
     names = [r["group"] for r in groups.select("group").distinct().orderBy("group").collect()]  # a short list
     tokens_of = {g: [r["token"] for r in seeds.where(F.col("group") == g).select("token").collect()] for g in names}
-    some = index.join(new.select(F.col("word").alias("token")).union(seeds.select("token")).distinct(), "token", "left_semi")
-    total = index.agg(F.countDistinct("doc_id").alias("n")).first()["n"]
+    needed = new.select(F.col("word").alias("token")).union(seeds.select("token")).distinct()
+    some = written(text.join(needed, "token", "left_semi").select("token", "doc_id").distinct(), "index", tidy=True)
+    total = text.agg(F.countDistinct("doc_id").alias("n")).first()["n"]
     cosines = reduce(DataFrame.unionAll, [mean_cosine(vectors, held.where(F.col("group") == g).select("vector")).withColumn("group", F.lit(g)) for g in names])
     pmis = reduce(DataFrame.unionAll, [mean_pmi(some, tokens_of[g], total).withColumn("group", F.lit(g)) for g in names])
     return relevant(new, cosines, pmis, gated, cosine_least, pmi_least)

@@ -23,12 +23,24 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+#: Shuffle files go when the table that they were made for is there.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, tag: str, tidy: bool = False, over: str | None = None, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: computed once, however often it is read, and
-    not again when an executor is lost."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    not again when an executor is lost. tidy: the shuffle files that went into it are removed
+    once it is there. over: the folder of a table that it replaces, which df must not read."""
+    spark, path = df.sparkSession, over or scratch(df.sparkSession, tag)
+    before = spark.conf.get(_CLEANUP, None)
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite" if over else "error").option("compression", compression).parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(_CLEANUP, before or "false")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:

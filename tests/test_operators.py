@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import math
+import os
 
 import re
 
@@ -20,7 +21,7 @@ from fathom.operators import paragraphs as G
 from fathom.operators import regimes as R
 from fathom.operators import series as S
 from fathom.plans import queries as Q
-from fathom.sources import files, pages, tables
+from fathom.sources import files, pages, scratch, tables
 from fathom.streaming import ingest
 
 
@@ -263,6 +264,22 @@ def test_keywords_from_a_corpus(spark):
     assert all((r["mean_pmi"] is None) == (r["group"] == "oil") for r in open_) and any(r["group"] == "oil" for r in open_)
 
 
+def test_word_vectors_leave_no_table_for_each_step(spark, monkeypatch):
+    """Nine steps: parameters replace older ones, pairs of tokens are not stored, and the vectors
+    are those of texts in one part."""
+    rng = np.random.default_rng(5)
+    rows = [(k, p, f"w{w}") for k in range(60) for p, w in enumerate(rng.integers(0, 30, 12))]
+    df = spark.createDataFrame(rows, "doc_id int, pos int, token string")
+    folder = scratch.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    vectors = lambda: {r["word"]: list(r["vector"]) for r in K.word_vectors(df, size=8, rounds=3, parts=3).collect()}
+    found = vectors()
+    made = [x.rpartition("-")[0] for x in set(os.listdir(folder)) - before]
+    assert made.count("model") == 3 and "pairs" not in made
+    monkeypatch.setattr(K, "PARTS", 1)
+    assert vectors() == found and len(found) == 30
+
+
 def test_topics_by_model(spark):
     rng = np.random.default_rng(0)
     text = lambda k: f"{'quota talks opec' if k % 2 else 'inventories stockpile cushing'} " + " ".join(rng.choice(["alpha", "beta", "gamma", "delta"] if k % 2 else ["one", "two", "three", "four"], 12))
