@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from fathom.functions import words
 from fathom.functions.text import once, paragraphs, topics
+from fathom.sources.scratch import written
 
-#: Weakly labelled paragraphs that the classifiers learn from at most, drawn by hash.
-SAMPLE = 100_000
+#: Weakly labelled paragraphs of a task that the classifiers learn in, once there are more than a core each.
+PART = 50_000
 
 
 def paragraph_frame(articles: DataFrame, key: str = "id", text: str = "text", keywords: dict[str, list[str]] | None = None) -> DataFrame:
@@ -46,15 +47,16 @@ def _features(least: int) -> Pipeline:
     ])
 
 
-def fit_topics(frame: DataFrame, names: list[str], least: int = 30, sample: int = SAMPLE) -> TopicModel | None:
-    """Classifiers of the weak labels of a paragraph_frame(). None without labels."""
-    known = frame.where(F.size("weak_labels") > 0).select("paragraph_text", "weak_labels").orderBy(F.xxhash64("paragraph_text"), "paragraph_text").limit(sample)
-    known = known.select("*", *(F.array_contains("weak_labels", k).cast("double").alias(f"_y_{i}") for i, k in enumerate(names))).repartition(max(1, frame.sparkSession.sparkContext.defaultParallelism)).cache()
+def fit_topics(frame: DataFrame, names: list[str], least: int = 30) -> TopicModel | None:
+    """Classifiers that learn from all weakly labelled paragraphs of a paragraph_frame().
+    None without labels."""
+    known = frame.where(F.size("weak_labels") > 0).select("paragraph_text", *(F.array_contains("weak_labels", k).cast("double").alias(f"_y_{i}") for i, k in enumerate(names)))
+    known = written(known, "labelled")
     sums = known.agg(F.count("*").alias("n"), *(F.sum(f"_y_{i}").alias(f"y{i}") for i in range(len(names)))).first()
     n = sums["n"]
     if not n:
-        known.unpersist()
         return None
+    known = known.repartition(max(frame.sparkSession.sparkContext.defaultParallelism, -(-n // PART))).cache()
     features = _features(3 if n >= 200 else 2 if n >= 40 else 1).fit(known)
     ready, found = features.transform(known).cache(), {}
     for i, name in enumerate(names):

@@ -291,6 +291,14 @@ def test_topics_by_model(spark):
     assert all(r["topics"] == [] for r in none)
 
 
+def test_topics_learn_from_all_paragraphs(spark):
+    """No sample: the share of a rare label is exact beyond 100,000 labelled paragraphs."""
+    n = 100_500
+    labels = F.when(F.col("id") % 5025 == 7, F.array(F.lit("all"), F.lit("rare"))).otherwise(F.array(F.lit("all")))
+    frame = spark.range(n).select("id", F.concat(F.lit("some words "), (F.col("id") % 1000).cast("string")).alias("paragraph_text"), labels.alias("weak_labels"))
+    assert G.fit_topics(frame, ["all", "rare", "none"]).topics == {"all": 1.0, "rare": 20 / n, "none": 0.0}
+
+
 def test_files(spark, tmp_path):
     def put(name, text):
         (tmp_path / name).parent.mkdir(exist_ok=True)
