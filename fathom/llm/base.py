@@ -44,15 +44,17 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy", rows: int = 0) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so a lost
     executor costs no recomputation, and it is computed once however often read.
-    The shuffle files that went into it are removed once it is there."""
+    The shuffle files that went into it are removed once it is there. rows: of a file
+    at most, where they are large: a task holds all rows of a file that it writes or
+    reads, up to some thousand."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).option("maxRecordsPerFile", rows).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before or "false")
     return spark.read.schema(df.schema).parquet(path)

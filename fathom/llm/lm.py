@@ -36,6 +36,8 @@ ORDER, BACKOFF = 3, 0.4
 SPLITS, PART_ROWS, SIDES = 2, 1_500_000, 4
 #: Blocks that tell frequent n-grams, those that half of them have, and how many an order has at most.
 SAMPLED, FREQUENT = 5, 1 << 15
+#: Blocks of a file: some MB each, so that a task's memory doesn't follow its share of the input.
+FILE_BLOCKS = 4
 #: Rows of an Arrow batch.
 _SOME = 1 << 16
 
@@ -214,8 +216,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, splits:
     bounded_batches(spark, 1900, ARROW_BYTES * 3 // 4)
     shift, steps = 64 - (splits.bit_length() - 1), _steps(order, splits)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = written(rows.mapInArrow(_blocks, _BLOCK), "blocks", compression="zstd")
-    total = cut.agg(F.sum("words")).first()[0] or 0
+    cut = written(rows.mapInArrow(_blocks, _BLOCK), "blocks", compression="zstd", rows=FILE_BLOCKS)
+    total, n_blocks = cut.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * order // (len(steps) * PART_ROWS)))
     few = [r["block"] for r in cut.select("block").orderBy("block").limit(SAMPLED).collect()]
     found = cut.where(F.col("block").isin(few)).coalesce(1).mapInArrow(_frequent(order), "n int, gram long").collect()  # FREQUENT an order at most
@@ -246,8 +248,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, splits:
         mean = np.divide(found, size, out=np.zeros(len(size)), where=size > 0)
         return pa.table({"doc_id": left.column("doc_ids")[0].values.cast(pa.int64()), "n_words": size, "log_score": found, "score": pa.array(mean, mask=size == 0)})
 
-    done = []
+    done, tasks = [], -(-n_blocks // SIDES) or 1  # about a block each: rows of many would fill a task's memory for sorting
     for k in range(SIDES):
-        some = [x.where(F.pmod("block", F.lit(SIDES)) == k).groupBy("block") for x in (cut, counts)]
+        some = [x.where(F.pmod("block", F.lit(SIDES)) == k).repartition(tasks, "block").groupBy("block") for x in (cut, counts)]
         done.append(written(some[0].cogroup(some[1]).applyInArrow(scored, "doc_id long, n_words long, log_score double, score double"), "scores"))
     return reduce(DataFrame.unionAll, done)
